@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import decontamination, language_id, packing, token_counts, toxicity
 from .jaccard_join import jaccard_components
 
 
@@ -11,11 +13,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the public tokenizer files lie; they come with every worker's Python."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def fold(parts: int, which: int) -> Column:
+    """Whether a row is held out; false for a null doc_id."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts)) == which, F.lit(False))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~fold(3, 1)))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", fold(3, 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.context_table(token_counts.length_histogram(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~fold(4, 2)))
+    return language_id.identify(docs, model).select("doc_id", fold(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
+    "op5_decontamination": op5_decontamination,
+    "op6_token_counts": op6_token_counts,
+    "op8_packing": op8_packing,
+    "op9_language_id": op9_language_id,
     "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES: dict[str, str] = {}
