@@ -1,12 +1,68 @@
-"""The training-corpus pipeline: language, toxicity, near duplicates, leaks, packing."""
+"""The training-corpus pipeline: language, toxicity, near duplicates, benchmark leaks, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame.  The first four
+return the columns of documents with the rows they keep; the last returns the packed
+pieces.  Stages are written as Parquet and read again by the next one.
+
+A language is rejected where it is undetermined; a text is rejected where its
+toxicity score reaches the threshold; of each group of near duplicates the row with
+the smallest doc_id stays (repeated rows count once); a document that an item of the
+benchmark leaks into goes whole.  Rows with a null doc_id pass the last two.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexgrove.llm import decontamination, language_id, packing, toxicity
+from lexgrove.llm.graph import shared_folder
+from lexgrove.llm.jaccard_join import jaccard_components
+from lexgrove.llm.queries import fold, table, tokenizer_path
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = language_id.fit(docs.where(~fold(4, 2)))
+    found = language_id.identify(docs, model, tuple(docs.columns), ("found language", "found score"))
+    return found.where(F.col("found language") != "und").select(*docs.columns)
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~fold(3, 1)))
+    return toxicity.score(docs, model, tuple(docs.columns), "found score").where(F.col("found score") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    others = jaccard_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("other id")).distinct()
+    return docs.join(others, F.col("doc_id") == F.col("other id"), "left_anti").dropDuplicates(["doc_id", "text"])
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_path())
+
 
-STAGES: list = []
+STAGES = [
+    ("language id", known_language),
+    ("toxicity", not_toxic),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("benchmark decontamination", without_benchmark),
+    ("best-fit packing", packed),
+]
+#: Trained models and tokenizers have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the documents; what a stage keeps lies in the shared checkpoint folder."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs

@@ -32,6 +32,8 @@ LONGEST_GRAM, BITS = 3, 14
 #: Labelled texts of each language that the model is fitted on, and landmarks among them.
 SAMPLE_EACH, LANDMARKS = 600, 160
 RIDGE, SHARPNESS = 1e-3, 3.0
+#: What the text is called on its way to the workers, beside the kept columns.
+INPUT = "text to read"
 #: Rows scored by one matrix product.
 ROWS = 256
 
@@ -71,8 +73,8 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([x.tobytes() for x in packed], pa.binary())], ["lang", "bits"])
 
 
-def _small(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for part in K.slices(batch, "text", 1 << 20):
+def _small(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
+    for part in K.slices(batch, text, 1 << 20):
         for at in range(0, part.num_rows, ROWS):
             yield part.slice(at, ROWS)
 
@@ -138,11 +140,11 @@ def fit(docs: DataFrame, sample_each: int = SAMPLE_EACH, landmarks: int = LANDMA
     return model
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], model, names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
     model = model.value
     for batch in batches:
-        for part in _small(batch):
-            text = pc.fill_null(part.column("text"), "")
+        for part in _small(batch, INPUT):
+            text = pc.fill_null(part.column(0), "")
             if not model.langs:
                 best, sure = np.full(len(text), "und", object), np.zeros(len(text))
             else:
@@ -152,11 +154,11 @@ def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatc
                 best = np.array(model.langs, object)[score.argmax(axis=1)]
                 none = ~pc.match_substring_regex(text, r"\p{L}").to_numpy(zero_copy_only=False)
                 best[none], sure[none] = "und", 0.0
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names if c != "text"), pa.array(best.tolist(), pa.string()), pa.array(sure, pa.float64())], [*(c for c in part.schema.names if c != "text"), "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(best.tolist(), pa.string()), pa.array(sure, pa.float64())], [*part.schema.names[1:], *names])
 
 
-def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns to keep, with lang_pred and score (0 to 1) of each whole text."""
-    rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(partial(_predict, model=docs.sparkSession.sparkContext.broadcast(model)), f"{schema}, lang_pred string, score double")
+def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns to keep, with the predicted language and its score (0 to 1) of each whole text, under the given names."""
+    rows = docs.select(F.col("text").cast("string").alias(INPUT), *keep)
+    schema = rows.drop(INPUT).schema.add(names[0], "string").add(names[1], "double")
+    return rows.mapInArrow(partial(_predict, model=docs.sparkSession.sparkContext.broadcast(model), names=names), schema)

@@ -39,6 +39,8 @@ from .samples import balanced, short_enough
 SAMPLE_EACH, VOTERS, FEATURES = 2500, 150, 400
 BEGINNINGS = (4, 5, 6, 7, 8)
 THRESHOLD = 0.7
+#: What the text is called on its way to the workers, beside the kept columns.
+INPUT = "text to read"
 
 
 class Counts:
@@ -222,16 +224,15 @@ def learn(texts: pa.Array, y: np.ndarray, natural: dict[int, int]) -> Model:
     return Model(unique[chosen], weights, bias)
 
 
-def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model, name: str) -> Iterator[pa.RecordBatch]:
     model = model.value
     for batch in batches:
-        for part in K.slices(batch, "text"):
-            rest = [c for c in part.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(model.scores(pc.fill_null(part.column("text"), "")), pa.float64())], [*rest, "score"])
+        for part in K.slices(batch, INPUT):
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(model.scores(pc.fill_null(part.column(0), "")), pa.float64())], [*part.schema.names[1:], name])
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns to keep, with the score (0 to 1) of each whole text."""
-    rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(partial(_score, model=docs.sparkSession.sparkContext.broadcast(model)), f"{schema}, score double")
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The columns to keep, with the score (0 to 1) of each whole text under the given name."""
+    rows = docs.select(F.col("text").cast("string").alias(INPUT), *keep)
+    schema = rows.drop(INPUT).schema.add(name, "double")
+    return rows.mapInArrow(partial(_score, model=docs.sparkSession.sparkContext.broadcast(model), name=name), schema)
