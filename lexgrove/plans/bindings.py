@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import term_queries
+
+QUERIES: dict = {**term_queries.QUERIES}
+ORACLES: dict[str, str] = {**term_queries.ORACLES}
