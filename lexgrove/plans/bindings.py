@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import term_queries
+from . import term_queries, text_queries
 
-QUERIES: dict = {**term_queries.QUERIES}
-ORACLES: dict[str, str] = {**term_queries.ORACLES}
+QUERIES: dict = {**term_queries.QUERIES, **text_queries.QUERIES}
+ORACLES: dict[str, str] = {**term_queries.ORACLES, **text_queries.ORACLES}
