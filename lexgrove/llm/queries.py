@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, html_extraction, language_id, media, ordinal_quality, packing, token_counts, toxicity, url_rules
+from .graph import durable
 from .jaccard_join import jaccard_components
 
 
@@ -75,7 +76,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.context_table(token_counts.length_histogram(table(spark, sf_dir, "documents"), tokenizer_path()))
+    return token_counts.context_table(durable(token_counts.length_histogram(table(spark, sf_dir, "documents"), tokenizer_path())))
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
