@@ -48,6 +48,8 @@ from .signature_tree import Groups, Tree, join, width_for
 WORDS, LEAST = 4, 85
 #: A chunk holds about so many sets, and about so many shingles, at most.
 CHUNK_SETS, CHUNK_SHINGLES = 512, 2_000_000
+#: Up to so many ids (8 bytes each) are broadcast to pick the texts that have to move.
+BROADCAST_IDS = 1_000_000
 
 
 def _node(s: np.ndarray) -> int:
@@ -192,6 +194,10 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, least: int = LEAST, chun
     sizes = nodes.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / chunk_sets), F.ceil(F.sum("n") / chunk_shingles)).cast("int").alias("chunks"))
     placed = durable(nodes.join(sizes, "block").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")))
 
+    # only the placed texts have to move; their ids are broadcast where that is small, else the join sorts it out
+    if placed.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        named = named.join(F.broadcast(placed.select("doc_id").distinct()), "doc_id", "left_semi")
+
     def visit(members: DataFrame) -> DataFrame:
         """members (node, doc_id, task, side, within, component) -> the links (a, b) of each task."""
         dealt = members.join(named, "doc_id").select("task", "side", "within", "node", "component", "text").repartition("task").sortWithinPartitions("task", "side", "node")
