@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,20 +29,20 @@ def shared_folder(spark: SparkSession) -> str:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the undirected edges (a, b); component is its smallest node.
 
-    Alternates large-star and small-star steps, each one shuffle of the edge list
-    with a window minimum, so that no neighbour list is ever gathered; a hub is a
-    window that spills, not a row.  Rounds stop when the edge list no longer changes,
+    Alternates large-star and small-star steps.  A node's smallest neighbour is a
+    minimum that each task takes over its own edges first and that is joined back, so
+    no neighbour list is gathered and a hub's edges are never all in one task's window
+    (a join that they make uneven is one that adaptive execution splits).  Rounds stop when the edge list no longer changes,
     at which point every node points at its component's minimum.  Self edges and
     repeated edges are allowed; an empty edge list gives an empty result; edges with a
     null end are ignored.
     """
-    at = Window.partitionBy("u")
     now = durable(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     for _ in range(most_rounds):
         both = now.union(now.select("v", "u"))
-        large = both.withColumn("m", F.least(F.col("u"), F.min("v").over(at))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.withColumn("m", F.min("v").over(at)).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        large = both.where("v > u").join(both.groupBy("u").agg(F.min("v").alias("m")), "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         now = durable(small)
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 31)).alias("h"), F.sum(F.xxhash64("v", "u") % F.lit(1 << 31)).alias("k")).first()
         if state == before:
