@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexgrove.llm import decontamination, language_id, packing, toxicity
-from lexgrove.llm.graph import shared_folder
+from lexgrove.llm.graph import durable, shared_folder
 from lexgrove.llm.jaccard_join import jaccard_components
 from lexgrove.llm.queries import fold, table, tokenizer_path
 
@@ -35,8 +35,15 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    others = jaccard_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("other id")).distinct()
-    return docs.join(others, F.col("doc_id") == F.col("other id"), "left_anti").dropDuplicates(["doc_id", "text"])
+    found = durable(jaccard_components(docs))
+    others = found.where("doc_id <> component_id").select(F.col("doc_id").alias("other id")).distinct()
+    kept = docs.join(others, F.col("doc_id") == F.col("other id"), "left_anti")
+    # rows that come again have a doc_id that comes again; the rest need no comparison of texts
+    again = found.groupBy(F.col("doc_id").alias("other id")).count().where("count > 1").select("other id")
+    if again.isEmpty():
+        return kept
+    same = F.col("doc_id").eqNullSafe(F.col("other id"))
+    return kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
