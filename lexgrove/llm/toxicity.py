@@ -38,6 +38,7 @@ from .samples import balanced, short_enough
 #: Labelled texts of each class in the sample, voters and classifier features at most.
 SAMPLE_EACH, VOTERS, FEATURES = 2500, 150, 400
 BEGINNINGS = (4, 5, 6, 7, 8)
+TALLY_BITS = 23
 THRESHOLD = 0.7
 #: What the text is called on its way to the workers, beside the kept columns.
 INPUT = "text to read"
@@ -80,6 +81,22 @@ class Counts:
         return row[first], hashes[first], np.diff(np.append(first, len(row)))
 
 
+class Kept:
+    """The counts of several columns together, of the features whose hash begins with a worthy value."""
+
+    def __init__(self, chunks: list[pa.Array], worthy: np.ndarray, place: np.uint64):
+        rows, features, times, words, first = [], [], [], [], 0
+        for chunk in chunks:
+            own = Counts(chunk)
+            keep = worthy[(own.feature >> place).astype(np.int64)]
+            rows.append(own.row[keep] + first)
+            features.append(own.feature[keep])
+            times.append(own.times[keep])
+            words.append(own.words)
+            first += len(chunk)
+        self.row, self.feature, self.times, self.words = (np.concatenate(x) for x in (rows, features, times, words))
+
+
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -191,18 +208,30 @@ def nothing() -> "Model":
 
 def learn(texts: pa.Array, y: np.ndarray, natural: dict[int, int]) -> Model:
     """The model of a sample; natural: how many of all labelled rows have each label."""
-    counts = Counts(texts)
+    chunks = [texts.slice(at, 256) for at in range(0, len(texts), 256)]
+    labels = [y[at : at + 256] for at in range(0, len(texts), 256)]
+    least = max(2, int(0.002 * y.sum()))
+    # a first pass counts hashed features by label, so that the second keeps few of them
+    tallies = np.zeros((2, 1 << TALLY_BITS), np.uint32)
+    place = np.uint64(64 - TALLY_BITS)
+    for chunk, own in zip(chunks, labels):
+        seen = Counts(chunk)
+        for label in (0, 1):
+            np.add.at(tallies[label], (seen.feature[own[seen.row] == label] >> place).astype(np.int64), np.uint32(1))
+    rates = (tallies[1] + 0.5) / (y.sum() + 1), (tallies[0] + 0.5) / ((1 - y).sum() + 1)
+    worthy = (tallies[1] >= least) & (rates[0] > 1.8 * rates[1])
+    del tallies, rates
+    counts = Kept(chunks, worthy, place)
     unique, inverse = np.unique(counts.feature, return_inverse=True)
     toxic = np.bincount(inverse, y[counts.row], len(unique))
     clean = np.bincount(inverse, 1 - y[counts.row], len(unique))
     base = y.mean()
     odds = np.log((toxic + 0.5) / (y.sum() + 1)) - np.log((clean + 0.5) / ((1 - y).sum() + 1))
-    least = max(2, int(0.002 * y.sum()))
     worth = np.where((toxic >= least) & (odds > 2.7), odds * np.sqrt(toxic), 0)
     best = np.argsort(-worth, kind="stable")[:VOTERS]
     voters = np.sort(unique[best[worth[best] > 0]])
     if not len(voters):
-        voters = unique[:1]
+        return nothing()
     votes = vote_matrix(counts, voters)
     start = np.where(votes[:, : len(voters)].any(axis=1), 0.9, 0.05)
     posterior, _, _ = label_model(votes, base, start)
