@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chapters as C
 from ..operators import claims, index, pages, toc
+from ..sources import readers
 from . import tables
 
 # --- pages made of documents -------------------------------------------------------------
@@ -245,6 +246,16 @@ def priority_claims(spark, sf_dir):
     return claims.priority_claims(claims.parse_claims(_claim_lines(spark, sf_dir))).select("file", "priority", "label", "status")
 
 
+def html_elements(spark, sf_dir):
+    return readers.html_elements(tables.table(spark, sf_dir, "pages"), ("page_id",))
+
+
+def epub_markdown(spark, sf_dir):
+    docs = tables.table(spark, sf_dir, "pages").select(F.concat(F.lit("b"), (F.col("page_id") % 20).cast("string")).alias("book_key"), F.col("page_id").cast("int").alias("doc_seq"), F.concat(F.lit("c"), F.col("page_id").cast("string"), F.lit(".xhtml")).alias("name"), "html")
+    made = readers.epub_markdown(readers.html_elements(docs, ("book_key", "doc_seq", "name")))
+    return made.select("book_key", F.length("markdown").alias("n_chars"), F.md5("markdown").alias("md5"))
+
+
 _CLAIM = "^↓\\s+([?~*✓]|\\*\\?)?\\s*(\\w+)\\s+\\(([TER!])\\)\\s+\"([^\"]+)\"(?:\\s+\\[([^\\]]*)\\])?"
 _CLAIMS = f"""WITH lines AS ({CLAIM_LINES.format(**DUCK)}), claims AS (SELECT file, line_no AS claim_ord, regexp_extract(line, '{_CLAIM}', 2) AS label, regexp_extract(line, '{_CLAIM}', 1) AS status,
   regexp_extract(line, '{_CLAIM}', 3) AS type, regexp_extract(line, '{_CLAIM}', 4) AS text, array_to_string(list_filter(list_transform(string_split(regexp_extract(line, '{_CLAIM}', 5), ';'), lambda c: trim(c)), lambda c: c <> ''), '|') AS citations FROM lines WHERE regexp_matches(line, '{_CLAIM}'))"""
@@ -271,6 +282,8 @@ QUERIES = {
     "nearest_marker": nearest_marker,
     "amap_claims": amap_claims,
     "priority_claims": priority_claims,
+    "html_elements": html_elements,
+    "epub_markdown": epub_markdown,
 }
 
 ORACLES = {
