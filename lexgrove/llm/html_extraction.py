@@ -51,7 +51,7 @@ BAD_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog
 
 # The classifier: what each feature adds to a block's score (above 0: content).
 BIAS, WORDS_FULL, WORDS_AT, SENTENCE = -1.5, 4.0, 12, 1.0
-LINKS, IN_MAIN, GOOD, HEADING, ITEM, CELL, RIGHTS = -5.0, 3.0, 1.5, 1.0, -0.5, -0.3, -3.0
+LINKS, IN_MAIN, GOOD, HEADING, ITEM, CELL, RIGHTS = -5.0, 3.0, 2.5, 1.0, -0.5, -0.3, -3.0
 APART_COST, BAD_COST, OUTSIDE_MAIN, PAGE_HEADER = -12.0, -12.0, -5.0, -6.0
 # Smoothness: page neighbours with the same parent, the same grandparent or neither; siblings.
 SAME, NEAR, FAR, SIBLING = 1.0, 0.5, 0.15, 0.4

@@ -7,7 +7,7 @@ the one-versus-rest kernel ridge solution; a batch of texts is scored by two mat
 products, its presence matrix with the landmarks' and the kernel matrix with the
 dual weights.
 
-Texts are lower-cased and runs of anything but letters count as one space.  A null
+Texts are lower-cased; runs of anything but letters after a letter count as one space.  A null
 text, or one without a letter, is `und` with score 0.  Rows without a language, or
 without a doc_id, teach nothing.  With no labelled row at all every text is `und`.
 Ties go to the language that sorts first.  Extra columns are ignored; repeated rows
@@ -47,6 +47,8 @@ def presence(column: pa.Array) -> np.ndarray:
     letter = _LETTER[data]
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # the first of a run of others stays, as a space
+    first = offsets[:-1][offsets[:-1] < len(data)]
+    keep[first] = letter[first]  # but not at the start of a text
     sums = np.append(0, np.cumsum(keep))
     data = np.where(letter, data, 32)[keep].astype(np.uint32)
     bounds = sums[offsets]
