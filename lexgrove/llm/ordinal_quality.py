@@ -129,9 +129,14 @@ class Model:
 
 def learn(column: pa.Array, grade: np.ndarray, grades: int) -> Model:
     """The ridge-penalised maximum-likelihood model; classes weigh the same."""
-    row, feature, value = features(column)
-    key, inverse = np.unique(row << BITS | feature, return_inverse=True)
-    value, row, feature = np.bincount(inverse, value), key >> BITS, key & ((1 << BITS) - 1)
+    rows, kinds, values = [], [], []
+    for first in range(0, len(column), 256):  # features of a few texts at a time, each once
+        row, feature, value = features(column.slice(first, 256))
+        key, inverse = np.unique(row << BITS | feature, return_inverse=True)
+        rows.append((key >> BITS) + first)
+        kinds.append((key & ((1 << BITS) - 1)).astype(np.int32))
+        values.append(np.bincount(inverse, value))
+    row, feature, value = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, kinds, values))
     present = [k for k in range(grades) if (grade == k).any()]
     if len(present) < 2:
         only = present[0] if present else 0

@@ -187,7 +187,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.n
             yield windows(words.hashes[a:b], b - a, salt=1000) if b > a else np.zeros(0, np.uint64)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in runs of rows whose texts hold about `most` bytes together."""
     n = batch.num_rows
     if not n:

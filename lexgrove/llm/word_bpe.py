@@ -17,7 +17,7 @@ import pyarrow as pa
 from . import textkernel as K
 
 #: Distinct chunks a worker remembers before it starts afresh.
-REMEMBERED = 1_500_000
+REMEMBERED = 800_000
 
 LETTER, PUNCTUATION, DIGIT = 1, 2, 3
 _KIND = np.full(256, PUNCTUATION, np.uint8)
