@@ -144,9 +144,9 @@ def test_entries_against_scan(spark):
     [
         ("Smith, J. (2001). A title. Journal, 3, 1-2.", ("Smith, J.", "2001", "A title", "Journal, 3, 1-2.")),
         ("Smith AB. 2001. A title. J Neurosci 3:1.", ("Smith AB.", "2001", "A title", "J Neurosci 3:1.")),
-        ("Buzsaki G (2004) Large-scale recording. Nat Neurosci 7:446.", ("Buzsaki G", "2004", "Large-scale recording", "Nat Neurosci 7:446.")),
-        ("Yudofsky SC: Some title. Journal 3(1):1–2, 1995 123", ("Yudofsky SC: Some title. Journal 3(1):1–2", "1995", "123", "")),
-        ("Yudofsky SC: Some title. Journal", ("Yudofsky SC", "", "Some title", "Journal")),
+        ("Novak G (2004) Large-scale recording. Nat Neurosci 7:446.", ("Novak G", "2004", "Large-scale recording", "Nat Neurosci 7:446.")),
+        ("Miller SC: Some title. Journal 3(1):1–2, 1995 123", ("Miller SC: Some title. Journal 3(1):1–2", "1995", "123", "")),
+        ("Miller SC: Some title. Journal", ("Miller SC", "", "Some title", "Journal")),
         ("No year nor colon", ("No year nor colon", "", "", "")),
         ("A 1999. One. Two. Three", ("A", "1999", "One. Two", "Three")),
     ],
