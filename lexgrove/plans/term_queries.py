@@ -30,10 +30,18 @@ def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lookup(spark, sf_dir).select("ord", "term", "n_books").distinct()
 
 
-def _engine(spark: SparkSession, sf_dir: str, with_candidates: bool = False) -> Engine:
-    pairs = _pairs(spark, sf_dir) if with_candidates else spark.createDataFrame([], "term1 string, term2 string, match_type string, score double")
-    r = lookup.relations(_lookup(spark, sf_dir), pairs, _books(spark, sf_dir))
-    return Engine(r["books"], r["terms"], r["occurrences"], r["candidates"])
+_occurrences = tables.kept("occurrences", lambda spark, sf_dir: _relations(spark, sf_dir)["occurrences"])
+_known = tables.kept("terms", lambda spark, sf_dir: _relations(spark, sf_dir)["terms"])
+_candidates = tables.kept("candidates", lambda spark, sf_dir: _relations(spark, sf_dir)["candidates"])
+
+
+def _relations(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return lookup.relations(_lookup(spark, sf_dir), _pairs(spark, sf_dir), _books(spark, sf_dir))
+
+
+def _engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """The engine over stored relations."""
+    return Engine(_books(spark, sf_dir), _known(spark, sf_dir), _occurrences(spark, sf_dir), _candidates(spark, sf_dir))
 
 
 def _flat(hits: DataFrame, *more: str) -> DataFrame:
@@ -98,11 +106,11 @@ def term_coverage(spark, sf_dir):
 
 
 def expand_variants(spark, sf_dir):
-    return _flat(_engine(spark, sf_dir, True).expand(ASKED, 0.4), "match_type", "match_score")
+    return _flat(_engine(spark, sf_dir).expand(ASKED, 0.4), "match_type", "match_score")
 
 
 def full_lookup(spark, sf_dir):
-    engine = _engine(spark, sf_dir, True)
+    engine = _engine(spark, sf_dir)
     return _flat(engine.full_lookup("SMALL RING", min_score=0.4), "match_type", "match_score")
 
 
@@ -111,7 +119,7 @@ def books_summary(spark, sf_dir):
 
 
 def db_stats(spark, sf_dir):
-    return _engine(spark, sf_dir, True).stats()
+    return _engine(spark, sf_dir).stats()
 
 
 def cross_book_histogram(spark, sf_dir):
@@ -160,12 +168,12 @@ def claim_match_topn(spark, sf_dir):
 
 
 def candidate_ingest(spark, sf_dir):
-    return _engine(spark, sf_dir, True).candidates
+    return _engine(spark, sf_dir).candidates
 
 
 def case_sensitive_filters(spark, sf_dir):
     """Candidates above a score whose ends differ, with both names: the documented one-directional join."""
-    engine = _engine(spark, sf_dir, True)
+    engine = _engine(spark, sf_dir)
     t = engine.terms
     one, two = t.select(F.col("id").alias("term1_id"), F.col("term").alias("term")), t.select(F.col("id").alias("term2_id"), F.col("term").alias("variant"))
     return engine.candidates.where(F.col("match_type").isin("case", "containment") & (F.col("score") >= 0.6)).join(one, "term1_id").join(two, "term2_id").select("term", "variant", "match_type", "score")

@@ -28,12 +28,12 @@ def _books(spark, sf_dir):
     return rows.groupBy("book_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "page"))), lambda x: x["page"]), "\f").alias("text"))
 
 
-def _segments(spark, sf_dir):
-    return pages.segment(_books(spark, sf_dir))
+_segments = tables.kept("segments", lambda spark, sf_dir: pages.segment(_books(spark, sf_dir)))
+_stripped = tables.kept("stripped", lambda spark, sf_dir: pages.strip_headers(_segments(spark, sf_dir)))
 
 
 def page_segment(spark, sf_dir):
-    return _segments(spark, sf_dir).select("book_key", "pdf_page", "book_page", F.length("text").alias("n_chars"), F.md5("text").alias("md5"))
+    return pages.segment(_books(spark, sf_dir)).select("book_key", "pdf_page", "book_page", F.length("text").alias("n_chars"), F.md5("text").alias("md5"))
 
 
 def page_map(spark, sf_dir):
@@ -53,12 +53,12 @@ def strip_headers(spark, sf_dir):
 
 
 def heading_detect(spark, sf_dir):
-    found = pages.annotate(pages.strip_headers(_segments(spark, sf_dir)))
+    found = pages.annotate(_stripped(spark, sf_dir))
     return found.select("book_key", "pdf_page", F.explode("headings").alias("h")).select("book_key", "pdf_page", F.col("h.line_idx").alias("line_idx"), F.col("h.level").alias("level"), F.col("h.text").alias("text"))
 
 
 def markdown_render(spark, sf_dir):
-    found = pages.annotate(pages.strip_headers(_segments(spark, sf_dir)))
+    found = pages.annotate(_stripped(spark, sf_dir))
     names = found.select("book_key").distinct().select("book_key", F.concat(F.lit("Title "), "book_key").alias("title"), F.lit("A").alias("author"), F.lit(2020).alias("year"), F.lit("").alias("pdf"), F.lit("b.epub").alias("epub_path"))
     return pages.markdown(found, names).select("book_key", F.length("markdown").alias("n_chars"), F.md5("markdown").alias("md5"))
 
@@ -152,11 +152,16 @@ SELECT book_key, CAST(row_number() OVER (PARTITION BY book_key ORDER BY b, part,
 """
 
 
-def _markdown(spark, sf_dir):
+def _made_markdown(spark, sf_dir):
     part = tables.table(spark, sf_dir, "part")
     return spark.sql(MARKDOWN.format(**SPARK).replace("FROM part)", "FROM {part})"), part=part).select("book_key", "line_no", "line")
 
 
+_markdown = tables.kept("markdown", _made_markdown)
+_chapters = tables.kept("chapters", lambda spark, sf_dir: C.detect(_markdown(spark, sf_dir)))
+_references = tables.kept("references", lambda spark, sf_dir: C.references(_markdown(spark, sf_dir), _chapters(spark, sf_dir)))
+
+
 def chapter_detect(spark, sf_dir):
     return C.detect(_markdown(spark, sf_dir))
 
@@ -166,8 +171,7 @@ def page_markers(spark, sf_dir):
 
 
 def ref_parse(spark, sf_dir):
-    lines = _markdown(spark, sf_dir)
-    return C.references(lines, C.detect(lines))
+    return C.references(_markdown(spark, sf_dir), _chapters(spark, sf_dir))
 
 
 _MD = f"WITH md AS ({MARKDOWN.format(**DUCK)})"
@@ -192,10 +196,8 @@ def link_chapters(spark, sf_dir):
 
 
 def link_references(spark, sf_dir):
-    lines = _markdown(spark, sf_dir)
-    found = C.detect(lines)
-    linked = C.link_chapters(tables.index(spark, sf_dir), found)
-    return C.link_references(linked, C.references(lines, found)).select("term", "book_key", "ch_title", "ref_ord", "raw")
+    linked = C.link_chapters(tables.index(spark, sf_dir), _chapters(spark, sf_dir))
+    return C.link_references(linked, _references(spark, sf_dir)).select("term", "book_key", "ch_title", "ref_ord", "raw")
 
 
 _RANGES = "ranges AS (SELECT book_key, k AS ch_ord, CASE WHEN k = 2 THEN 'p. 21–30' ELSE 'Chapter ' || k END AS ch_title, k * 10 + 1 AS sp, k * 10 + 10 AS ep FROM (SELECT DISTINCT book_key FROM occ), (SELECT unnest([0, 1, 2, 3, 4]) AS k))"
