@@ -38,7 +38,7 @@ from .samples import balanced, short_enough
 #: Labelled texts of each class in the sample, voters and classifier features at most.
 SAMPLE_EACH, VOTERS, FEATURES = 2500, 150, 400
 BEGINNINGS = (4, 5, 6, 7, 8)
-TALLY_BITS = 23
+TALLY_BITS = 20
 THRESHOLD = 0.7
 #: What the text is called on its way to the workers, beside the kept columns.
 INPUT = "text to read"
@@ -81,14 +81,23 @@ class Counts:
         return row[first], hashes[first], np.diff(np.append(first, len(row)))
 
 
+def tally_place(feature: np.ndarray, table: int) -> np.ndarray:
+    """Where a feature is counted in the first or second table."""
+    return ((feature >> np.uint64(64 - TALLY_BITS * (1 + table))) & np.uint64((1 << TALLY_BITS) - 1)).astype(np.int64)
+
+
 class Kept:
-    """The counts of several columns together, of the features whose hash begins with a worthy value."""
+    """The counts of several columns together, of the features that are worthy in either table.
+
+    A rare feature that shares its place with a common one in one table hardly does so
+    in the other.
+    """
 
-    def __init__(self, chunks: list[pa.Array], worthy: np.ndarray, place: np.uint64):
+    def __init__(self, chunks: list[pa.Array], worthy: np.ndarray):
         rows, features, times, words, first = [], [], [], [], 0
         for chunk in chunks:
             own = Counts(chunk)
-            keep = worthy[(own.feature >> place).astype(np.int64)]
+            keep = worthy[0][tally_place(own.feature, 0)] | worthy[1][tally_place(own.feature, 1)]
             rows.append(own.row[keep] + first)
             features.append(own.feature[keep])
             times.append(own.times[keep])
@@ -211,17 +220,18 @@ def learn(texts: pa.Array, y: np.ndarray, natural: dict[int, int]) -> Model:
     chunks = [texts.slice(at, 256) for at in range(0, len(texts), 256)]
     labels = [y[at : at + 256] for at in range(0, len(texts), 256)]
     least = max(2, int(0.002 * y.sum()))
-    # a first pass counts hashed features by label, so that the second keeps few of them
-    tallies = np.zeros((2, 1 << TALLY_BITS), np.uint32)
-    place = np.uint64(64 - TALLY_BITS)
+    # a first pass counts hashed features by label in two small tables, so that the second keeps few of them
+    tallies = np.zeros((2, 2, 1 << TALLY_BITS), np.uint32)
     for chunk, own in zip(chunks, labels):
         seen = Counts(chunk)
-        for label in (0, 1):
-            np.add.at(tallies[label], (seen.feature[own[seen.row] == label] >> place).astype(np.int64), np.uint32(1))
-    rates = (tallies[1] + 0.5) / (y.sum() + 1), (tallies[0] + 0.5) / ((1 - y).sum() + 1)
-    worthy = (tallies[1] >= least) & (rates[0] > 1.8 * rates[1])
+        for table in (0, 1):
+            place = tally_place(seen.feature, table)
+            for label in (0, 1):
+                tallies[table, label] += np.bincount(place[own[seen.row] == label], minlength=1 << TALLY_BITS).astype(np.uint32)
+    rates = (tallies + np.float32(0.5)) / np.array([(1 - y).sum() + 1, y.sum() + 1], np.float32)[None, :, None]
+    worthy = (tallies[:, 1] >= least) & (rates[:, 1] > 1.8 * rates[:, 0])
     del tallies, rates
-    counts = Kept(chunks, worthy, place)
+    counts = Kept(chunks, worthy)
     unique, inverse = np.unique(counts.feature, return_inverse=True)
     toxic = np.bincount(inverse, y[counts.row], len(unique))
     clean = np.bincount(inverse, 1 - y[counts.row], len(unique))
