@@ -2,7 +2,7 @@
 
 A document is compared with the benchmark items that share a seed (k words in a
 row) with it.  The words both have are tiled: the longest run of unmarked words
-common to both is found by Karp-Rabin window hashes with a binary search over its
+common to both is found by window hashes of any length with a binary search over its
 length, marked in both, and so on while runs of `tile` words or more are left.  The
 share of the item's words under tiles is its coverage, whatever the order of the
 runs in the document, so shuffled passages are found too.
@@ -46,6 +46,7 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int
     A place where text holds 0 is a gap that no run crosses.
     """
     free_item, free_text = np.ones(len(item), bool), text != 0
+    runs_item, runs_text = K.Runs(item), K.Runs(text)
     found = []
 
     def starts(free: np.ndarray, s: int) -> np.ndarray:
@@ -56,15 +57,15 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int
         i, j = starts(free_item, s), starts(free_text, s)
         if not len(i) or not len(j):
             return None
-        a, b = K.windows(item, s)[i], K.windows(text, s)[j]
+        a, b = runs_item.windows(s)[i], runs_text.windows(s)[j]
         hit = np.flatnonzero(np.isin(a, b))
         return (int(i[hit[0]]), int(j[np.flatnonzero(b == a[hit[0]])[0]])) if len(hit) else None
 
+    high = min(len(item), len(text))
     while len(item) >= least:
         low, best = least, match(least)
         if best is None:
             return found
-        high = min(len(item), len(text))
         while low < high:
             middle = (low + high + 1) // 2
             at = match(middle)
@@ -76,6 +77,7 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int
         free_item[i : i + low] = False
         free_text[j : j + low] = False
         found.append((i, j, low))
+        high = low  # no later tile is longer
     return found
 
 

@@ -172,6 +172,29 @@ def windows(hashes: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
         return mix(total)
 
 
+class Runs:
+    """Window hashes of any length over one sequence, from those of lengths that are powers of two."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.levels = [hashes]
+
+    @staticmethod
+    def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix(mix(a) * _STEP[0] + b * _STEP[1])
+
+    def windows(self, k: int) -> np.ndarray:
+        """Hash of each window of k, to be compared with those of the same k; two windows that overlap make one."""
+        n, top = len(self.levels[0]) - k + 1, k.bit_length() - 1
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        while len(self.levels) <= top:
+            half, step = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(self._pair(half[:-step], half[step:]))
+        last = k - (1 << top)
+        return self._pair(self.levels[top][:n], self.levels[top][last : last + n])
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:
     """The sorted distinct k-word shingle hashes of each text.
 

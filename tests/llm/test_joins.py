@@ -174,6 +174,23 @@ def test_leaks(spark):
     assert D.without_leaks(df, bench).columns == df.columns
 
 
+def test_long_items(spark):
+    """Items of several hundred words, copied whole and reordered."""
+    rnd = random.Random(3)
+    words = [f"w{n}" for n in rnd.sample(range(10**6), 300)]
+    a = np.arange(1, 301, dtype=np.uint64)
+    assert D.tiles(a, a, 3) == [(0, 0, 300)]
+    assert D.tiles(a, np.append(a[170:], a[:170]), 3) == [(0, 130, 170), (170, 0, 130)]
+    for n, least in ((150, 3), (257, 80)):
+        item, text = ([rnd.randint(1, 3) for _ in range(n)] for _ in "ab")
+        text[:90] = item[20:110]
+        assert D.tiles(np.array(item, np.uint64), np.array(text, np.uint64), least) == slow_tiles(item, text, least)
+    whole, moved = " ".join(words), " ".join(words[170:] + words[:170])
+    df = spark.createDataFrame([(1, f"x {whole} y", "x", 0, 0), (2, moved, "x", 0, 0), (3, " ".join(words[:149]), "x", 0, 0)], DOCS)
+    rows = D.leaks(df, spark.createDataFrame([(7, whole, 0)], BENCH)).collect()
+    assert sorted((r.doc_id, r.coverage, r.n_tiles, r.longest) for r in rows) == [(1, 1.0, 1, 300), (2, 1.0, 2, 170)]
+
+
 def urls():
     rnd = random.Random(4)
     hosts = ["net", "a.net", "example.net", "x.example.net", "EXAMPLE.com", "b.example.com", "org", "w.org", "badexample.net", "netx", "n.et", "", "a..net", "example.net:80", "net."]
