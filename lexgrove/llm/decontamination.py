@@ -1,7 +1,9 @@
 """Benchmark decontamination by greedy string tiling.
 
-A document is compared with the benchmark items that share a seed (k words in a
-row) with it.  The words both have are tiled: the longest run of unmarked words
+A document is compared with the benchmark items that share seeds with it: runs of
+`tile` words, the shortest that count, which cover at least `coverage` of the item
+before they are laid out as tiles; what tiles cover is never more.  The words both
+have are tiled: the longest run of unmarked words
 common to both is found by window hashes of any length with a binary search over its
 length, marked in both, and so on while runs of `tile` words or more are left.  The
 share of the item's words under tiles is its coverage, whatever the order of the
@@ -12,8 +14,8 @@ The benchmark is the stated query set.  It is read in blocks bounded by
 scanned against it, so its size bounds memory, not which items count.  Documents
 are scanned where they lie: nothing is shuffled.
 
-Words are runs of letters and digits, lower-cased.  An item of fewer than k words
-is one seed whole.  Items without words, null items and null or empty texts match
+Words are runs of letters and digits, lower-cased.  An item of fewer than `tile`
+words is one seed whole.  Items without words, null items and null or empty texts match
 nothing.  Items with equal words are tiled once and all reported.  Repeated rows
 are each reported; ids may be null.  An empty side gives an empty result.  Extra
 columns are ignored.
@@ -32,8 +34,10 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 
-SEED_WORDS, TILE_WORDS, COVERAGE = 5, 3, 0.5
+TILE_WORDS, COVERAGE = 3, 0.5
 BLOCK_BYTES = 8 << 20
+#: About so many places of items are compared with texts at once.
+PLACES = 1 << 20
 
 #: Letters and digits; every byte of other scripts counts as a letter.
 WORD_TABLE = np.zeros(256, np.uint8)
@@ -81,10 +85,73 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int
     return found
 
 
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n, place below counts[n]) for each n as often as counts says."""
+    n = np.repeat(np.arange(len(counts)), counts)
+    return n, np.arange(len(n)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+class Seeds:
+    """Seeds of the items that have seeds of one size: sorted hashes, the items that have each, and where."""
+
+    def __init__(self, words: list[tuple[int, np.ndarray]], size: int):
+        each = [K.windows(w, size) for _, w in words]
+        hashes = np.concatenate(each)
+        items = np.repeat(np.array([n for n, _ in words], np.int64), [len(h) for h in each])
+        places = np.concatenate([np.arange(len(h)) for h in each])
+        order = np.lexsort((places, items, hashes))
+        hashes, items, self.places = hashes[order], items[order], places[order]
+        new_hash = np.append(True, hashes[1:] != hashes[:-1])
+        new = np.append(True, new_hash[1:] | (items[1:] != items[:-1]))
+        self.size, self.hashes = size, hashes[new_hash]
+        self.first_place = np.append(np.flatnonzero(new), len(hashes))  # of each seed and item
+        self.items = items[new]
+        self.first = np.append(np.flatnonzero(new_hash[new]), len(self.items))  # item of each seed
+        self.cost = np.diff(self.first_place[self.first])
+        self.table = np.zeros(1 << 20, bool)  # most windows of a text fail here at once
+        self.table[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+
+    def hits(self, words: K.Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """(text, seed) for each seed in each text, once, in order."""
+        hashes = K.windows(words.hashes, self.size)
+        at = np.flatnonzero(self.table[(hashes >> np.uint64(44)).astype(np.int64)])
+        seed = np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)
+        held = self.hashes[seed] == hashes[at]
+        at, seed = at[held], seed[held]
+        row = np.searchsorted(words.bounds, at, "right") - 1
+        inside = at + self.size <= words.bounds[row + 1]
+        both = np.unique(row[inside] * len(self.hashes) + seed[inside])
+        return both // len(self.hashes), both % len(self.hashes)
+
+    def near(self, words: K.Tokens, need: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(text, item) where the seeds of a text cover as many words of the item as it needs."""
+        row, seed = self.hits(words)
+        starts = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
+        before = np.append(0, np.cumsum(self.cost[seed]))
+        a = 0
+        while a < len(starts):  # whole texts, of which the places are few enough
+            b = max(a + 1, int(np.searchsorted(before[starts], before[starts[a]] + PLACES, "left")))
+            low, high = starts[a], starts[b] if b < len(starts) else len(row)
+            a = b
+            n, k = _spread(np.diff(self.first)[seed[low:high]])
+            entry = self.first[seed[low:high]][n] + k
+            m, k = _spread(np.diff(self.first_place)[entry])
+            place = self.places[self.first_place[entry][m] + k]
+            text, item = row[low:high][n][m], self.items[entry][m]
+            order = np.lexsort((place, item, text))
+            text, item, place = text[order], item[order], place[order]
+            new = np.append(True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]))
+            covered = np.full(len(place), self.size)
+            covered[1:] = np.where(new[1:], self.size, np.minimum(self.size, np.diff(place)))
+            first = np.flatnonzero(new)
+            enough = np.add.reduceat(covered, first) >= need[item[first]]
+            yield from zip(text[first][enough].tolist(), item[first][enough].tolist())
+
+
 class Index:
-    """Seeds of one block of items: sorted hashes, and which items have each."""
+    """Seeds of one block of items by their size."""
 
-    def __init__(self, items: list[tuple[object, str]], k: int):
+    def __init__(self, items: list[tuple[object, str]], tile: int):
         data, offsets = K.buffer_of(pc.utf8_lower(pa.array([text for _, text in items], pa.large_string())))
         words = K.tokenize(data, offsets, WORD_TABLE)
         same: dict[bytes, int] = {}
@@ -99,53 +166,30 @@ class Index:
                 self.words.append(own.copy())
                 self.ids.append([])
             self.ids[at].append(name)
-        self.seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for size in {min(k, len(w)) for w in self.words}:
-            pairs = [(np.unique(K.windows(w, size)), n) for n, w in enumerate(self.words) if min(k, len(w)) == size]
-            hashes = np.concatenate([h for h, _ in pairs])
-            owners = np.repeat([n for _, n in pairs], [len(h) for h, _ in pairs])
-            order = np.argsort(hashes, kind="stable")
-            table = np.zeros(1 << 20, bool)  # most windows of a text fail here at once
-            table[(hashes >> np.uint64(44)).astype(np.int64)] = True
-            self.seeds[size] = hashes[order], owners[order], table
-
-    def hits(self, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) for each window of the given hashes that is a seed of an item."""
-        seeds, owners, table = self.seeds[size]
-        maybe = np.flatnonzero(table[(hashes >> np.uint64(44)).astype(np.int64)])
-        low = np.searchsorted(seeds, hashes[maybe], "left")
-        many = np.searchsorted(seeds, hashes[maybe], "right") - low
-        window = np.repeat(maybe, many)
-        item = owners[np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())]
-        return window, item
-
-
-def _scan(batches: Iterator[pa.RecordBatch], index, kinds: list[pa.DataType], tile: int, coverage: float) -> Iterator[pa.RecordBatch]:
+        short = [min(tile, len(w)) for w in self.words]
+        self.seeds = [Seeds([(n, w) for n, w in enumerate(self.words) if short[n] == size], size) for size in sorted(set(short))]
+
+
+def _scan(batches: Iterator[pa.RecordBatch], index, kinds: list[pa.DataType], coverage: float) -> Iterator[pa.RecordBatch]:
     index = index.value if hasattr(index, "value") else index
+    need = np.array([len(w) for w in index.words]) * (coverage - 1e-9)
     for batch in batches:
         for part in K.slices(batch, "text"):
             out: list[tuple] = []
             words = K.tokenize(*K.buffer_of(pc.utf8_lower(part.column("text"))), WORD_TABLE)
-            for size in index.seeds:
-                window, item = index.hits(K.windows(words.hashes, size), size)
-                row = np.searchsorted(words.bounds, window, "right") - 1
-                inside = window + size <= words.bounds[row + 1]
-                window, item, row = window[inside], item[inside], row[inside]
-                order = np.lexsort((window, item, row))
-                window, item, row = window[order], item[order], row[order]
-                cuts = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]))) if len(row) else []
-                for a, b in zip(cuts, [*cuts[1:], len(row)]):
-                    own = index.words[item[a]]
-                    least = min(tile, len(own))
-                    whole = words.hashes[words.bounds[row[a]] : words.bounds[row[a] + 1]]
+            for seeds in index.seeds:
+                for row, item in seeds.near(words, need):
+                    own = index.words[item]
+                    least = seeds.size
+                    whole = words.hashes[words.bounds[row] : words.bounds[row + 1]]
                     shared = np.flatnonzero(np.isin(K.windows(whole, least), K.windows(own, least)))
                     places = np.unique((shared[:, None] + np.arange(least)).ravel())
                     gap = np.flatnonzero(np.diff(places) > 1) + 1
                     found = tiles(own, np.insert(whole[places], gap, np.uint64(0)), least)
                     share = sum(n for _, _, n in found) / len(own)
-                    if share >= coverage - 1e-9:
-                        for name in index.ids[item[a]]:
-                            out.append((int(row[a]), name, share, len(found), max(n for _, _, n in found)))
+                    if found and share >= coverage - 1e-9:
+                        for name in index.ids[item]:
+                            out.append((row, name, share, len(found), max(n for _, _, n in found)))
             rows, names, shares, counts, longest = zip(*out) if out else ((),) * 5
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(names, kinds[1]), pa.array(shares, pa.float64()), pa.array(counts, pa.int32()), pa.array(longest, pa.int32())],
@@ -165,7 +209,7 @@ def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple]]:
         yield block
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, k: int = SEED_WORDS, tile: int = TILE_WORDS, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, tile: int = TILE_WORDS, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, coverage, n_tiles, longest) for each document and item with at least that coverage."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     benchmark = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
@@ -175,8 +219,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = SEED_WORDS, tile: int
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, coverage double, n_tiles int, longest int"
     found = None
     for block in _blocks(benchmark, block_bytes):
-        index = docs.sparkSession.sparkContext.broadcast(Index(block, k))
-        part = docs.mapInArrow(partial(_scan, index=index, kinds=kinds, tile=tile, coverage=coverage), schema)
+        index = docs.sparkSession.sparkContext.broadcast(Index(block, tile))
+        part = docs.mapInArrow(partial(_scan, index=index, kinds=kinds, coverage=coverage), schema)
         found = part if found is None else found.union(part)
     return found if found is not None else docs.sparkSession.createDataFrame([], schema)
 

@@ -164,6 +164,8 @@ def windows(hashes: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
+    if k > len(_STEP):
+        return mix(Runs(hashes).windows(k) + _U(salt))
     with np.errstate(over="ignore"):
         total = hashes[:n] * _STEP[0]
         for i in range(1, k):

@@ -174,6 +174,30 @@ def test_leaks(spark):
     assert D.without_leaks(df, bench).columns == df.columns
 
 
+def test_items_in_short_pieces(spark):
+    """Items shuffled in pieces of three and four words or with every fifth word replaced, against tiling every pair."""
+    rnd = random.Random(5)
+    items = [[f"w{rnd.randint(0, 400)}" for _ in range(rnd.randint(20, 60))] for _ in range(12)] + [["a", "b"] * 20, ["one", "two"]]
+    docs = []
+    for w in items:
+        for n in (3, 4):
+            pieces = [w[i : i + n] for i in range(0, len(w), n)]
+            rnd.shuffle(pieces)
+            docs.append([x for p in pieces for x in [*p, f"x{rnd.randint(0, 9)}"]])
+        docs.append([x if i % 5 else "zz" for i, x in enumerate(w)])
+        docs.append(w[: len(w) // 2 - 2] + ["yy"] + w[-2:])
+    want = set()
+    for d, t in enumerate(docs):
+        for i, w in enumerate(items):
+            found = slow_tiles(w, t, min(3, len(w)))
+            if found and sum(n for _, _, n in found) >= 0.5 * len(w):
+                want.add((d, i, len(found)))
+    df = spark.createDataFrame([(d, " ".join(t), "x", 0, 0) for d, t in enumerate(docs)], DOCS)
+    bench = spark.createDataFrame([(i, " ".join(w), 0) for i, w in enumerate(items)], BENCH)
+    assert {(4 * i + k, i) for i in range(12) for k in range(3)} <= {p[:2] for p in want}
+    assert {(r.doc_id, r.item_id, r.n_tiles) for r in D.leaks(df, bench).collect()} == want
+
+
 def test_long_items(spark):
     """Items of several hundred words, copied whole and reordered."""
     rnd = random.Random(3)
@@ -189,6 +213,7 @@ def test_long_items(spark):
     df = spark.createDataFrame([(1, f"x {whole} y", "x", 0, 0), (2, moved, "x", 0, 0), (3, " ".join(words[:149]), "x", 0, 0)], DOCS)
     rows = D.leaks(df, spark.createDataFrame([(7, whole, 0)], BENCH)).collect()
     assert sorted((r.doc_id, r.coverage, r.n_tiles, r.longest) for r in rows) == [(1, 1.0, 1, 300), (2, 1.0, 2, 170)]
+    assert D.leaks(df, spark.createDataFrame([(7, whole, 0)], BENCH), tile=100).count() == 2
 
 
 def urls():
