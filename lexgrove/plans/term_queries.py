@@ -13,17 +13,9 @@ from . import tables
 ASKED, QUERY = "small ring", "ring small economy"
 
 
-def _cheap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates by every strategy but the token-set ratio."""
-    terms = _terms(spark, sf_dir)
-    found = fuzzy.abbreviation_pairs(terms).union(fuzzy.case_pairs(terms)).union(fuzzy.containment_pairs(terms))
-    rank = F.array_position(F.array(*[F.lit(p) for p in fuzzy.PRIORITY]), F.col("match_type"))
-    return found.groupBy(F.least("ord1", "ord2").alias("a"), F.greatest("ord1", "ord2").alias("b")).agg(F.min_by(F.struct("term1", "term2", "match_type", "score"), rank).alias("p")).select("p.*")
-
-
 _lookup = tables.kept("lookup", lambda spark, sf_dir: lookup.build_lookup(tables.index(spark, sf_dir), fill=False))
 _books = tables.kept("books", tables.books)
-_pairs = tables.kept("pairs", _cheap_pairs)
+_pairs = tables.kept("pairs", lambda spark, sf_dir: fuzzy.all_pairs(_terms(spark, sf_dir)))
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:

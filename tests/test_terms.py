@@ -187,3 +187,13 @@ def test_schema_tables_and_constraints(spark):
     assert {(r.table_name, r.rule): r.n for r in schema.violations(bad).collect()} == {("terms", "unique(term)"): 1, ("candidates", "term2_id in terms"): 1, ("candidates", "term1_id <> term2_id"): 1}
     schema.drop(spark, "shelf")
     assert spark.sql("SHOW TABLES IN shelf").count() == 0
+
+
+def test_registered_candidates_are_of_all_strategies(spark):
+    from lexgrove.plans import term_queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    pairs = sorted((min(p.ord1, p.ord2), max(p.ord1, p.ord2), p.match_type, p.score) for p in Q.all_pairs(spark, sf).collect())
+    assert "token_set" in {p[2] for p in pairs}
+    assert sorted(tuple(r) for r in Q.candidate_ingest(spark, sf).select("term1_id", "term2_id", "match_type", "score").collect()) == pairs
+    assert Q.db_stats(spark, sf).first().candidates == len(pairs)
