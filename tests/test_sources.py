@@ -145,3 +145,13 @@ def test_stream_of_indices(spark, tmp_path):
     (tmp_path / "in" / "a.txt").write_text("Cortex, 10\nBrain, 3\n")
     indices.watch(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert {r.term for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"Cortex", "Brain"}
+
+
+def test_registered_claims_hold_whole_texts(spark):
+    from lexgrove.plans import text_queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    talks = spark.read.parquet(f"{sf}/conversations.parquet").collect()
+    want = {(str(r.conv_id), r.turn): "x" + (r.text or "").replace('"', "").replace("\n", " ") for r in talks}
+    got = {(r.file, r.claim_ord): r.text for r in Q.amap_claims(spark, sf).collect()}
+    assert got == want and max(map(len, got.values())) > 60
