@@ -22,6 +22,9 @@ from lexgrove.llm.graph import durable, shared_folder
 from lexgrove.llm.jaccard_join import jaccard_components
 from lexgrove.llm.queries import fold, table, tokenizer_path
 
+#: Near duplicates share 80 per cent of their five-word shingles or more; op10's contract has its own figures.
+NEAR_WORDS, NEAR_LEAST = 5, 80
+
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs.where(~fold(4, 2)))
@@ -35,7 +38,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = durable(jaccard_components(docs))
+    found = durable(jaccard_components(docs, k=NEAR_WORDS, least=NEAR_LEAST))
     others = found.where("doc_id <> component_id").select(F.col("doc_id").alias("other id")).distinct()
     kept = docs.join(others, F.col("doc_id") == F.col("other id"), "left_anti")
     # rows that come again have a doc_id that comes again; the rest need no comparison of texts

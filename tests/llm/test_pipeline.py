@@ -33,6 +33,23 @@ def test_stages(spark, tmp_path):
     assert None in kept and spark.read.parquet(str(tmp_path / "2")).where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").count() == 0
 
 
+def test_near_duplicates_by_five_words(spark):
+    """Against brute force with five words and 0.8: spread edits, one changed passage, and a text beyond the threshold."""
+    words = [f"w{n}" for n in range(1000)]
+    spread = lambda n: " ".join("zz%d" % i if i % (1000 // n) == 20 and i // (1000 // n) < n else w for i, w in enumerate(words))
+    passage = " ".join(words[:450] + [f"y{n}" for n in range(100)] + words[550:])
+    texts = [(1, " ".join(words)), (2, spread(22)), (3, passage), (4, spread(25)), (5, "other words here")]
+    sets = {i: {tuple(t.split()[n : n + 5]) for n in range(max(1, len(t.split()) - 4))} for i, t in texts}
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = {x: new if r == old else r for x, r in root.items()}
+    kept = P.one_of_each_group(spark, spark.createDataFrame(texts, "doc_id long, text string"), SF)
+    assert {r.doc_id for r in kept.collect()} == set(root.values()) == {1, 4, 5}
+
+
 def test_run_and_registration(spark):
     assert P.run(spark, SF).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     names = set(e.queries())
