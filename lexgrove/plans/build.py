@@ -16,6 +16,9 @@ from ..sources import readers
 
 NO_HOOKS = Hooks()
 
+#: Most distinct settings of a registry.
+SETTINGS = 1000
+
 
 def extract_index(texts: DataFrame, registry: DataFrame, hooks: Hooks = NO_HOOKS) -> DataFrame:
     """texts (book_key, text) and registry -> index rows; the start line is the registry's, else the detected one."""
@@ -47,11 +50,19 @@ def text_to_markdown(texts: DataFrame, registry: DataFrame, hooks: Hooks = NO_HO
     return pages.markdown(annotated, registry)
 
 
+def _settings(rows: DataFrame) -> list:
+    """The distinct rows; each costs a branch of the plan, so more than SETTINGS are an error."""
+    found = rows.distinct().limit(SETTINGS + 1).collect()
+    if len(found) > SETTINGS:
+        raise ValueError(f"more than {SETTINGS} distinct values of {', '.join(rows.columns)}")
+    return found
+
+
 def _strip(segments: DataFrame, tuned: DataFrame | None) -> DataFrame:
     """Headers stripped with the defaults, or for each distinct setting of the registry with that."""
     if tuned is None:
         return pages.strip_headers(segments)
-    settings = tuned.select("global_thresh", "window_size", "window_thresh").distinct().limit(1000).collect()
+    settings = _settings(tuned.select("global_thresh", "window_size", "window_thresh"))
     out = None
     for s in settings:
         same = tuned.where(F.col("global_thresh").eqNullSafe(s.global_thresh) & F.col("window_size").eqNullSafe(s.window_size) & F.col("window_thresh").eqNullSafe(s.window_thresh)).select("book_key")
@@ -65,7 +76,7 @@ def extract_references(markdown: DataFrame, registry: DataFrame | None = None, h
     """book_key, markdown -> markers, chapters and references of every book."""
     lines = C.markdown_lines(markdown)
     markers = hooks.apply("post_page_map", C.page_markers(lines))
-    patterns = [] if registry is None or "ref_heading_pattern" not in registry.columns else registry.where("ref_heading_pattern IS NOT NULL").select("ref_heading_pattern").distinct().limit(1000).collect()
+    patterns = [] if registry is None or "ref_heading_pattern" not in registry.columns else _settings(registry.where("ref_heading_pattern IS NOT NULL").select("ref_heading_pattern"))
     special = None if not patterns else registry.where("ref_heading_pattern IS NOT NULL").select("book_key", "ref_heading_pattern")
     found = C.detect(lines if special is None else lines.join(special.select("book_key"), "book_key", "left_anti"))
     for p in patterns:

@@ -155,3 +155,18 @@ def test_registered_claims_hold_whole_texts(spark):
     want = {(str(r.conv_id), r.turn): "x" + (r.text or "").replace('"', "").replace("\n", " ") for r in talks}
     got = {(r.file, r.claim_ord): r.text for r in Q.amap_claims(spark, sf).collect()}
     assert got == want and max(map(len, got.values())) > 60
+
+
+def test_too_many_settings_are_an_error(spark):
+    import pytest
+
+    from lexgrove.plans import build
+
+    lines = spark.createDataFrame([("b1", "# x")], "book_key string, markdown string")
+    many = spark.range(1001).selectExpr("concat('b', id) AS book_key", "concat('p', id) AS ref_heading_pattern")
+    with pytest.raises(ValueError, match="more than 1000"):
+        build.extract_references(lines, many)
+    tuned = spark.range(1001).selectExpr("concat('b', id) AS book_key", "id / 2000 AS global_thresh", "30 AS window_size", "0.3 AS window_thresh")
+    with pytest.raises(ValueError, match="more than 1000"):
+        build._strip(spark.createDataFrame([], "book_key string"), tuned)
+    assert len(build._settings(many.limit(1000))) == 1000
