@@ -5,21 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import durable
+
+#: Row ids hold the partition above this many bits, the row's place in it below.
+PLACE_BITS = 33
+
 
 def numbered(df: DataFrame, order: list[tuple[Column, bool]], name: str = "ord", start: int = 1) -> DataFrame:
     """The rows with their place in the given order, from `start`; order: (column, whether it descends).
 
-    Range partitioning sorts the table into parts; each part counts its own rows, and
-    the counts of the parts before it (a row for each part) are added.  The order must
-    be total for a repeatable numbering.
+    Range partitioning sorts the table into parts, and each part counts its own rows; the
+    sizes of the parts before it (a row for each part) are added.  The sorted parts are
+    written once: range bounds are sampled, so a second evaluation could cut elsewhere,
+    and numbers would repeat or be left out.  The order must be total for a repeatable
+    numbering.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = df.select("*", *[c.alias(f"_order{i}") for i, (c, _) in enumerate(order)])
     keys = [F.col(f"_order{i}").desc() if down else F.col(f"_order{i}").asc() for i, (_, down) in enumerate(order)]
-    cut = keyed.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id())
-    sizes = cut.groupBy("_part").agg(F.count("*").alias("_n"))
+    cut = durable(keyed.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select(*df.columns, F.monotonically_increasing_id().alias("_row")))
+    part = F.shiftright("_row", PLACE_BITS).alias("_part")
+    sizes = cut.groupBy(part).agg(F.count("*").alias("_n"))
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
+    place = F.col("_row").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
     # a row for each part, whatever the input
-    out = cut.withColumn("_place", place).join(F.broadcast(before), "_part")
-    return out.select(*df.columns, (F.col("_place") + F.col("_before") + (start - 1)).cast("long").alias(name))
+    out = cut.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return out.select(*df.columns, (place + F.col("_before") + start).cast("long").alias(name))

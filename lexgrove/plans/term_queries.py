@@ -77,10 +77,6 @@ ratios AS (SELECT *, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 WHEN s > 0 AND
   ELSE greatest(100.0 * (1 - (la + lb - 2 * n) / (2 * s + 2 * g + la + lb)::DOUBLE), 100.0 * (1 - (g + la) / (2 * s + g + la)::DOUBLE), 100.0 * (1 - (g + lb) / (2 * s + g + lb)::DOUBLE)) END AS ratio FROM sized)"""
 
 
-CHEAP = """, found AS (SELECT *, 1 AS p FROM abbreviation UNION ALL SELECT *, 2 FROM case_pairs UNION ALL SELECT *, 3 FROM containment),
-candidates AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY least(ord1, ord2), greatest(ord1, ord2) ORDER BY p, ord1) = 1),
-edges AS (SELECT term1 AS src, term2 AS dst, match_type, score FROM candidates UNION ALL SELECT term2, term1, match_type, score FROM candidates)"""
-
 ASCII = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -200,7 +196,8 @@ _ALL = f"""{_TOKEN_SET}, found AS (SELECT *, 1 AS p FROM abbreviation UNION ALL
 best AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY least(ord1, ord2), greatest(ord1, ord2) ORDER BY p, ord1) = 1),
 shelves AS (SELECT term, list(book_key) AS books FROM occ GROUP BY term),
 everything AS (SELECT b.ord1, b.ord2, b.term1, b.term2, b.match_type, b.score, len(list_distinct(list_concat(s.books, t.books)))::INT AS n_union, p FROM best b JOIN shelves s ON s.term = b.term1 JOIN shelves t ON t.term = b.term2)"""
-_NEAR = f"""{PAIRS_SQL}{CHEAP}, {HYDRATED}"""
+_CANDIDATES = f"""{_ALL}, edges AS (SELECT term1 AS src, term2 AS dst, match_type, score FROM best UNION ALL SELECT term2, term1, match_type, score FROM best)"""
+_NEAR = f"""{_CANDIDATES}, {HYDRATED}"""
 _DOC_TERMS = f"""docs AS (SELECT source, unnest(list_filter(regexp_split_to_array(lower(text), '[\\s\\-/,;:()\\[\\]]+'), lambda t: length(t) > 2 AND t NOT IN {T.STOP_WORDS})) AS term FROM documents),
 terms AS (SELECT term, count(DISTINCT source) AS n_books FROM docs GROUP BY term)"""
 
@@ -215,7 +212,7 @@ near AS (SELECT t.term, t.n_books, e.match_type, e.score, row_number() OVER (PAR
 listed AS (SELECT 'icase' AS section, term, n_books, NULL AS match_type, NULL::DOUBLE AS match_score FROM icase UNION ALL SELECT 'variants', term, n_books, match_type, score FROM near WHERE r = 1)
 SELECT l.section, l.term, l.n_books, h.books, h.pages, l.match_type, l.match_score FROM listed l JOIN hits h ON h.term = l.term""",
     "books_summary": tables.OCC_SQL + "SELECT book_key AS key, 'Book ' || book_key AS title, 'Author ' || right(book_key, 1) AS author, 1990 + CAST(regexp_extract(book_key, '(\\d+)$', 1) AS INT) AS year, count(*) AS n_terms FROM occ GROUP BY book_key",
-    "db_stats": f"{PAIRS_SQL}{CHEAP} SELECT (SELECT count(DISTINCT book_key) FROM occ) AS books, (SELECT count(*) FROM terms) AS terms, (SELECT count(*) FROM occ) AS occurrences, (SELECT count(*) FROM candidates) AS candidates, (SELECT count(*) FROM terms WHERE n_books > 1) AS cross_book_terms",
+    "db_stats": f"{_CANDIDATES} SELECT (SELECT count(DISTINCT book_key) FROM occ) AS books, (SELECT count(*) FROM terms) AS terms, (SELECT count(*) FROM occ) AS occurrences, (SELECT count(*) FROM best) AS candidates, (SELECT count(*) FROM terms WHERE n_books > 1) AS cross_book_terms",
     "cross_book_histogram": tables.OCC_SQL + "SELECT n_books, count(*) AS n_terms FROM terms GROUP BY n_books",
     "abbreviation_pairs": f"{PAIRS_SQL} SELECT * FROM abbreviation",
     "case_pairs": f"{PAIRS_SQL} SELECT * FROM case_pairs",
@@ -238,6 +235,6 @@ SELECT *, row_number() OVER (PARTITION BY claim_ord ORDER BY score DESC, n_books
 filled AS (SELECT c.book_key, c.term, list_sort(list_distinct(flatten(list(d.pages)))) AS pages FROM cut c JOIN cut d ON c.book_key = d.book_key AND starts_with(d.term, c.term || ' ') AND len(d.pages) > 0 WHERE len(c.pages) = 0 GROUP BY c.book_key, c.term)
 SELECT c.term, c.book_key, array_to_string(list_sort(CASE WHEN len(c.pages) = 0 THEN coalesce(f.pages, []) ELSE c.pages END), ',') AS pages FROM cut c LEFT JOIN filled f ON f.book_key = c.book_key AND f.term = c.term""",
     "main_term_counts": tables.OCC_SQL + "SELECT book_key, count(*) AS n_terms, count(*) FILTER (NOT contains(term, ' (')) AS n_main, count(*) FILTER (NOT contains(term, ' (')) AS n_main_spaced FROM occ GROUP BY book_key",
-    "candidate_ingest": f"{PAIRS_SQL}{CHEAP} SELECT least(ord1, ord2) AS term1_id, greatest(ord1, ord2) AS term2_id, match_type, score FROM candidates",
-    "typed_candidates_join": f"{PAIRS_SQL}{CHEAP} SELECT CASE WHEN ord1 < ord2 THEN term1 ELSE term2 END AS term, CASE WHEN ord1 < ord2 THEN term2 ELSE term1 END AS variant, match_type, score FROM candidates WHERE match_type IN ('case', 'containment') AND score >= 0.6",
+    "candidate_ingest": f"{_CANDIDATES} SELECT least(ord1, ord2) AS term1_id, greatest(ord1, ord2) AS term2_id, match_type, score FROM best",
+    "typed_candidates_join": f"{_CANDIDATES} SELECT CASE WHEN ord1 < ord2 THEN term1 ELSE term2 END AS term, CASE WHEN ord1 < ord2 THEN term2 ELSE term1 END AS variant, match_type, score FROM best WHERE match_type IN ('case', 'containment') AND score >= 0.6",
 }

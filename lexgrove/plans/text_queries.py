@@ -230,18 +230,14 @@ _TOC = "toc AS (SELECT book_key, k AS toc_ord, k % 2 AS level, 'Chapter ' || k |
 CLAIM_LINES = """
 SELECT CAST(conv_id AS {string}) AS file, CAST(turn AS INT) AS line_no, '↓ ' || CASE turn % 5 WHEN 0 THEN '? ' WHEN 1 THEN '~ ' WHEN 2 THEN '* ' WHEN 3 THEN '✓ ' ELSE '' END
   || 'c' || CAST(conv_id AS {string}) || '_' || CAST(turn AS {string}) || ' (' || CASE turn % 4 WHEN 0 THEN 'T' WHEN 1 THEN 'E' WHEN 2 THEN 'R' ELSE '!' END || ') "'
-  || substr(replace(replace('x' || coalesce(text, ''), '"', ''), {nl}, ' '), 1, 60) || '" [A 2001; B 2002]' AS line FROM conversations
+  || replace(replace('x' || coalesce(text, ''), '"', ''), {nl}, ' ') || '" [A 2001; B 2002]' AS line FROM conversations
 """
 
 
 def _claim_lines(spark, sf_dir):
-    """Each turn as a claim line, with its whole text; CLAIM_LINES is the reference SQL's form and cuts it."""
-    talk, turn = F.col("conv_id").cast("string"), F.col("turn")
-    status = F.when(turn % 5 == 0, "? ").when(turn % 5 == 1, "~ ").when(turn % 5 == 2, "* ").when(turn % 5 == 3, "✓ ").otherwise("")
-    kind = F.when(turn % 4 == 0, "T").when(turn % 4 == 1, "E").when(turn % 4 == 2, "R").otherwise("!")
-    text = F.translate(F.coalesce("text", F.lit("")), '\n"', " ")
-    line = F.concat(F.lit("↓ "), status, F.lit("c"), talk, F.lit("_"), turn.cast("string"), F.lit(" ("), kind, F.lit(') "x'), text, F.lit('" [A 2001; B 2002]'))
-    return tables.table(spark, sf_dir, "conversations").select(talk.alias("file"), turn.cast("int").alias("line_no"), line.alias("line"))
+    """Each turn as a claim line, with its whole text."""
+    talk = tables.table(spark, sf_dir, "conversations")
+    return spark.sql(CLAIM_LINES.format(**SPARK).replace("FROM conversations", "FROM {conversations}"), conversations=talk)
 
 
 def amap_claims(spark, sf_dir):

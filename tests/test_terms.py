@@ -146,6 +146,8 @@ def test_views_and_documented_sql(spark):
     engine(spark).views()
     rows = spark.sql("SELECT t2.term, c.score FROM terms t JOIN candidates c ON t.id IN (c.term1_id, c.term2_id) JOIN terms t2 ON t2.id = CASE WHEN c.term1_id = t.id THEN c.term2_id ELSE c.term1_id END WHERE t.term = 'memory' ORDER BY c.score DESC").collect()
     assert [r.term for r in rows] == ["Memory", "working memory"]
+    for name in ("books", "terms", "occurrences", "candidates"):
+        spark.catalog.dropTempView(name)
 
 
 def test_plans_have_no_nested_loops(spark):
@@ -186,7 +188,7 @@ def test_schema_tables_and_constraints(spark):
     bad = dict(held, terms=held["terms"].union(spark.createDataFrame([(9, "eye", 1)], "id long, term string, n_books int")), candidates=spark.createDataFrame([(1, 1, "case", 1.0), (1, 77, "case", 1.0)], held["candidates"].schema))
     assert {(r.table_name, r.rule): r.n for r in schema.violations(bad).collect()} == {("terms", "unique(term)"): 1, ("candidates", "term2_id in terms"): 1, ("candidates", "term1_id <> term2_id"): 1}
     schema.drop(spark, "shelf")
-    assert spark.sql("SHOW TABLES IN shelf").count() == 0
+    assert spark.sql("SHOW TABLES IN shelf").where("NOT isTemporary").count() == 0
 
 
 def test_registered_candidates_are_of_all_strategies(spark):
