@@ -6,7 +6,7 @@ reference section are windows over classified lines.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -36,15 +36,20 @@ def page_markers(lines: DataFrame) -> DataFrame:
     return lines.select("book_key", marker.alias("marker"), "line_no").where("marker IS NOT NULL").groupBy("book_key", "marker").agg(F.min("line_no").alias("line_idx"))
 
 
-def sections(lines: DataFrame, heading: str = REFERENCES) -> DataFrame:
+def _opens(heading: str | Column) -> Column:
+    """Whether a line opens a reference section; heading is a pattern, or a boolean column of the lines."""
+    return F.col("line").rlike(heading) if isinstance(heading, str) else heading
+
+
+def sections(lines: DataFrame, heading: str | Column = REFERENCES) -> DataFrame:
     """book_key, ref_pos, limit: each reference heading and where the next one (or the book's end) is."""
     total = lines.groupBy("book_key").agg((F.max("line_no") + 1).alias("total"))
-    found = lines.where(F.col("line").rlike(heading)).select("book_key", F.col("line_no").alias("ref_pos"))
+    found = lines.where(_opens(heading)).select("book_key", F.col("line_no").alias("ref_pos"))
     following = F.lead("ref_pos").over(Window.partitionBy("book_key").orderBy("ref_pos"))
     return found.withColumn("following", following).join(total, "book_key").select("book_key", "ref_pos", F.coalesce("following", "total").alias("limit"))
 
 
-def reference_ends(lines: DataFrame, heading: str = REFERENCES) -> DataFrame:
+def reference_ends(lines: DataFrame, heading: str | Column = REFERENCES) -> DataFrame:
     """book_key, ref_pos, limit, ref_end: where each reference section gives way to other text.
 
     It ends at a first-level heading, at a second-level one that is no reference (with
@@ -53,7 +58,7 @@ def reference_ends(lines: DataFrame, heading: str = REFERENCES) -> DataFrame:
     """
     at = Window.partitionBy("book_key").orderBy("line_no")
     so_far = at.rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("ref_pos", F.last(F.when(F.col("line").rlike(heading), F.col("line_no")), ignorenulls=True).over(so_far)).where("ref_pos IS NOT NULL AND line_no > ref_pos")
+    rows = lines.withColumn("ref_pos", F.last(F.when(_opens(heading), F.col("line_no")), ignorenulls=True).over(so_far)).where("ref_pos IS NOT NULL AND line_no > ref_pos")
     s = T.strip("line")
     title = T.strip(F.expr("substring(line, 4)"))
     reference = lambda c: c.rlike(T.YEAR) | c.rlike(T.AUTHOR)
@@ -80,7 +85,7 @@ def reference_ends(lines: DataFrame, heading: str = REFERENCES) -> DataFrame:
     return sections(lines, heading).join(ends, ["book_key", "ref_pos"], "left").select("book_key", "ref_pos", "limit", F.coalesce("result", "limit").alias("ref_end"))
 
 
-def detect(lines: DataFrame, heading: str = REFERENCES) -> DataFrame:
+def detect(lines: DataFrame, heading: str | Column = REFERENCES) -> DataFrame:
     """book_key, ch_ord, title, start_page, end_page, ref_start_line, ref_end_line.
 
     A chapter is what lies between the end of one reference section and the heading
@@ -89,7 +94,7 @@ def detect(lines: DataFrame, heading: str = REFERENCES) -> DataFrame:
     order = Window.partitionBy("book_key").orderBy("ref_pos")
     ends = reference_ends(lines, heading).withColumn("body", F.coalesce(F.lag("ref_end").over(order), F.lit(0))).withColumn("ch_ord", F.row_number().over(order))
     after = Window.partitionBy("book_key").orderBy("line_no").rowsBetween(1, Window.unboundedFollowing)
-    rows = lines.withColumn("ref_pos", F.first(F.when(F.col("line").rlike(heading), F.col("line_no")), ignorenulls=True).over(after)).where("ref_pos IS NOT NULL")
+    rows = lines.withColumn("ref_pos", F.first(F.when(_opens(heading), F.col("line_no")), ignorenulls=True).over(after)).where("ref_pos IS NOT NULL")
     text = T.strip(F.regexp_extract("line", HEADING, 2))
     rows = rows.select("book_key", "ref_pos", "line_no", F.regexp_extract("line", PAGE_MARK, 1).try_cast("int").alias("page"), F.when((F.length(text) >= 5) & ~text.rlike(NO_TITLE), text).alias("title"))
     found = rows.where("page IS NOT NULL OR title IS NOT NULL").join(ends.select("book_key", "ref_pos", "body"), ["book_key", "ref_pos"]).where("line_no >= body")

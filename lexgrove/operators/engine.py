@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -27,13 +27,11 @@ class Engine:
             df.createOrReplaceTempView(name)
 
     def hydrated(self, terms: DataFrame) -> DataFrame:
-        """terms (id, term, n_books and more) with their books and pages, in one join."""
-        entries = F.array_sort(F.collect_list(F.struct("book_key", "pages")))
-        wanted = self.occurrences.join(terms.select(F.col("id").alias("term_id")).distinct(), "term_id", "left_semi")
-        packed = wanted.groupBy("term_id").agg(entries.alias("e"))
-        joined = terms.join(packed, terms["id"] == packed["term_id"], "left").drop("term_id")
-        none = F.array().cast("array<struct<book_key:string,pages:array<string>>>")
-        return joined.withColumn("e", F.coalesce("e", none)).withColumn("books", F.transform("e", lambda x: x["book_key"])).withColumn("pages", F.map_from_entries("e")).drop("e")
+        """terms (id, term, n_books and more) with their books and pages, in one join; equal rows become one."""
+        held = self.occurrences.select(F.col("term_id").alias("_term_id"), F.struct("book_key", "pages").alias("_entry"))
+        joined = terms.join(held, terms["id"] == held["_term_id"], "left").drop("_term_id")
+        packed = joined.groupBy(*terms.columns).agg(F.array_sort(F.collect_set("_entry")).alias("_e"))
+        return packed.withColumn("books", F.transform("_e", lambda x: x["book_key"])).withColumn("pages", F.map_from_entries("_e")).drop("_e")
 
     def _asked(self, term: str) -> DataFrame:
         return self.terms.sparkSession.range(1).select(F.lit(term).alias("asked"))
@@ -62,15 +60,20 @@ class Engine:
         one = self.candidates.select(F.col("term1_id").alias("src"), F.col("term2_id").alias("dst"), "match_type", "score")
         return one.union(self.candidates.select("term2_id", "term1_id", "match_type", "score"))
 
-    def _variants(self, sources: DataFrame, min_score: float) -> DataFrame:
-        """sources (id, position) -> the terms one edge away."""
-        near = self.edges().where((F.col("score") >= min_score) & (F.col("src") != F.col("dst"))).join(sources.select(F.col("id").alias("src"), "position"), "src")
-        return self.hydrated(near.join(self.terms, near["dst"] == self.terms["id"]).drop("dst", "src"))
+    def _near(self, sources: DataFrame, min_score: float) -> DataFrame:
+        """sources (id, position and more) -> one row for each edge from them: id, position, match_type, score.
+
+        Sources are the spellings of one term, a handful of rows however many terms there
+        are, so they are broadcast and the edges are filtered where they lie.
+        """
+        from_here = F.broadcast(sources.select(F.col("id").alias("src"), "position"))
+        near = self.edges().where((F.col("score") >= min_score) & (F.col("src") != F.col("dst"))).join(from_here, "src")
+        return near.select(F.col("dst").alias("id"), "position", "match_type", "score")
 
     def expand(self, term: str, min_score: float = 0.6) -> DataFrame:
         """The candidates of a term, best first; nothing for an unknown term."""
         source = self.terms.where(F.col("term") == term).select("id", F.lit(0).alias("position"))
-        hits = self._variants(source, min_score)
+        hits = self.hydrated(self._near(source, min_score).join(self.terms, "id"))
         return hits.select("term", F.lit(True).alias("found"), F.col("n_books").cast("long").alias("n_books"), "books", "pages", "match_type", F.col("score").alias("match_score")).orderBy(F.desc("match_score"), "term", "match_type")
 
     def search(self, query: str, limit: int = 20) -> DataFrame:
@@ -80,18 +83,17 @@ class Engine:
 
     def full_lookup(self, term: str, expand_results: bool = True, min_score: float = 0.6) -> DataFrame:
         """Sections exact, icase (only if exact misses) and variants (each term once, icase hits left out)."""
-        none = F.lit(None)
-        exact = self.lookup(term).where("found").select(F.lit("exact").alias("section"), "term", "n_books", "books", "pages", none.cast("string").alias("match_type"), none.cast("double").alias("match_score"))
-        missed = self._asked(term).join(self.terms.where(F.col("term") == term).select("term"), F.col("asked") == F.col("term"), "left_anti")
-        letters = self.terms.where(self._same_letters(term)).join(F.broadcast(missed.select(F.lit(1).alias("missed"))))
-        icase = self.hydrated(letters).select(F.lit("icase").alias("section"), "term", F.col("n_books").cast("long").alias("n_books"), "books", "pages", none.cast("string").alias("match_type"), none.cast("double").alias("match_score"))
-        out = exact.union(icase)
-        if not expand_results:
-            return out
-        sources = self.terms.where(F.col("term") == term).select("id", "term").union(letters.select("id", "term")).withColumn("position", F.col("id"))
-        near = self._variants(sources, min_score).join(sources.select("term"), "term", "left_anti")
-        best = near.groupBy("term").agg(F.min_by(F.struct("n_books", "books", "pages", "match_type", "score"), F.struct("position", -F.col("score"), "match_type")).alias("b"))
-        return out.union(best.select(F.lit("variants"), "term", F.col("b.n_books").cast("long"), "b.books", "b.pages", "b.match_type", F.col("b.score").cast("double")))
+        same = self.terms.where(self._same_letters(term)).select("id", (F.col("term") == term).alias("exact"))
+        # the spellings of one term are a handful of rows: all of them in one window
+        marked = same.withColumn("hit", F.max("exact").over(Window.partitionBy(F.lit(0))))
+        own = marked.where("exact OR NOT hit").select("id", F.when(F.col("exact"), "exact").otherwise("icase").alias("section"), F.col("id").alias("position"))
+        wanted = own.select("id", "section", F.lit(None).cast("string").alias("match_type"), F.lit(None).cast("double").alias("match_score"))
+        if expand_results:
+            near = self._near(own, min_score).join(F.broadcast(own.select("id")), "id", "left_anti")
+            best = near.groupBy("id").agg(F.min_by(F.struct("match_type", "score"), F.struct("position", -F.col("score"), "match_type")).alias("b"))
+            wanted = wanted.union(best.select("id", F.lit("variants"), "b.match_type", F.col("b.score").cast("double")))
+        hits = self.hydrated(wanted.join(self.terms, "id"))
+        return hits.select("section", "term", F.col("n_books").cast("long").alias("n_books"), "books", "pages", "match_type", "match_score")
 
     def books(self) -> DataFrame:
         """Every book with its number of terms, by year."""

@@ -57,10 +57,23 @@ def zone_lines(segments: DataFrame) -> DataFrame:
     return rows.select("book_key", "page_no", "n_pages", F.explode(lines).alias("line"))
 
 
+def _tuned(zones: DataFrame, shares: DataFrame | None) -> DataFrame:
+    """Zone lines with each book's shares and window size, those without their own with the defaults."""
+    names = {"global_thresh": F.lit(GLOBAL_SHARE), "window_size": F.lit(WINDOW), "window_thresh": F.lit(WINDOW_SHARE)}
+    if shares is None:
+        return zones.withColumns(names)
+    own = shares.select("book_key", *[F.col(c).alias(f"own_{c}") for c in names])
+    return zones.join(own, "book_key", "left").withColumns({c: F.coalesce(F.nullif(f"own_{c}", F.lit(0)), d) for c, d in names.items()})
+
+
 def frequent_lines(segments: DataFrame, share: float = GLOBAL_SHARE) -> DataFrame:
     """book_key, line, n: outer lines of at least that share of a book's pages."""
-    counted = zone_lines(segments).groupBy("book_key", "line", "n_pages").agg(F.count("*").alias("n"))
-    return counted.where((F.col("n") / F.col("n_pages") >= share) & ~F.col("line").rlike(BARE_NUMBER)).select("book_key", "line", "n")
+    return _frequent(_tuned(zone_lines(segments), None).withColumn("global_thresh", F.lit(share)))
+
+
+def _frequent(zones: DataFrame) -> DataFrame:
+    counted = zones.groupBy("book_key", "line", "n_pages", "global_thresh").agg(F.count("*").alias("n"))
+    return counted.where((F.col("n") / F.col("n_pages") >= F.col("global_thresh")) & ~F.col("line").rlike(BARE_NUMBER)).select("book_key", "line", "n")
 
 
 def frequent_in_windows(segments: DataFrame, size: int = WINDOW, share: float = WINDOW_SHARE) -> DataFrame:
@@ -68,12 +81,17 @@ def frequent_in_windows(segments: DataFrame, size: int = WINDOW, share: float =
 
     Windows of `size` pages begin every half size; those of fewer than five pages don't count.
     """
-    step = max(1, size // 2)
+    return _frequent_in_windows(_tuned(zone_lines(segments), None).withColumns({"window_size": F.lit(size), "window_thresh": F.lit(share)}))
+
+
+def _frequent_in_windows(zones: DataFrame) -> DataFrame:
+    size = F.col("window_size")
+    step = F.greatest(F.lit(1), F.floor(size / 2))
     low = F.greatest(F.lit(0), F.ceil((F.col("page_no") - size + 1) / step))
-    placed = zone_lines(segments).withColumn("window", F.explode(F.sequence(low.cast("int"), F.floor(F.col("page_no") / step).cast("int"))))
-    held = F.least(F.lit(size), F.col("n_pages") - F.col("window") * step)
-    counted = placed.withColumn("held", held).where(F.col("held") >= LEAST_WINDOW).groupBy("book_key", "window", "line", "held").agg(F.count("*").alias("n"))
-    return counted.where((F.col("n") / F.col("held") >= share) & ~F.col("line").rlike(BARE_NUMBER)).select("book_key", "window", "line", "n")
+    placed = zones.withColumn("window", F.explode(F.sequence(low.cast("int"), F.floor(F.col("page_no") / step).cast("int"))))
+    held = F.least(size, F.col("n_pages") - F.col("window") * step)
+    counted = placed.withColumn("held", held).where(F.col("held") >= LEAST_WINDOW).groupBy("book_key", "window", "line", "held", "window_thresh").agg(F.count("*").alias("n"))
+    return counted.where((F.col("n") / F.col("held") >= F.col("window_thresh")) & ~F.col("line").rlike(BARE_NUMBER)).select("book_key", "window", "line", "n")
 
 
 def bad_lines(segments: DataFrame, global_share: float = GLOBAL_SHARE, size: int = WINDOW, window_share: float = WINDOW_SHARE) -> DataFrame:
@@ -81,6 +99,12 @@ def bad_lines(segments: DataFrame, global_share: float = GLOBAL_SHARE, size: int
     return frequent_lines(segments, global_share).select("book_key", "line").union(frequent_in_windows(segments, size, window_share).select("book_key", "line")).distinct()
 
 
+def bad_lines_by_book(segments: DataFrame, shares: DataFrame) -> DataFrame:
+    """book_key, line, by each book's own shares (book_key, global_thresh, window_size, window_thresh; null or 0: the default)."""
+    zones = _tuned(zone_lines(segments), shares)
+    return _frequent(zones).select("book_key", "line").union(_frequent_in_windows(zones).select("book_key", "line")).distinct()
+
+
 def strip_headers(segments: DataFrame, bad: DataFrame | None = None, **shares) -> DataFrame:
     """Segments without the bad lines where these are outer lines; elsewhere they stay."""
     bad = bad_lines(segments, **shares) if bad is None else bad

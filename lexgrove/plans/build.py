@@ -16,9 +16,6 @@ from ..sources import readers
 
 NO_HOOKS = Hooks()
 
-#: Most distinct settings of a registry.
-SETTINGS = 1000
-
 
 def extract_index(texts: DataFrame, registry: DataFrame, hooks: Hooks = NO_HOOKS) -> DataFrame:
     """texts (book_key, text) and registry -> index rows; the start line is the registry's, else the detected one."""
@@ -44,44 +41,22 @@ def text_to_markdown(texts: DataFrame, registry: DataFrame, hooks: Hooks = NO_HO
     own = {"registry": registry}
     segments = hooks.apply("post_segment", pages.segment(texts), **own).where("book_page IS NOT NULL")
     tuned = registry.select("book_key", "header_stripper.*") if "header_stripper" in registry.columns else None
-    stripped = _strip(segments, tuned)
+    stripped = pages.strip_headers(segments, None if tuned is None else pages.bad_lines_by_book(segments, tuned))
     stripped = hooks.apply("post_strip", stripped, **own)
     annotated = hooks.apply("post_annotate", pages.annotate(stripped), **own)
     return pages.markdown(annotated, registry)
 
 
-def _settings(rows: DataFrame) -> list:
-    """The distinct rows; each costs a branch of the plan, so more than SETTINGS are an error."""
-    found = rows.distinct().limit(SETTINGS + 1).collect()
-    if len(found) > SETTINGS:
-        raise ValueError(f"more than {SETTINGS} distinct values of {', '.join(rows.columns)}")
-    return found
-
-
-def _strip(segments: DataFrame, tuned: DataFrame | None) -> DataFrame:
-    """Headers stripped with the defaults, or for each distinct setting of the registry with that."""
-    if tuned is None:
-        return pages.strip_headers(segments)
-    settings = _settings(tuned.select("global_thresh", "window_size", "window_thresh"))
-    out = None
-    for s in settings:
-        same = tuned.where(F.col("global_thresh").eqNullSafe(s.global_thresh) & F.col("window_size").eqNullSafe(s.window_size) & F.col("window_thresh").eqNullSafe(s.window_thresh)).select("book_key")
-        part = pages.strip_headers(segments.join(same, "book_key", "left_semi"), global_share=s.global_thresh or pages.GLOBAL_SHARE, size=s.window_size or pages.WINDOW, window_share=s.window_thresh or pages.WINDOW_SHARE)
-        out = part if out is None else out.union(part)
-    rest = pages.strip_headers(segments.join(tuned.select("book_key"), "book_key", "left_anti"))
-    return rest if out is None else out.union(rest)
-
-
 def extract_references(markdown: DataFrame, registry: DataFrame | None = None, hooks: Hooks = NO_HOOKS) -> dict[str, DataFrame]:
     """book_key, markdown -> markers, chapters and references of every book."""
     lines = C.markdown_lines(markdown)
     markers = hooks.apply("post_page_map", C.page_markers(lines))
-    patterns = [] if registry is None or "ref_heading_pattern" not in registry.columns else _settings(registry.where("ref_heading_pattern IS NOT NULL").select("ref_heading_pattern"))
-    special = None if not patterns else registry.where("ref_heading_pattern IS NOT NULL").select("book_key", "ref_heading_pattern")
-    found = C.detect(lines if special is None else lines.join(special.select("book_key"), "book_key", "left_anti"))
-    for p in patterns:
-        own = special.where(F.col("ref_heading_pattern") == p[0]).select("book_key")
-        found = found.union(C.detect(lines.join(own, "book_key", "left_semi"), p[0]))
+    if registry is not None and "ref_heading_pattern" in registry.columns:
+        own = registry.select("book_key", "ref_heading_pattern")
+        opens = F.rlike("line", F.coalesce("ref_heading_pattern", F.lit(C.REFERENCES)))
+        found = C.detect(lines.join(own, "book_key", "left").withColumn("opens", opens).drop("ref_heading_pattern"), F.col("opens"))
+    else:
+        found = C.detect(lines)
     found = hooks.apply("post_chapter_detect", found, lines=lines, markers=markers)
     refs = hooks.apply("post_ref_parse", C.references(lines, found), lines=lines, chapters=found)
     return {"markers": markers, "chapters": found, "references": refs}

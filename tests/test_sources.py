@@ -157,16 +157,34 @@ def test_registered_claims_hold_whole_texts(spark):
     assert got == want and max(map(len, got.values())) > 60
 
 
-def test_too_many_settings_are_an_error(spark):
-    import pytest
-
+def test_any_number_of_settings(spark):
+    """Every book keeps its own setting, however many there are."""
+    from lexgrove.operators import pages
     from lexgrove.plans import build
 
-    lines = spark.createDataFrame([("b1", "# x")], "book_key string, markdown string")
-    many = spark.range(1001).selectExpr("concat('b', id) AS book_key", "concat('p', id) AS ref_heading_pattern")
-    with pytest.raises(ValueError, match="more than 1000"):
-        build.extract_references(lines, many)
-    tuned = spark.range(1001).selectExpr("concat('b', id) AS book_key", "id / 2000 AS global_thresh", "30 AS window_size", "0.3 AS window_thresh")
-    with pytest.raises(ValueError, match="more than 1000"):
-        build._strip(spark.createDataFrame([], "book_key string"), tuned)
-    assert len(build._settings(many.limit(1000))) == 1000
+    n = 1200
+    registry = spark.range(n).selectExpr("concat('b', id) AS book_key", "concat('^## Sources ', id, '$') AS ref_heading_pattern")
+    body = F.expr("concat('<!-- p. 3 -->\n## A long title\ntext\n## Sources ', id, '\nSmith, J. (2001). A title. Journal.\n')")
+    lines = spark.range(n + 1).select(F.concat(F.lit("b"), F.col("id")).alias("book_key"), F.when(F.col("id") == n, "<!-- p. 3 -->\n## A long title\n## References\nSmith, J. (2001). A title. Journal.\n").otherwise(body).alias("markdown"))
+    found = build.extract_references(lines, registry)
+    assert found["chapters"].select("book_key").distinct().count() == n + 1 and found["references"].count() == n + 1
+    tuned = spark.range(n).selectExpr("concat('b', id) AS book_key", "1.0 - id / 4000 AS global_thresh", "30 AS window_size", "1.0D AS window_thresh")
+    page = "concat('head', CASE WHEN p < 9 THEN '' ELSE CAST(p AS STRING) END, '\n', 'x', p, '\ny', p, '\nz', p, '\nu', p, '\nv', p, '\nw', p)"
+    segments = spark.range(n).crossJoin(spark.range(10).withColumnRenamed("id", "p")).selectExpr("concat('b', id) AS book_key", "CAST(p AS INT) AS pdf_page", "CAST(p AS INT) AS book_page", f"{page} AS text")
+    got = {r.book_key for r in pages.bad_lines_by_book(segments, tuned).where("line = 'head'").collect()}
+    assert got == {f"b{i}" for i in range(n) if 0.9 >= 1.0 - i / 4000 - 1e-12}
+
+
+def test_numbers_of_a_table_that_is_sampled(spark):
+    """Bounds of range partitions are drawn from a sample once, so every number comes once."""
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        rows = spark.range(400_000, numPartitions=16).select("id", F.xxhash64("id").alias("k"), F.repeat(F.lit("x"), 20).alias("more"))
+        out = ranking.numbered(rows, [(F.col("k"), False)])
+        got = out.agg(F.countDistinct("ord").alias("n"), F.min("ord").alias("low"), F.max("ord").alias("high"), F.sum(F.length("more"))).first()
+        assert (got.n, got.low, got.high) == (400_000, 1, 400_000)
+        from pyspark.sql import Window
+
+        assert out.withColumn("before", F.lag("k").over(Window.orderBy("ord"))).where("before >= k").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
