@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
+from .columns import numbered_names
 
 TILE_WORDS, COVERAGE = 3, 0.5
 BLOCK_BYTES = 8 << 20
@@ -170,26 +171,29 @@ class Index:
         self.seeds = [Seeds([(n, w) for n, w in enumerate(self.words) if short[n] == size], size) for size in sorted(set(short))]
 
 
+def _found(column: pa.Array, index: Index, need: np.ndarray, coverage: float) -> Iterator[tuple]:
+    """(row, item, share, tiles, longest) of the items that leak into the texts of a column."""
+    words = K.tokenize(*K.buffer_of(pc.utf8_lower(column)), WORD_TABLE)
+    for seeds in index.seeds:
+        for row, item in seeds.near(words, need):
+            own = index.words[item]
+            least = seeds.size
+            whole = words.hashes[words.bounds[row] : words.bounds[row + 1]]
+            shared = np.flatnonzero(np.isin(K.windows(whole, least), K.windows(own, least)))
+            places = np.unique((shared[:, None] + np.arange(least)).ravel())
+            gap = np.flatnonzero(np.diff(places) > 1) + 1
+            found = tiles(own, np.insert(whole[places], gap, np.uint64(0)), least)
+            share = sum(n for _, _, n in found) / len(own)
+            if found and share >= coverage - 1e-9:
+                yield row, item, share, len(found), max(n for _, _, n in found)
+
+
 def _scan(batches: Iterator[pa.RecordBatch], index, kinds: list[pa.DataType], coverage: float) -> Iterator[pa.RecordBatch]:
     index = index.value if hasattr(index, "value") else index
     need = np.array([len(w) for w in index.words]) * (coverage - 1e-9)
     for batch in batches:
         for part in K.slices(batch, "text"):
-            out: list[tuple] = []
-            words = K.tokenize(*K.buffer_of(pc.utf8_lower(part.column("text"))), WORD_TABLE)
-            for seeds in index.seeds:
-                for row, item in seeds.near(words, need):
-                    own = index.words[item]
-                    least = seeds.size
-                    whole = words.hashes[words.bounds[row] : words.bounds[row + 1]]
-                    shared = np.flatnonzero(np.isin(K.windows(whole, least), K.windows(own, least)))
-                    places = np.unique((shared[:, None] + np.arange(least)).ravel())
-                    gap = np.flatnonzero(np.diff(places) > 1) + 1
-                    found = tiles(own, np.insert(whole[places], gap, np.uint64(0)), least)
-                    share = sum(n for _, _, n in found) / len(own)
-                    if found and share >= coverage - 1e-9:
-                        for name in index.ids[item]:
-                            out.append((row, name, share, len(found), max(n for _, _, n in found)))
+            out = [(row, name, *more) for row, item, *more in _found(part.column("text"), index, need, coverage) for name in index.ids[item]]
             rows, names, shares, counts, longest = zip(*out) if out else ((),) * 5
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(names, kinds[1]), pa.array(shares, pa.float64()), pa.array(counts, pa.int32()), pa.array(longest, pa.int32())],
@@ -197,6 +201,18 @@ def _scan(batches: Iterator[pa.RecordBatch], index, kinds: list[pa.DataType], co
             )
 
 
+def _clean(batches: Iterator[pa.RecordBatch], index, at: int, coverage: float) -> Iterator[pa.RecordBatch]:
+    """The rows into whose text, the column at that place, no item leaks."""
+    index = index.value if hasattr(index, "value") else index
+    need = np.array([len(w) for w in index.words]) * (coverage - 1e-9)
+    for batch in batches:
+        for part in K.slices(batch, at):
+            keep = np.ones(part.num_rows, bool)
+            for row, *_ in _found(part.column(at), index, need, coverage):
+                keep[row] = False
+            yield part if keep.all() else part.filter(pa.array(keep))
+
+
 def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple]]:
     block, size = [], 0
     for row in benchmark.where("text IS NOT NULL").select("item_id", "text").toLocalIterator():
@@ -225,7 +241,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, tile: int = TILE_WORDS, coverag
     return found if found is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that no item leaks into, with all their columns; a row with a null doc_id stays."""
-    leaked = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("leaked_id")).where("leaked_id IS NOT NULL").distinct()
-    return docs.join(leaked, F.col("doc_id") == F.col("leaked_id"), "left_anti")
+def without_leaks(docs: DataFrame, benchmark: DataFrame, tile: int = TILE_WORDS, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents that no item leaks into, with all their columns, whatever their doc_id.
+
+    Rows are dropped where they are scanned: nothing is shuffled, and each row stands for
+    itself, so null and repeated ids need no care.
+    """
+    benchmark = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
+    at = docs.columns.index("text")
+    rows = numbered_names(docs)
+    if dict(docs.dtypes)["text"] != "string":
+        rows, at = rows.withColumn("text", F.col(f"c{at}").cast("string")), len(docs.columns)
+    for block in _blocks(benchmark, block_bytes):
+        index = docs.sparkSession.sparkContext.broadcast(Index(block, tile))
+        rows = rows.mapInArrow(partial(_clean, index=index, at=at, coverage=coverage), rows.schema)
+    return rows.select(*[f"c{n}" for n in range(len(docs.columns))]).toDF(*docs.columns)

@@ -2,50 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import durable, remove, shared_folder
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows written once to the shared checkpoint folder; lineage ends there.
-
-    The folder is the session's spark.checkpoint.dir.  Where none is set (tests on
-    one machine) a folder below the system's temporary directory is used.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+__all__ = ["components", "durable", "remove", "shared_folder"]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    import tempfile
+def _one_parent(edges: DataFrame) -> DataFrame:
+    """Each child keeps its smallest parent, and hands its other parents on to that one.
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return folder or f"{tempfile.gettempdir()}/lexgrove-checkpoints"
+    Parents are gathered as sets, which tasks fill before the shuffle; a child has few
+    distinct ones, however many edges name them.
+    """
+    held = edges.groupBy("child").agg(F.collect_set("parent").alias("parents"), F.max("moved").alias("moved"))
+    least = F.array_min("parents")
+    own = F.struct("child", least.alias("parent"), (F.col("moved") | (F.size("parents") > 1)).alias("moved"))
+    rest = F.transform(F.filter("parents", lambda p: p != least), lambda p: F.struct(p.alias("child"), least.alias("parent"), F.lit(True).alias("moved")))
+    return held.select(F.explode(F.concat(F.array(own), rest)).alias("e")).select("e.*")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the undirected edges (a, b); component is its smallest node.
 
-    Alternates large-star and small-star steps.  A node's smallest neighbour is a
-    minimum that each task takes over its own edges first and that is joined back, so
-    no neighbour list is gathered and a hub's edges are never all in one task's window
-    (a join that they make uneven is one that adaptive execution splits).  Rounds stop when the edge list no longer changes,
-    at which point every node points at its component's minimum.  Self edges and
-    repeated edges are allowed; an empty edge list gives an empty result; edges with a
-    null end are ignored.
+    Edges point from the larger node (child) to the smaller (parent).  A round lets each
+    edge point to its parent's smallest parent, then leaves each child its smallest
+    parent; depth about halves.  Rounds end when nothing moves: every child then has one
+    parent, which is no child, so it is its component's minimum.
+
+    A hub's children lie in one join key, and that join has a plain shuffle on either
+    side (the key is the parent's complement, by which nothing is dealt yet), which
+    adaptive execution splits where a key is large.  Self edges and repeated edges are
+    allowed; an empty edge list gives an empty result; edges with a null end are ignored.
     """
-    now = durable(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    first = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("child"), F.least("a", "b").alias("parent"), F.lit(False).alias("moved"))
+    now = durable(_one_parent(first))
     for _ in range(most_rounds):
-        roles = now.select(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).union(now.select("v", F.lit(0), F.lit(1)))
-        if roles.groupBy("node").agg(F.sum("child").alias("c"), F.max("parent").alias("p")).where("c > 1 OR (c = 1 AND p = 1)").isEmpty():
+        above = now.groupBy("child").agg(F.min("parent").alias("above")).select(F.bitwise_not("child").alias("key"), "above")
+        raised = now.select("child", "parent", F.bitwise_not("parent").alias("up")).join(above, F.col("up") == F.col("key"), "left")
+        now = durable(_one_parent(raised.select("child", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved"))))
+        if now.where("moved").isEmpty():
             break
-        both = now.union(now.select("v", "u"))
-        large = both.where("v > u").join(both.groupBy("u").agg(F.min("v").alias("m")), "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        now = durable(small)
     else:
         raise RuntimeError(f"components: no fixed point after {most_rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())
+    return now.select(F.col("child").alias("node"), F.col("parent").alias("component")).union(now.select(F.col("parent"), F.col("parent")).distinct())

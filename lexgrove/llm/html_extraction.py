@@ -29,9 +29,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import textkernel as K
+from .columns import text_first
 
 # Element names and class words by meaning.
 BLOCKS = frozenset(
@@ -343,14 +343,12 @@ def main_text(page: str | None) -> str:
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in K.slices(batch, "html"):
-            texts = [main_text(x) for x in part.column("html").to_pylist()]
-            rest = [c for c in part.schema.names if c != "html"]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*rest, "text", "n_chars"])
+        for part in K.slices(batch, 0):
+            texts = [main_text(x) for x in part.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*part.schema.names[1:], "text", "n_chars"])
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns to keep, with text and n_chars of each whole page."""
-    rows = pages.select(*keep, F.col("html").cast("string").alias("html"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "html")
-    return rows.mapInArrow(_extract, f"{schema}, text string, n_chars long")
+    rows, schema = text_first(pages, keep, "html")
+    return rows.mapInArrow(_extract, schema.add("text", "string").add("n_chars", "long")).toDF(*keep, "text", "n_chars")

@@ -3,32 +3,35 @@
 `jaccard_components` links texts whose sets of distinct k-word shingles have
 100 * |intersection| >= least * |union| and returns the connected components.
 
-Plan, in terms of rows:
-
-1. One pass over the texts computes each text's shingle count and a 64-bit hash
-   of its whole set; equal sets are one node from here on, so a group of exact
-   copies of any size is one row.
-2. A second pass cuts each set's hash range into m segments.  Two sets that link
-   differ in at most H hashes (H follows from the sizes), so among the H + 1
-   segments of a set that come first by (hashes held, content) at least one is
-   identical in both.  Each set emits the hashes of those H + 1 segments as keys:
-   nothing that links is missed, and sets that merely share a passage or some
-   frequent shingles have no key in common.  Copies within an Arrow batch are
-   folded before the shuffle.
-3. Nodes that share keys form blocks (connected components over key stars).
-4. Each block goes to tasks as chunks bounded in sets and in shingles; a task
-   holds two chunks, builds a signature tree over each and traverses them against
-   each other.  First every chunk meets itself and its block's first chunk; the
-   remaining chunk pairs are only visited where they are not one component yet, so
-   a group of near copies costs work in proportion to its size.
+What makes candidates is a key, what tests them is a tree.  Plan, in terms of rows:
+
+1. One pass over the texts computes each text's shingle count, a 64-bit hash of its
+   whole set (equal sets are one node from here on, so a group of exact copies of any
+   size is one row) and the set's keys.  For these the set's hash range is cut into m
+   segments.  Two sets that link differ in at most H hashes (H follows from the
+   sizes), so among the H + 1 segments of a set that come first by (hashes held,
+   content) at least one is identical in both: the hashes of those H + 1 segments are
+   keys.  Nothing that links is missed, and sets that merely share a passage or some
+   frequent shingles have no key in common.
+2. Sets of one slice of a task that share a key are joined to the smallest of them on
+   the spot; the key itself goes to the shuffle once for a slice, whatever the number
+   of sets that have it, and meets those of other slices there.
+3. Nodes that share keys, by way of others too, form blocks (connected components).
+4. Each block goes to tasks as chunks bounded in sets and in shingles; a task holds
+   two chunks, builds a signature tree over each and traverses them against each
+   other, which drops all pairs below two tree nodes that cannot overlap enough.  A
+   block of one chunk, as nearly all are, is settled by its task.  In larger ones
+   every chunk meets itself and its block's first chunk; the remaining chunk pairs are
+   only visited where they are not one component yet, so a group of near copies costs
+   work in proportion to its size.
 5. Verified links give the components.
 
 Edge cases: a null or empty text (or one of white space alone) has an empty set,
 n_shingles 0, and is its own component.  Repeated rows are all returned; rows with
 equal doc_id and different texts each have the component of their own text.  A row
-with a null doc_id is returned with a null component and links nothing.  An empty table gives an empty result.  Other
-columns are ignored.  Node identity is a 64-bit hash of the set: two different sets
-among N would be taken for one with a chance of N * N / 2**65.
+with a null doc_id is returned with a null component and links nothing.  An empty table
+gives an empty result.  Other columns are ignored.  Node identity is a 64-bit hash of
+the set: two different sets among N would be taken for one with a chance of N * N / 2**65.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as K
@@ -102,29 +105,50 @@ def _sets(batches, text: str, k: int):
             yield part, list(K.shingle_sets(*K.buffer_of(part.column(text)), k))
 
 
-def _signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for part, sets in _sets(batches, "text", k):
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "node"])
+def _links_of(nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(first node of each key, that key; nodes that follow one with their key, and that one; without repeats)."""
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    first = np.append(True, keys[1:] != keys[:-1])
+    lead = nodes[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    follows = ~first & (nodes != lead)
+    pairs = np.unique(np.stack([nodes[follows], lead[follows]], axis=1), axis=0) if follows.any() else np.zeros((0, 2), np.int64)
+    return nodes[first], keys[first], pairs[:, 0], pairs[:, 1]
+
+
+def _rows(batches: Iterator[pa.RecordBatch], k: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, other, tag, n) of three kinds.
+
+    A text: n is its number of shingles, other its doc_id.  A link between two nodes of
+    a slice: n is null, other is the smaller node.  A key of a node: n and other are null.
+    Keys of texts and links only spread them.
+    """
 
+    def out(key, node, other, tag, n):
+        for at in range(0, len(key), 1 << 18):
+            part = slice(at, at + (1 << 18))
+            yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(node[part]), other[part], tag[part], n[part]], ["key", "node", "other", "tag", "n"])
 
-def _key_rows(batches: Iterator[pa.RecordBatch], k: int, least: int) -> Iterator[pa.RecordBatch]:
-    """(key, node, others): one row for each key of a slice, with the slice's other nodes that have it."""
-    for _, sets in _sets(batches, "text", k):
-        unique = {_node(s): s for s in sets if len(s)}
+    def nulls(many):
+        return pa.nulls(many, pa.int64())
+
+    for part, sets in _sets(batches, "text", k):
+        node = np.fromiter((_node(s) for s in sets), np.int64, len(sets))
+        yield from out(_spread(node), node, part.column("doc_id"), part.column("tag"), pa.array([len(s) for s in sets], pa.int64()))
+        named = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+        unique = {int(node[i]): s for i, s in enumerate(sets) if named[i] and len(s)}
         if not unique:
             continue
         each = [segment_keys(s, least) for s in unique.values()]
         nodes = np.repeat(np.fromiter(unique, np.int64, len(unique)), [len(x) for x in each])
-        keys = np.concatenate(each).view(np.int64)
-        order = np.lexsort((nodes, keys))
-        keys, nodes = keys[order], nodes[order]
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        follows = np.ones(len(keys), bool)
-        follows[first] = False
-        bounds = np.append(first, len(keys)) - np.arange(len(first) + 1)
-        others = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(nodes[follows], pa.int64()))
-        for at in range(0, len(first), 1 << 18):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[first[at : at + (1 << 18)]]), pa.array(nodes[first[at : at + (1 << 18)]]), others[at : at + (1 << 18)]], ["key", "node", "others"])
+        first, key, follower, lead = _links_of(nodes, np.concatenate(each).view(np.int64))
+        yield from out(key, first, nulls(len(key)), nulls(len(key)), nulls(len(key)))
+        yield from out(_spread(follower), follower, pa.array(lead), nulls(len(lead)), nulls(len(lead)))
+
+
+def _spread(node: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return K.mix(node.view(np.uint64) + np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[list[dict]]:
@@ -141,7 +165,10 @@ def _grouped(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[list[dict
 
 
 def _tree_links(batches: Iterator[pa.RecordBatch], k: int, least: int) -> Iterator[pa.RecordBatch]:
-    """Links found in each task's two chunks; side 0 is the first chunk."""
+    """(node, component of the task) for all nodes that links join to a smaller one in a task's two chunks.
+
+    Side 0 is the first chunk.
+    """
     a, b = [], []
 
     def flush():
@@ -169,60 +196,80 @@ def _tree_links(batches: Iterator[pa.RecordBatch], k: int, least: int) -> Iterat
         for x, y in [*inside, (0, 1)]:
             if trees[x] is not None and trees[y] is not None:
                 starts = (0, len(sides[0]))
-                for p, q in join(trees[x], trees[y], least, groups, (starts[x], starts[y])):
-                    a.append(sides[x][p]["node"])
-                    b.append(sides[y][q]["node"])
+                join(trees[x], trees[y], least, groups, (starts[x], starts[y]))
+        members: dict[int, list[int]] = {}
+        for at, row in enumerate(sides[0] + sides[1]):
+            members.setdefault(groups.find(at), []).append(row["node"])
+        for nodes in members.values():
+            low = min(nodes)
+            a += [n for n in nodes if n != low]
+            b += [low] * (len(nodes) - 1)
         if len(a) > 10_000:
             yield flush()
     yield flush()
 
 
-def jaccard_components(docs: DataFrame, k: int = WORDS, least: int = LEAST, chunk_sets: int = CHUNK_SETS, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
-    """(doc_id, n_shingles, component_id): the smallest doc_id that links reach from each row's text."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = durable(docs.mapInArrow(partial(_signatures, k=k), "doc_id long, n_shingles long, node long"))
-
+def jaccard_components(docs: DataFrame, k: int = WORDS, least: int = LEAST, chunk_sets: int = CHUNK_SETS, chunk_shingles: int = CHUNK_SHINGLES, tag: Column | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id): the smallest doc_id that links reach from each row's text.
+
+    With a tag (a long that tells apart rows of one doc_id, say a hash of the text), the
+    rows also have tag and component_tag, those of the row and of the least (doc_id, tag).
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.lit(0) if tag is None else tag).cast("long").alias("tag"))
+    rows = docs.mapInArrow(partial(_rows, k=k, least=least), "key long, node long, other long, tag long, n long")
+    led = rows.withColumn("lead", F.min("node").over(Window.partitionBy("key")))
+    kept = durable(led.where("n IS NOT NULL OR other IS NOT NULL OR node <> lead").select("node", F.when(F.col("n").isNull(), F.coalesce("other", "lead")).otherwise(F.col("other")).alias("other"), "tag", "n"))
+    signed = kept.where("n IS NOT NULL").select(F.col("other").alias("doc_id"), "tag", F.col("n").alias("n_shingles"), "node")
+    blocks = components(kept.where("n IS NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))).withColumnRenamed("component", "block")
+
+    # one row for each distinct set; those that share a key with another are dealt into chunks of their block
+    distinct = signed.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("node").agg(F.min(F.struct("doc_id", "tag")).alias("least"), F.first("n_shingles").alias("n"))
+    nodes = durable(distinct.select("node", "least.doc_id", "least.tag", "n").join(blocks, "node", "left"))
+    inside = nodes.where("block IS NOT NULL")
+    sizes = inside.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / chunk_sets), F.ceil(F.sum("n") / chunk_shingles)).cast("int").alias("chunks"))
+    sizes = sizes.select(F.bitwise_not("block").alias("size_of"), "chunks")
+    dealt = inside.withColumn("_block", F.bitwise_not("block")).join(sizes, F.col("_block") == F.col("size_of")).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    placed = durable(dealt.select("node", "doc_id", "tag", "block", "chunks", "chunk"))
     named = docs.where("doc_id IS NOT NULL")
-    keyed = named.mapInArrow(partial(_key_rows, k=k, least=least), "key long, node long, others array<long>")
-    starred = keyed.withColumn("lead", F.min("node").over(Window.partitionBy("key")))
-    stars = starred.where("node <> lead OR size(others) > 0").select("lead", F.explode(F.array_append("others", F.col("node"))).alias("a")).where("a <> lead").select("a", F.col("lead").alias("b"))
-    blocks = components(stars).withColumnRenamed("component", "block")
-
-    # one row for each distinct set that shares a key with another, dealt into chunks of its block
-    distinct = durable(signed.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")))
-    nodes = distinct.join(blocks, "node")
-    sizes = nodes.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / chunk_sets), F.ceil(F.sum("n") / chunk_shingles)).cast("int").alias("chunks"))
-    placed = durable(nodes.join(sizes, "block").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")))
-
-    # only the placed texts have to move; their ids are broadcast where that is small, else the join sorts it out
-    if placed.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        named = named.join(F.broadcast(placed.select("doc_id").distinct()), "doc_id", "left_semi")
 
     def visit(members: DataFrame) -> DataFrame:
-        """members (node, doc_id, task, side, within, component) -> the links (a, b) of each task."""
-        dealt = members.join(named, "doc_id").select("task", "side", "within", "node", "component", "text").repartition("task").sortWithinPartitions("task", "side", "node")
-        return durable(dealt.mapInArrow(partial(_tree_links, k=k, least=least), "a long, b long"))
+        """members (node, doc_id, tag, task, side, within, component) -> nodes and their components (a, b) in each task."""
+        # only the texts of members move; the members are broadcast where they are few, else the join sorts it out
+        few = members.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        texts = named.join(F.broadcast(members) if few else members, ["doc_id", "tag"]).select("task", "side", "within", "node", "component", "text")
+        return durable(texts.repartition("task").sortWithinPartitions("task", "side", "node").mapInArrow(partial(_tree_links, k=k, least=least), "a long, b long"))
 
     unknown = F.lit(None).cast("long").alias("component")
-    own = placed.where("chunk > 0 OR chunks = 1").select("node", "doc_id", F.xxhash64("block", F.greatest("chunk", F.lit(1))).alias("task"), F.lit(1).alias("side"), F.lit(1).alias("within"), unknown)
+    own = placed.where("chunk > 0 OR chunks = 1").select("node", "doc_id", "tag", F.xxhash64("block", F.greatest("chunk", F.lit(1))).alias("task"), F.lit(1).alias("side"), F.lit(1).alias("within"), unknown)
     first = placed.where("chunk = 0 AND chunks > 1").withColumn("to", F.explode(F.sequence(F.lit(1), F.col("chunks") - 1)))
-    first = first.select("node", "doc_id", F.xxhash64("block", "to").alias("task"), F.lit(0).alias("side"), F.when(F.col("to") == 1, 2).otherwise(1).alias("within"), unknown)
+    first = first.select("node", "doc_id", "tag", F.xxhash64("block", "to").alias("task"), F.lit(0).alias("side"), F.when(F.col("to") == 1, 2).otherwise(1).alias("within"), unknown)
     links = visit(own.union(first))
-    joined = components(links)
-
-    # chunk pairs that the first round left out and that are not one component yet
-    state = placed.where("chunks > 2").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    chunks = durable(state.groupBy("block", "chunk").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("chunk > 0"))
-    x, y = chunks.alias("x"), chunks.alias("y")
-    open_pairs = durable(x.join(y, F.expr("x.block = y.block AND x.chunk < y.chunk AND NOT (x.low = x.high AND y.low = y.high AND x.low = y.low)")).select(F.col("x.block").alias("block"), F.col("x.chunk").alias("i"), F.col("y.chunk").alias("j")))
-    if not open_pairs.isEmpty():
-        task = F.xxhash64("block", "i", "j").alias("task")
-        sides = [open_pairs.select("block", F.col(c).alias("chunk"), task, F.lit(side).alias("side")) for side, c in enumerate("ij")]
-        more = visit(state.join(sides[0].union(sides[1]), ["block", "chunk"]).select("node", "doc_id", "task", "side", F.lit(0).alias("within"), "component"))
-        joined = components(links.union(more))
-
-    rooted = distinct.select("node", "doc_id").join(joined, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named_nodes = rooted.join(smallest, "root").select("node", "component_id")
+    large = placed.where("chunks > 1").select("node")
+    if large.isEmpty():  # every block was one task's
+        joined = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        joined = joined.union(joined.select("component", "component").distinct())
+    else:
+        joined = components(links)
+        # chunk pairs that the first round left out and that are not one component yet
+        state = placed.where("chunks > 2").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        chunks = durable(state.groupBy("block", "chunk").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("chunk > 0"))
+        # chunks that wholly belong to their block's commonest component need no look at each other
+        main = chunks.where("low = high").groupBy("block").agg(F.mode("low").alias("main"))
+        told = chunks.join(main, "block", "left").withColumn("closed", F.coalesce(F.expr("low = high AND low = main"), F.lit(False)))
+        x, y = told.where("NOT closed").alias("x"), told.alias("y")
+        unequal = F.expr("x.block = y.block AND x.chunk <> y.chunk AND (y.closed OR x.chunk < y.chunk) AND NOT (x.low = x.high AND y.low = y.high AND x.low = y.low)")
+        pairs = durable(x.join(y, unequal).select(F.col("x.block").alias("block"), F.col("x.chunk").alias("i"), F.col("y.chunk").alias("j")))
+        if not pairs.isEmpty():
+            task = F.xxhash64("block", "i", "j").alias("task")
+            sides = [pairs.select("block", F.col(c).alias("chunk"), task, F.lit(side).alias("side")) for side, c in enumerate("ij")]
+            more = visit(state.join(sides[0].union(sides[1]), ["block", "chunk"]).select("node", "doc_id", "tag", "task", "side", F.lit(0).alias("within"), "component"))
+            joined = components(links.union(more))
+
+    rooted = nodes.select("node", "doc_id", "tag").join(joined, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    smallest = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "tag")).alias("least")).select(F.bitwise_not("root").alias("root_of"), "least")
+    named_nodes = rooted.withColumn("_root", F.bitwise_not("root")).join(smallest, F.col("_root") == F.col("root_of")).select("node", "least")
     whole = signed.join(named_nodes, "node", "left")
-    return whole.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    own_id = lambda c: F.when(linked, F.col(f"least.{c}")).otherwise(F.col(c))
+    out = whole.select("doc_id", "n_shingles", own_id("doc_id").alias("component_id"), "tag", own_id("tag").alias("component_tag"))
+    return out if tag is not None else out.drop("tag", "component_tag")

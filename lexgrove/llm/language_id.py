@@ -26,14 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
+from .columns import text_first
 from .samples import balanced, short_enough
 
 LONGEST_GRAM, BITS = 3, 14
 #: Labelled texts of each language that the model is fitted on, and landmarks among them.
 SAMPLE_EACH, LANDMARKS = 600, 160
 RIDGE, SHARPNESS = 1e-3, 3.0
-#: What the text is called on its way to the workers, beside the kept columns.
-INPUT = "text to read"
 #: Rows scored by one matrix product.
 ROWS = 256
 
@@ -75,7 +74,7 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([x.tobytes() for x in packed], pa.binary())], ["lang", "bits"])
 
 
-def _small(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
+def _small(batch: pa.RecordBatch, text: str | int = "text") -> Iterator[pa.RecordBatch]:
     for part in K.slices(batch, text, 1 << 20):
         for at in range(0, part.num_rows, ROWS):
             yield part.slice(at, ROWS)
@@ -145,7 +144,7 @@ def fit(docs: DataFrame, sample_each: int = SAMPLE_EACH, landmarks: int = LANDMA
 def _predict(batches: Iterator[pa.RecordBatch], model, names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
     model = model.value
     for batch in batches:
-        for part in _small(batch, INPUT):
+        for part in _small(batch, 0):
             text = pc.fill_null(part.column(0), "")
             if not model.langs:
                 best, sure = np.full(len(text), "und", object), np.zeros(len(text))
@@ -161,6 +160,6 @@ def _predict(batches: Iterator[pa.RecordBatch], model, names: tuple[str, str]) -
 
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns to keep, with the predicted language and its score (0 to 1) of each whole text, under the given names."""
-    rows = docs.select(F.col("text").cast("string").alias(INPUT), *keep)
-    schema = rows.drop(INPUT).schema.add(names[0], "string").add(names[1], "double")
-    return rows.mapInArrow(partial(_predict, model=docs.sparkSession.sparkContext.broadcast(model), names=names), schema)
+    rows, schema = text_first(docs, keep)
+    schema = schema.add(names[0], "string").add(names[1], "double")
+    return rows.mapInArrow(partial(_predict, model=docs.sparkSession.sparkContext.broadcast(model), names=names), schema).toDF(*keep, *names)

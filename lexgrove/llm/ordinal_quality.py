@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
+from .columns import text_first
 from .samples import balanced, short_enough
 
 BITS = 16
@@ -190,15 +191,14 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, sample_each: int = SAM
 def _apply(batches: Iterator[pa.RecordBatch], model, target: int) -> Iterator[pa.RecordBatch]:
     model = model.value
     for batch in batches:
-        for part in K.slices(batch, "text"):
-            tails = model.tails(pc.fill_null(part.column("text"), ""))
-            rest = [c for c in part.schema.names if c != "text"]
+        for part in K.slices(batch, 0):
+            tails = model.tails(pc.fill_null(part.column(0), ""))
             grade = (tails >= 0.5).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(tails.sum(axis=1)), pa.array(tails[:, target - 1]), pa.array(grade, pa.int32())], [*rest, "expected_grade", "tail_probability", "grade"])
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(tails.sum(axis=1)), pa.array(tails[:, target - 1]), pa.array(grade, pa.int32())], [*part.schema.names[1:], "expected_grade", "tail_probability", "grade"])
 
 
 def grade(docs: DataFrame, model: Model, target: int = 1, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns to keep, with expected_grade, tail_probability (of at least the target) and the median grade."""
-    rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(partial(_apply, model=docs.sparkSession.sparkContext.broadcast(model), target=target), f"{schema}, expected_grade double, tail_probability double, grade int")
+    rows, schema = text_first(docs, keep)
+    schema = schema.add("expected_grade", "double").add("tail_probability", "double").add("grade", "integer")
+    return rows.mapInArrow(partial(_apply, model=docs.sparkSession.sparkContext.broadcast(model), target=target), schema).toDF(*keep, "expected_grade", "tail_probability", "grade")

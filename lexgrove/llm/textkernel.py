@@ -7,9 +7,10 @@ and no Python object per token.  Buffers are walked in pieces of about one
 megabyte that end between tokens, so the temporary arrays stay small however
 long a single text is.
 
-Hashes are polynomial over random byte values modulo 2**64 (the multiplier is
-odd, so a span's hash comes out of one running sum), finished by a mixer.  They
-are the same in every process and at every size.
+A token's hash is the sum of its eight-byte blocks, each mixed together with its
+place, and of its length, mixed once more: there is no structure (as in polynomials
+modulo 2**64) by which regular words share a hash.  Hashes are the same in every
+process and at every size.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE = 1 << 20
-_MULTIPLIER = 0x9E3779B97F4A7C17 | 3
 _U = np.uint64
 
 
@@ -44,20 +44,29 @@ def stream(seed: int, n: int) -> np.ndarray:
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BYTE_VALUE = stream(7, 256)[LOWER]
 _STEP = stream(11, 64) | _U(1)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse, for n places at least."""
-    if len(_powers[0]) < n:
-        size = max(n, PIECE + 4096)
-        for k, base in enumerate((_MULTIPLIER, pow(_MULTIPLIER, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+_PLACE, _LENGTH = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
+#: Masks of the first 0 to 8 bytes of a block.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of bytes; A-Z count as a-z."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = LOWER[data]
+    words = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))  # the eight bytes from each place on
+    size = ends - starts
+    total = mix((words[starts] & _FIRST[np.minimum(size, 8)]) + _PLACE)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) >> 3  # blocks behind the first
+        first = np.cumsum(more) - more
+        nth = np.arange(1, int(more.sum()) + 1) - np.repeat(first, more)
+        at = np.repeat(starts[long], more) + 8 * nth
+        block = words[at] & _FIRST[np.minimum(np.repeat(ends[long], more) - at, 8)]
+        total[long] += np.add.reduceat(mix(block + (nth + 1).astype(np.uint64) * _PLACE), first)
+    total += size.astype(np.uint64) * _LENGTH
+    return mix(total)
 
 
 #: ASCII white space of the word contracts: space and \t \n \v \f \r.
@@ -142,18 +151,9 @@ def tokenize(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = SPACE_TA
             ends = np.append(starts[1:], len(piece))
             keep = kind[starts] != 0
             starts, ends = starts[keep], ends[keep]
-            power, inverse = _power_tables(len(piece) + 1)
-            sums = np.empty(len(piece) + 1, np.uint64)
-            sums[0] = 0
-            values = _BYTE_VALUE[piece]
-            values *= power[: len(piece)]
-            np.cumsum(values, out=sums[1:])
-            hashes = sums[ends] - sums[starts]
-            hashes *= inverse[starts]
-            hashes += (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93)
             all_starts.append(starts + lo)
             all_ends.append(ends + lo)
-            all_hashes.append(mix(hashes))
+            all_hashes.append(span_hashes(piece, starts, ends))
     join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
     starts = join(all_starts, np.int64)
     return Tokens(starts, join(all_ends, np.int64), join(all_hashes, np.uint64), np.searchsorted(starts, offsets, "left"))
@@ -212,7 +212,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.n
             yield windows(words.hashes[a:b], b - a, salt=1000) if b > a else np.zeros(0, np.uint64)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in runs of rows whose texts hold about `most` bytes together."""
     n = batch.num_rows
     if not n:

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
+from .columns import text_first
 from .decontamination import WORD_TABLE
 from .samples import balanced, short_enough
 
@@ -40,8 +41,6 @@ SAMPLE_EACH, VOTERS, FEATURES = 2500, 150, 400
 BEGINNINGS = (4, 5, 6, 7, 8)
 TALLY_BITS = 20
 THRESHOLD = 0.7
-#: What the text is called on its way to the workers, beside the kept columns.
-INPUT = "text to read"
 
 
 class Counts:
@@ -266,12 +265,11 @@ def learn(texts: pa.Array, y: np.ndarray, natural: dict[int, int]) -> Model:
 def _score(batches: Iterator[pa.RecordBatch], model, name: str) -> Iterator[pa.RecordBatch]:
     model = model.value
     for batch in batches:
-        for part in K.slices(batch, INPUT):
+        for part in K.slices(batch, 0):
             yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(model.scores(pc.fill_null(part.column(0), "")), pa.float64())], [*part.schema.names[1:], name])
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
     """The columns to keep, with the score (0 to 1) of each whole text under the given name."""
-    rows = docs.select(F.col("text").cast("string").alias(INPUT), *keep)
-    schema = rows.drop(INPUT).schema.add(name, "double")
-    return rows.mapInArrow(partial(_score, model=docs.sparkSession.sparkContext.broadcast(model), name=name), schema)
+    rows, schema = text_first(docs, keep)
+    return rows.mapInArrow(partial(_score, model=docs.sparkSession.sparkContext.broadcast(model), name=name), schema.add(name, "double")).toDF(*keep, name)

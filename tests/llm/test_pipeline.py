@@ -1,5 +1,7 @@
 """The pipeline's stages against plain versions of their decisions, and the registered queries."""
 
+import re
+
 import __spark_entry__ as e
 import corpus_pipeline as P
 from pyspark.sql import functions as F
@@ -25,12 +27,79 @@ def test_stages(spark, tmp_path):
     counts = list(held.values())
     assert 201 <= counts[0] <= 203 and counts[0] >= counts[1] >= counts[2] >= counts[3] > 100
     assert spark.read.parquet(str(tmp_path / "0")).where("doc_id = 1000000").count() == 0
-    from tests.llm.test_joins import brute
+    kept, given = ([(r.doc_id, r.text) for r in spark.read.parquet(str(tmp_path / str(k))).collect()] for k in (2, 1))
+    assert sorted(map(str, kept)) == sorted(map(str, one_of_each(given)))
+    # the next stage against tiling every document with every item
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    clean = [(r.doc_id, r.text) for r in spark.read.parquet(str(tmp_path / "3")).collect()]
+    assert sorted(map(str, clean)) == sorted(map(str, [(i, t) for i, t in kept if not any(leaks_into(x, t) for x in items)]))
+
+
+def five_words(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(zip(*[w[i:] for i in range(5)])) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+def one_of_each(rows):
+    """The rows that stay of (doc_id, text), by comparing all pairs: ids first, rows without one last; equal rows once."""
+    rows = list(dict.fromkeys(rows))
+    sets = [five_words(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, s in enumerate(sets):
+        for j in range(i):
+            if s and 100 * len(s & sets[j]) >= 80 * len(s | sets[j]):
+                root[find(i)] = find(j)
+    best = {}
+    for i, row in enumerate(rows):
+        r = find(i)
+        if r not in best or (row[0] is None, row[0] or 0) < (best[r][0] is None, best[r][0] or 0):
+            best[r] = row
+    return list(best.values())
+
+
+def plain_words(text):
+    return re.findall(r"(?:[0-9a-z]|[^\x00-\x7f])+", (text or "").lower())
+
+
+def leaks_into(item, text):
+    """Greedy tiling of an item's words by whole-string search, three words at least, half of the item."""
+    item, text = plain_words(item), plain_words(text)
+    least = min(3, len(item))
+    if not item:
+        return False
+    grams = {tuple(item[i : i + least]) for i in range(len(item) - least + 1)}
+    held = {g for g in zip(*[text[i:] for i in range(least)])} & grams
+    if len(held) * least < 0.5 * len(item):
+        return False
+    from tests.llm.test_joins import slow_tiles
+
+    spots = sorted({j + d for j in range(len(text) - least + 1) if tuple(text[j : j + least]) in held for d in range(least)})
+    near = [text[j] if j in set(spots) else f"gap {j}" for j in range(len(text)) if j in set(spots) or j - 1 in set(spots)]
+    found = slow_tiles(item, near, least)
+    return sum(n for _, _, n in found) >= 0.5 * len(item)
+
 
-    kept = {r.doc_id for r in spark.read.parquet(str(tmp_path / "2")).collect()}
-    given = {r.doc_id: r.text for r in spark.read.parquet(str(tmp_path / "1")).collect() if r.doc_id is not None}
-    assert kept - {None} == {i for i, (_, root) in brute(list(given.items())).items() if i == root}
-    assert None in kept and spark.read.parquet(str(tmp_path / "2")).where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").count() == 0
+def test_rows_are_judged_each_for_itself(spark):
+    """Null and repeated ids, clashing and odd column names, in all stages that keep documents."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    words = " ".join(f"w{n}" for n in range(60))
+    near = words.replace("w30 ", "zz ")
+    rows = [(None, words), (None, words), (None, near), (5, near), (5, near), (5, "quite another text of this id here"), (6, "quite another text of this id here"), (None, f"so {item} it is"), (None, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "x", 1, 2.0, 3) for i, t in rows], "doc_id long, text string, lang string, found_score int, `found score` double, `a.b` int")
+    kept = P.one_of_each_group(spark, docs, SF)
+    assert kept.columns == docs.columns
+    want = [(5, near), (5, "quite another text of this id here"), (None, f"so {item} it is"), (None, None), (9, "")]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, want))
+    clean = P.without_benchmark(spark, docs, SF)
+    assert clean.columns == docs.columns and clean.count() == len(rows) - 1
+    for stage in (P.known_language, P.not_toxic):
+        assert stage(spark, docs, SF).columns == docs.columns
 
 
 def test_near_duplicates_by_five_words(spark):
