@@ -50,7 +50,7 @@ from .signature_tree import Groups, Tree, join, width_for
 
 WORDS, LEAST = 4, 85
 #: A chunk holds about so many sets, and about so many shingles, at most.
-CHUNK_SETS, CHUNK_SHINGLES = 512, 2_000_000
+CHUNK_SETS, CHUNK_SHINGLES = 128, 500_000
 #: Up to so many ids (8 bytes each) are broadcast to pick the texts that have to move.
 BROADCAST_IDS = 1_000_000
 

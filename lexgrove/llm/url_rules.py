@@ -19,8 +19,11 @@ one of its level that can be active.
 
 Equal keys spread over partitions (the sort key ends in a salt), repeated urls are
 folded before the last shuffle, and nothing but rule counts by partition is broadcast.
-A null url, or one without "://", has an empty host and path and fits no rule.  Of
-equal rules with both verdicts, block stays.  Repeated rows are all returned; an empty
+The bounds of the partitions are sampled, so the sweep is written once and both the
+stacks and what is carried are read from that: rules lie in one part for all.
+A null url, or one without "://", has an empty host and path and fits no rule.  A rule
+with a null or empty host fits nothing; a null path is an empty one.  Of equal rules
+with both verdicts, block stays.  Repeated rows are all returned; an empty
 table of urls gives an empty result; without rules every verdict is the default.
 """
 
@@ -29,6 +32,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import durable
+
 END = "\x01"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -81,10 +86,12 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", ids: tuple
     opened = ruled.select(*[v.alias(c) for c, v in nothing.items()], none.cast("int").alias("nth"), "key", F.struct("key", "rule", "verdict").alias("opens"), "level", F.lit(0).alias("is_url"), F.lit(0).alias("salt"))
     asked = keyed.select(*ids, "host", "path", "nth", F.coalesce("key", F.lit("")).alias("key"), none.cast("struct<key:string,rule:string,verdict:string>").alias("opens"), none.cast("int").alias("level"), F.lit(1).alias("is_url"), F.pmod(F.xxhash64(*ids), F.lit(1 << 20)).cast("int").alias("salt"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    swept = opened.union(asked).repartitionByRange(parts, "key", "is_url", "salt").withColumn("part", F.spark_partition_id())
+    dealt = opened.union(asked).repartitionByRange(parts, "key", "is_url", "salt").withColumn("part", F.spark_partition_id())
 
     so_far = Window.partitionBy("part").orderBy("key", "is_url", "salt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stack = swept.select("*", *[F.last(F.when(F.col("level") == n, F.col("opens")), ignorenulls=True).over(so_far).alias(f"open_{n}") for n in levels]).where("is_url = 1")
+    stacks = [F.last(F.when(F.col("level") == n, F.col("opens")), ignorenulls=True).over(so_far).alias(f"open_{n}") for n in levels]
+    swept = durable(dealt.select(*ids, "host", "path", "nth", "key", "level", "is_url", "part", F.when(F.col("is_url") == 0, F.col("opens")).alias("opens"), *stacks))
+    stack = swept.where("is_url = 1")
 
     # what is open when a partition begins: the last rule of each level in the partitions before
     last = swept.where("is_url = 0").groupBy("part", "level").agg(F.max_by("opens", "key").alias("opens"))

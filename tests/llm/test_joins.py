@@ -308,6 +308,35 @@ def test_url_rules_empty(spark):
     assert "Python" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("parts, many", [(2, 4), (16, 4), (2, 2000), (16, 2000)])
+def test_url_rules_beyond_the_sampler(spark, parts, many):
+    """More rows than range bounds are drawn from: a rule must lie in the same part for those who open it and who carry it."""
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        if many == 4:
+            rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+            pages = spark.range(120_000, numPartitions=8).selectExpr("id AS page_id", "concat('http://h', xxhash64(id), if(id % 2 = 0, '.net/', '.com/'), id % 7) AS url")
+            want = {("net/", "block"): 60_000, (None, "allow"): 60_000}
+        else:
+            rules = spark.range(many).selectExpr("concat('h', id, '.net') AS host", "'/' AS path", "'block' AS verdict")
+            pages = spark.range(120_000, numPartitions=8).selectExpr("id AS page_id", f"concat('http://w', id, '.h', pmod(xxhash64(id), {many}), '.net/x') AS url")
+            want = None
+        for _ in range(2):
+            got = url_rules.judge(pages, rules)
+            if want:
+                assert {(r.rule, r.verdict): r.n for r in got.groupBy("rule", "verdict").agg(F.count("*").alias("n")).collect()} == want
+            else:
+                assert got.where("verdict = 'block' AND endswith(host, concat('.', replace(rule, '/', '')))").count() == 120_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_rules_without_a_host(spark):
+    rules = spark.createDataFrame([("", "/", "block"), (None, "/", "block"), ("a", None, "block")], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(1, "x:///q"), (2, "x://a/q"), (3, None)], "page_id long, url string")
+    assert sorted((r.page_id, r.rule, r.verdict) for r in url_rules.judge(pages, rules).collect()) == [(1, None, "allow"), (2, "a", "block"), (3, None, "allow")]
+
+
 def test_both_verdicts_block(spark):
     rules = spark.createDataFrame([("a", "/", "allow"), ("A", "/", "block")], "host string, path string, verdict string")
     assert url_rules.judge(spark.createDataFrame([(1, "h://a/")], "page_id long, url string"), rules).first().verdict == "block"
