@@ -5,7 +5,9 @@
 the bytes, and each format's validator walks the structure behind it and confirms its
 length; a file's type is the valid medium that begins at its first byte, whatever its
 declared type says, and valid media that begin elsewhere are carved as embedded.
-`samples` reads the payload back.
+`samples` reads the payload back.  What a validator must look for in the rest of a file
+(end records, marks, chains of blocks) is found once for the file, so that work grows
+with its bytes and not with its magic numbers times its bytes.
 
 A null or empty file is `unknown` without embedded media.  Bytes that no validator
 confirms are no medium, even behind a right magic number.  Spans are offsets and
@@ -17,15 +19,19 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, cached_property, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from . import textkernel as K
+from .columns import every, numbered_names, text_first
 
 UNIT = 64
 RATE = 8000
@@ -71,19 +77,97 @@ def store(payload: bytes, kind: str) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", struct.pack(">IIBBBBB", UNIT, rows, 8, 0, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 1)) + _chunk(b"IEND", b"")
 
 
-def _wav(b: bytes, at: int) -> int | None:
+class File:
+    """A file's bytes, with what validators find out once for all magic numbers in it."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self._ends: dict[int, tuple[int, bool]] = {}
+        self._blocks: dict[int, int] = {}
+
+    @cached_property
+    def zips(self) -> dict[int, int]:
+        """Where archives begin and how long they are: an end record tells where its archive begins."""
+        b, out = self.data, {}
+        end = b.find(b"PK\x05\x06")
+        while 0 <= end <= len(b) - 22:
+            size, start, note = struct.unpack_from("<IIH", b, end + 12)
+            at = end - size - start
+            if at >= 0 and b[at + start : at + start + 4] == b"PK\x01\x02" and end + 22 + note <= len(b):
+                out.setdefault(at, end + 22 + note - at)
+            end = b.find(b"PK\x05\x06", end + 1)
+        return out
+
+    def places(self, mark: bytes) -> list[int]:
+        if mark not in self.__dict__:
+            out, at = [], self.data.find(mark)
+            while at >= 0:
+                out.append(at)
+                at = self.data.find(mark, at + 1)
+            self.__dict__[mark] = out
+        return self.__dict__[mark]
+
+    def after(self, mark: bytes, at: int) -> int:
+        """The first place of a mark from a place on, or -1."""
+        held = self.places(mark)
+        n = bisect_left(held, at)
+        return held[n] if n < len(held) else -1
+
+    def gif_blocks(self, p: int) -> int:
+        """Behind the sub-blocks that begin at p; each place is walked once for the file."""
+        b, path = self.data, []
+        while p < len(b) and b[p] and p not in self._blocks:
+            path.append(p)
+            p += 1 + b[p]
+        end = self._blocks.get(p, p + 1)
+        self._blocks.update(dict.fromkeys(path, end))
+        return end
+
+    def gif_body(self, p: int) -> tuple[int, bool]:
+        """(behind the trailer of the blocks that begin at p, whether an image is among them); -1 if there is none."""
+        b, path, found = self.data, [], (-1, False)
+        while p < len(b):
+            if p in self._ends:
+                found = self._ends[p]
+                break
+            if b[p] == 0x3B:
+                found = (p + 1, False)
+                break
+            path.append((p, b[p] == 0x2C))
+            if b[p] == 0x21:
+                p = self.gif_blocks(p + 2)
+            elif b[p] == 0x2C and p + 10 <= len(b):
+                local = b[p + 9]
+                p = self.gif_blocks(p + 10 + (3 << ((local & 7) + 1) if local & 128 else 0) + 1)
+            else:
+                break
+        for at, image in reversed(path):
+            found = (found[0], found[1] or image)
+            self._ends[at] = found
+        return found
+
+
+#: A wav of more chunks is not confirmed.
+WAV_CHUNKS = 1000
+
+
+def _wav(file: File, at: int) -> int | None:
+    b = file.data
     if b[at + 8 : at + 12] != b"WAVE" or len(b) < at + 12:
         return None
     end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
     seen, p = set(), at + 12
-    while p + 8 <= end <= len(b):
+    for _ in range(WAV_CHUNKS if end <= len(b) else 0):
+        if p + 8 > end:
+            break
         seen.add(b[p : p + 4])
         p += 8 + struct.unpack_from("<I", b, p + 4)[0]
         p += (p - at) % 2 if p < end else 0
     return end - at if p == end and {b"fmt ", b"data"} <= seen else None
 
 
-def _au(b: bytes, at: int) -> int | None:
+def _au(file: File, at: int) -> int | None:
+    b = file.data
     if len(b) < at + 24:
         return None
     head, size, coding, rate, channels = struct.unpack_from(">5I", b, at + 4)
@@ -91,7 +175,8 @@ def _au(b: bytes, at: int) -> int | None:
     return head + size if fits else None
 
 
-def _bmp(b: bytes, at: int) -> int | None:
+def _bmp(file: File, at: int) -> int | None:
+    b = file.data
     if len(b) < at + 54:
         return None
     size, _, _, start, head, width, height, planes, depth, packing, pixels = struct.unpack_from("<IHHIIiiHHII", b, at + 2)
@@ -101,44 +186,34 @@ def _bmp(b: bytes, at: int) -> int | None:
     return size if start >= 54 and start + line * abs(height) <= size and at + size <= len(b) and pixels in (0, line * abs(height)) else None
 
 
-def _png(b: bytes, at: int) -> int | None:
-    p, first, held = at + 8, True, False
+def _png(file: File, at: int) -> int | None:
+    b, p, parts = file.data, at + 8, []
+    if b[p : p + 8] != b"\0\0\0\x0dIHDR":
+        return None
     while p + 12 <= len(b):
         n, name = struct.unpack_from(">I", b, p)[0], b[p + 4 : p + 8]
-        if p + 12 + n > len(b) or zlib.crc32(b[p + 4 : p + 8 + n]) != struct.unpack_from(">I", b, p + 8 + n)[0] or first != (name == b"IHDR"):
+        parts.append((p, n, name))
+        p += 12 + n
+        if p > len(b) or len(parts) > 1 and name == b"IHDR":
             return None
-        first, held, p = False, held or name == b"IDAT", p + 12 + n
-        if name == b"IEND":
-            return p - at if held else None
+        if name == b"IEND":  # sums only where the structure holds
+            view = memoryview(b)
+            whole = all(zlib.crc32(view[q + 4 : q + 8 + m]) == struct.unpack_from(">I", b, q + 8 + m)[0] for q, m, _ in parts)
+            return p - at if whole and any(kind == b"IDAT" for _, _, kind in parts) else None
     return None
 
 
-def _gif(b: bytes, at: int) -> int | None:
-    def blocks(p: int) -> int:
-        while p < len(b) and b[p]:
-            p += 1 + b[p]
-        return p + 1
-
+def _gif(file: File, at: int) -> int | None:
+    b = file.data
     if len(b) < at + 13:
         return None
-    flags, p, images = b[at + 10], at + 13, 0
-    p += 3 << ((flags & 7) + 1) if flags & 128 else 0
-    while p < len(b):
-        if b[p] == 0x3B:
-            return p + 1 - at if images else None
-        if b[p] == 0x21:
-            p = blocks(p + 2)
-        elif b[p] == 0x2C and p + 10 <= len(b):
-            local = b[p + 9]
-            p = blocks(p + 10 + (3 << ((local & 7) + 1) if local & 128 else 0) + 1)
-            images += 1
-        else:
-            return None
-    return None
+    flags = b[at + 10]
+    end, image = file.gif_body(at + 13 + (3 << ((flags & 7) + 1) if flags & 128 else 0))
+    return end - at if end > 0 and image else None
 
 
-def _jpeg(b: bytes, at: int) -> int | None:
-    p, frame = at + 2, False
+def _jpeg(file: File, at: int) -> int | None:
+    b, p, frame = file.data, at + 2, False
     while p + 4 <= len(b) and b[p] == 0xFF:
         kind = b[p + 1]
         if kind == 0xFF:
@@ -161,23 +236,17 @@ def _jpeg(b: bytes, at: int) -> int | None:
     return None
 
 
-def _zip(b: bytes, at: int) -> int | None:
-    end = b.find(b"PK\x05\x06", at)
-    while 0 <= end <= len(b) - 22:
-        size, start, note = struct.unpack_from("<IIH", b, end + 12)
-        if at + start + size == end and b[at + start : at + start + 4] == b"PK\x01\x02" and end + 22 + note <= len(b):
-            return end + 22 + note - at
-        end = b.find(b"PK\x05\x06", end + 1)
-    return None
+def _zip(file: File, at: int) -> int | None:
+    return file.zips.get(at)
 
 
-def _pdf(b: bytes, at: int) -> int | None:
-    begin = b.find(b"startxref", at)
-    end = b.find(b"%%EOF", begin) if begin >= 0 else -1
-    return end + 5 - at if end >= 0 and b[at + 5 : at + 8].replace(b".", b"0").isdigit() else None
+def _pdf(file: File, at: int) -> int | None:
+    begin = file.after(b"startxref", at)
+    end = file.after(b"%%EOF", begin) if begin >= 0 else -1
+    return end + 5 - at if end >= 0 and file.data[at + 5 : at + 8].replace(b".", b"0").isdigit() else None
 
 
-VALIDATORS: dict[str, Callable[[bytes, int], int | None]] = {"wav": _wav, "bmp": _bmp, "png": _png, "au": _au, "gif": _gif, "jpeg": _jpeg, "zip": _zip, "pdf": _pdf}
+VALIDATORS: dict[str, Callable[[File, int], int | None]] = {"wav": _wav, "bmp": _bmp, "png": _png, "au": _au, "gif": _gif, "jpeg": _jpeg, "zip": _zip, "pdf": _pdf}
 
 
 @cache
@@ -194,11 +263,12 @@ def _automaton():
 def sniff(data: bytes) -> tuple[str, int, list[tuple[str, int, int]]]:
     """(type, length, embedded media as (type, offset, length)) of a file's bytes."""
     kind, length, embedded, past = "unknown", 0, [], 0
+    file = File(data)
     hits = sorted({(end - size + 1, name) for end, (name, size) in _automaton().iter(data.decode("latin-1"))})
     for at, name in hits:
         if at < past:
             continue
-        n = VALIDATORS[name](data, at)
+        n = VALIDATORS[name](file, at)
         if n is None:
             continue
         if at == 0:
@@ -209,77 +279,142 @@ def sniff(data: bytes) -> tuple[str, int, list[tuple[str, int, int]]]:
     return kind, length, embedded
 
 
-def samples(data: bytes, kind: str) -> bytes:
-    """The 8-bit samples of a stored file, read from its structure."""
-    if kind == "wav":
-        p = 12
-        while data[p : p + 4] != b"data":
-            p += 8 + struct.unpack_from("<I", data, p + 4)[0]
-        return data[p + 8 : p + 8 + struct.unpack_from("<I", data, p + 4)[0]]
-    if kind == "au":
-        head, size = struct.unpack_from(">II", data, 4)
-        return data[head : head + size]
-    if kind == "bmp":
-        start, (width, height) = struct.unpack_from("<I", data, 10)[0], struct.unpack_from("<ii", data, 18)
-        return data[start : start + width * abs(height)]
-    width, rows = struct.unpack_from(">II", data, 16)
+def samples(data: bytes, kind: str) -> bytes | None:
+    """The 8-bit samples of a valid file that has one channel of them, row by row; None of any other."""
+    reader = {"wav": _wav_samples, "au": _au_samples, "bmp": _bmp_samples, "png": _png_samples}.get(kind)
+    return reader(data) if reader else None
+
+
+def _wav_samples(data: bytes) -> bytes | None:
+    p, form = 12, None
+    while p + 8 <= len(data):
+        name, n = data[p : p + 4], struct.unpack_from("<I", data, p + 4)[0]
+        if name == b"fmt " and n >= 16:
+            coding, channels, _, _, _, bits = struct.unpack_from("<HHIIHH", data, p + 8)
+            form = coding, channels, bits
+        elif name == b"data":
+            return data[p + 8 : p + 8 + n] if form == (1, 1, 8) else None
+        p += 8 + n + n % 2
+    return None
+
+
+def _au_samples(data: bytes) -> bytes | None:
+    head, size, coding, _, channels = struct.unpack_from(">5I", data, 4)
+    return data[head : head + size] if (coding, channels) == (2, 1) else None
+
+
+def _bmp_samples(data: bytes) -> bytes | None:
+    start, width, height, depth, packing = *struct.unpack_from("<I", data, 10), *struct.unpack_from("<ii", data, 18), *struct.unpack_from("<HI", data, 28)
+    if depth != 8 or packing:
+        return None
+    line = (width + 3) // 4 * 4
+    lines = np.frombuffer(data, np.uint8, line * abs(height), start).reshape(abs(height), line)[:, :width]
+    return (lines if height < 0 else lines[::-1]).tobytes()
+
+
+def _png_samples(data: bytes) -> bytes | None:
+    width, rows, depth, colour, _, _, interlaced = struct.unpack_from(">IIBBBBB", data, 16)
+    if depth != 8 or colour or interlaced or not width or not rows:
+        return None
     p, packed = 8, []
     while data[p + 4 : p + 8] != b"IEND":
         n = struct.unpack_from(">I", data, p)[0]
         if data[p + 4 : p + 8] == b"IDAT":
             packed.append(data[p + 8 : p + 8 + n])
         p += 12 + n
-    lines = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(rows, width + 1)
-    return lines[:, 1:].tobytes()
+    size = rows * (width + 1)
+    if size > 1100 * sum(map(len, packed)) + 64:  # more than deflate can hold
+        return None
+    try:
+        raw = zlib.decompressobj().decompress(b"".join(packed), size)
+    except zlib.error:
+        return None
+    return _unfiltered(np.frombuffer(raw, np.uint8).reshape(rows, width + 1)) if len(raw) == size else None
+
+
+def _unfiltered(lines: np.ndarray) -> bytes | None:
+    """PNG rows of one byte a sample, each with its filter's number first; None for an unknown filter."""
+    kinds = lines[:, 0]
+    if not kinds.any():
+        return lines[:, 1:].tobytes()
+    out = np.zeros((len(lines) + 1, lines.shape[1]), np.uint8)  # a row and a column of zeros before
+    for y, (kind, row) in enumerate(zip(kinds.tolist(), lines[:, 1:]), 1):
+        above = out[y - 1]
+        if kind == 0:
+            out[y, 1:] = row
+        elif kind == 1:
+            out[y, 1:] = np.cumsum(row, dtype=np.uint8)
+        elif kind == 2:
+            out[y, 1:] = row + above[1:]
+        elif kind in (3, 4):
+            left, corner, line = 0, 0, []
+            for x, up in zip(row.tolist(), above[1:].tolist()):
+                if kind == 3:
+                    guess = (left + up) >> 1
+                else:
+                    away = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
+                    guess = left if away[0] <= away[1] and away[0] <= away[2] else up if away[1] <= away[2] else corner
+                left, corner = (x + guess) & 255, up
+                line.append(left)
+            out[y, 1:] = line
+        else:
+            return None
+    return out[1:, 1:].tobytes()
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in K.slices(batch, "text"):
+        for part in K.slices(batch, 0):
             out = []
-            for text in part.column("text").to_pylist():
+            for text in part.column(0).to_pylist():
                 raw = (text or "").encode()
                 check = zlib.crc32(raw)
                 # the declared type is wrong for a quarter of the texts
                 kind = STORED[check % 4]
                 declared = STORED[check // 4 % 4] if check // 16 % 3 == 0 else kind
                 out.append((len(raw), declared, store(padded(raw), kind)))
-            rest = [c for c in part.schema.names if c != "text"]
             n, declared, media = zip(*out)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(n, pa.int64()), pa.array(declared, pa.string()), pa.array(media, pa.binary())], [*rest, "n_bytes", "declared", "media"])
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(n, pa.int64()), pa.array(declared, pa.string()), pa.array(media, pa.binary())], [*part.schema.names[1:], "n_bytes", "declared", "media"])
 
 
 def stored(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns to keep, with n_bytes, a declared type (not always right) and the media file of each whole text."""
-    rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(_store, f"{schema}, n_bytes long, declared string, media binary")
+    rows, schema = text_first(docs, keep)
+    return rows.mapInArrow(_store, schema.add("n_bytes", "long").add("declared", "string").add("media", "binary")).toDF(*keep, "n_bytes", "declared", "media")
+
+
+SEEN = "kind string, media_length long, corrected boolean, embedded array<struct<kind:string,offset:bigint,length:bigint>>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, mean double, spread double, peak int"
+
+
+def _seen(data: bytes, declared: str | None) -> tuple:
+    kind, length, embedded = sniff(data)
+    payload = samples(data, kind)
+    values = np.frombuffer(payload or b"", np.uint8)
+    seen = np.bincount(values, minlength=256)
+    total = max(1, len(values))
+    mean = float(seen @ np.arange(256)) / total
+    spread = float(np.sqrt(max(0.0, seen @ np.arange(256) ** 2 / total - mean * mean)))
+    told = (None,) * 3 if payload is None else (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]))
+    measured = (None,) * 3 if payload is None else (mean, spread, int(values.max(initial=0)))
+    spans = [dict(zip(("kind", "offset", "length"), x)) for x in embedded]
+    return (kind, length, kind != declared, spans, *told, len(data), hashlib.sha256(data).hexdigest(), *measured)
 
 
-def _inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ("kind", "media_length", "corrected", "embedded", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "mean", "spread", "peak")
-    kinds = (pa.string(), pa.int64(), pa.bool_(), pa.list_(pa.struct([("kind", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.int32())
+def _inspect(batches: Iterator[pa.RecordBatch], kinds: list[tuple[str, pa.DataType]]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for data, declared in zip(batch.column("media").to_pylist(), batch.column("declared").to_pylist()):
-            data = data or b""
-            kind, length, embedded = sniff(data)
-            payload = samples(data, kind) if kind in STORED else b""
-            values = np.frombuffer(payload, np.uint8)
-            seen = np.bincount(values, minlength=256)
-            total = max(1, len(payload))
-            mean = float(seen @ np.arange(256)) / total
-            spread = float(np.sqrt(max(0.0, seen @ np.arange(256) ** 2 / total - mean * mean)))
-            out.append((kind, length, kind != declared, [dict(zip(("kind", "offset", "length"), x)) for x in embedded], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), mean, spread, int(values.max(initial=0))))
-        rest = [c for c in batch.schema.names if c != "media"]
-        columns = list(zip(*out)) or [()] * len(names)
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *(pa.array(list(c), k) for c, k in zip(columns, kinds))], [*rest, *names])
+        for part in K.slices(batch, 0):
+            out = [_seen(data or b"", declared) for data, declared in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*part.columns[2:], *(pa.array(list(c), k) for c, (_, k) in zip(zip(*out), kinds))], [*part.schema.names[2:], *(name for name, _ in kinds)])
 
 
 def inspected(media: DataFrame) -> DataFrame:
-    """All columns but the media bytes, with what sniffing and reading the file back shows."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema if f.name != "media")
-    return media.mapInArrow(
-        _inspect,
-        f"{schema}, kind string, media_length long, corrected boolean, embedded array<struct<kind:string,offset:bigint,length:bigint>>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, mean double, spread double, peak int",
-    )
+    """All columns but the media bytes, with what sniffing and reading the file back shows.
+
+    payload_bytes and what follows from the samples is null where a file has no single
+    channel of 8-bit samples.
+    """
+    rest = [c for c in media.columns if c != "media"]
+    rows = numbered_names(media.select(F.col("media").cast("binary"), F.col("declared").cast("string"), *every(rest)))
+    new = StructType.fromDDL(SEEN)
+    kinds = [(f.name, to_arrow_type(f.dataType)) for f in new]
+    return rows.mapInArrow(partial(_inspect, kinds=kinds), StructType(rows.schema.fields[2:] + new.fields)).toDF(*rest, *new.names)

@@ -3,6 +3,8 @@
 import hashlib
 import itertools
 import random
+import struct
+import time
 import zlib
 
 import pytest
@@ -59,6 +61,79 @@ def test_embedded_media_are_carved():
     assert M.sniff(b"") == ("unknown", 0, [])
 
 
+def png(lines, width, depth=8, colour=0, interlaced=0):
+    return b"\x89PNG\r\n\x1a\n" + M._chunk(b"IHDR", struct.pack(">IIBBBBB", width, len(lines), depth, colour, 0, 0, interlaced)) + M._chunk(b"tEXt", b"a\0b") + M._chunk(b"IDAT", zlib.compress(b"".join(lines))) + M._chunk(b"IEND", b"")
+
+
+def filtered(kind, row, above):
+    """One PNG row under a filter, as its definition says."""
+    out = []
+    for i, x in enumerate(row):
+        a, b, c = row[i - 1] if i else 0, above[i], above[i - 1] if i else 0
+        p = a + b - c
+        best = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+        out.append((x - (0, a, b, (a + b) // 2, best)[kind]) & 255)
+    return bytes([kind, *out])
+
+
+def bmp(width, height, depth, pixels, packing=0):
+    head = 54 + (1024 if depth == 8 else 0)
+    return b"BM" + struct.pack("<IHHI", head + len(pixels), 0, 0, head) + struct.pack("<IiiHHIIiiII", 40, width, height, 1, depth, packing, len(pixels), 0, 0, 0, 0) + bytes(head - 54) + pixels
+
+
+def wav(coding, channels, bits, data, extra=b""):
+    body = b"WAVEfmt " + struct.pack("<IHHIIHH", 16, coding, channels, 8000, 8000, 1, bits) + extra + b"data" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+def test_samples_of_other_writers():
+    rnd = random.Random(2)
+    rows = [bytes(rnd.randrange(256) for _ in range(13)) for _ in range(10)]
+    lines = [filtered(n % 5, row, rows[n - 1] if n else bytes(13)) for n, row in enumerate(rows)]
+    cases = [
+        (png(lines, 13), "png", b"".join(rows)),
+        (png([b"\0" + bytes(39)] * 2, 13, colour=2), "png", None),
+        (png([b"\0" + bytes(26)] * 2, 13, depth=16), "png", None),
+        (png([b"\0" + bytes(13)] * 2, 13, interlaced=1), "png", None),
+        (png([b"\x07" + bytes(13)] * 2, 13), "png", None),
+        (bmp(5, 2, 8, b"abcde\0\0\0fghij\0\0\0"), "bmp", b"fghijabcde"),
+        (bmp(5, -2, 8, b"abcde\0\0\0fghij\0\0\0"), "bmp", b"abcdefghij"),
+        (bmp(4, 2, 24, bytes(24)), "bmp", None),
+        (wav(1, 1, 8, b"abc", b"LIST\x03\0\0\0xyz\0"), "wav", b"abc"),
+        (wav(1, 2, 8, b"abcd"), "wav", None),
+        (wav(1, 1, 16, b"abcd"), "wav", None),
+        (b".snd" + struct.pack(">IIIII", 24, 4, 3, 8000, 1) + b"abcd", "au", None),
+        (b".snd" + struct.pack(">IIIII", 28, 4, 2, 8000, 1) + b"notegggg", "au", b"gggg"),
+        (gif(), "gif", None),
+    ]
+    for data, kind, want in cases:
+        assert M.sniff(data) == (kind, len(data), []) and M.samples(data, kind) == want, (kind, want)
+
+
+def test_work_grows_with_the_bytes():
+    """Files full of magic numbers and marks that no or every one of them shares."""
+    end = b"PK\x05\x06" + bytes(18)
+    hostile = [
+        b"PK\x03\x04" * 20_000 + end * 4_000,
+        b"%PDF-1.4" * 20_000 + b"startxref" * 20_000,
+        b"GIF89a" + bytes(7) + (b"GIF89a" + bytes([1]) * 7) * 20_000 + bytes([1]) * 200_000,
+        b"GIF89a" + bytes(7) + b"!\xf9" + bytes([255]) * 300_000,
+        (b"RIFF" + struct.pack("<I", 700_000) + b"WAVE") * 20_000 + bytes(500_000),
+        (b"\x89PNG\r\n\x1a\n" + M._chunk(b"IHDR", bytes(13))) * 10_000,
+    ]
+    for data in hostile:
+        began = time.process_time()
+        M.sniff(data)
+        assert time.process_time() - began < 6
+
+
+def test_media_that_others_declare(spark):
+    rows = [(1, gif(), "png"), (2, None, None), (3, b"", "wav"), (4, wav(1, 1, 8, b"ab" * 32), "wav"), (5, png([b"\0" + bytes(39)], 13, colour=2), "png"), (6, b"MZ" * 2_000_000, "bmp")]
+    seen = M.inspected(spark.createDataFrame(rows, "`a.b` int, media binary, declared string")).collect()
+    got = [(r["a.b"], r.kind, r.corrected, r.payload_bytes, r.media_bytes) for r in seen]
+    assert got == [(1, "gif", True, None, len(gif())), (2, "unknown", True, None, 0), (3, "unknown", True, None, 0), (4, "wav", False, 64, len(rows[3][1])), (5, "png", False, None, len(rows[4][1])), (6, "unknown", True, None, 4_000_000)]
+
+
 def test_media_columns(spark):
     texts = [(1, "hello"), (2, ""), (3, None), (None, "é" * 100), (5, "hello"), (6, "z" * 300_000)] + [(n, f"text {n}") for n in range(10, 60)]
     rows = M.inspected(M.stored(spark.createDataFrame([(i, t, "x", "y") for i, t in texts], DOCS))).collect()
