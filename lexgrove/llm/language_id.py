@@ -71,7 +71,7 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in _small(batch):
             packed = np.packbits(presence(part.column("text")), axis=1)
-            yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([x.tobytes() for x in packed], pa.binary())], ["lang", "bits"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array([x.tobytes() for x in packed], pa.binary())], ["doc_id", "lang", "bits"])
 
 
 def _small(batch: pa.RecordBatch, text: str | int = "text") -> Iterator[pa.RecordBatch]:
@@ -115,7 +115,9 @@ class Model:
 def fit(docs: DataFrame, sample_each: int = SAMPLE_EACH, landmarks: int = LANDMARKS) -> Model:
     """A model from the columns text and lang of all given rows (a bounded sample of each language)."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(short_enough() & F.expr("doc_id IS NOT NULL AND text RLIKE '\\\\p{L}'"))
-    got = balanced(rows, "lang", sample_each).select("lang", "text").mapInArrow(_bits, "lang string, bits binary").toArrow()
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    # texts become presence bits where they lie, so only those are put in order and sent
+    got = balanced(rows, "lang", sample_each, made=lambda chosen: chosen.mapInArrow(_bits, f"doc_id {kind}, lang string, bits binary")).toArrow()
     lang, bits = got["lang"].to_pylist(), got["bits"].to_pylist()
     order = sorted(range(len(lang)), key=lambda i: (lang[i], bits[i]))
     langs = sorted(set(lang))

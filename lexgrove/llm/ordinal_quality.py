@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .columns import text_first
-from .samples import balanced, short_enough
+from .samples import balanced, labelled_texts
 
 BITS = 16
 SAMPLE_EACH, RIDGE = 1000, 2e-4
@@ -180,12 +180,8 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, sample_each: int = SAM
     """
     rated = ratings.select("doc_id", F.col("grade").cast("int").alias("grade")).where(F.col("doc_id").isNotNull() & F.col("grade").between(0, grades - 1))
     chosen = balanced(rated, "grade", sample_each).collect()
-    if not chosen:
-        return learn(pa.array([], pa.string()), np.zeros(0, np.int64), grades)
-    ids = docs.sparkSession.createDataFrame([(r.doc_id, r.grade) for r in chosen], rated.schema)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(short_enough())
-    sample = texts.join(F.broadcast(ids), "doc_id").orderBy("doc_id", F.xxhash64("text")).limit(len(chosen)).select("text", "grade").toArrow()
-    return learn(sample["text"].combine_chunks() if sample.num_rows else pa.array([], pa.string()), np.array(sample["grade"].to_pylist(), np.int64), grades)
+    texts, marks = labelled_texts(docs, chosen, "grade") if chosen else (pa.array([], pa.string()), [])
+    return learn(texts, np.array(marks, np.int64), grades)
 
 
 def _apply(batches: Iterator[pa.RecordBatch], model, target: int) -> Iterator[pa.RecordBatch]:

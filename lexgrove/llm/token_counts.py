@@ -25,7 +25,7 @@ from . import textkernel as K
 from .word_bpe import encoder
 
 #: Lengths are summed in ranges of this many first, then over the ranges.
-SPAN = 1024
+SPAN = 128
 
 
 def _lengths(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:

@@ -4,15 +4,16 @@
    far likelier in texts marked toxic.  Each votes toxic where it occurs and
    abstains elsewhere; pattern voters count how many lexicon entries a text has and
    how dense they are, and vote either way.
-2. A generative label model (two hidden classes, each voter with its own vote
-   probabilities given the class) is fitted to the votes by expectation
-   maximisation.  Voters whose votes stay correlated within a class share one
-   voice: a voter's evidence is divided by its total correlation with the others.
+2. A generative label model (two hidden classes; within a class the votes form a forest
+   in which each voter depends on the class and on its parent's vote) is fitted to the
+   votes by expectation maximisation: voters' accuracies and their correlations are its
+   parameters, and copies of one voice count once.
 3. A linear classifier over words and word beginnings is trained on the posterior
    labels, and scores every whole text.
 
-Labels are only used to mine the voters and to say which of the hidden classes is
-toxic.  The sample of labelled rows is bounded; nothing else is.
+Labels are used to mine the lexicon, and a row's own label is one more voter, of the
+stated accuracy RATER, which keeps the hidden classes from drifting; accuracies and
+correlations of all others are estimated from the votes.  The sample of labelled rows is bounded; nothing else is.
 
 A null or empty text has no features and its score is the classifier's bias.  Rows
 without a label, or without a doc_id, teach nothing.  If one label value is missing,
@@ -34,12 +35,18 @@ from pyspark.sql import functions as F
 from . import textkernel as K
 from .columns import text_first
 from .decontamination import WORD_TABLE
-from .samples import balanced, short_enough
+from .samples import balanced, labelled_texts
 
 #: Labelled texts of each class in the sample, voters and classifier features at most.
 SAMPLE_EACH, VOTERS, FEATURES = 2500, 150, 400
 BEGINNINGS = (4, 5, 6, 7, 8)
 TALLY_BITS = 20
+#: Twice n times a dependency beyond this is no chance (chi-square, eight degrees of freedom, 1 in 1000); rounds that draw the forest.
+CHANCE, REDRAWN = 13.0, (0, 2, 5, 9)
+#: The accuracy of a row's own label.
+RATER = 0.9
+#: Least share of a voter's information that a dependency has.
+LEAST_SHARE = 0.2
 THRESHOLD = 0.7
 
 
@@ -132,35 +139,97 @@ def vote_matrix(counts: Counts, voters: np.ndarray) -> np.ndarray:
     return np.column_stack([lexicon, *patterns]).astype(np.int8)
 
 
-def label_model(votes: np.ndarray, prior: float, start: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior of each text, log evidence of each voter for each vote, correlations of the voters).
+def _dependencies(votes: np.ndarray, beliefs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Each voter's parent (-1: none) in the forest of strongest dependencies within the classes.
 
-    EM over hidden classes with P(vote | class) for each voter, smoothed; start says
-    which class is toxic.  Each round, the voters' correlations within the classes are
-    estimated from the residuals and a voter's evidence is divided by their sum.
+    A dependency is the voters' mutual information given the class.  Those that chance
+    explains are left out, and those below LEAST_SHARE of what either voter says at all:
+    while the classes are not yet known, they show through as weak dependencies.  Of the
+    rest a maximum spanning forest stays.
     """
-    onehot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(np.float32)
+    n, m = votes.shape
+    flat = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(np.float32).reshape(n, -1)
+    shared, said = np.zeros((m, m)), np.zeros(m)
+    for belief in beliefs:
+        joint = ((flat * belief[:, None].astype(np.float32)).T @ flat).astype(np.float64) / n
+        alone = np.diag(joint)
+        expected = np.outer(alone, alone) / max(1e-12, belief.sum() / n)
+        said -= (alone * np.log(np.maximum(alone, 1e-12) / max(1e-12, belief.sum() / n))).reshape(m, 3).sum(axis=1)
+        shared += np.where(joint > 1e-9, joint * np.log(np.maximum(joint, 1e-12) / np.maximum(expected, 1e-12)), 0).reshape(m, 3, m, 3).sum(axis=(1, 3))
+    i, j = np.triu_indices(m, 1)
+    order = np.argsort(-shared[i, j], kind="stable")
+    group, near = list(range(m)), [[] for _ in range(m)]
+
+    def find(x):
+        while group[x] != x:
+            group[x] = group[group[x]]
+            x = group[x]
+        return x
+
+    strong = shared[i, j] > np.maximum(CHANCE / n, LEAST_SHARE * np.minimum(said[i], said[j]))
+    for k in order[strong[order]].tolist():
+        a, b = find(int(i[k])), find(int(j[k]))
+        if a != b:
+            group[a] = b
+            near[i[k]].append(int(j[k]))
+            near[j[k]].append(int(i[k]))
+    parent, seen = np.full(m, -1), np.zeros(m, bool)
+    for root in range(m):
+        todo = [] if seen[root] else [root]
+        seen[root] = True
+        while todo:
+            v = todo.pop()
+            for w in near[v]:
+                if not seen[w]:
+                    seen[w], parent[w] = True, v
+                    todo.append(w)
+    return parent
+
+
+def _vote_tables(votes: np.ndarray, parent: np.ndarray, belief: np.ndarray) -> np.ndarray:
+    """Log P(vote | parent's vote) in a class: voters by parent's votes by votes (in order -1, 0, 1).
+
+    Counts are smoothed towards the voter's own distribution in the class, and that towards
+    an even one.
+    """
+    n, m = votes.shape
+    cell = _cells(votes, parent)
+    held = np.bincount(cell.ravel(), np.broadcast_to(belief[:, None], cell.shape).ravel(), 9 * m).reshape(m, 3, 3)
+    own = held.sum(axis=1) + 0.3
+    own /= own.sum(axis=1, keepdims=True)
+    return np.log((held + own[:, None, :]) / (held.sum(axis=2, keepdims=True) + 1))
+
+
+def _cells(votes: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    above = np.where(parent >= 0, votes[:, parent] + 1, 0)
+    return (np.arange(votes.shape[1]) * 3 + above) * 3 + votes + 1
+
+
+def label_model(votes: np.ndarray, prior: float, start: np.ndarray, told: np.ndarray | float = 0.0, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior of each text, evidence tables, each voter's parent).
+
+    The generative model: a hidden class, and voters whose votes given the class form a
+    forest, P(votes | class) = product of P(vote | parent's vote, class).  Accuracies and
+    correlations are its parameters; both are estimated from the votes by expectation
+    maximisation, and start only says which class is toxic.  told is what a voter of known
+    accuracy adds to each text's log odds.  evidence[j, a, b] is what
+    voter j's vote b adds to the log odds where its parent votes a (roots: a is 0).  The
+    forest is drawn anew in the first rounds and then kept, so that the likelihood rises
+    from there on.
+    """
+    votes = votes.astype(np.int64)
     posterior = start.astype(np.float64)
-    m = votes.shape[1]
-    flat = onehot.reshape(len(votes), -1)
-    for _ in range(rounds):
-        share = []
-        residual = 0.0
-        for belief in (1 - posterior, posterior):
-            p = (flat.T @ belief + 0.3) .reshape(m, 3)
-            p /= p.sum(axis=1, keepdims=True)
-            share.append(np.log(p))
-            mean = p @ np.array([-1.0, 0.0, 1.0])
-            centred = (votes - mean) * np.sqrt(belief)[:, None]
-            residual = residual + centred.T @ centred
-        spread = np.sqrt(np.maximum(np.diag(residual), 1e-9))
-        correlation = np.clip(residual / spread[:, None] / spread[None, :], 0, 1)
-        correlation[correlation < 0.3] = 0
-        np.fill_diagonal(correlation, 1)
-        evidence = (share[1] - share[0]) / (correlation**2).sum(axis=1)[:, None]
-        logit = flat @ evidence.reshape(-1) + np.log(prior / (1 - prior))
-        posterior = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return posterior, evidence, correlation
+    parent = np.full(votes.shape[1], -1)
+    for k in range(rounds):
+        beliefs = (1 - posterior, posterior)
+        if k in REDRAWN:
+            parent = _dependencies(votes, beliefs)
+        evidence = _vote_tables(votes, parent, beliefs[1]) - _vote_tables(votes, parent, beliefs[0])
+        logit = evidence.ravel()[_cells(votes, parent)].sum(axis=1) + np.log(prior / (1 - prior)) + told
+        before, posterior = posterior, 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        if k > max(REDRAWN) and np.abs(posterior - before).max() < 1e-6:
+            break
+    return posterior, evidence, parent
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, rounds: int = 25) -> tuple[np.ndarray, float]:
@@ -203,11 +272,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_each: i
     chosen = balanced(marked, "label", sample_each).collect()
     if len(natural) < 2 or not chosen:
         return nothing()
-    ids = docs.sparkSession.createDataFrame([(r.doc_id, r.label) for r in chosen], marked.schema)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(short_enough())
-    sample = texts.join(F.broadcast(ids), "doc_id").orderBy("doc_id", F.xxhash64("text")).limit(len(chosen)).select("text", "label").toArrow()
-    y = np.array(sample["label"].to_pylist(), np.float64)
-    return learn(sample["text"].combine_chunks(), y, natural) if 0 < y.sum() < len(y) else nothing()
+    texts, marks = labelled_texts(docs, chosen, "label")
+    y = np.array(marks, np.float64)
+    return learn(texts, y, natural) if 0 < y.sum() < len(y) else nothing()
 
 
 def nothing() -> "Model":
@@ -243,7 +310,7 @@ def learn(texts: pa.Array, y: np.ndarray, natural: dict[int, int]) -> Model:
         return nothing()
     votes = vote_matrix(counts, voters)
     start = np.where(votes[:, : len(voters)].any(axis=1), 0.9, 0.05)
-    posterior, _, _ = label_model(votes, base, start)
+    posterior, _, _ = label_model(votes, base, start, np.where(y == 1, 1, -1) * np.log(RATER / (1 - RATER)))
     # features that the posterior labels set apart
     p = np.bincount(inverse, posterior[counts.row], len(unique))
     q = np.bincount(inverse, 1 - posterior[counts.row], len(unique))

@@ -106,10 +106,141 @@ def test_label_model_learns_accuracies_without_labels():
     vote = lambda acc: np.where(rng.random(4000) < 0.6, np.where((rng.random(4000) < acc) == y, 1, -1), 0)
     good, fair = vote(0.95), vote(0.75)
     votes = np.column_stack([good, fair, fair, fair, vote(0.8), vote(0.8)]).astype(np.int8)  # one voter three times
-    posterior, evidence, correlation = toxicity.label_model(votes, 0.3, np.where(votes.sum(axis=1) > 0, 0.8, 0.2))
+    posterior, evidence, parent = toxicity.label_model(votes, 0.3, np.where(votes.sum(axis=1) > 0, 0.8, 0.2))
     assert ((posterior > 0.5) == y).mean() > 0.88
-    assert correlation[1, 2] > 0.9 and correlation[0, 4] == 0
-    assert evidence[0, 2] > 2 * evidence[1, 2] > 0 and np.allclose(evidence[1], evidence[2], atol=1e-3)
+    # the copies hang on one another and add nothing; independent voters hang on none
+    assert parent.tolist() == [-1, -1, 1, 1, -1, -1] or parent.tolist() == [-1, -1, 1, 2, -1, -1]
+    assert evidence[0, 0, 2] > 1.5 * evidence[1, 0, 2] > 0
+    assert all(abs(evidence[j, a, a]) < 0.05 for j in (2, 3) for a in range(3))
+
+
+def test_label_model_against_plain_loops():
+    """Each round of the model against sums over texts and classes written out, for the forest that it draws."""
+    rng = np.random.default_rng(7)
+    y = rng.random(300) < 0.4
+    first = np.where(rng.random(300) < 0.8, np.where(y, 1, -1), 0)
+    votes = np.column_stack([first, np.where(rng.random(300) < 0.9, first, 0), rng.integers(-1, 2, 300), np.where(rng.random(300) < 0.7, np.where(y, 1, -1), 0)])
+    start = np.where(votes.sum(axis=1) > 0, 0.9, 0.1)
+    got, _, parent = toxicity.label_model(votes, 0.4, start, rounds=12)
+    assert parent[1] == 0 and parent[2] == -1
+    post = start.astype(float)
+    for k in range(12):
+        tree = toxicity._dependencies(votes, (1 - post, post)) if k in toxicity.REDRAWN else tree
+        new = []
+        weight = [[1 - p, p] for p in post]
+
+        def chance(c, j, above, vote):
+            own = {v: sum(w[c] for w, r in zip(weight, votes) if r[j] == v) + 0.3 for v in (-1, 0, 1)}
+            share = own[vote] / sum(own.values())
+            rows = [(w[c], r[j]) for w, r in zip(weight, votes) if tree[j] < 0 or r[tree[j]] == above]
+            return (sum(w for w, v in rows if v == vote) + share) / (sum(w for w, _ in rows) + 1)
+
+        known = {}
+        for r in votes:
+            odds = np.log(0.4 / 0.6)
+            for j in range(4):
+                above = r[tree[j]] if tree[j] >= 0 else None
+                if (j, above, r[j]) not in known:
+                    known[j, above, r[j]] = np.log(chance(1, j, above, r[j])) - np.log(chance(0, j, above, r[j]))
+                odds += known[j, above, r[j]]
+            new.append(1 / (1 + np.exp(-odds)))
+        post = np.array(new)
+    assert np.allclose(got, post, atol=1e-6)
+
+
+def test_forest_is_the_best_of_all():
+    """The forest's total dependency against every forest of five voters."""
+    import itertools
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(-1, 2, 400)
+    votes = np.column_stack([np.where(rng.random(400) < p, base, rng.integers(-1, 2, 400)) for p in (0.9, 0.7, 0.5, 0.3, 0.0)])
+    belief = rng.random(400)
+    parent = toxicity._dependencies(votes, (1 - belief, belief))
+
+    def shared(i, j):
+        total = 0.0
+        for b in (1 - belief, belief):
+            for u in (-1, 0, 1):
+                for v in (-1, 0, 1):
+                    both = b[(votes[:, i] == u) & (votes[:, j] == v)].sum() / 400
+                    alone = b[votes[:, i] == u].sum() / 400 * b[votes[:, j] == v].sum() / 400 / (b.sum() / 400)
+                    total += both * np.log(both / alone) if both > 0 else 0
+        return total
+
+    said = [-sum(x * np.log(x / (b.sum() / 400)) for b in (1 - belief, belief) for v in (-1, 0, 1) if (x := b[votes[:, j] == v].sum() / 400)) for j in range(5)]
+    edges = {(i, j): s for i, j in itertools.combinations(range(5), 2) if (s := shared(i, j)) > max(toxicity.CHANCE / 400, toxicity.LEAST_SHARE * min(said[i], said[j]))}
+
+    def forest(chosen):
+        group = list(range(5))
+        for i, j in chosen:
+            if group[i] == group[j]:
+                return False
+            group = [group[i] if g == group[j] else g for g in group]
+        return True
+
+    best = max(sum(edges[e] for e in c) for n in range(5) for c in itertools.combinations(edges, n) if forest(c))
+    assert np.isclose(sum(edges[tuple(sorted((int(p), j)))] for j, p in enumerate(parent) if p >= 0), best, rtol=1e-4)
+
+
+def test_ordinal_against_plain_likelihood(monkeypatch):
+    """What learn() minimises: its value against products of probabilities, its slopes against differences."""
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice(["good", "bad", "##", "9x", "mid"]) for _ in range(rnd.randint(1, 9))) for _ in range(40)]
+    grade = np.array([rnd.randrange(4) for _ in texts])
+    seen = {}
+    monkeypatch.setattr(ordinal_quality, "minimise", lambda f, x, **k: seen.update(f=f, n=len(x)) or x)
+    ordinal_quality.learn(pa.array(texts), grade, 4)
+    row, kind, value = ordinal_quality.features(pa.array(texts))
+    used = sorted(set(kind.tolist()))
+    x = np.random.default_rng(1).normal(0, 0.5, seen["n"])
+    m = len(used)
+    assert seen["n"] == m + 3
+    w, cuts = dict(zip(used, x[:m])), np.cumsum([x[m], np.exp(x[m + 1]), np.exp(x[m + 2])])
+    loss = 0.0
+    for i, g in enumerate(grade):
+        score = sum(w[k] * v for r, k, v in zip(row.tolist(), kind.tolist(), value.tolist()) if r == i)
+        tail = [1.0, *(1 / (1 + np.exp(-(score - c))) for c in cuts), 0.0]
+        loss -= np.log(tail[g] - tail[g + 1]) / 4 / (grade == g).sum()
+    loss += ordinal_quality.RIDGE / 2 * sum(v * v for v in w.values())
+    got, slopes = seen["f"](x)
+    assert np.isclose(got, loss, rtol=1e-9)
+    for i in [0, 1, m - 1, m, m + 1, m + 2]:
+        step = np.zeros_like(x)
+        step[i] = 1e-6
+        assert np.isclose(slopes[i], (seen["f"](x + step)[0] - seen["f"](x - step)[0]) / 2e-6, atol=1e-6)
+
+
+def test_language_against_dense_kernel_ridge(spark):
+    """With every sampled text a landmark the scores are those of kernel ridge solved whole."""
+    df = texts_of(spark, 60)
+    texts = [(r.text, r.lang) for r in df.orderBy("doc_id").collect()]
+    model = language_id.fit(df, sample_each=1000, landmarks=3 * 1000)
+    bits = language_id.presence(pa.array([t for t, _ in texts])).astype(float)
+    root = np.sqrt(bits.sum(axis=1))
+    gram = bits @ bits.T / root[:, None] / root[None, :]
+    langs = sorted({x for _, x in texts})
+    target = np.array([[1.0 if x == name else -1.0 for name in langs] for _, x in texts])
+    share = np.array([len(texts) / len(langs) / sum(y == x for _, y in texts) for _, x in texts])
+    # weighted ridge on all landmarks: (K W K + r n K) a = K W t
+    dual = np.linalg.lstsq(gram @ (gram * share[:, None]) + language_id.RIDGE * len(texts) * gram, gram @ (target * share[:, None]), rcond=1e-12)[0]
+    assert np.allclose(model.scores(pa.array([t for t, _ in texts])), gram @ dual, atol=2e-3)
+    other = [r.text for r in df.limit(5).select(F.concat(F.col("text"), F.lit(" lomi ung")).alias("text")).collect()]
+    new = language_id.presence(pa.array(other)).astype(float)
+    assert np.allclose(model.scores(pa.array(other)), (new @ bits.T / np.sqrt(new.sum(axis=1))[:, None] / root[None, :]) @ dual, atol=2e-3)
+
+
+def test_sample_of_texts_is_bounded(spark, monkeypatch):
+    from lexgrove.llm import samples
+
+    df = spark.createDataFrame([(i, "x" * (i % 7 * 100)) for i in range(200)] + [(3, "x"), (4, None)], "doc_id long, text string")
+    chosen = [{"doc_id": i, "label": i % 2} for i in range(0, 200, 2)]
+    texts, marks = samples.labelled_texts(df, chosen, "label")
+    assert len(texts) == len(marks) == 100 and set(marks) == {0}
+    monkeypatch.setattr(samples, "SAMPLE_BYTES", 5000)
+    few, _ = samples.labelled_texts(df, chosen, "label")
+    again, _ = samples.labelled_texts(df.repartition(9), chosen, "label")
+    assert 0 < len(few) < 100 and sum(len(t.as_py()) for t in few) <= 5000 and few.to_pylist() == again.to_pylist()
 
 
 def test_logistic_gradient_is_zero():
