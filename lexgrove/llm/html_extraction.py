@@ -8,6 +8,14 @@ the capacities of its edges to the two terminals.  Neighbouring blocks and block
 the same parent are joined by smoothness edges.  The minimum cut, found by maximum
 flow, separates content from boilerplate.
 
+Costs and edges are fitted to the pages at hand.  Pages carry no labels, so a bounded
+sample of them gives weak ones by structure: the blocks that lie in the same elements
+on several pages are content where their texts are long, hardly ever repeat and are no
+links, and boilerplate where they repeat, are short or are links.  The classifier is the
+posterior mode of a logistic regression on these labels around stated weights, and an
+edge is the log odds that two blocks so related have one label.  The sample counts as
+EVIDENCE blocks however large it is, so that odd pages move the weights only so far.
+
 Before the flow is run, blocks whose own cost outweighs all their smoothness edges
 are fixed (every minimum cut agrees with them) and folded into their neighbours'
 costs; few blocks are usually left.  Where several cuts are minimal, the one with the
@@ -24,14 +32,18 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .columns import text_first
+from .columns import every, text_first
 
 # Element names and class words by meaning.
 BLOCKS = frozenset(
@@ -49,12 +61,30 @@ BAD_WORDS = frozenset(
 )
 BAD_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 
-# The classifier: what each feature adds to a block's score (above 0: content).
-BIAS, WORDS_FULL, WORDS_AT, SENTENCE = -1.5, 4.0, 12, 1.0
-LINKS, IN_MAIN, GOOD, HEADING, ITEM, CELL, RIGHTS = -5.0, 3.0, 2.5, 1.0, -0.5, -0.3, -3.0
-APART_COST, BAD_COST, OUTSIDE_MAIN, PAGE_HEADER = -12.0, -12.0, -5.0, -6.0
+# The classifier before it has seen pages: what each feature adds to a block's score (above 0: content).
+STATED = {
+    "always": -1.5,
+    "length, up to 12 words": 4.0,
+    "a sentence's end": 1.0,
+    "share of link text": -5.0,
+    "in the main element": 3.0,
+    "outside it where there is one": -5.0,
+    "good class around it": 2.5,
+    "heading": 1.0,
+    "list item": -0.5,
+    "table cell": -0.3,
+    "rights": -3.0,
+    "page header": -6.0,
+    "element or class apart": -12.0,
+}
+WORDS_AT = 12
 # Smoothness: page neighbours with the same parent, the same grandparent or neither; siblings.
-SAME, NEAR, FAR, SIBLING = 1.0, 0.5, 0.15, 0.4
+EDGES = (1.0, 0.5, 0.15, 0.4)
+SAME, NEAR, FAR, SIBLING = range(4)
+#: Pages of the sample, bytes that a page of it has at most, and how many blocks the sample counts as.
+SAMPLE_PAGES, LONGEST_PAGE, EVIDENCE = 300, 32 << 10, 200
+#: Spread of the weights around the stated ones, and weight of a stated edge in pairs of blocks.
+SPREAD, EDGE_PAIRS = 1.0, 100
 UNIT = 1000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|</?([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>|<[a-zA-Z/!?][^>]*+\Z", re.S)
@@ -77,17 +107,17 @@ class Element:
 def _element(parent: Element, name: str, attributes: str) -> Element:
     bad, good, hidden = 0.0, False, False
     if name in APART:
-        bad = APART_COST
+        bad = -1.0
     if attributes and ("=" in attributes or "hidden" in attributes):
         for m in _NAMED.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
                 words = {w.lower() for w in _WORD.findall(_CAMEL.sub(" ", value))}
                 if words & BAD_WORDS:
-                    bad = min(bad, BAD_COST)
+                    bad = min(bad, -1.0)
                 good = good or bool(words & GOOD_WORDS)
             elif key == "role":
-                bad = min(bad, BAD_COST) if value.lower() in BAD_ROLES else bad
+                bad = min(bad, -1.0) if value.lower() in BAD_ROLES else bad
                 good = good or value.lower() == "main"
             elif key == "style":
                 hidden = hidden or "display:none" in value.replace(" ", "").lower()
@@ -96,7 +126,16 @@ def _element(parent: Element, name: str, attributes: str) -> Element:
     if name in ("html", "body", *MAIN) and not hidden:
         bad = bad if name in MAIN and bad else 0.0
     main = parent.main or (name in MAIN and not bad)
-    return Element(parent, name, min(parent.bad, bad, BAD_COST if hidden else 0.0), parent.good or (good and not bad and name not in ("html", "body")), main, parent.header or (name == "header" and not main))
+    return Element(parent, name, min(parent.bad, bad, -1.0 if hidden else 0.0), parent.good or (good and not bad and name not in ("html", "body")), main, parent.header or (name == "header" and not main))
+
+
+class Weights:
+    """The classifier's weights, in the order of STATED, and the edges' capacities."""
+
+    __slots__ = ("score", "edges")
+
+    def __init__(self, score=tuple(STATED.values()), edges=EDGES):
+        self.score, self.edges = tuple(score), tuple(edges)
 
 
 class Block:
@@ -122,6 +161,8 @@ def blocks(page: str) -> list[Block]:
             out.append(Block(joined, joined.count(" ") + 1, len("".join(links).split()), here))
         text.clear(), links.clear()
 
+    held: dict[str, int] = {}  # open elements by name, so that an unmatched end costs no walk
+
     while at < end:
         m = _TOKEN.search(page, at)
         stop = m.start() if m else end
@@ -168,22 +209,29 @@ def blocks(page: str) -> list[Block]:
         if not inline:
             close()
         if ends:
-            up = here
-            while up is not top and up.name != name:
-                up = up.parent
-            if up is not top:
-                if inline and any(w in BLOCKS for w in _names(here, up)):
+            if held.get(name):
+                up, crossed = here, False
+                while up.name != name:
+                    crossed = crossed or up.name in BLOCKS
+                    if inline and crossed:
+                        break
+                    up = up.parent
+                if inline and crossed:
                     continue
                 if inline and up.bad < up.parent.bad:
                     close()
-                here = up.parent
+                while here is not up.parent:
+                    held[here.name] -= 1
+                    here = here.parent
                 if not inline:
                     in_link = 0
             continue
         if not inline:
             if here.name == "p" or name in _CLOSED_BY and here.name in _CLOSED_BY[name]:
+                held[here.name] -= 1
                 here = here.parent
             while here is not top and here.name not in BLOCKS:
+                held[here.name] -= 1
                 here = here.parent  # unclosed inline elements end with the block
         if name in VOID:
             continue
@@ -193,45 +241,38 @@ def blocks(page: str) -> list[Block]:
                 continue
             close()
         here = new
+        held[name] = held.get(name, 0) + 1
     close()
     return out
 
 
-def _names(here: Element, up: Element) -> list[str]:
-    names = []
-    while here is not up:
-        names.append(here.name)
-        here = here.parent
-    return names
+def features(block: Block, has_main: bool) -> tuple[float, ...]:
+    """What the classifier sees of a block, in the order of STATED."""
+    e = block.element
+    return (
+        1.0,
+        min(1.0, block.words / WORDS_AT),
+        float(block.words >= 5 and block.text[-1] in ".!?…\"'»”:;。"),
+        min(1.0, block.linked / block.words),
+        float(e.main),
+        float(has_main and not e.main),
+        float(e.good),
+        float(e.name in HEADINGS),
+        float(e.name in ("li", "dt", "dd")),
+        float(e.name in ("td", "th")),
+        float(block.words <= 25 and ("©" in block.text or "all rights reserved" in block.text.lower())),
+        float(e.header),
+        -e.bad,
+    )
+
+
+def score(block: Block, has_main: bool, weights: Weights = Weights()) -> float:
+    """How much the classifier favours content for a block."""
+    return sum(w * x for w, x in zip(weights.score, features(block, has_main)))
 
 
-def score(block: Block, has_main: bool) -> float:
-    """How much the classifier favours content for a block."""
-    e = block.element
-    value = BIAS + WORDS_FULL * min(1.0, block.words / WORDS_AT) + LINKS * min(1.0, block.linked / block.words)
-    if block.words >= 5 and block.text[-1] in ".!?…\"'»”:;。":
-        value += SENTENCE
-    if e.main:
-        value += IN_MAIN
-    elif has_main:
-        value += OUTSIDE_MAIN
-    if e.good:
-        value += GOOD
-    if e.name in HEADINGS:
-        value += HEADING
-    elif e.name in ("li", "dt", "dd"):
-        value += ITEM
-    elif e.name in ("td", "th"):
-        value += CELL
-    if block.words <= 25 and ("©" in block.text or "all rights reserved" in block.text.lower()):
-        value += RIGHTS
-    if e.header:
-        value += PAGE_HEADER
-    return value + e.bad
-
-
-def edges(found: list[Block]) -> dict[tuple[int, int], int]:
-    """Smoothness capacities between blocks."""
+def related(found: list[Block]) -> dict[tuple[int, int], int]:
+    """Pairs of blocks that are joined, and how: SAME, NEAR, FAR or SIBLING."""
     out: dict[tuple[int, int], int] = {}
     last: dict[int, int] = {}
     for i, b in enumerate(found):
@@ -240,14 +281,19 @@ def edges(found: list[Block]) -> dict[tuple[int, int], int]:
             a = found[i - 1].element
             near = a is b.element or a.parent is parent
             shares = near or a.parent is not None and parent is not None and a.parent.parent is parent.parent or a is parent or a.parent is b.element
-            out[i - 1, i] = round(UNIT * (SAME if near else NEAR if shares else FAR))
+            out[i - 1, i] = SAME if near else NEAR if shares else FAR
         key = id(parent)
         if key in last and last[key] != i - 1:
-            out[last[key], i] = round(UNIT * SIBLING)
+            out[last[key], i] = SIBLING
         last[key] = i
     return out
 
 
+def edges(found: list[Block], weights: Weights = Weights()) -> dict[tuple[int, int], int]:
+    """Smoothness capacities between blocks."""
+    return {pair: round(UNIT * weights.edges[kind]) for pair, kind in related(found).items()}
+
+
 def minimum_cut(costs: list[int], joined: dict[tuple[int, int], int]) -> list[bool]:
     """The labels (True: content) of a minimum cut with the fewest True.
 
@@ -331,24 +377,113 @@ def _max_flow(flow: list[dict[int, int]], source: int, sink: int) -> list[bool]:
                 path.pop()
 
 
-def main_text(page: str | None) -> str:
-    """The main text of one page."""
+def labelled(page: str | None, weights: Weights = Weights()) -> tuple[list[Block], list[bool], list[bool]]:
+    """(blocks of a page, whether the cut makes each content, whether its own cost alone would)."""
     found = blocks(page or "")
-    if not found:
-        return ""
     has_main = any(b.element.main and not b.element.bad for b in found)
-    labels = minimum_cut([round(UNIT * score(b, has_main)) for b in found], edges(found))
+    costs = [round(UNIT * score(b, has_main, weights)) for b in found]
+    return found, minimum_cut(costs, edges(found, weights)), [c > 0 for c in costs]
+
+
+def main_text(page: str | None, weights: Weights = Weights()) -> str:
+    """The main text of one page."""
+    found, labels, _ = labelled(page, weights)
     return " ".join(b.text for b, content in zip(found, labels) if content)
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _where(block: Block) -> int:
+    """The elements that a block lies in, hashed."""
+    names, e = [], block.element
+    while e.parent is not None:
+        names.append(e.name)
+        e = e.parent
+    return zlib.crc32("/".join(names).encode()) << 2 | block.element.good << 1 | (block.element.bad < 0)
+
+
+def _structure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each page, its blocks' places, texts (hashed), features and relations."""
+    for batch in batches:
+        for part in K.slices(batch, 0):
+            out = []
+            for page in part.column(0).to_pylist():
+                found = blocks(page or "")
+                has_main = any(b.element.main and not b.element.bad for b in found)
+                pairs = [(i, j, kind) for (i, j), kind in related(found).items()]
+                out.append((np.array([features(b, has_main) for b in found], "<f4").tobytes(), np.array([(_where(b), zlib.crc32(b.text.encode())) for b in found], "<i8").tobytes(), np.array(pairs, "<i4").tobytes()))
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], *(pa.array(c, pa.binary()) for c in zip(*out))], [*part.schema.names[1:], "seen", "places", "pairs"])
+
+
+def fit(pages: DataFrame, ids: tuple[str, ...] = ("page_id", "url"), sample_pages: int = SAMPLE_PAGES) -> Weights:
+    """Weights fitted to the pages: sample_pages of them at most, of LONGEST_PAGE bytes at most, chosen by a hash."""
+    order = F.xxhash64(*every(ids), F.col("html").cast("string"))
+    short = pages.where(F.octet_length(F.col("html").cast("string")) <= LONGEST_PAGE)
+    # the hashes alone are put in order; their largest chosen one then picks the pages
+    last = short.select(order.alias("h")).orderBy("h").limit(sample_pages).agg(F.max("h").alias("h")).first().h
+    if last is None:
+        return Weights()
+    rows = short.where(order <= last).select(F.col("html").cast("string").alias("html"), order.alias("h"))
+    got = rows.mapInArrow(_structure, "h long, seen binary, places binary, pairs binary").toArrow().sort_by([("h", "ascending"), ("seen", "ascending")])
+    return learn([(np.frombuffer(a, "<f4").reshape(-1, len(STATED)), np.frombuffer(b, "<i8").reshape(-1, 2), np.frombuffer(c, "<i4").reshape(-1, 3)) for a, b, c in zip(*(got[x].to_pylist() for x in ("seen", "places", "pairs")))])
+
+
+def weak_labels(pages: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """1 content, 0 boilerplate, -1 unknown for all blocks of the pages, by what blocks in the same place are like."""
+    seen, places = np.concatenate([p[0] for p in pages]), np.concatenate([p[1] for p in pages])
+    page = np.repeat(np.arange(len(pages)), [len(p[0]) for p in pages])
+    place, which = np.unique(places[:, 0], return_inverse=True)
+    n = np.bincount(which)
+    mean = lambda column: np.bincount(which, seen[:, column]) / n
+    texts = np.bincount(np.unique(np.stack([which, places[:, 1]], axis=1), axis=0)[:, 0], minlength=len(place)) / n
+    on = np.bincount(np.unique(np.stack([which, page], axis=1), axis=0)[:, 0], minlength=len(place))
+    length, links, apart, header = mean(1), mean(3), mean(12), mean(11)
+    content = (texts >= 0.9) & (length >= 0.8) & (links <= 0.2) & (apart == 0) & (header == 0)
+    other = (texts <= 0.5) | (length < 0.4) & (links >= 0.5) | (apart > 0)
+    label = np.where(on < 3, -1, np.where(content, 1, np.where(other, 0, -1)))
+    return label[which]
+
+
+def learn(pages: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Weights:
+    """The weights of pages given as (features of the blocks, their places and texts, related pairs)."""
+    pages = [p for p in pages if len(p[0])]
+    stated = np.array(list(STATED.values()))
+    if not pages:
+        return Weights()
+    label = weak_labels(pages)
+    x, y = np.concatenate([p[0] for p in pages])[label >= 0].astype(np.float64), label[label >= 0]
+    w = stated.copy()
+    if len(y):
+        many = np.array([(y == k).sum() for k in (0, 1)])
+        share = EVIDENCE / (many > 0).sum() / many[y]  # either label weighs the same
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            slope = x.T @ (share * (p - y)) + (w - stated) / SPREAD**2
+            curve = x.T @ (x * (share * p * (1 - p))[:, None]) + np.eye(len(w)) / SPREAD**2
+            step = np.linalg.solve(curve, slope)
+            w -= step * min(1.0, 1.0 / max(1e-9, np.abs(step).max()))
+            if np.abs(step).max() < 1e-6:
+                break
+    first = np.cumsum([0, *(len(p[0]) for p in pages)])
+    pairs = np.concatenate([p[2] + [[at, at, 0]] for p, at in zip(pages, first.tolist())])
+    a, b = label[pairs[:, 0]], label[pairs[:, 1]]
+    capacity = []
+    for kind, before in enumerate(EDGES):
+        known = (pairs[:, 2] == kind) & (a >= 0) & (b >= 0)
+        n = min(int(known.sum()), EVIDENCE)
+        agree = (a[known] == b[known]).mean() if n else 0.5
+        share = (EDGE_PAIRS / (1 + np.exp(-before)) + n * agree) / (EDGE_PAIRS + n)
+        capacity.append(max(0.0, float(np.log(share / (1 - share)))))
+    return Weights(w.tolist(), capacity)
+
+
+def _extract(batches: Iterator[pa.RecordBatch], weights: Weights) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in K.slices(batch, 0):
-            texts = [main_text(x) for x in part.column(0).to_pylist()]
+            texts = [main_text(x, weights) for x in part.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*part.schema.names[1:], "text", "n_chars"])
 
 
-def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """The columns to keep, with text and n_chars of each whole page."""
+def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), weights: Weights | None = None) -> DataFrame:
+    """The columns to keep, with text and n_chars of each whole page, by the given weights or those fitted to the pages."""
+    weights = fit(pages, keep) if weights is None else weights
     rows, schema = text_first(pages, keep, "html")
-    return rows.mapInArrow(_extract, schema.add("text", "string").add("n_chars", "long")).toDF(*keep, "text", "n_chars")
+    return rows.mapInArrow(partial(_extract, weights=weights), schema.add("text", "string").add("n_chars", "long")).toDF(*keep, "text", "n_chars")

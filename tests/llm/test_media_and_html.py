@@ -197,3 +197,69 @@ def test_extract(spark):
     rows = H.extract(df).collect()
     assert [(r.page_id, r.url, r.text, r.n_chars) for r in rows] == [(1, "u", WANT, len(WANT)), (2, None, "", 0), (None, "u", "", 0), (1, "u", WANT, len(WANT))]
     assert H.extract(df.limit(0)).count() == 0
+
+
+#: A page without any element or class that tells content, with paragraphs too short to stand alone.
+SOUP = "<html><body><div class='x1'><a href='/'>Start</a> <a href='/b'>More of it</a></div><div><div class='x2'><div>{0}</div><div>So.</div><div>{1}</div><div>Not yet</div><div>{2}</div></div></div><div class='x3'><a href='/c'>Terms</a></div></body></html>"
+
+
+def test_the_cut_keeps_what_its_neighbours_keep():
+    texts = [f"This is paragraph {n} of a page that goes on for more than a dozen words in all." for n in range(3)]
+    found, labels, own = H.labelled(SOUP.format(*texts))
+    kept = [b.text for b, x in zip(found, labels) if x]
+    assert kept == [texts[0], "So.", texts[1], "Not yet", texts[2]]
+    assert [b.text for b, x, y in zip(found, labels, own) if x != y] == ["So.", "Not yet"]
+
+
+def test_time_of_unmatched_ends():
+    """Ends that match nothing below many open elements, and inline ends that blocks stand before."""
+    for n in (4000, 16000):
+        for text in ("<div>" * n + "</section>" * n, "<b class=ad>" + "<div>" * n + "</b>" * n, ("<p>" + "</li>") * n):
+            began = time.process_time()
+            H.blocks(text)
+            assert time.process_time() - began < 4, n
+
+
+def layouts(n, rnd):
+    """Pages of a site whose article lies in a plain div, with the article's paragraphs."""
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 8)))
+    for i in range(n):
+        paragraphs = [" ".join(word() for _ in range(rnd.randint(14, 40))) + "." for _ in range(rnd.randint(2, 6))]
+        box = "".join(f"<p><a href='/{k}'>{word()}</a></p>" for k in range(5))
+        yield i, f"<body><div><span>{box}</span></div><div><div>{''.join(f'<div>{p}</div>' for p in paragraphs)}</div></div><div><i>All about us and our fine site that you are on right now.</i></div></body>", " ".join(paragraphs)
+
+
+def test_fit_to_pages(spark):
+    rnd = random.Random(6)
+    pages = list(layouts(60, rnd))
+    df = spark.createDataFrame([(i, "http://a.example/", html) for i, html, _ in pages] + [(99, None, None), (100, "", ""), (101, "x", "<p>" * 50_000)], "page_id long, url string, html string")
+    weights = H.fit(df)
+    assert H.fit(df.repartition(5)).score == weights.score and H.fit(df.repartition(5)).edges == weights.edges
+    stated = dict(zip(H.STATED, H.Weights().score))
+    fitted = dict(zip(H.STATED, weights.score))
+    # links and repeated texts speak against content, length for it; what no page shows stays as stated
+    assert fitted["share of link text"] <= stated["share of link text"] and fitted["table cell"] == stated["table cell"] and fitted["always"] != stated["always"]
+    assert all(x >= 0 for x in weights.edges) and weights.edges[H.SAME] > H.EDGES[H.SAME]
+    got = {r.page_id: r.text for r in H.extract(df).collect()}
+    assert len(got) == 63 and all(got[i].removesuffix(" All about us and our fine site that you are on right now.") == want for i, _, want in pages)
+    assert H.fit(df.limit(0)).score == H.Weights().score and H.fit(df, sample_pages=1).score == H.Weights().score
+
+
+def test_fitted_weights_are_the_best():
+    """The slopes of the penalised likelihood of the weak labels, written out, are nothing at the fitted weights."""
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    pages = []
+    for n in range(12):
+        seen = np.zeros((6, len(H.STATED)), "<f4")
+        seen[:, 0], seen[:, 1], seen[3:, 3] = 1, [1, 0.9, 1, 0.1, 0.2, 0.1], 1
+        pages.append((seen, np.stack([np.array([1, 1, 1, 2, 2, 2]), rnd.integers(0, 10**6, 6)], axis=1), np.array([[i, i + 1, H.SAME] for i in range(5)], "<i4")))
+    label = H.weak_labels(pages)
+    assert label.tolist() == [1, 1, 1, 0, 0, 0] * 12
+    weights = H.learn(pages)
+    x, w, stated = np.concatenate([p[0] for p in pages]).astype(float), np.array(weights.score), np.array(list(H.STATED.values()))
+    slope = x.T @ ((1 / (1 + np.exp(-(x @ w))) - label) * H.EVIDENCE / 2 / 36) + (w - stated) / H.SPREAD**2
+    assert np.abs(slope).max() < 1e-4
+    agree = (H.EDGE_PAIRS / (1 + np.exp(-1.0)) + 60 * 0.8) / (H.EDGE_PAIRS + 60)
+    assert np.isclose(weights.edges[H.SAME], np.log(agree / (1 - agree)))
