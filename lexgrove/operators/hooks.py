@@ -27,14 +27,15 @@ class Hooks:
         self._held[stage][book_key] = function
 
     def apply(self, stage: str, df: DataFrame, **tables: DataFrame) -> DataFrame:
-        """df with each hooked book's rows replaced by what its hook returns."""
+        """df with each hooked book's rows replaced by what its hook returns for that book."""
         held = self._held[stage]
         if not held:
             return df
         out = df.where(~F.coalesce(F.col("book_key").isin(*held), F.lit(False)))
         for key, function in held.items():
             own = {name: t.where(F.col("book_key") == key) for name, t in tables.items()}
-            out = out.unionByName(function(df.where(F.col("book_key") == key), **own).select(*df.columns))
+            made = function(df.where(F.col("book_key") == key), **own)
+            out = out.unionByName(made.where(F.col("book_key") == key).select(*df.columns))
         return out
 
 

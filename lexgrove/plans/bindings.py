@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import term_queries, text_queries
+from . import layout_queries, term_queries, text_queries
 
-QUERIES: dict = {**term_queries.QUERIES, **text_queries.QUERIES}
-ORACLES: dict[str, str] = {**term_queries.ORACLES, **text_queries.ORACLES}
+PARTS = (term_queries, text_queries, layout_queries)
+QUERIES: dict = {name: query for part in PARTS for name, query in part.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
