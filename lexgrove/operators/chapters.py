@@ -179,3 +179,19 @@ def link_all(lookup: DataFrame, chapters: DataFrame, refs: DataFrame) -> DataFra
     entries = link_references(linked, refs).groupBy("term", "book_key").agg(F.array_sort(F.collect_list(F.struct("ch_ord", "ref_ord", *fields))).alias("e"))
     entries = entries.select("term", "book_key", F.transform("e", lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias("references"))
     return lookup.join(titles, ["term", "book_key"], "left").join(entries, ["term", "book_key"], "left")
+
+
+def totals(chapters: DataFrame, refs: DataFrame) -> DataFrame:
+    """book_key, n_chapters, n_references of each book with chapters; n_linked and n_terms are null."""
+    held = refs.groupBy("book_key").agg(F.count("*").alias("n_references"))
+    counted = chapters.groupBy("book_key").agg(F.count("*").alias("n_chapters")).join(held, "book_key", "left")
+    none = F.lit(None).cast("long")
+    return counted.select("book_key", "n_chapters", F.coalesce("n_references", F.lit(0)).alias("n_references"), none.alias("n_linked"), none.alias("n_terms"))
+
+
+def linked_totals(terms: DataFrame, linked: DataFrame) -> DataFrame:
+    """One row in the form of `totals`: how many terms there are, and how many of them lie in a chapter."""
+    none = F.lit(None)
+    inside = linked.agg(F.countDistinct("term").alias("n_linked"))
+    row = terms.agg(F.count("*").alias("n_terms")).join(F.broadcast(inside))
+    return row.select(none.cast("string").alias("book_key"), none.cast("long").alias("n_chapters"), none.cast("long").alias("n_references"), "n_linked", "n_terms")

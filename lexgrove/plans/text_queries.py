@@ -307,6 +307,12 @@ entries AS (SELECT *, CASE WHEN regexp_matches(s, '^.{{2,60}},\\s*\\d{{1,4}}[fbt
 ahead AS (SELECT *, min(entry) OVER (PARTITION BY book_key ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 29 FOLLOWING) AS nxt FROM entries),
 late AS (SELECT * FROM ahead WHERE pos >= floor(total * 0.65))
 SELECT book_key, CAST(coalesce(arg_min(nxt, pos) FILTER (s = 'Index' AND nxt IS NOT NULL), min(entry)) + 1 AS INT) AS start_line FROM late GROUP BY book_key HAVING start_line IS NOT NULL""",
+    "markdown_render": f"""{_HEADINGS.replace("SELECT book_key, pdf_page, line_idx, CAST(CASE WHEN", ", headings AS (SELECT book_key, pdf_page, line_idx, CAST(CASE WHEN", 1)} FROM_CASED),
+rendered AS (SELECT e.book_key, e.pdf_page, s.book_page, string_agg(CASE WHEN h.text IS NOT NULL THEN chr(10) || repeat('#', h.level) || ' ' || h.text || chr(10) ELSE regexp_replace(e.lines[e.i + 1], '^(#+)', '\\\\\\1') END, chr(10) ORDER BY e.i) AS body
+  FROM each e JOIN stripped s ON e.book_key = s.book_key AND e.pdf_page = s.pdf_page LEFT JOIN headings h ON h.book_key = e.book_key AND h.pdf_page = e.pdf_page AND h.line_idx = e.i GROUP BY ALL),
+parts AS (SELECT book_key, pdf_page, trim(regexp_replace('<!-- p. ' || book_page || ' -->' || chr(10) || body, '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9)) AS part FROM rendered),
+whole AS (SELECT book_key, regexp_replace('---' || chr(10) || 'title: Title ' || book_key || chr(10) || 'author: A' || chr(10) || 'year: 2020' || chr(10) || 'source_pdf: b.epub' || chr(10) || '---' || chr(10) || chr(10) || string_agg(part, chr(10) || chr(10) ORDER BY pdf_page) || chr(10), '\n{{3,}}', chr(10) || chr(10), 'g') AS markdown FROM parts GROUP BY book_key)
+SELECT book_key, length(markdown) AS n_chars, md5(markdown) AS md5 FROM whole""".replace(" FROM cased FROM_CASED)", " FROM cased)"),
     "page_markers": f"{_MD} SELECT book_key, regexp_extract(line, '^<!-- p\\. (\\d+) -->', 1) AS marker, min(line_no) AS line_idx FROM md WHERE part IN (0, 3) GROUP BY book_key, marker",
     "chapter_detect": f"{_CHAPTERS} SELECT * FROM chapters",
     "ref_parse": f"{_REFS} SELECT * FROM refs",

@@ -42,11 +42,16 @@ def lines(files: DataFrame) -> DataFrame:
 
 def registry(spark: SparkSession, path: str, keys: list[str] | None = None) -> DataFrame:
     """One row for each book of a registry file {key: entry}; of the given keys if any."""
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", f"MAP<STRING, STRUCT<{_struct(REGISTRY)}>>").alias("m"))
-    rows = whole.select(F.explode("m").alias("book_key", "entry")).select("book_key", "entry.*")
+    rows = registry_rows(spark.read.text(path, wholetext=True))
     return rows if keys is None else rows.where(F.col("book_key").isin(*keys))
 
 
+def registry_rows(whole: DataFrame) -> DataFrame:
+    """The books of registry texts (value: {key: entry})."""
+    entries = whole.select(F.from_json("value", f"MAP<STRING, STRUCT<{_struct(REGISTRY)}>>").alias("m"))
+    return entries.select(F.explode("m").alias("book_key", "entry")).select("book_key", "entry.*")
+
+
 def _struct(ddl: str) -> str:
     import re
 
@@ -55,14 +60,22 @@ def _struct(ddl: str) -> str:
 
 def indices(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """book_key, term, term_ord, pages of index files {term: [page]}, in file order."""
-    files = texts(spark, paths)
+    return index_rows(texts(spark, paths))
+
+
+def index_rows(files: DataFrame) -> DataFrame:
+    """The entries of index texts (book_key, text)."""
     entries = F.map_entries(F.from_json("text", "MAP<STRING, ARRAY<STRING>>"))
     return files.select("book_key", F.posexplode(entries).alias("term_ord", "e")).select("book_key", F.col("e.key").alias("term"), "term_ord", F.col("e.value").alias("pages"))
 
 
 def toc(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """book_key, toc_ord, level, title, start_page of contents files, flat or by levels."""
-    files = texts(spark, paths)
+    return toc_rows(texts(spark, paths))
+
+
+def toc_rows(files: DataFrame) -> DataFrame:
+    """The entries of contents texts (book_key, text)."""
     entry = "ARRAY<STRUCT<level: INT, title: STRING, start_page: INT, pdf_page: INT>>"
     rows = files.select("book_key", F.posexplode(F.from_json("text", entry)).alias("toc_ord", "e"))
     return rows.select("book_key", "toc_ord", F.coalesce("e.level", F.lit(0)).alias("level"), F.col("e.title").alias("title"), F.coalesce("e.start_page", "e.pdf_page").alias("start_page"))
@@ -70,8 +83,13 @@ def toc(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def bookmarks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """book_key, toc_ord, level, title, start_page of bookmark dumps: tabs for the level, then "title/page,...". """
+    return bookmark_rows(texts(spark, paths))
+
+
+def bookmark_rows(files: DataFrame) -> DataFrame:
+    """The entries of bookmark texts (book_key, text)."""
     pattern = r"^(\t*)(.*)/(\d+),"
-    rows = lines(texts(spark, paths)).where(F.col("raw").rlike(pattern))
+    rows = lines(files).where(F.col("raw").rlike(pattern))
     part = lambda n: F.regexp_extract("raw", pattern, n)
     return rows.select("book_key", F.col("line_no").alias("toc_ord"), F.length(part(1)).alias("level"), part(2).alias("title"), part(3).cast("int").alias("start_page"))
 
@@ -173,6 +191,49 @@ def _reading_order(z: zipfile.ZipFile) -> list[str]:
     return spine + [n for n in pages if n not in spine]
 
 
+def is_index_document(name: Column | str = "name") -> Column:
+    """Whether a document of an EPUB is its index: its name without folder and ending says so."""
+    return _stem(name).rlike("Index|index")
+
+
+class _Words(HTMLParser):
+    """The text nodes of a document, but for those of scripts, styles and templates."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.silent = [], None
+
+    def handle_starttag(self, tag, attrs):
+        if self.silent is None and tag in ("script", "style", "template"):
+            self.silent = tag
+
+    def handle_endtag(self, tag):
+        if tag == self.silent:
+            self.silent = None
+
+    def handle_data(self, data):
+        if self.silent is None:
+            self.out.append(data)
+
+
+def epub_text(documents: DataFrame) -> DataFrame:
+    """book_key, doc_seq, name, html -> book_key, text: the documents' text nodes by lines, documents by form feeds, the index left out."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for r in frame.itertuples(index=False):
+                reader = _Words()
+                reader.feed(r.html or "")
+                reader.close()
+                rows.append((r.book_key, r.doc_seq, "\n".join(reader.out)))
+            yield pd.DataFrame(rows, columns=["book_key", "doc_seq", "text"])
+
+    told = documents.where(~is_index_document()).select("book_key", "doc_seq", "html").mapInPandas(run, "book_key string, doc_seq int, text string")
+    parts = F.array_sort(F.collect_list(F.struct("doc_seq", "text")))
+    return told.groupBy("book_key").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\f").alias("text"))
+
+
 def epub_markdown(elements: DataFrame) -> DataFrame:
     """book_key, doc_seq, name with their elements -> book_key, markdown.
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: A book's label takes so many characters at least.
+LABEL_WIDTH = 30
+
 
 def by_book(df: DataFrame, path: str, form: str = "parquet", mode: str = "overwrite") -> None:
     """A table (index, page markers, chapters, references) in a folder for each book."""
@@ -32,7 +35,11 @@ def json_rows(df: DataFrame) -> DataFrame:
 
 
 def hit_lines(hits: DataFrame, labels: DataFrame) -> DataFrame:
-    """Hits as text: a line for the term and one for each book with its pages."""
-    rows = hits.select("term", "n_books", F.explode_outer("pages").alias("key", "own")).join(labels, "key", "left")
-    entry = F.concat(F.lit("  "), F.coalesce("label", "key"), F.lit(": "), F.array_join("own", ", "))
-    return rows.groupBy("term", "n_books").agg(F.concat_ws("\n", F.concat(F.col("term"), F.lit(" ("), F.col("n_books").cast("string"), F.lit(" books)")), F.array_join(F.array_sort(F.collect_list(entry)), "\n")).alias("text"))
+    """Hits as text: a line for the term (after its mark, where it has one) and one for each book with its pages."""
+    marked = hits if "mark" in hits.columns else hits.withColumn("mark", F.lit(None).cast("string"))
+    rows = marked.select("term", "n_books", "mark", F.explode_outer("pages").alias("key", "own")).join(labels, "key", "left")
+    name = F.coalesce("label", "key")
+    entry = F.concat(F.lit(" " * 6), name, F.repeat(F.lit(" "), F.greatest(F.lit(0), LABEL_WIDTH - F.length(name))), F.lit("  pp. "), F.coalesce(F.nullif(F.array_join("own", ", "), F.lit("")), F.lit("—")))
+    head = F.concat(F.lit("  "), F.coalesce(F.concat(F.lit("["), F.col("mark"), F.lit("] ")), F.lit("")), F.col("term"), F.lit("  ("), F.col("n_books").cast("string"), F.when(F.col("n_books") == 1, " book)").otherwise(" books)"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", entry.alias("line")))), lambda x: x["line"]), "\n")
+    return rows.groupBy("term", "n_books", "mark").agg(F.concat_ws("\n", head, F.nullif(lines, F.lit(""))).alias("text"))
