@@ -83,6 +83,16 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(table(spark, sf_dir, "pages"))
 
 
+#: The main text by the one layout that the driver's pages have: what the article element holds, block by block.
+OP7_SQL = r"""
+WITH cut AS (SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?(?:p|h[1-6]|ul|li|div)(?: [^>]*)?>') AS blocks FROM pages),
+bare AS (SELECT page_id, url, list_transform(blocks, lambda b: regexp_replace(replace(b, '<br>', ' '), '<[^>]*>', '', 'g')) AS blocks FROM cut),
+plain AS (SELECT page_id, url, list_transform(blocks, lambda b: trim(regexp_replace(regexp_replace(replace(replace(replace(b, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS blocks FROM bare),
+whole AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda b: b <> ''), ' ') AS text FROM plain)
+SELECT page_id, url, text, length(text) AS n_chars FROM whole
+"""
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -121,4 +131,4 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_jaccard_join": op10_jaccard_join,
 }
-ORACLES: dict[str, str] = {"op4_url_filter": OP4_SQL, "op10_jaccard_join": OP10_SQL}
+ORACLES: dict[str, str] = {"op4_url_filter": OP4_SQL, "op7_html_extraction": OP7_SQL, "op10_jaccard_join": OP10_SQL}
