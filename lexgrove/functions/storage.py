@@ -35,6 +35,11 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Deletes a folder of the shared store; one that is not there is none to delete."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

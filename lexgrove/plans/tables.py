@@ -58,6 +58,13 @@ def kept(name: str, make):
     return cached
 
 
+def forget() -> None:
+    """Drops all relations that are kept, so that the next query builds its own."""
+    for df in _kept.values():
+        df.unpersist()
+    _kept.clear()
+
+
 #: The index and the lookup's order, for reference SQL: occ(book_key, term, page, first), terms(term, n_books, ord).
 OCC_SQL = f"""
 WITH rows AS (SELECT p_brand AS book_key, {TERM} AS term, CAST(p_size AS VARCHAR) AS page, p_partkey, p_name FROM part),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import exists
+
 #: A book's label takes so many characters at least.
 LABEL_WIDTH = 30
 
@@ -29,6 +31,17 @@ def markdown_files(documents: DataFrame, path: str) -> None:
     documents.where("markdown IS NOT NULL").select("book_key", F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("book_key").text(path)
 
 
+def text_files(texts: DataFrame, path: str, force: bool = False) -> None:
+    """book_key, text in a folder for each book; books that have one already are left alone unless forced to."""
+    rows = texts.where("text IS NOT NULL").select("book_key", F.col("text").alias("value"))
+    spark = texts.sparkSession
+    if not force and exists(spark, path):
+        held = spark.read.text(path)
+        if "book_key" in held.columns:
+            rows = rows.join(held.select(F.col("book_key").cast("string")).distinct(), "book_key", "left_anti")
+    rows.write.mode("append" if not force else "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book_key").text(path)
+
+
 def json_rows(df: DataFrame) -> DataFrame:
     """Each row as a JSON string."""
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))

@@ -103,9 +103,59 @@ def test_build_and_command_line(spark, shelf, capsys):
     out = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
     assert {(r["section"], r["term"]) for r in out} == {("exact", "Thalamus"), ("variants", "thalamus")}
     assert cli.main(["--db", db, "lookup", "nothing at all"]) == 1
-    for command in (["search", "thalamus"], ["claim", "the thalamus relays"], ["books"], ["stats"], ["pairs"]):
+    for command in (["search", "thalamus"], ["books"], ["stats"], ["pairs"]):
         assert cli.main(["--db", db, *command]) == 0
     assert "Thalamus" in capsys.readouterr().out
+    assert cli.main(["--db", db, "lookup", "THALAMUS", "--expand"]) == 0
+    out = capsys.readouterr().out
+    assert "  [case] Thalamus  (1 book)\n" + " " * 6 + f"{'A 2000':<30}  pp. 2, 3" in out and "  [case] thalamus  (1 book)\n" + " " * 6 + f"{'A 2001':<30}  pp. 2, 3" in out
+    assert cli.main(["--db", db, "lookup", "EEG", "--expand"]) == 0
+    out = capsys.readouterr().out.splitlines()
+    assert out[0] == "  EEG  (2 books)" and "  variants (1):" in out and "  [abbreviation] Electroencephalogram (EEG)  (2 books)" in out
+    assert cli.main(["--db", db, "claim", "an EEG shows it"]) == 0
+    assert f"  [1.00]  {'EEG':<45}  A 2000 + 1 more" in capsys.readouterr().out.splitlines()
+    assert cli.main(["--db", db, "claim", "of nothing"]) == 1 and "(no matches)" in capsys.readouterr().out
+
+
+def test_single_steps_of_the_command_line(spark, shelf, capsys):
+    import zipfile
+
+    db, registry, texts = str(shelf / "db"), str(shelf / "registry.json"), [str(shelf / "one.txt"), str(shelf / "two.txt")]
+    assert cli.main(["detect", *texts, "--show", "4"]) == 0
+    assert "Thalamus, 2, 3" in capsys.readouterr().out
+    assert cli.main(["extract", registry, *texts, "--out", str(shelf / "indices")]) == 0
+    assert {(r.book_key, r.term) for r in spark.read.json(str(shelf / "indices")).collect()} >= {("one", "Thalamus"), ("two", "thalamus"), ("two", "EEG")}
+    assert cli.main(["--db", db, "build", registry, *texts, "--no-link", "--markdown", str(shelf / "md")]) == 0
+    for key in ("one", "two"):
+        whole = "\n".join(r.value for r in spark.read.text(str(shelf / "md" / f"book_key={key}")).collect())
+        (shelf / f"{key}.md").write_text(whole)
+    capsys.readouterr()
+    assert cli.main(["list", registry, "--texts", *texts, "--markdown", str(shelf / "one.md")]) == 0
+    assert [x.split() for x in capsys.readouterr().out.splitlines()] == [["one", "1", "1"], ["two", "1"]]
+    assert cli.main(["--db", db, "refs", str(shelf / "one.md"), str(shelf / "two.md"), "--registry", registry, "--out", str(shelf / "refs")]) == 0
+    out = capsys.readouterr().out.splitlines()
+    assert sorted(out[:2]) == ["one  1  1", "two  1  1"] and out[2].split()[0] != "0"
+    assert spark.read.parquet(str(shelf / "refs" / "references")).count() == 2 and spark.read.parquet(str(shelf / "refs" / "lookup")).where("size(chapters) > 0").count() > 0
+    with zipfile.ZipFile(shelf / "three.epub", "w") as z:
+        z.writestr("a.xhtml", "<p>One</p><p>Two</p>")
+        z.writestr("b_Index.xhtml", "<p class='level1'>Term, 3</p>")
+        z.writestr("c.xhtml", "<p>Three</p><style>no</style>")
+    out = str(shelf / "converted")
+    assert cli.main(["convert", str(shelf / "three.epub"), "--out", out]) == 0
+    first = spark.read.text(out).inputFiles()
+    assert [r.value for r in spark.read.text(f"{out}/book_key=three", wholetext=True).collect()] == ["One\nTwo\fThree\n"]
+    assert cli.main(["convert", str(shelf / "three.epub"), "--out", out]) == 0 and spark.read.text(out).inputFiles() == first
+    assert cli.main(["convert", str(shelf / "three.epub"), "--out", out, "--force"]) == 0 and spark.read.text(out).inputFiles() != first
+
+
+def test_wrappers():
+    import pathlib
+    import subprocess
+
+    root = pathlib.Path(__file__).parent.parent / "bin"
+    for name, words in (("tl", "lookup"), ("ts", "search"), ("tc", "claim"), ("txdb", "")):
+        done = subprocess.run([str(root / name), "--help"], capture_output=True, text=True)
+        assert done.returncode == 0 and f"usage: lexgrove {words}".strip() in done.stdout
 
 
 def test_readers_and_writers(spark, tmp_path):
