@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,39 @@ def numbered_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"c{n}" for n in range(len(df.columns))])
 
 
-def text_first(df: DataFrame, keep: Iterable[str], text: str = "text") -> tuple[DataFrame, StructType]:
-    """The text as a string, then the columns to keep, under names by place; and the schema of the latter."""
+#: Rows of a batch on the way to a worker where the session has Spark's own 10000.
+BATCH_ROWS = 2000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; its session sends batches of BATCH_ROWS rows, unless it has a setting of its own.
+
+    Texts are long rows: ten thousand of them, in both directions and for each core, are
+    what an executor has outside its heap.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
+class Texts(NamedTuple):
+    """Rows on their way to a function on batches: a text column and columns to keep, all under names by place."""
+
+    rows: DataFrame
+    #: The schema of the kept columns.
+    schema: StructType
+    #: Which column is the text, and how many columns stand before the kept ones.
+    at: int
+    skip: int
+
+
+def texts_of(df: DataFrame, keep: Iterable[str], text: str = "text") -> Texts:
+    """The text as a string and the columns to keep; a text that is kept as it is travels once."""
+    keep = list(keep)
+    small_batches(df)
+    if text in keep and dict(df.dtypes)[text] == "string":
+        rows = numbered_names(df.select(*every(keep)))
+        return Texts(rows, rows.schema, keep.index(text), 0)
     rows = numbered_names(df.select(F.col(text).cast("string").alias(fresh(df, "text")), *every(keep)))
-    return rows, StructType(rows.schema.fields[1:])
+    return Texts(rows, StructType(rows.schema.fields[1:]), 0, 1)

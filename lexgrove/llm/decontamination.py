@@ -14,7 +14,8 @@ The benchmark is the stated query set.  It is read in blocks bounded by
 scanned against it, so its size bounds memory, not which items count.  Documents
 are scanned where they lie: nothing is shuffled.
 
-Words are runs of letters and digits, lower-cased.  An item of fewer than `tile`
+Words are runs of letters and digits of any script, lower-cased; a script written
+without spaces has a word for each letter.  An item of fewer than `tile`
 words is one seed whole.  Items without words, null items and null or empty texts match
 nothing.  Items with equal words are tiled once and all reported.  Repeated rows
 are each reported; ids may be null.  An empty side gives an empty result.  Extra
@@ -33,18 +34,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .columns import numbered_names
+from .columns import numbered_names, small_batches
 
 TILE_WORDS, COVERAGE = 3, 0.5
 BLOCK_BYTES = 8 << 20
 #: About so many places of items are compared with texts at once.
 PLACES = 1 << 20
 
-#: Letters and digits; every byte of other scripts counts as a letter.
+#: Letters and digits by bytes; those beyond ASCII are letters, once `spaced` has seen to what is none.
 WORD_TABLE = np.zeros(256, np.uint8)
 WORD_TABLE[48:58] = WORD_TABLE[65:91] = WORD_TABLE[97:123] = WORD_TABLE[128:] = 1
 
 
+# What is no letter, mark or digit; letters of scripts that are written without spaces.
+_OTHER = r"[^\p{L}\p{M}\p{N}]+"
+_UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}])"
+#: Lead bytes of code points that are letters of alphabets with spaces, but for two signs: Latin from U+00C0 on, Cyrillic.
+_PLAIN = np.zeros(256, bool)
+_PLAIN[:0xC0] = True
+_PLAIN[[0xC3, 0xC4, 0xC5, 0xC6, 0xC7, 0xC8, 0xC9, 0xD0, 0xD1]] = True
+
+
+def spaced(column: pa.Array) -> pa.Array:
+    """Lower-cased texts with words set apart: signs beyond ASCII are spaces, each letter of an unspaced script is a word.
+
+    Texts without such code points, which their lead bytes tell, are only lower-cased.
+    """
+    column = pc.utf8_lower(column)
+    data, offsets = K.buffer_of(column)
+    odd = ~_PLAIN[data]
+    odd[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))  # the signs of multiplication and division
+    odd = np.append(0, np.cumsum(odd))[offsets]
+    mask = pa.array(np.diff(odd) > 0)
+    if not pc.any(mask).as_py():
+        return column
+    texts = pc.replace_substring_regex(pc.fill_null(column.filter(mask), ""), pattern=_OTHER, replacement=" ")
+    return pc.replace_with_mask(column, mask, pc.replace_substring_regex(texts, pattern=_UNSPACED, replacement=r" \1 "))
+
+
 def tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """(place in item, place in text, words) of each tile, longest first, earliest place first among equals.
 
@@ -153,7 +180,7 @@ class Index:
     """Seeds of one block of items by their size."""
 
     def __init__(self, items: list[tuple[object, str]], tile: int):
-        data, offsets = K.buffer_of(pc.utf8_lower(pa.array([text for _, text in items], pa.large_string())))
+        data, offsets = K.buffer_of(spaced(pa.array([text for _, text in items], pa.large_string())))
         words = K.tokenize(data, offsets, WORD_TABLE)
         same: dict[bytes, int] = {}
         self.words: list[np.ndarray] = []
@@ -173,7 +200,7 @@ class Index:
 
 def _found(column: pa.Array, index: Index, need: np.ndarray, coverage: float) -> Iterator[tuple]:
     """(row, item, share, tiles, longest) of the items that leak into the texts of a column."""
-    words = K.tokenize(*K.buffer_of(pc.utf8_lower(column)), WORD_TABLE)
+    words = K.tokenize(*K.buffer_of(spaced(column)), WORD_TABLE)
     for seeds in index.seeds:
         for row, item in seeds.near(words, need):
             own = index.words[item]
@@ -227,7 +254,7 @@ def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple]]:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, tile: int = TILE_WORDS, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, coverage, n_tiles, longest) for each document and item with at least that coverage."""
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    docs = small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"))
     benchmark = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -249,7 +276,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, tile: int = TILE_WORDS,
     """
     benchmark = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
     at = docs.columns.index("text")
-    rows = numbered_names(docs)
+    rows = numbered_names(small_batches(docs))
     if dict(docs.dtypes)["text"] != "string":
         rows, at = rows.withColumn("text", F.col(f"c{at}").cast("string")), len(docs.columns)
     for block in _blocks(benchmark, block_bytes):

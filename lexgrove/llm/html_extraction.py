@@ -41,9 +41,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import textkernel as K
-from .columns import every, text_first
+from .columns import every, texts_of
 
 # Element names and class words by meaning.
 BLOCKS = frozenset(
@@ -475,15 +476,15 @@ def learn(pages: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Weights:
     return Weights(w.tolist(), capacity)
 
 
-def _extract(batches: Iterator[pa.RecordBatch], weights: Weights) -> Iterator[pa.RecordBatch]:
+def _extract(batches: Iterator[pa.RecordBatch], weights: Weights, at: int, skip: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in K.slices(batch, 0):
-            texts = [main_text(x, weights) for x in part.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*part.schema.names[1:], "text", "n_chars"])
+        for part in K.slices(batch, at):
+            texts = [main_text(x, weights) for x in part.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[skip:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*part.schema.names[skip:], "text", "n_chars"])
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), weights: Weights | None = None) -> DataFrame:
     """The columns to keep, with text and n_chars of each whole page, by the given weights or those fitted to the pages."""
     weights = fit(pages, keep) if weights is None else weights
-    rows, schema = text_first(pages, keep, "html")
-    return rows.mapInArrow(partial(_extract, weights=weights), schema.add("text", "string").add("n_chars", "long")).toDF(*keep, "text", "n_chars")
+    rows, schema, at, skip = texts_of(pages, keep, "html")
+    return rows.mapInArrow(partial(_extract, weights=weights, at=at, skip=skip), StructType(list(schema)).add("text", "string").add("n_chars", "long")).toDF(*keep, "text", "n_chars")

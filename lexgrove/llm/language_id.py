@@ -24,9 +24,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import textkernel as K
-from .columns import text_first
+from .columns import small_batches, texts_of
 from .samples import balanced, short_enough
 
 LONGEST_GRAM, BITS = 3, 14
@@ -34,7 +35,7 @@ LONGEST_GRAM, BITS = 3, 14
 SAMPLE_EACH, LANDMARKS = 600, 160
 RIDGE, SHARPNESS = 1e-3, 3.0
 #: Rows scored by one matrix product.
-ROWS = 256
+ROWS = 64
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -75,7 +76,7 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _small(batch: pa.RecordBatch, text: str | int = "text") -> Iterator[pa.RecordBatch]:
-    for part in K.slices(batch, text, 1 << 20):
+    for part in K.slices(batch, text, 1 << 18):
         for at in range(0, part.num_rows, ROWS):
             yield part.slice(at, ROWS)
 
@@ -114,7 +115,7 @@ class Model:
 
 def fit(docs: DataFrame, sample_each: int = SAMPLE_EACH, landmarks: int = LANDMARKS) -> Model:
     """A model from the columns text and lang of all given rows (a bounded sample of each language)."""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(short_enough() & F.expr("doc_id IS NOT NULL AND text RLIKE '\\\\p{L}'"))
+    rows = small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(short_enough() & F.expr("doc_id IS NOT NULL AND text RLIKE '\\\\p{L}'"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     # texts become presence bits where they lie, so only those are put in order and sent
     got = balanced(rows, "lang", sample_each, made=lambda chosen: chosen.mapInArrow(_bits, f"doc_id {kind}, lang string, bits binary")).toArrow()
@@ -143,11 +144,11 @@ def fit(docs: DataFrame, sample_each: int = SAMPLE_EACH, landmarks: int = LANDMA
     return model
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model, names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], model, names: tuple[str, str], at: int, skip: int) -> Iterator[pa.RecordBatch]:
     model = model.value
     for batch in batches:
-        for part in _small(batch, 0):
-            text = pc.fill_null(part.column(0), "")
+        for part in _small(batch, at):
+            text = pc.fill_null(part.column(at), "")
             if not model.langs:
                 best, sure = np.full(len(text), "und", object), np.zeros(len(text))
             else:
@@ -157,11 +158,11 @@ def _predict(batches: Iterator[pa.RecordBatch], model, names: tuple[str, str]) -
                 best = np.array(model.langs, object)[score.argmax(axis=1)]
                 none = ~pc.match_substring_regex(text, r"\p{L}").to_numpy(zero_copy_only=False)
                 best[none], sure[none] = "und", 0.0
-            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(best.tolist(), pa.string()), pa.array(sure, pa.float64())], [*part.schema.names[1:], *names])
+            yield pa.RecordBatch.from_arrays([*part.columns[skip:], pa.array(best.tolist(), pa.string()), pa.array(sure, pa.float64())], [*part.schema.names[skip:], *names])
 
 
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns to keep, with the predicted language and its score (0 to 1) of each whole text, under the given names."""
-    rows, schema = text_first(docs, keep)
-    schema = schema.add(names[0], "string").add(names[1], "double")
-    return rows.mapInArrow(partial(_predict, model=docs.sparkSession.sparkContext.broadcast(model), names=names), schema).toDF(*keep, *names)
+    rows, schema, at, skip = texts_of(docs, keep)
+    schema = StructType(list(schema)).add(names[0], "string").add(names[1], "double")
+    return rows.mapInArrow(partial(_predict, model=docs.sparkSession.sparkContext.broadcast(model), names=names, at=at, skip=skip), schema).toDF(*keep, *names)

@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from . import textkernel as K
-from .columns import every, numbered_names, text_first
+from .columns import every, numbered_names, small_batches, texts_of
 
 UNIT = 64
 RATE = 8000
@@ -362,11 +362,11 @@ def _unfiltered(lines: np.ndarray) -> bytes | None:
     return out[1:, 1:].tobytes()
 
 
-def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _store(batches: Iterator[pa.RecordBatch], at: int, skip: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in K.slices(batch, 0):
+        for part in K.slices(batch, at):
             out = []
-            for text in part.column(0).to_pylist():
+            for text in part.column(at).to_pylist():
                 raw = (text or "").encode()
                 check = zlib.crc32(raw)
                 # the declared type is wrong for a quarter of the texts
@@ -374,13 +374,13 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 declared = STORED[check // 4 % 4] if check // 16 % 3 == 0 else kind
                 out.append((len(raw), declared, store(padded(raw), kind)))
             n, declared, media = zip(*out)
-            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(n, pa.int64()), pa.array(declared, pa.string()), pa.array(media, pa.binary())], [*part.schema.names[1:], "n_bytes", "declared", "media"])
+            yield pa.RecordBatch.from_arrays([*part.columns[skip:], pa.array(n, pa.int64()), pa.array(declared, pa.string()), pa.array(media, pa.binary())], [*part.schema.names[skip:], "n_bytes", "declared", "media"])
 
 
 def stored(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns to keep, with n_bytes, a declared type (not always right) and the media file of each whole text."""
-    rows, schema = text_first(docs, keep)
-    return rows.mapInArrow(_store, schema.add("n_bytes", "long").add("declared", "string").add("media", "binary")).toDF(*keep, "n_bytes", "declared", "media")
+    rows, schema, at, skip = texts_of(docs, keep)
+    return rows.mapInArrow(partial(_store, at=at, skip=skip), StructType(list(schema)).add("n_bytes", "long").add("declared", "string").add("media", "binary")).toDF(*keep, "n_bytes", "declared", "media")
 
 
 SEEN = "kind string, media_length long, corrected boolean, embedded array<struct<kind:string,offset:bigint,length:bigint>>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, mean double, spread double, peak int"
@@ -414,7 +414,7 @@ def inspected(media: DataFrame) -> DataFrame:
     channel of 8-bit samples.
     """
     rest = [c for c in media.columns if c != "media"]
-    rows = numbered_names(media.select(F.col("media").cast("binary"), F.col("declared").cast("string"), *every(rest)))
+    rows = numbered_names(small_batches(media).select(F.col("media").cast("binary"), F.col("declared").cast("string"), *every(rest)))
     new = StructType.fromDDL(SEEN)
     kinds = [(f.name, to_arrow_type(f.dataType)) for f in new]
     return rows.mapInArrow(partial(_inspect, kinds=kinds), StructType(rows.schema.fields[2:] + new.fields)).toDF(*rest, *new.names)

@@ -30,9 +30,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import textkernel as K
-from .columns import text_first
+from .columns import texts_of
 from .samples import balanced, labelled_texts
 
 BITS = 16
@@ -184,17 +185,17 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, sample_each: int = SAM
     return learn(texts, np.array(marks, np.int64), grades)
 
 
-def _apply(batches: Iterator[pa.RecordBatch], model, target: int) -> Iterator[pa.RecordBatch]:
+def _apply(batches: Iterator[pa.RecordBatch], model, target: int, at: int, skip: int) -> Iterator[pa.RecordBatch]:
     model = model.value
     for batch in batches:
-        for part in K.slices(batch, 0):
-            tails = model.tails(pc.fill_null(part.column(0), ""))
+        for part in K.slices(batch, at, 1 << 20):
+            tails = model.tails(pc.fill_null(part.column(at), ""))
             grade = (tails >= 0.5).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(tails.sum(axis=1)), pa.array(tails[:, target - 1]), pa.array(grade, pa.int32())], [*part.schema.names[1:], "expected_grade", "tail_probability", "grade"])
+            yield pa.RecordBatch.from_arrays([*part.columns[skip:], pa.array(tails.sum(axis=1)), pa.array(tails[:, target - 1]), pa.array(grade, pa.int32())], [*part.schema.names[skip:], "expected_grade", "tail_probability", "grade"])
 
 
 def grade(docs: DataFrame, model: Model, target: int = 1, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns to keep, with expected_grade, tail_probability (of at least the target) and the median grade."""
-    rows, schema = text_first(docs, keep)
-    schema = schema.add("expected_grade", "double").add("tail_probability", "double").add("grade", "integer")
-    return rows.mapInArrow(partial(_apply, model=docs.sparkSession.sparkContext.broadcast(model), target=target), schema).toDF(*keep, "expected_grade", "tail_probability", "grade")
+    rows, schema, at, skip = texts_of(docs, keep)
+    schema = StructType(list(schema)).add("expected_grade", "double").add("tail_probability", "double").add("grade", "integer")
+    return rows.mapInArrow(partial(_apply, model=docs.sparkSession.sparkContext.broadcast(model), target=target, at=at, skip=skip), schema).toDF(*keep, "expected_grade", "tail_probability", "grade")

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as K
+from .columns import small_batches
 from .graph import durable
 from .word_bpe import encoder
 
@@ -135,7 +136,7 @@ def _places(batches: Iterator[pa.RecordBatch], rows: np.ndarray, size: int) -> I
 
 def pack(docs: DataFrame, path: str, size: int = SEQUENCE, separator: int = SEPARATOR) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    docs = small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     cut = durable(docs.mapInArrow(partial(_pieces, path=path, size=size, separator=separator), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long"))
     held = cut.groupBy("part", "length").agg(F.count("*").alias("n"))

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as K
+from .columns import small_batches
 from .word_bpe import encoder
 
 #: Lengths are summed in ranges of this many first, then over the ranges.
@@ -39,7 +40,7 @@ def _lengths(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
 
 def length_histogram(docs: DataFrame, path: str) -> DataFrame:
     """(length, n_docs): how many texts have each encoded length, under the tokenizer file at path."""
-    texts = docs.select(F.col("text").cast("string").alias("text"))
+    texts = small_batches(docs).select(F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(partial(_lengths, path=path), "length long, n_docs long").groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
 
 

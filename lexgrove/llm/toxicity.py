@@ -31,9 +31,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import textkernel as K
-from .columns import text_first
+from .columns import texts_of
 from .decontamination import WORD_TABLE
 from .samples import balanced, labelled_texts
 
@@ -329,14 +330,14 @@ def learn(texts: pa.Array, y: np.ndarray, natural: dict[int, int]) -> Model:
     return Model(unique[chosen], weights, bias)
 
 
-def _score(batches: Iterator[pa.RecordBatch], model, name: str) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model, name: str, at: int, skip: int) -> Iterator[pa.RecordBatch]:
     model = model.value
     for batch in batches:
-        for part in K.slices(batch, 0):
-            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(model.scores(pc.fill_null(part.column(0), "")), pa.float64())], [*part.schema.names[1:], name])
+        for part in K.slices(batch, at, 1 << 19):
+            yield pa.RecordBatch.from_arrays([*part.columns[skip:], pa.array(model.scores(pc.fill_null(part.column(at), "")), pa.float64())], [*part.schema.names[skip:], name])
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
     """The columns to keep, with the score (0 to 1) of each whole text under the given name."""
-    rows, schema = text_first(docs, keep)
-    return rows.mapInArrow(partial(_score, model=docs.sparkSession.sparkContext.broadcast(model), name=name), schema.add(name, "double")).toDF(*keep, name)
+    rows, schema, at, skip = texts_of(docs, keep)
+    return rows.mapInArrow(partial(_score, model=docs.sparkSession.sparkContext.broadcast(model), name=name, at=at, skip=skip), StructType(list(schema)).add(name, "double")).toDF(*keep, name)

@@ -130,7 +130,45 @@ def test_segment_keys_miss_no_link():
             continue
         common = len(np.intersect1d(a, b))
         if 100 * common >= 85 * (len(a) + len(b) - common):
-            assert len(np.intersect1d(J.segment_keys(a, 85), J.segment_keys(b, 85)))
+            one, two = ({m: (spare, keys) for m, spare, keys in J.segment_keys(x, 85)} for x in (a, b))
+
+            def kept(own, other):
+                """The keys that stay where the two sets are alone, and where every key is shared with some third set."""
+                spare, keys = own
+                both = keys[np.isin(keys, other[1])]
+                return set(both[: len(both) - spare].tolist()), set(keys[: len(keys) - spare].tolist())
+
+            pairs = [(kept(one[m], two[m]), kept(two[m], one[m])) for m in one.keys() & two.keys()]
+            assert any(x[0] & y[0] for x, y in pairs) and any(x[1] & y[1] for x, y in pairs)
+
+
+def test_common_passages_make_no_blocks(spark):
+    """Texts that share a fifth of their words, and copies among them: only the copies meet."""
+    rnd = random.Random(9)
+    passage = [f"p{n}" for n in range(24)]
+    texts = []
+    for i in range(300):
+        if i % 30 == 29:
+            w = texts[-1].split()
+            w[3] = f"x{i}"
+        else:
+            w = passage + [f"w{rnd.randrange(10**6)}" for _ in range(96)]
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(df).collect()}
+    assert got == brute(list(enumerate(texts)))
+    sets = list(J.K.shingle_sets(*J.K.buffer_of(J.pa.array(texts)), 4))
+    held = {}
+    for i, s in enumerate(sets):
+        for _, _, keys in J.segment_keys(s, 85):
+            for key in keys.tolist():
+                held.setdefault(key, set()).add(i)
+    kept = 0
+    for s in sets:
+        for _, spare, keys in J.segment_keys(s, 85):
+            shared = [k for k in keys.tolist() if len(held[k]) > 1]
+            kept += len(shared) > spare
+    assert sum(any(len(held[k]) > 1 for _, _, x in J.segment_keys(s, 85) for k in x.tolist()) for s in sets) > 2 * kept
 
 
 def test_tree_join_against_pairs():
@@ -247,6 +285,27 @@ def test_items_in_short_pieces(spark):
     assert {(r.doc_id, r.item_id, r.n_tiles) for r in D.leaks(df, bench).collect()} == want
 
 
+def test_words_of_other_scripts(spark):
+    """Items within running text without spaces, and between typographic marks."""
+    items = [(1, "今天的天气非常好我们去公园散步"), (2, "the “quick” brown fox—jumps over…the dog"), (3, "Ελληνικά γράμματα και λέξεις εδώ"), (4, "καφέ × ½ ÷ five six seven eight")]
+    docs = [(1, "他说：今天的天气非常好,我们去公园散步吧。"), (2, "«The quick brown fox» jumps over the dog’s"), (3, "x;ΕΛΛΗΝΙΚΆ γράμματα, και\u00a0λέξεις εδώ·y"), (4, "plain text of nothing"), (5, "天天天天"), (6, None)]
+    df = spark.createDataFrame([(i, t, "x", 0, 0) for i, t in docs], DOCS)
+    rows = D.leaks(df, spark.createDataFrame([(i, t, 0) for i, t in items], BENCH)).collect()
+    assert sorted((r.doc_id, r.item_id, r.coverage) for r in rows) == [(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0)]
+    import unicodedata
+
+    import pyarrow as pa
+
+    rnd = random.Random(2)
+    letters = "aZ9é×÷Ωж中あก—“ \u00a0½'.ß"
+    for text in ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 12))) for _ in range(300)]:
+        want = [w for w in "".join(c if unicodedata.category(c)[0] in "LMN" and c not in "中あก" else f" {c} " if c in "中あก" else " " for c in text.lower()).split()]
+        words = D.K.tokenize(*D.K.buffer_of(D.spaced(pa.array([text]))), D.WORD_TABLE)
+        raw = D.spaced(pa.array([text]))[0].as_py().encode()
+        got = [raw[a:b].decode() for a, b in zip(words.starts.tolist(), words.ends.tolist())]
+        assert got == want, (text, got, want)
+
+
 def test_long_items(spark):
     """Items of several hundred words, copied whole and reordered."""
     rnd = random.Random(3)

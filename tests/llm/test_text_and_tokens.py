@@ -51,6 +51,44 @@ def test_sliced_column():
     assert [len(s) for s in K.shingle_sets(*K.buffer_of(whole.slice(1)), 1)] == [0, 1, 0]
 
 
+def test_words_of_a_regular_make(spark):
+    """Thue-Morse words and their complements, which polynomial hashes modulo 2**64 take for one."""
+    flip = str.maketrans("ab", "ba")
+    rows, word = [], "a"
+    while len(word) < 2048:
+        word += word.translate(flip)
+        if len(word) >= 512:
+            rows += [f"{word} and", f"{word.translate(flip)} and"]
+    e = Encoder(tokenizer_path())
+    want = [x.ids for x in e.tokenizer.encode_batch(rows, add_special_tokens=False)]
+    ids, bounds = e.encode(pa.array(rows))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.ids_crc32 for r in packing.pack(df, tokenizer_path(), 4096).collect()}
+    assert got == {i: zlib.crc32(np.array([*x, 0], "<u4").tobytes()) for i, x in enumerate(want)}
+    counts = {r.length: r.n_docs for r in token_counts.length_histogram(df, tokenizer_path()).collect()}
+    assert counts == {n: sum(len(x) == n for x in want) for n in {len(x) for x in want}}
+
+
+@pytest.mark.parametrize("most", [30, 5000])
+def test_context_table_of_any_lengths(spark, most):
+    """Every figure of random histograms against sums over all texts."""
+    rng = np.random.default_rng(most)
+    lengths = np.concatenate([rng.integers(0, most, 400), rng.integers(0, 40, 300), [0, 127, 128, 1024]])
+    kinds, many = np.unique(lengths, return_counts=True)
+    df = spark.createDataFrame([(int(a), int(b)) for a, b in zip(kinds, many)], "length long, n_docs long")
+    table = token_counts.context_table(df)
+    rows = {r.context_limit: r for r in table.collect()}
+    assert set(rows) == set(kinds.tolist())
+    for n, r in rows.items():
+        assert (r.n_docs, r.docs_at_least, r.tokens_at_least, r.truncated_tokens, r.docs_at_most) == ((lengths == n).sum(), (lengths >= n).sum(), lengths[lengths >= n].sum(), np.minimum(lengths, n).sum(), (lengths <= n).sum())
+    asked = [0, 1, 17, 100, 10**6]
+    got = {r.context_limit: r.truncated_tokens for r in token_counts.at_limits(table, spark.createDataFrame([(x,) for x in asked], "context_limit long")).collect()}
+    assert got == {x: np.minimum(lengths, x).sum() for x in asked}
+    for share in (0.1, 0.5, 0.99, 1.0):
+        assert token_counts.quantile(table, share).first().length == min(n for n in kinds.tolist() if (lengths <= n).sum() >= share * len(lengths) - 1e-9)
+
+
 def test_ids_are_the_tokenizer_s():
     texts = odd_texts(3000)
     e = Encoder(tokenizer_path())
