@@ -15,6 +15,7 @@ process and at every size.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -222,3 +223,14 @@ def slices(batch: pa.RecordBatch, column: str | int, most: int = 2 << 20) -> Ite
     cuts = np.append(np.flatnonzero(np.diff(group, prepend=-1)), n)
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         yield batch.slice(a, b - a)
+    _give_back()
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def _give_back() -> None:
+    """Memory that a batch no longer needs goes back to the system: workers outlive their tasks."""
+    if _trim is not None:
+        _trim(0)
+    pa.default_memory_pool().release_unused()
