@@ -399,3 +399,25 @@ def test_rules_without_a_host(spark):
 def test_both_verdicts_block(spark):
     rules = spark.createDataFrame([("a", "/", "allow"), ("A", "/", "block")], "host string, path string, verdict string")
     assert url_rules.judge(spark.createDataFrame([(1, "h://a/")], "page_id long, url string"), rules).first().verdict == "block"
+
+
+def test_whole_table_against_a_prefix_filter(spark):
+    """All of a table's documents, against a plain filter on each set's rarest shingles with every candidate tested."""
+    import pyarrow as pa
+
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    table, least = df.toArrow(), 80
+    sets = dict(zip(table["doc_id"].to_pylist(), J.K.shingle_sets(*J.K.buffer_of(table["text"].cast(pa.large_string()).combine_chunks()), 5)))
+    every, held = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+    groups, by_shingle = Groups(max(sets) + 1), {}
+    for i in sorted(sets, key=lambda i: (len(sets[i]), i)):
+        s, n = sets[i], len(sets[i])
+        rare = s[np.lexsort((s, held[np.searchsorted(every, s)]))][: n - -(-least * n // 100) + 1].tolist()
+        for j in {j for x in rare for j in by_shingle.get(x, ())}:
+            common = len(np.intersect1d(s, sets[j], assume_unique=True)) if groups.find(i) != groups.find(j) else 0
+            if common and 100 * common >= least * (n + len(sets[j]) - common):
+                groups.union(i, j)
+        for x in rare:
+            by_shingle.setdefault(x, []).append(i)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(df, 5, least).collect()}
+    assert got == {i: (len(s), groups.find(i)) for i, s in sets.items()}
