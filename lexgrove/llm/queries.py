@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extraction, language_id, media, ordinal_quality, packing, token_counts, toxicity, url_rules
+from . import decontamination, filter_audit, html_extraction, language_id, media, ordinal_quality, packing, token_alignment, token_counts, topk_search, toxicity, url_rules
 from .graph import durable
 from .jaccard_join import jaccard_components
 
@@ -119,6 +119,54 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.b) AS component_i
 """
 
 
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(table(spark, sf_dir, "embeddings"), F.expr("id % 50 = 0"))
+
+
+OP11_SQL = """
+WITH whole AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM scores)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.failures(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+words AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS least FROM texts),
+fails AS (SELECT doc_id, part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+  100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d, coalesce(least < doc_id, false) AS e FROM words),
+masks AS (SELECT doc_id, part, CAST(a AS INT) + 2 * CAST(b AS INT) + 4 * CAST(c AS INT) + 8 * CAST(d AS INT) + 16 * CAST(e AS INT) AS mask FROM fails),
+says AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+held AS (SELECT part, mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM masks LEFT JOIN says USING (doc_id)),
+tally AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM held GROUP BY part, mask),
+letter(l, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (SELECT p.l || q.l || r.l || s.l || t.l AS filter_order, [p.bit, q.bit, r.bit, s.bit, t.bit] AS bits FROM letter p, letter q, letter r, letter s, letter t
+  WHERE p.bit | q.bit | r.bit | s.bit | t.bit = 31),
+steps AS (SELECT filter_order, k AS step, bits[k] AS own, coalesce(list_sum(bits[1:k - 1]), 0) AS before FROM orders, (SELECT unnest(range(1, 6)) AS k)),
+found AS (SELECT part, filter_order, CAST(step AS INT) AS step, own,
+  sum(CASE WHEN mask & (own | CAST(before AS INT)) = 0 THEN n ELSE 0 END) AS kept,
+  sum(CASE WHEN mask & own <> 0 AND mask & CAST(before AS INT) = 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN mask & own <> 0 AND mask & CAST(before AS INT) <> 0 THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN mask & own <> 0 AND mask & CAST(before AS INT) = 0 THEN good ELSE 0 END) AS good_lost,
+  sum(CASE WHEN mask & own <> 0 AND mask & CAST(before AS INT) = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM tally, steps GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM found
+"""
+
+
 QUERIES = {
     "op1_ordinal_quality": op1_ordinal_quality,
     "op2_media": op2_media,
@@ -130,5 +178,8 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_language_id": op9_language_id,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_topk_search": op11_topk_search,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_filter_audit": op13_filter_audit,
 }
-ORACLES: dict[str, str] = {"op4_url_filter": OP4_SQL, "op7_html_extraction": OP7_SQL, "op10_jaccard_join": OP10_SQL}
+ORACLES: dict[str, str] = {"op4_url_filter": OP4_SQL, "op7_html_extraction": OP7_SQL, "op10_jaccard_join": OP10_SQL, "op11_topk_search": OP11_SQL, "op13_filter_audit": OP13_SQL}
