@@ -141,15 +141,35 @@ def references(lines: DataFrame, chapters: DataFrame) -> DataFrame:
     return entries.select("book_key", "ch_ord", "ch_title", F.row_number().over(order).alias("ref_ord"), T.parse_reference("raw").alias("r")).select("book_key", "ch_ord", "ch_title", "ref_ord", "r.*")
 
 
-def numbered_references(texts: DataFrame) -> DataFrame:
-    """texts (book_key, text) of numbered references ("12. ...") -> book_key, ref_ord, authors, year, title, venue, raw.
+def numbered_references(lines: DataFrame, keys: tuple[str, ...] = ("book_key",), least: int = 15) -> DataFrame:
+    """Lines (keys, line_no, line) of numbered references ("12. ...") -> keys, ref_ord, authors, year, title, venue, raw.
 
-    Pieces of fewer than 15 characters, and those without a year, go.
+    An entry begins at a line that a number opens and takes the lines that follow; lines
+    before the first are one entry.  Comments, headings, page numbers and blank lines are
+    none.  Entries of fewer than `least` characters, and those without a year, go.
     """
-    cut = texts.select("book_key", F.posexplode(F.split("text", r"\n(?=\d+\. )")).alias("ref_ord", "piece"))
-    raw = T.strip(F.regexp_replace(F.regexp_replace("piece", r"(?U)\s+", " "), r"^\s*\d+\. ", ""))
-    rows = cut.withColumn("raw", raw).where((F.length("raw") >= 15) & F.col("raw").rlike(T.YEAR))
-    return rows.select("book_key", "ref_ord", T.parse_reference("raw").alias("r")).select("book_key", "ref_ord", "r.*")
+    order = Window.partitionBy(*keys).orderBy("line_no")
+    rows = lines.where(~F.col("line").rlike(r"^(?:<!-- |#|\d{1,4}$)") & ~T.is_blank("line"))
+    rows = rows.withColumn("piece", F.sum(F.col("line").rlike(r"^\d+\. ").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])
+    whole = rows.groupBy(*keys, "piece").agg(F.array_join(parts, " ").alias("text"))
+    entries = whole.withColumn("raw", F.regexp_replace(T.strip("text"), r"(?U)^\d+\.\s+", "")).where(F.length("raw") >= least)
+    told = entries.select(*keys, "piece", T.parse_reference("raw").alias("r")).where("r.year <> ''")
+    return told.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy("piece")).alias("ref_ord"), "r.*")
+
+
+def numbered_sections(lines: DataFrame, chapters: DataFrame) -> DataFrame:
+    """book_key, ch_ord, ch_title, ref_ord, authors, year, title, venue, raw: each chapter's numbered references.
+
+    A section without a first or last line begins or ends with the book.  Where chapters of
+    a book share a title, the last one's references stand for it.
+    """
+    total = lines.groupBy("book_key").agg((F.max("line_no") + 1).alias("total"))
+    last = Window.partitionBy("book_key", "ch_title").orderBy(F.desc("ch_ord"))
+    known = chapters.withColumn("ch_title", F.coalesce("title", F.lit(""))).withColumn("r", F.row_number().over(last)).where("r = 1").join(total, "book_key")
+    spans = known.select("book_key", "ch_ord", "ch_title", F.coalesce("ref_start_line", F.lit(0)).alias("from_line"), F.coalesce("ref_end_line", "total").alias("to_line"))
+    inside = lines.join(spans, "book_key").where("line_no >= from_line AND line_no < to_line").select("book_key", "ch_ord", "ch_title", "line_no", "line")
+    return numbered_references(inside, ("book_key", "ch_ord", "ch_title"))
 
 
 def link_chapters(occurrences: DataFrame, chapters: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
-"""Per-book hooks: functions on a stage's table, applied to one book's rows.
+"""Per-book hooks: functions on a stage's table, applied to the rows of the books that have them.
 
 A hook takes a DataFrame and the other tables of the stage and returns a DataFrame of
-the same columns.  `rows_hook` adapts a function on lists of dicts, run for each book
-in its own group.
+the same columns.  Books that share a function go through it together: rows get the
+function's number by a join with the books' small table, so a stage is read once for each
+different function, however many books have one.  `rows_hook` adapts a function on lists
+of dicts, run for each book in its own group.
 """
 
 from __future__ import annotations
@@ -27,15 +29,21 @@ class Hooks:
         self._held[stage][book_key] = function
 
     def apply(self, stage: str, df: DataFrame, **tables: DataFrame) -> DataFrame:
-        """df with each hooked book's rows replaced by what its hook returns for that book."""
+        """df with the hooked books' rows replaced by what their function returns for them."""
         held = self._held[stage]
         if not held:
             return df
-        out = df.where(~F.coalesce(F.col("book_key").isin(*held), F.lit(False)))
-        for key, function in held.items():
-            own = {name: t.where(F.col("book_key") == key) for name, t in tables.items()}
-            made = function(df.where(F.col("book_key") == key), **own)
-            out = out.unionByName(made.where(F.col("book_key") == key).select(*df.columns))
+        functions = list(dict.fromkeys(held.values()))
+        place = {f: n for n, f in enumerate(functions)}
+        # a row for each hooked book: the registry's size
+        books = F.broadcast(df.sparkSession.createDataFrame([(key, place[f]) for key, f in held.items()], "book_key string, _hook int"))
+        told = df.join(books, "book_key", "left")
+        out = told.where("_hook IS NULL").select(*df.columns)
+        for n, function in enumerate(functions):
+            own = books.where(F.col("_hook") == n).select("book_key")
+            inside = {name: t.join(own, "book_key", "left_semi") for name, t in tables.items()}
+            made = function(told.where(F.col("_hook") == n).select(*df.columns), **inside)
+            out = out.unionByName(made.join(own, "book_key", "left_semi").select(*df.columns))
         return out
 
 

@@ -6,7 +6,7 @@ of lines.  `install` registers a layout for a book.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +27,7 @@ DOI = r"DOI:\s*10\."
 ABSTRACT = r"(?i)\AAbstract and Keywords\z"
 PAGE_OF = r"^Page \d+ of \d+$"
 CAPTION = r"(?i)^(FIGURE|TABLE|BOX|PLATE)\s+\d"
+CAPTION_OF_BARS = r"(?i)^(FIGURE|TABLE|BOX)\s+\d"
 TRAILING = r"(?i)\b(a|an|the|in|of|by|for|and|or|to|from|with|on|at|as|into)\s*$"
 COUNTRY = r"(?i),\s*(USA|UK|France|Germany|Belgium|Netherlands|Italy|Spain|Switzerland|Canada|Australia|Norway|Sweden|Denmark|Finland)\s*$"
 EDITORS = r"(?i)\(Eds?\.\)"
@@ -165,64 +166,75 @@ def _without_abbreviated_headings(segments: DataFrame, **_) -> DataFrame:
     return segments.withColumn("text", F.array_join(lines, "\n"))
 
 
+def _else_kept(made: DataFrame, chapters: DataFrame, books: DataFrame) -> DataFrame:
+    """made, and the chapters as they were of books that are not among these."""
+    return made.select(*chapters.columns).unionByName(chapters.join(books.select("book_key").distinct(), "book_key", "left_anti"))
+
+
 def _chapters_of_cycles(bibliography: int):
     def hook(chapters: DataFrame, lines: DataFrame, **_) -> DataFrame:
         """One chapter for each cycle, all with one bibliography that begins at a given page."""
         found = toc.cycles(lines).withColumn("end_page", F.coalesce("end_page", F.lit(bibliography - 1)))
-        page = F.regexp_extract("line", C.PAGE_MARK, 1).try_cast("int")
-        start = lines.where(page >= bibliography).groupBy("book_key").agg(F.min("line_no").alias("at"))
-        total = lines.groupBy("book_key").agg((F.max("line_no") + 1).alias("total"))
+        start = lines.where(toc.marked_page() >= bibliography).groupBy("book_key").agg(F.min("line_no").alias("at"))
         none = F.lit(None).cast("int")
         rows = found.select("book_key", "ch_ord", "title", "start_page", "end_page", none.alias("ref_start_line"), none.alias("ref_end_line"))
-        last = found.groupBy("book_key").agg((F.max("ch_ord") + 1).alias("ch_ord")).join(start, "book_key").join(total, "book_key")
-        return rows.union(last.select("book_key", "ch_ord", F.lit("Bibliography"), F.lit(bibliography), none, "at", "total"))
+        last = found.groupBy("book_key").agg((F.max("ch_ord") + 1).alias("ch_ord")).join(start, "book_key").join(toc.line_totals(lines), "book_key")
+        made = rows.union(last.select("book_key", "ch_ord", F.lit("Bibliography"), F.lit(bibliography), none, "at", "total"))
+        return _else_kept(made, chapters, found)
 
     return hook
 
 
-def _titled(table: DataFrame | None, keep: bool):
-    return lambda chapters, **_: chapters if table is None else toc.asof_titles(chapters, table, keep)
+def _from_spaced_openers(chapters: DataFrame, lines: DataFrame, **_) -> DataFrame:
+    """Chapters from lines that are opening marks, with their span's pages and first references."""
+    found = toc.spaced_openers(lines)
+    rows = found.withColumn("ch_ord", F.row_number().over(toc.in_book())).withColumnsRenamed({"ref_line": "ref_start_line", "until": "ref_end_line"})
+    return _else_kept(rows, chapters, found)
+
+
+def _from_outline_openers(chapters: DataFrame, lines: DataFrame, **_) -> DataFrame:
+    """Chapters from opening headings; the book's one reference list goes to the last, the others end where the next begins."""
+    found = toc.outline_openers(lines).where("start_page IS NOT NULL")
+    following = F.lead("start_page").over(toc.in_book())
+    rows = found.select("book_key", "title", "start_page", F.row_number().over(toc.in_book()).alias("ch_ord"), F.nullif(following, F.lit(0)).alias("next_page"), following.isNull().alias("last"))
+    lists = lines.where(F.col("line").rlike(r"^## References\s*$")).groupBy("book_key").agg(F.min("line_no").alias("list"))
+    starts = toc.page_lines(lines).select("book_key", F.col("page").alias("next_page"), F.col("line_no").alias("next_line"))
+    told = rows.join(toc.line_totals(lines), "book_key").join(lists, "book_key", "left").join(starts, ["book_key", "next_page"], "left")
+    end = F.when(F.col("last"), F.col("total")).when(F.col("next_page").isNull(), F.coalesce(F.nullif("list", F.lit(0)), "total")).otherwise(F.coalesce("next_line", "total"))
+    return told.select("book_key", "ch_ord", "title", "start_page", (F.col("next_page") - 1).alias("end_page"), F.when(F.col("last"), F.col("list")).alias("ref_start_line"), end.alias("ref_end_line"))
+
+
+def _titled(contents: DataFrame | None, keep: bool):
+    return lambda chapters, **_: chapters if contents is None else toc.asof_titles(chapters, contents, keep)
+
 
+def layouts(contents: DataFrame | None = None, bibliography: int = 373, noise: tuple[str, ...] = ("© Springer", "DOI")) -> dict[str, dict[str, Callable[..., DataFrame]]]:
+    """Layout name -> stage -> hook.
 
-def layouts(contents: DataFrame | None = None, bibliography: int = 373) -> dict[str, dict[str, Callable[..., DataFrame]]]:
-    """Layout name -> stage -> hook.  contents: the books' tables of contents (book_key, toc_ord, level, title, start_page)."""
-    noise = lambda rows, **_: rows.where(~(F.contains("term", F.lit("© Springer")) | F.contains("term", F.lit("DOI")) | F.contains("term", F.lit("et al"))))
+    contents: the books' tables of contents (book_key, toc_ord, level, title, start_page).
+    noise: phrases of index terms that are none; a book adds its running head's authors.
+    """
+    noisy = F.lit(False)
+    for phrase in noise:
+        noisy = noisy | F.contains("term", F.lit(phrase))
     opener = F.contains(F.col("text"), F.lit("C H A P T E R"))
     outline = {
         "post_segment": lambda s, **_: pages.without_front(s, opener),
         "post_strip": lambda s, **_: pages.cut_from(s, "C H A P T E R", "O U T L I N E"),
     }
 
-    def from_top_level(chapters: DataFrame, lines: DataFrame, markers: DataFrame, **_) -> DataFrame:
-        """Chapters wholly from the contents' top level; references from the first reading list in their span."""
-        if contents is None:
-            return chapters
-        top = toc.top_level(contents).select("book_key", F.col("toc_ord").alias("ch_ord"), F.regexp_replace("title", r"(?i)^Chapter\s+\d+:\s+", "").alias("title"), "start_page")
-        ends = toc.ends_before_next(top)
-        spans = toc.nearest_markers(ends.select("book_key", F.col("start_page").alias("page")), markers).select("book_key", F.col("page").alias("start_page"), F.col("line_idx").alias("line_no"))
-        refs = toc.following_headings(spans.where("line_no IS NOT NULL").select("book_key", "line_no"), lines, r"^## Suggested Reading")
-        joined = ends.join(spans, ["book_key", "start_page"], "left").join(refs, ["book_key", "line_no"], "left")
-        until = F.lead("line_no").over(Window.partitionBy("book_key").orderBy("line_no"))
-        total = F.lit(None).cast("int")
-        return joined.withColumn("until", until).select("book_key", "ch_ord", "title", "start_page", "end_page", F.col("ref_line").alias("ref_start_line"), F.when(F.col("ref_line").isNotNull(), F.coalesce("until", total)).alias("ref_end_line"))
-
-    def from_openers(chapters: DataFrame, lines: DataFrame, **_) -> DataFrame:
-        """Chapters from opening marks; only the last has references, or each where a heading lies before the next."""
-        found = toc.openers(lines).where("start_page IS NULL OR start_page > 10")
-        refs = toc.following_headings(found.select("book_key", "line_no"), lines, r"^## References")
-        order = Window.partitionBy("book_key").orderBy("line_no")
-        rows = found.join(refs, ["book_key", "line_no"], "left").withColumn("ch_ord", F.row_number().over(order)).withColumn("until", F.lead("line_no").over(order))
-        rows = rows.withColumn("end_page", F.lead("start_page").over(order) - 1)
-        total = lines.groupBy("book_key").agg((F.max("line_no") + 1).alias("total"))
-        return rows.join(total, "book_key").select("book_key", "ch_ord", F.coalesce("title", F.lit("")).alias("title"), "start_page", "end_page", F.col("ref_line").alias("ref_start_line"), F.when(F.col("ref_line").isNotNull(), F.coalesce("until", "total")).alias("ref_end_line"))
+    def from_top_level(chapters: DataFrame, lines: DataFrame, **_) -> DataFrame:
+        return chapters if contents is None else _else_kept(toc.top_level_chapters(contents.join(lines.select("book_key").distinct(), "book_key", "left_semi"), lines), chapters, contents)
 
     return {
-        "outline openers": outline | {"post_annotate": _headings_without(COUNTRY, EDITORS, SPACED, CAPTION), "post_chapter_detect": from_openers},
+        "outline openers": outline | {"post_chapter_detect": _from_outline_openers},
+        "spaced openers": outline | {"post_annotate": _headings_without(COUNTRY, EDITORS, SPACED, CAPTION), "post_chapter_detect": _from_spaced_openers},
         "cycles": {"post_segment": lambda s, **_: pages.without_front(s, T.strip("text").startswith("Cycle 1")), "post_chapter_detect": _chapters_of_cycles(bibliography)},
         "numbered chapters": {
             "post_segment": lambda s, **_: pages.interpolated(s.withColumn("book_page", numbered_chapter_page())),
-            "post_index_parse": noise,
-            "post_chapter_detect": _titled(contents, False),
+            "post_index_parse": lambda rows, **_: rows.where(~noisy),
+            "post_chapter_detect": _titled(None if contents is None else toc.unnumbered(contents), False),
+            "post_ref_parse": lambda refs, lines, chapters, **_: C.numbered_sections(lines, chapters),
         },
         "author initials": {
             "post_segment": lambda s, **_: pages.without_front(s.withColumn("book_page", F.coalesce(initialled_page(), "book_page")), _nth(full_lines(), 0).rlike(CHAPTER_LINE)),
@@ -233,7 +245,7 @@ def layouts(contents: DataFrame | None = None, bibliography: int = 373) -> dict[
         "bars": {
             "post_segment": _filled(BAR_LEFT, BAR_RIGHT, F.lower(_nth(full_lines(), 0)) == "chapter"),
             "post_strip": _stripped(lambda s: s.rlike(BAR_LEFT) | s.rlike(BAR_RIGHT)),
-            "post_annotate": _headings_without(CAPTION, TRAILING),
+            "post_annotate": _headings_without(CAPTION_OF_BARS, TRAILING),
             "post_chapter_detect": from_top_level,
         },
         "wide spaces": {
@@ -245,7 +257,7 @@ def layouts(contents: DataFrame | None = None, bibliography: int = 373) -> dict[
             "post_segment": _marked_openers,
             "post_strip": _stripped(lambda s: s.rlike(NUMBER) | is_author_list(s)),
             "post_annotate": lambda s, **_: s.withColumn("headings", F.filter("headings", lambda h: ~is_author_list(h["text"]))),
-            "post_chapter_detect": lambda c, **_: c if contents is None else toc.positional_titles(c, contents),
+            "post_chapter_detect": lambda c, **_: c if contents is None else toc.positional_titles(c, toc.unnumbered(contents)),
         },
         "inline numbers": {
             "post_segment": _inline_numbers,
@@ -256,8 +268,10 @@ def layouts(contents: DataFrame | None = None, bibliography: int = 373) -> dict[
     }
 
 
-def install(hooks: Hooks, book_key: str, layout: str, **options) -> Hooks:
-    """Registers a layout's hooks for a book."""
-    for stage, function in layouts(**options)[layout].items():
-        hooks.register(book_key, stage, function)
+def install(hooks: Hooks, book_keys: str | Iterable[str], layout: str, **options) -> Hooks:
+    """Registers a layout's hooks for a book, or for many that share its options."""
+    made = layouts(**options)[layout]
+    for key in [book_keys] if isinstance(book_keys, str) else book_keys:
+        for stage, function in made.items():
+            hooks.register(key, stage, function)
     return hooks

@@ -70,14 +70,15 @@ def toc_read(spark, sf_dir):
     return one.union(readers.bookmark_rows(marks).select(F.lit("bookmarks"), "book_key", "toc_ord", "level", "title", "start_page"))
 
 
+POSITIONAL = """SELECT book_key, rn AS ch_ord, CASE rn % 4 WHEN 0 THEN '' WHEN 1 THEN p_name || ' and what follows it' WHEN 2 THEN upper(p_name) ELSE substr(p_name, 1, 6) END AS title, rn * 10 AS start_page, rn * 10 + 9 AS end_page FROM m WHERE rn % 3 = 0 OR right(book_key, 1) > '3'"""
+ENTRIES = "SELECT book_key, rn AS toc_ord, 'On ' || p_name || ' of size ' || p_size AS title FROM m"
+
+
 def toc_positional(spark, sf_dir):
     """Chapters titled by place where the contents have as many entries, else by the first entry that holds their title."""
-    keys = _parts(spark, sf_dir).select("book_key").distinct()
-    rows = [(1, "Alpha", 1, 9), (2, "", 10, 19), (3, "The beta of a very long title and more", 20, 29), (4, "No such title", 30, 39)]
-    entries = [(0, "One", False), (1, "Two of alpha", False), (2, "On the Beta of a very long ti", False), (3, "Four", False), (4, "alpha again", True)]
-    chapters = keys.crossJoin(F.broadcast(spark.createDataFrame(rows, "ch_ord int, title string, start_page int, end_page int")))
-    contents = keys.crossJoin(F.broadcast(spark.createDataFrame(entries, "toc_ord int, title string, more boolean"))).where("NOT more OR right(book_key, 1) > '2'")
-    return toc.positional_titles(chapters, contents)
+    m = _parts(spark, sf_dir)
+    of = lambda sql: spark.sql(sql.replace("FROM m", "FROM {m}"), m=m)
+    return toc.positional_titles(of(POSITIONAL), of(ENTRIES))
 
 
 # --- EPUB ---------------------------------------------------------------------------------
@@ -198,8 +199,8 @@ def link_edges(spark, sf_dir):
 
 def numbered_references(spark, sf_dir):
     item = F.concat(F.col("rn").cast("string"), F.lit(". "), F.when(F.col("rn") % 3 == 0, "Short one").when(F.col("rn") % 3 == 1, F.concat(F.lit("Small R,\nRing S (1999) "), "p_name", F.lit(". Journal 4."))).otherwise(F.concat(F.lit("An entry without any year of "), "p_name")))
-    texts = _parts(spark, sf_dir).groupBy("book_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", item.alias("x")))), lambda e: e["x"]), "\n").alias("text"))
-    return C.numbered_references(texts)
+    lines = _parts(spark, sf_dir).select("book_key", "rn", F.posexplode(F.split(item, "\n")).alias("k", "line"))
+    return C.numbered_references(lines.select("book_key", (F.col("rn") * 2 + F.col("k")).alias("line_no"), "line"))
 
 
 def first_tokens(spark, sf_dir):
@@ -287,8 +288,9 @@ UNION ALL SELECT 'no such book', 'unknown', NULL, NULL, NULL, NULL, NULL UNION A
     "index_read": tables.OCC_SQL + "SELECT book_key, term, CAST(row_number() OVER (PARTITION BY book_key ORDER BY first_key) - 1 AS INT) AS term_ord, array_to_string(pages, ',') AS pages FROM occ",
     "toc_read": f"""WITH m AS ({PART}) SELECT 'contents' AS form, book_key, rn - 1 AS toc_ord, CASE WHEN rn % 2 = 1 THEN 0 ELSE rn % 3 END AS level, p_name AS title, rn AS start_page FROM m
 UNION ALL SELECT 'bookmarks', book_key, rn, rn % 3, p_name, rn FROM m""",
-    "toc_positional": f"""SELECT book_key, ch_ord, CASE WHEN right(book_key, 1) > '2' THEN many ELSE same END AS title, start_page, end_page
-FROM {_KEYS}, (VALUES (1, 'One', 'Two of alpha', 1, 9), (2, 'Two of alpha', '', 10, 19), (3, 'On the Beta of a very long ti', 'On the Beta of a very long ti', 20, 29), (4, 'Four', 'No such title', 30, 39)) AS c(ch_ord, same, many, start_page, end_page)""",
+    "toc_positional": f"""WITH m AS ({PART}), c AS (SELECT *, row_number() OVER (PARTITION BY book_key ORDER BY ch_ord) AS i, count(*) OVER (PARTITION BY book_key) AS n FROM ({POSITIONAL})),
+e AS (SELECT *, row_number() OVER (PARTITION BY book_key ORDER BY toc_ord) AS i, count(*) OVER (PARTITION BY book_key) AS n FROM ({ENTRIES}))
+SELECT book_key, ch_ord, coalesce((SELECT arg_min(e.title, e.toc_ord) FROM e WHERE e.book_key = c.book_key AND CASE WHEN e.n = c.n THEN e.i = c.i ELSE c.title <> '' AND contains(e.title, substr(c.title, 1, 25)) END), title) AS title, start_page, end_page FROM c""",
     "epub_chapters": f"""{_DOCUMENTS}, kept AS (SELECT *, row_number() OVER (PARTITION BY book_key ORDER BY doc_seq) AS label FROM named WHERE doc_seq NOT IN (2, 3)),
 whole AS (SELECT book_key, regexp_replace(string_agg({_EPUB_BODY}, chr(10) || chr(10) ORDER BY doc_seq) || chr(10), '\\n{{3,}}', chr(10) || chr(10), 'g') AS markdown FROM kept GROUP BY book_key)
 SELECT book_key, length(markdown) AS n_chars, md5(markdown) AS md5 FROM whole""",
@@ -307,7 +309,7 @@ UNION ALL SELECT NULL, NULL, NULL, (SELECT count(DISTINCT term) FROM links), (SE
     "lookup_subentries": f"{_SUBS} SELECT 'all' AS kind, term, n_books, book_key, pages FROM subs UNION ALL SELECT 'main', term, n_books, book_key, pages FROM subs WHERE NOT contains(term, '>')",
     "link_edges": f"""{_REFS}, {text_queries._RANGES}, inside AS (SELECT DISTINCT o.term, o.book_key, r.ch_title FROM (SELECT book_key, term, CAST(unnest(pages) AS INT) AS page FROM occ) o JOIN ranges r ON o.book_key = r.book_key AND o.page BETWEEN r.sp AND r.ep WHERE r.ch_ord <> 3 AND o.book_key <> 'Brand#13')
 SELECT 'linked terms' AS kind, book_key, count(*) AS n FROM inside GROUP BY book_key UNION ALL SELECT 'references', book_key, count(*) FROM refs WHERE ch_ord > 1 GROUP BY book_key UNION ALL SELECT 'known candidates', '', 1""",
-    "numbered_references": f"""WITH m AS ({PART}) SELECT book_key, rn - 1 AS ref_ord, 'Small R, Ring S' AS authors, '1999' AS year, p_name AS title, 'Journal 4.' AS venue, 'Small R, Ring S (1999) ' || p_name || '. Journal 4.' AS raw FROM m WHERE rn % 3 = 1""",
+    "numbered_references": f"""WITH m AS ({PART}) SELECT book_key, CAST(row_number() OVER (PARTITION BY book_key ORDER BY rn) AS INT) AS ref_ord, 'Small R, Ring S' AS authors, '1999' AS year, p_name AS title, 'Journal 4.' AS venue, 'Small R, Ring S (1999) ' || p_name || '. Journal 4.' AS raw FROM m WHERE rn % 3 = 1""",
     "first_tokens": f"""{tables.OCC_SQL} SELECT term, coalesce(list_filter(regexp_split_to_array(lower(term), '[\\s\\-/,;:()\\[\\]]+'), lambda t: length(t) > 2 AND t NOT IN {T.STOP_WORDS})[1], substr({term_queries.NORM}, 1, 4)) AS token FROM terms""",
     "hit_lines": f"""{tables.OCC_SQL} SELECT t.term, '  [case] ' || t.term || '  (' || t.n_books || CASE WHEN t.n_books = 1 THEN ' book)' ELSE ' books)' END || chr(10)
   || string_agg('      ' || rpad('Author ' || right(o.book_key, 1) || ' ' || (1990 + CAST(regexp_extract(o.book_key, '(\\d+)$', 1) AS INT)), 30, ' ') || '  pp. ' || array_to_string(o.pages, ', '), chr(10) ORDER BY o.book_key) AS text

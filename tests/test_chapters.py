@@ -163,8 +163,17 @@ def test_references_by_title(spark):
 
 
 def test_numbered_references(spark):
-    df = spark.createDataFrame([("b", "1. Smith J. A study of things. 1999\nmore words\n2. short\n3. Doe A. Another work of note. 2004")], "book_key string, text string")
-    assert [r.year for r in C.numbered_references(df).orderBy("ref_ord").collect()] == ["1999", "2004"]
+    lines = md(spark, "A preface of 1990 before all", "1. Smith J. A study of things. 1999", "12", "# Head", "", "more words", "2. short", "3. Doe A. Another work of note. 2004", "4. An entry without a year at all")
+    rows = C.numbered_references(lines).orderBy("ref_ord").collect()
+    assert [(r.ref_ord, r.year) for r in rows] == [(1, "1990"), (2, "1999"), (3, "2004")]
+    assert rows[1].raw == "Smith J. A study of things. 1999 more words"
+
+
+def test_numbered_sections(spark):
+    lines = md(spark, "Nobody wrote this one. 1888", "1. First A. The first of them. 1901", "2. Second B. The second of them. 1902", "text", "1. Third C. The third of them. 1903")
+    chapters = spark.createDataFrame([("b", 1, "One", 1, 3), ("b", 2, "Two", 4, None), ("b", 3, "Same", 0, 1), ("b", 4, "Same", None, 2), ("b", 5, None, 3, 4)], "book_key string, ch_ord int, title string, ref_start_line int, ref_end_line int")
+    rows = C.numbered_sections(lines, chapters).orderBy("ch_ord", "ref_ord").collect()
+    assert [(r.ch_ord, r.ch_title, r.ref_ord, r.year) for r in rows] == [(1, "One", 1, "1901"), (1, "One", 2, "1902"), (2, "Two", 1, "1903"), (4, "Same", 1, "1888"), (4, "Same", 2, "1901")]
 
 
 def test_int_pages(spark):
@@ -218,11 +227,11 @@ def test_toc(spark):
 def test_toc_by_lines(spark):
     lines = md(spark, "<!-- p. 3 -->", "# Cycle 1", "### Chapter 2", "C H A P T E R", "### A long title", "<!-- p. 12 -->", "## Selected Reading", "x", "## References", "# Cycle 2", "## References")
     assert [(r.title, r.start_page, r.end_page) for r in toc.cycles(lines).orderBy("ch_ord").collect()] == [("Cycle 1", 3, 11), ("Cycle 2", 12, None)]
-    opener = toc.openers(lines).first()
-    assert (opener.title, opener.start_page) == ("A long title", 12)
+    opener = toc.spaced_openers(lines).first()
+    assert (opener.number, opener.title, opener.first_page, opener.start_page, opener.end_page, opener.ref_line, opener.until) == ("### A long title", "<!-- p. 12 -->", 12, 12, 12, 8, 11)
     refs = ch(spark, ("a", 1, 2, 8))
     assert toc.extended_references(refs, lines).first().ref_start_line == 6
-    assert titles(toc.numbered_titles(refs, lines, contents(spark, (0, "1. First", 1), (0, "2. Second", 9)))) == [(0, "Second")]
+    assert titles(toc.numbered_titles(refs, lines, contents(spark, (0, "1 First", 1), (0, "2 Old", 9), (0, "2  Second", 9)))) == [(0, "Second")]
     starts = spark.createDataFrame([("b", 1), ("b", 9)], "book_key string, line_no int")
     assert {r.line_no: r.ref_line for r in toc.following_headings(starts, lines, C.REFERENCES).collect()} == {1: 8, 9: 10}
     targets = spark.createDataFrame([("b", 4), ("b", 99)], "book_key string, page int")

@@ -154,7 +154,7 @@ def test_wrappers():
 
     root = pathlib.Path(__file__).parent.parent / "bin"
     for name, words in (("tl", "lookup"), ("ts", "search"), ("tc", "claim"), ("txdb", "")):
-        done = subprocess.run([str(root / name), "--help"], capture_output=True, text=True)
+        done = subprocess.run(["bash", str(root / name), "--help"], capture_output=True, text=True)
         assert done.returncode == 0 and f"usage: lexgrove {words}".strip() in done.stdout
 
 
