@@ -415,14 +415,17 @@ def _structure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(pages: DataFrame, ids: tuple[str, ...] = ("page_id", "url"), sample_pages: int = SAMPLE_PAGES) -> Weights:
-    """Weights fitted to the pages: sample_pages of them at most, of LONGEST_PAGE bytes at most, chosen by a hash."""
+    """Weights fitted to the pages: sample_pages of them at most, of LONGEST_PAGE bytes at most, chosen by a hash.
+
+    Pages that share a hash (repeated rows) count as one.
+    """
     order = F.xxhash64(*every(ids), F.col("html").cast("string"))
     short = pages.where(F.octet_length(F.col("html").cast("string")) <= LONGEST_PAGE)
     # the hashes alone are put in order; their largest chosen one then picks the pages
-    last = short.select(order.alias("h")).orderBy("h").limit(sample_pages).agg(F.max("h").alias("h")).first().h
+    last = short.select(order.alias("h")).distinct().orderBy("h").limit(sample_pages).agg(F.max("h").alias("h")).first().h
     if last is None:
         return Weights()
-    rows = short.where(order <= last).select(F.col("html").cast("string").alias("html"), order.alias("h"))
+    rows = short.where(order <= last).select(F.col("html").cast("string").alias("html"), order.alias("h")).dropDuplicates(["h"])
     got = rows.mapInArrow(_structure, "h long, seen binary, places binary, pairs binary").toArrow().sort_by([("h", "ascending"), ("seen", "ascending")])
     return learn([(np.frombuffer(a, "<f4").reshape(-1, len(STATED)), np.frombuffer(b, "<i8").reshape(-1, 2), np.frombuffer(c, "<i4").reshape(-1, 3)) for a, b, c in zip(*(got[x].to_pylist() for x in ("seen", "places", "pairs")))])
 

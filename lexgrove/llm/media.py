@@ -77,6 +77,83 @@ def store(payload: bytes, kind: str) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", struct.pack(">IIBBBBB", UNIT, rows, 8, 0, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 1)) + _chunk(b"IEND", b"")
 
 
+#: Bytes of a stretch of a file that has a sum of its own.
+STRETCH = 4096
+#: The CRC polynomial, bits reversed.
+_POLY = 0xEDB88320
+
+
+def _times(matrix: list[int], vector: int) -> int:
+    out = 0
+    for row in matrix:
+        if vector & 1:
+            out ^= row
+        vector >>= 1
+        if not vector:
+            break
+    return out
+
+
+@cache
+def _zeros(power: int) -> list[int]:
+    """What 2**power zero bytes do to a CRC register, as a matrix over bits."""
+    if power == 0:
+        one = [_POLY] + [1 << n for n in range(31)]  # a zero bit
+        for _ in range(3):
+            one = [_times(one, row) for row in one]
+        return one
+    half = _zeros(power - 1)
+    return [_times(half, row) for row in half]
+
+
+def _joined(first: int, whole: int, size: int) -> int:
+    """The CRC of the last size bytes of what has the sum whole, if what is before them has the sum first."""
+    for power in range(size.bit_length()):
+        if size >> power & 1:
+            first = _times(_zeros(power), first)
+    return whole ^ first
+
+
+class Chunks:
+    """Chains of RIFF chunks; each place is walked once, and jumps find a chain's last chunk before an end."""
+
+    def __init__(self, data: bytes, odd: int):
+        self.data, self.odd = data, odd
+        #: place -> (next place, a place further on, chunks to the chain's end, first fmt and first data from here on)
+        self.held: dict[int, tuple[int, int, int, int, int]] = {}
+
+    def _walk(self, p: int) -> None:
+        b, path, far = self.data, [], len(self.data) + 1
+        while p + 8 <= len(b) and p not in self.held:
+            path.append(p)
+            p += 8 + struct.unpack_from("<I", b, p + 4)[0]
+            p += (p - self.odd) % 2
+        none = (far, far, 0, far, far)
+        for q in reversed(path):
+            name = b[q : q + 4]
+            _, jump, deep, form, sound = self.held.get(p, none)
+            there = self.held.get(jump, none)
+            # a jump twice as long where the last two were equally long
+            further = there[1] if deep - there[2] == there[2] - self.held.get(there[1], none)[2] and deep else p
+            self.held[q] = (p, further, deep + 1, q if name == b"fmt " else form, q if name == b"data" else sound)
+            p = q
+
+    def last(self, p: int, most: int) -> tuple[int, bool, bool] | None:
+        """(the last chunk at or before a place of the chain from p, whether a fmt and a data chunk come up to it)."""
+        if p > most or p + 8 > len(self.data):
+            return None
+        self._walk(p)
+        _, _, _, form, sound = self.held[p]
+        while True:
+            after, jump, _, _, _ = self.held[p]
+            if jump <= most and jump in self.held:
+                p = jump
+            elif after <= most and after in self.held:
+                p = after
+            else:
+                return p, form <= p, sound <= p
+
+
 class File:
     """A file's bytes, with what validators find out once for all magic numbers in it."""
 
@@ -84,6 +161,9 @@ class File:
         self.data = data
         self._ends: dict[int, tuple[int, bool]] = {}
         self._blocks: dict[int, int] = {}
+        self._riffs: dict[int, Chunks] = {}
+        self._pngs: dict[int, tuple[int, bool]] = {}
+        self._sums = [0]
 
     @cached_property
     def zips(self) -> dict[int, int]:
@@ -113,6 +193,52 @@ class File:
         n = bisect_left(held, at)
         return held[n] if n < len(held) else -1
 
+    def before(self, mark: bytes, at: int) -> int:
+        """The last place of a mark before a place, or -1."""
+        held = self.places(mark)
+        n = bisect_left(held, at)
+        return held[n - 1] if n else -1
+
+    def riff(self, odd: int) -> Chunks:
+        """The chunks of files that begin at even or odd places (pad bytes differ)."""
+        if odd not in self._riffs:
+            self._riffs[odd] = Chunks(self.data, odd)
+        return self._riffs[odd]
+
+    def crc(self, a: int, b: int) -> int:
+        """CRC-32 of the bytes from a to b, from sums kept for whole stretches."""
+        if b - a <= 2 * STRETCH:
+            return zlib.crc32(memoryview(self.data)[a:b])
+        return _joined(self._crc_to(a), self._crc_to(b), b - a)
+
+    def _crc_to(self, p: int) -> int:
+        n = p // STRETCH
+        while len(self._sums) <= n:
+            k = len(self._sums)
+            self._sums.append(zlib.crc32(memoryview(self.data)[(k - 1) * STRETCH : k * STRETCH], self._sums[-1]))
+        return zlib.crc32(memoryview(self.data)[n * STRETCH : p], self._sums[n])
+
+    def png_body(self, p: int) -> tuple[int, bool]:
+        """(behind the IEND of the chunks that begin at p, whether an IDAT is among them); -1 where they do not hold."""
+        b, path, found = self.data, [], (-1, False)
+        while p + 12 <= len(b):
+            if p in self._pngs:
+                found = self._pngs[p]
+                break
+            n, name = struct.unpack_from(">I", b, p)[0], b[p + 4 : p + 8]
+            path.append((p, n, name))
+            p += 12 + n
+            if p > len(b) or name == b"IHDR":
+                break
+            if name == b"IEND":
+                found = (p, False)
+                break
+        for q, n, name in reversed(path):  # sums only where the structure holds
+            whole = found[0] >= 0 and self.crc(q + 4, q + 8 + n) == struct.unpack_from(">I", b, q + 8 + n)[0]
+            found = (found[0], found[1] or name == b"IDAT") if whole else (-1, False)
+            self._pngs[q] = found
+        return found
+
     def gif_blocks(self, p: int) -> int:
         """Behind the sub-blocks that begin at p; each place is walked once for the file."""
         b, path = self.data, []
@@ -147,23 +273,18 @@ class File:
         return found
 
 
-#: A wav of more chunks is not confirmed.
-WAV_CHUNKS = 1000
-
-
 def _wav(file: File, at: int) -> int | None:
     b = file.data
     if b[at + 8 : at + 12] != b"WAVE" or len(b) < at + 12:
         return None
     end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
-    seen, p = set(), at + 12
-    for _ in range(WAV_CHUNKS if end <= len(b) else 0):
-        if p + 8 > end:
-            break
-        seen.add(b[p : p + 4])
-        p += 8 + struct.unpack_from("<I", b, p + 4)[0]
-        p += (p - at) % 2 if p < end else 0
-    return end - at if p == end and {b"fmt ", b"data"} <= seen else None
+    last = file.riff(at & 1).last(at + 12, end - 8) if end <= len(b) else None
+    if last is None:
+        return None
+    p, form, sound = last
+    ends = p + 8 + struct.unpack_from("<I", b, p + 4)[0]
+    # a pad byte follows an odd chunk, but not the one that ends the file
+    return end - at if end in (ends, ends + (ends - at) % 2) and form and sound else None
 
 
 def _au(file: File, at: int) -> int | None:
@@ -175,32 +296,27 @@ def _au(file: File, at: int) -> int | None:
     return head + size if fits else None
 
 
+#: Sizes of bitmap headers that begin alike.
+BMP_HEADERS = (40, 52, 56, 108, 124)
+
+
 def _bmp(file: File, at: int) -> int | None:
     b = file.data
     if len(b) < at + 54:
         return None
     size, _, _, start, head, width, height, planes, depth, packing, pixels = struct.unpack_from("<IHHIIiiHHII", b, at + 2)
-    if head != 40 or planes != 1 or depth not in (1, 4, 8, 16, 24, 32) or packing not in (0, 3) or width <= 0 or not height:
+    if head not in BMP_HEADERS or planes != 1 or depth not in (1, 4, 8, 16, 24, 32) or packing not in (0, 3) or width <= 0 or not height:
         return None
     line = (width * depth + 31) // 32 * 4
-    return size if start >= 54 and start + line * abs(height) <= size and at + size <= len(b) and pixels in (0, line * abs(height)) else None
+    return size if start >= 14 + head and start + line * abs(height) <= size and at + size <= len(b) and pixels in (0, line * abs(height)) else None
 
 
 def _png(file: File, at: int) -> int | None:
-    b, p, parts = file.data, at + 8, []
-    if b[p : p + 8] != b"\0\0\0\x0dIHDR":
+    b, p = file.data, at + 8
+    if b[p : p + 8] != b"\0\0\0\x0dIHDR" or len(b) < p + 25 or file.crc(p + 4, p + 21) != struct.unpack_from(">I", b, p + 21)[0]:
         return None
-    while p + 12 <= len(b):
-        n, name = struct.unpack_from(">I", b, p)[0], b[p + 4 : p + 8]
-        parts.append((p, n, name))
-        p += 12 + n
-        if p > len(b) or len(parts) > 1 and name == b"IHDR":
-            return None
-        if name == b"IEND":  # sums only where the structure holds
-            view = memoryview(b)
-            whole = all(zlib.crc32(view[q + 4 : q + 8 + m]) == struct.unpack_from(">I", b, q + 8 + m)[0] for q, m, _ in parts)
-            return p - at if whole and any(kind == b"IDAT" for _, _, kind in parts) else None
-    return None
+    end, image = file.png_body(p + 25)
+    return end - at if end > 0 and image else None
 
 
 def _gif(file: File, at: int) -> int | None:
@@ -241,9 +357,10 @@ def _zip(file: File, at: int) -> int | None:
 
 
 def _pdf(file: File, at: int) -> int | None:
-    begin = file.after(b"startxref", at)
-    end = file.after(b"%%EOF", begin) if begin >= 0 else -1
-    return end + 5 - at if end >= 0 and file.data[at + 5 : at + 8].replace(b".", b"0").isdigit() else None
+    """Up to the last end mark before the next file's head: files that grow, or begin with an index, have several."""
+    begin, following = file.after(b"startxref", at), file.after(b"%PDF-", at + 5)
+    end = file.before(b"%%EOF", following if following >= 0 else len(file.data))
+    return end + 5 - at if 0 <= begin < end and file.data[at + 5 : at + 8].replace(b".", b"0").isdigit() else None
 
 
 VALIDATORS: dict[str, Callable[[File, int], int | None]] = {"wav": _wav, "bmp": _bmp, "png": _png, "au": _au, "gif": _gif, "jpeg": _jpeg, "zip": _zip, "pdf": _pdf}
@@ -285,12 +402,18 @@ def samples(data: bytes, kind: str) -> bytes | None:
     return reader(data) if reader else None
 
 
+#: The wav coding that tells its own further on.
+EXTENSIBLE = 0xFFFE
+
+
 def _wav_samples(data: bytes) -> bytes | None:
     p, form = 12, None
     while p + 8 <= len(data):
         name, n = data[p : p + 4], struct.unpack_from("<I", data, p + 4)[0]
         if name == b"fmt " and n >= 16:
             coding, channels, _, _, _, bits = struct.unpack_from("<HHIIHH", data, p + 8)
+            if coding == EXTENSIBLE and n >= 40:  # the coding is in the identifier
+                coding = struct.unpack_from("<H", data, p + 32)[0]
             form = coding, channels, bits
         elif name == b"data":
             return data[p + 8 : p + 8 + n] if form == (1, 1, 8) else None

@@ -8,6 +8,7 @@ import time
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexgrove.llm import html_extraction as H
 from lexgrove.llm import media as M
@@ -110,6 +111,108 @@ def test_samples_of_other_writers():
         assert M.sniff(data) == (kind, len(data), []) and M.samples(data, kind) == want, (kind, want)
 
 
+def bmp_of(head, width, height, depth, pixels):
+    start = 14 + head + (1024 if depth == 8 else 0)
+    return b"BM" + struct.pack("<IHHI", start + len(pixels), 0, 0, start) + struct.pack("<IiiHHIIiiII", head, width, height, 1, depth, 0, len(pixels), 0, 0, 0, 0) + bytes(start - 54) + pixels
+
+
+def test_later_versions_of_formats():
+    chunks = b"".join(b"junk" + struct.pack("<I", n % 4) + bytes(n % 4 + n % 2) for n in range(5000))
+    long = wav(1, 1, 8, b"abc", chunks)
+    assert M.sniff(long) == ("wav", len(long), []) and M.samples(long, "wav") == b"abc"
+    for head in (40, 108, 124):
+        data = bmp_of(head, 5, 2, 8, b"abcde\0\0\0fghij\0\0\0")
+        assert M.sniff(data) == ("bmp", len(data), []) and M.samples(data, "bmp") == b"fghijabcde"
+    form = struct.pack("<HHIIHHHHIH", 0xFFFE, 1, 8000, 8000, 1, 8, 22, 8, 4, 1) + b"\0\0\0\0\x10\0\x80\0\0\xaa\0\x38\x9b\x71"
+    body = b"WAVEfmt " + struct.pack("<I", len(form)) + form + b"data" + struct.pack("<I", 4) + b"abcd"
+    data = b"RIFF" + struct.pack("<I", len(body)) + body
+    assert M.sniff(data) == ("wav", len(data), []) and M.samples(data, "wav") == b"abcd"
+    grown = b"%PDF-1.4 first startxref 9 %%EOF then startxref 12 %%EOF"
+    assert M.sniff(grown) == ("pdf", len(grown), [])
+    assert M.sniff(grown + b" x " + grown) == ("pdf", len(grown), [("pdf", len(grown) + 3, len(grown))])
+
+
+def plain_wav(b, at):
+    """A wav's length by a plain walk."""
+    if b[at : at + 4] != b"RIFF" or b[at + 8 : at + 12] != b"WAVE":
+        return None
+    end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
+    p, seen = at + 12, set()
+    while end <= len(b) and p + 8 <= end:
+        seen.add(b[p : p + 4])
+        p += 8 + struct.unpack_from("<I", b, p + 4)[0]
+        p += (p - at) % 2 if p < end else 0
+    return end - at if end <= len(b) and p == end and {b"fmt ", b"data"} <= seen else None
+
+
+def plain_png(b, at):
+    if b[at : at + 8] != b"\x89PNG\r\n\x1a\n" or b[at + 8 : at + 16] != b"\0\0\0\x0dIHDR":
+        return None
+    p, names = at + 8, []
+    while p + 12 <= len(b):
+        n, name = struct.unpack_from(">I", b, p)[0], b[p + 4 : p + 8]
+        if p + 12 + n > len(b) or names and name == b"IHDR" or zlib.crc32(b[p + 4 : p + 8 + n]) != struct.unpack_from(">I", b, p + 8 + n)[0]:
+            return None
+        names.append(name)
+        p += 12 + n
+        if name == b"IEND":
+            return p - at if b"IDAT" in names else None
+    return None
+
+
+def test_sniffing_against_plain_walks():
+    """Random media, whole, cut, changed and inside each other, between random bytes."""
+    rnd = random.Random(11)
+
+    def medium(deep=0):
+        kind = rnd.randrange(5)
+        inside = medium(deep + 1) if deep < 2 and rnd.random() < 0.4 else bytes(rnd.randrange(256) for _ in range(rnd.randint(0, 40)))
+        if kind == 0:
+            extra = b"".join(rnd.choice((b"LIST", b"fmt ", b"junk")) + struct.pack("<I", n) + bytes(n + n % 2) for n in (rnd.randint(0, 5) for _ in range(rnd.randint(0, 6))))
+            return wav(1, 1, 8, inside, extra)
+        if kind == 1:
+            parts = [M._chunk(rnd.choice((b"tEXt", b"IDAT")), inside) for _ in range(rnd.randint(0, 3))]
+            return b"\x89PNG\r\n\x1a\n" + M._chunk(b"IHDR", bytes(13)) + b"".join(parts) + M._chunk(b"IEND", b"")
+        return gif() if kind == 2 else jpeg() if kind == 3 else inside
+
+    found = 0
+    for _ in range(1500):
+        data = b"".join(rnd.choice((b"", b"x", b"RIFF", b"\x89PNG\r\n\x1a\n")) + medium() for _ in range(rnd.randint(1, 4)))
+        if rnd.random() < 0.3 and data:
+            at = rnd.randrange(len(data))
+            data = data[:at] + bytes([rnd.randrange(256)]) + data[at + 1 :]
+        file = M.File(data)
+        for at in range(len(data)):
+            for magic, kind, plain in ((b"RIFF", "wav", plain_wav), (b"\x89PNG\r\n\x1a\n", "png", plain_png)):
+                if data.startswith(magic, at):
+                    want = plain(data, at)
+                    assert M.VALIDATORS[kind](file, at) == want, (data, at)
+                    found += want is not None
+        kind, length, embedded = M.sniff(data)
+        past = 0
+        for name, at, n in [(kind, 0, length)] * (kind != "unknown") + embedded:
+            assert M.VALIDATORS[name](M.File(data), at) == n and at >= past
+            past = at + n if at else 0
+    assert found > 800
+
+
+def test_sums_of_stretches():
+    rnd = random.Random(4)
+    data = rnd.randbytes(60_000)
+    file = M.File(data)
+    for _ in range(200):
+        a, b = sorted(rnd.randrange(len(data) + 1) for _ in "ab")
+        assert file.crc(a, b) == zlib.crc32(data[a:b])
+
+
+def shared_chain(k):
+    """PNG heads whose second chunks all lead into one chain of chunks."""
+    head = b"\x89PNG\r\n\x1a\n" + M._chunk(b"IHDR", bytes(13))
+    each = len(head) + 8
+    chain = M._chunk(b"IDAT", b"x") * k + M._chunk(b"IEND", b"")
+    return b"".join(head + struct.pack(">I", (k - 1 - n) * each) + b"tEXt" for n in range(k)) + bytes(4) + chain
+
+
 def test_work_grows_with_the_bytes():
     """Files full of magic numbers and marks that no or every one of them shares."""
     end = b"PK\x05\x06" + bytes(18)
@@ -120,6 +223,8 @@ def test_work_grows_with_the_bytes():
         b"GIF89a" + bytes(7) + b"!\xf9" + bytes([255]) * 300_000,
         (b"RIFF" + struct.pack("<I", 700_000) + b"WAVE") * 20_000 + bytes(500_000),
         (b"\x89PNG\r\n\x1a\n" + M._chunk(b"IHDR", bytes(13))) * 10_000,
+        shared_chain(8_000),
+        (b"RIFF" + struct.pack("<I", 0xFFFF) + b"WAVE") * 5_000 + (b"junk" + bytes(4)) * 60_000,
     ]
     for data in hostile:
         began = time.process_time()
@@ -263,3 +368,16 @@ def test_fitted_weights_are_the_best():
     assert np.abs(slope).max() < 1e-4
     agree = (H.EDGE_PAIRS / (1 + np.exp(-1.0)) + 60 * 0.8) / (H.EDGE_PAIRS + 60)
     assert np.isclose(weights.edges[H.SAME], np.log(agree / (1 - agree)))
+
+
+def test_repeated_pages_count_once_in_a_sample(spark):
+    page = "<html><body><div><p>Some words of a page that is here many times over.</p></div></body></html>"
+    many = spark.range(3000).select(F.lit(1).alias("page_id"), F.lit("http://x.org/").alias("url"), F.lit(page).alias("html"))
+    seen = []
+    whole, H.learn = H.learn, lambda pages: seen.append(len(pages)) or whole(pages)
+    try:
+        H.fit(many)
+        H.fit(many.union(spark.createDataFrame([(2, "u", page), (3, None, None)], "page_id int, url string, html string")))
+    finally:
+        H.learn = whole
+    assert seen == [1, 2]
