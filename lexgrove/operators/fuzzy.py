@@ -4,6 +4,11 @@ Every strategy is an equi-join on a blocking key with the test in the join condi
 so rejected pairs are never materialised, and a pair is produced at one key only, so
 none has to be deduplicated.  Pairs come as (ord1, ord2, term1, term2, match_type,
 score); ord is the terms' order, on which orientation depends.
+
+Keys are ordered by how many terms have them.  What lies in another term has all its
+six-character pieces there, so it is looked up at its rarest piece alone; terms with
+tokens in common meet at the rarest of these.  A key of many terms is cut into cells, so
+no task gets more than a bounded part of it.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.similarity import token_set_bound, token_set_ratio
+from ..functions.similarity import bound_of, ratio_of, raw_tokens, token_set_bound, token_set_ratio
 
 # Brackets around an abbreviation in a term, and a bare abbreviation.
 HOSTED = r"\(([A-Z][A-Z0-9\-]{1,7})\)"
@@ -38,13 +43,48 @@ def case_pairs(terms: DataFrame) -> DataFrame:
     return _pairs(a.join(b, F.expr("a.norm = b.norm AND a.ord < b.ord")), "a", "b", "case", F.lit(1.0))
 
 
-def _blocked(terms: DataFrame) -> DataFrame:
-    keyed = terms.select("ord", "term", T.normalised("term").alias("norm"), T.block_tokens("term").alias("tokens"))
-    return keyed.select("*", F.explode("tokens").alias("token"))
+#: Terms of a key that one cell takes.
+CELL = 2000
+#: Characters of a piece.
+PIECE = 6
+
+
+def _keyed(terms: DataFrame) -> DataFrame:
+    return terms.select("ord", "term", T.normalised("term").alias("norm"), T.block_tokens("term").alias("tokens"))
+
 
+def _cells(many: str = "many") -> Column:
+    return F.floor((F.col(many) - 1) / CELL).cast("int") + 1
 
-#: A pair that shares several tokens is met at the smallest.
-_ONCE = "a.token = b.token AND a.ord < b.ord AND a.norm <> b.norm AND a.token = array_min(array_intersect(a.tokens, b.tokens))"
+
+def _own(cells: str = "cells") -> Column:
+    return F.pmod(F.xxhash64("ord"), F.col(cells)).cast("int")
+
+
+def containment_candidates(terms: DataFrame, test: Column | None = None) -> DataFrame:
+    """Pairs of an inner term and one that has the inner one's rarest piece: i_ and o_ord, term, norm, tokens.
+
+    A term shorter than a piece has one token, which the outer one must have; it is looked
+    up there.  test is a condition on the pair.
+    """
+    keyed = _keyed(terms)
+    places = F.sequence(F.lit(1), F.length("norm") - PIECE + 1)
+    long = F.length("norm") >= PIECE
+    pieces = F.when(long, F.array_distinct(F.transform(places, lambda i: F.substring("norm", i, F.lit(PIECE))))).otherwise(F.array().cast("array<string>"))
+    whole = lambda t: F.concat(F.lit("="), t)  # noqa: E731  a token, beside pieces
+    held = keyed.withColumn("pieces", pieces)
+    outer = held.select("ord", "term", "norm", "tokens", F.explode(F.array_distinct(F.concat("pieces", F.transform("tokens", whole)))).alias("key"))
+    counts = outer.groupBy("key").agg(F.count("*").alias("many"))
+    # the rarest piece of each term
+    of_pieces = held.select("ord", F.explode("pieces").alias("key")).join(counts, "key")
+    of_tokens = keyed.where(~long).select("ord", whole(F.get("tokens", F.lit(0))).alias("key")).join(counts, "key")
+    rarest = of_pieces.groupBy("ord").agg(F.min(F.struct("many", "key")).alias("r")).select("ord", "r.key", "r.many").union(of_tokens.select("ord", "key", "many"))
+    inner = rarest.withColumn("cells", _cells()).join(keyed, "ord").select("key", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), *[F.col(c).alias(f"i_{c}") for c in ("ord", "term", "norm", "tokens")])
+    hot = counts.where(F.col("many") > CELL).select("key", _cells().alias("cells"))
+    dealt = outer.join(hot, "key", "left").withColumn("cells", F.coalesce("cells", F.lit(1)))
+    dealt = dealt.select("key", _own().alias("cell"), *[F.col(c).alias(f"o_{c}") for c in ("ord", "term", "norm", "tokens")])
+    met = inner.join(dealt, (inner["key"] == dealt["key"]) & (inner["cell"] == dealt["cell"]) & F.expr("i_ord <> o_ord") & (F.lit(True) if test is None else test))
+    return met.drop("key", "cell")
 
 
 def containment_pairs(terms: DataFrame, min_len: int = 6) -> DataFrame:
@@ -53,26 +93,39 @@ def containment_pairs(terms: DataFrame, min_len: int = 6) -> DataFrame:
     Only the earlier term has to have min_len characters.  The score is the ratio of
     their lengths, below 0.95.
     """
-    blocked = _blocked(terms)
-    a, b = blocked.where(F.length("norm") >= min_len).alias("a"), blocked.alias("b")
-    shorter = F.least(F.length("a.norm"), F.length("b.norm"))
-    score = F.bround(shorter / F.greatest(F.length("a.norm"), F.length("b.norm")), 3)
-    inside = F.contains(F.col("a.norm"), F.col("b.norm")) | F.contains(F.col("b.norm"), F.col("a.norm"))
-    joined = a.join(b, F.expr(_ONCE) & inside & (score < 0.95))
-    second = F.length("b.norm") < F.length("a.norm")
-    swap = lambda c: (F.when(second, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")), F.when(second, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")))
-    (o1, o2), (t1, t2) = swap("ord"), swap("term")
-    return joined.select(o1.alias("ord1"), o2.alias("ord2"), t1.alias("term1"), t2.alias("term2"), F.lit("containment").alias("match_type"), score.alias("score"))
+    score = F.bround(F.length("i_norm") / F.length("o_norm"), 3)
+    inside = F.expr("i_norm <> o_norm AND contains(o_norm, i_norm) AND arrays_overlap(i_tokens, o_tokens)")
+    earlier = F.length(F.when(F.col("i_ord") < F.col("o_ord"), F.col("i_norm")).otherwise(F.col("o_norm")))
+    found = containment_candidates(terms, inside & (earlier >= min_len) & (score < 0.95))
+    return found.select(F.col("i_ord").alias("ord1"), F.col("o_ord").alias("ord2"), F.col("i_term").alias("term1"), F.col("o_term").alias("term2"), F.lit("containment").alias("match_type"), score.alias("score"))
+
+
+def token_candidates(terms: DataFrame, test: Column | None = None) -> DataFrame:
+    """Pairs of terms with a token in common, met at the rarest: a_ and b_ord, term, norm, raw; the earlier first.
+
+    A key's terms are dealt to cells, and each pair of cells meets in one place.  test is a
+    condition on the pair.
+    """
+    keyed = _keyed(terms)
+    blocked = keyed.select("ord", F.explode("tokens").alias("token"))
+    counts = blocked.groupBy("token").agg(F.count("*").alias("many"))
+    ranked = blocked.join(counts, "token").groupBy("ord").agg(F.sort_array(F.collect_list(F.struct("many", "token"))).alias("ranked"))
+    rows = keyed.select("ord", "term", "norm", raw_tokens("term").alias("raw")).join(ranked, "ord")
+    each = rows.select("ord", "term", "norm", "raw", F.transform("ranked", lambda r: r["token"]).alias("ranked"), F.explode("ranked").alias("r")).select("*", F.col("r.token").alias("token"), F.col("r.many").alias("many"))
+    each = each.where("many > 1").withColumn("cells", _cells()).withColumn("own", _own())
+    all_cells = F.sequence(F.lit(0), F.col("cells") - 1)
+    side = lambda name, cell: each.select("token", F.explode(F.transform(all_cells, cell)).alias("cell"), *[F.col(c).alias(f"{name}_{c}") for c in ("ord", "term", "norm", "raw", "ranked")])
+    a, b = side("a", lambda j: F.col("own") * F.col("cells") + j), side("b", lambda i: i * F.col("cells") + F.col("own"))
+    once = F.expr("a_ord < b_ord AND a_norm <> b_norm") & (a["token"] == F.get(F.array_intersect("a_ranked", "b_ranked"), F.lit(0)))
+    met = a.join(b, (a["token"] == b["token"]) & (a["cell"] == b["cell"]) & once & (F.lit(True) if test is None else test))
+    return met.drop("token", "cell", "a_ranked", "b_ranked")
 
 
 def token_set_pairs(terms: DataFrame, threshold: float = 80) -> DataFrame:
     """Terms that share a token and have at least that token-set ratio; the earlier first."""
-    blocked = _blocked(terms)
-    a, b = blocked.alias("a"), blocked.alias("b")
-    joined = a.join(b, F.expr(_ONCE) & (token_set_bound("a.term", "b.term") >= threshold))
-    near = joined.select(F.col("a.ord").alias("ord1"), F.col("b.ord").alias("ord2"), F.col("a.term").alias("term1"), F.col("b.term").alias("term2"))
-    scored = near.withColumn("ratio", token_set_ratio("term1", "term2")).where(F.col("ratio") >= threshold)
-    return scored.select("ord1", "ord2", "term1", "term2", F.lit("token_set").alias("match_type"), F.bround(F.col("ratio") / 100, 3).alias("score"))
+    near = token_candidates(terms, bound_of(F.col("a_raw"), F.col("b_raw")) >= threshold)
+    scored = near.withColumn("ratio", ratio_of(F.col("a_raw"), F.col("b_raw"))).where(F.col("ratio") >= threshold)
+    return scored.select(F.col("a_ord").alias("ord1"), F.col("b_ord").alias("ord2"), F.col("a_term").alias("term1"), F.col("b_term").alias("term2"), F.lit("token_set").alias("match_type"), F.bround(F.col("ratio") / 100, 3).alias("score"))
 
 
 def all_pairs(terms: DataFrame, threshold: float = 80) -> DataFrame:

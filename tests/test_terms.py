@@ -199,3 +199,85 @@ def test_registered_candidates_are_of_all_strategies(spark):
     assert "token_set" in {p[2] for p in pairs}
     assert sorted(tuple(r) for r in Q.candidate_ingest(spark, sf).select("term1_id", "term2_id", "match_type", "score").collect()) == pairs
     assert Q.db_stats(spark, sf).first().candidates == len(pairs)
+
+
+def near_terms(rnd, n=260):
+    """Terms with parts of each other, odd brackets, and one word that most of them have."""
+    word = lambda: "".join(rnd.choice("abcé") for _ in range(rnd.randint(1, 5)))
+    out = ["memory"]
+    while len(out) < n:
+        kind = rnd.random()
+        base = rnd.choice(out)
+        if kind < 0.35:
+            out.append(f"{word()} memory {word()}{rnd.choice(('', '-' + word(), ' (' + word().upper() + ')'))}")
+        elif kind < 0.6:
+            out.append(rnd.choice((f"{word()} {base}", f"{base} {word()}", f"{base}s", f"{word()}{base}", base.upper(), f"({base})")))
+        elif kind < 0.7:
+            out.append(rnd.choice(("go", "of", "the", "a b", "", "  ", "go away", "abc", "abc de")))
+        elif kind < 0.85:
+            cut = sorted(rnd.randrange(len(base) + 1) for _ in "ab")
+            out.append(base[cut[0] : cut[1]])
+        else:
+            out.append(" ".join(word() for _ in range(rnd.randint(1, 5))))
+    return list(dict.fromkeys(out))
+
+
+def blocked(spark, df):
+    from lexgrove.functions import text as T
+
+    return [(r.ord, r.term, r.norm, set(r.tokens)) for r in df.select("ord", "term", T.normalised("term").alias("norm"), T.block_tokens("term").alias("tokens")).collect()]
+
+
+@pytest.mark.parametrize("cell", [5, 2000])
+def test_pairs_against_all_pairs(spark, monkeypatch, cell):
+    """Both strategies by rarest keys and cells find what trying every pair finds, each pair once."""
+    monkeypatch.setattr(fuzzy, "CELL", cell)
+    df = terms(spark, *near_terms(random.Random(cell)))
+    rows = sorted(blocked(spark, df))
+    inner, near = set(), set()
+    for i, (o1, t1, n1, k1) in enumerate(rows):
+        for o2, t2, n2, k2 in rows[i + 1 :]:
+            if n1 == n2 or not k1 & k2:
+                continue
+            if len(n1) >= 6 and (n1 in n2 or n2 in n1) and round(min(len(n1), len(n2)) / max(len(n1), len(n2)), 3) < 0.95:
+                inner.add((t1, t2) if len(n1) < len(n2) else (t2, t1))
+            if similarity.ratio(t1, t2) >= 80:
+                near.add((t1, t2))
+    for found, want in ((fuzzy.containment_pairs(df), inner), (fuzzy.token_set_pairs(df), near)):
+        got = [(r.term1, r.term2) for r in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+
+
+def test_a_hot_token_makes_few_candidates(spark):
+    """A word of all terms: what lies in others is looked up at its rarest piece, and cells share the rest."""
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
+    df = terms(spark, *[f"memory {word()} {word()}" for _ in range(600)])
+    every_pair = 600 * 599 // 2
+    assert fuzzy.containment_candidates(df).count() < every_pair // 100
+    met = fuzzy.token_candidates(df)
+    assert met.count() == every_pair
+
+
+def test_cells_of_a_hot_token(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy, "CELL", 50)
+    df = terms(spark, *[f"memory x{n} y{n}" for n in range(400)])
+    own = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        parts = [r["count"] for r in fuzzy.token_candidates(df).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(parts) == 400 * 399 // 2 and len(parts) == 4 and max(parts) < sum(parts) * 0.6
+
+
+def test_lcs_of_many():
+    rnd = random.Random(9)
+    text = lambda most: "".join(rnd.choice("abé🙂 ") for _ in range(rnd.randint(0, most)))
+    a, b = [text(rnd.choice((3, 20, 90))) for _ in range(900)], [text(rnd.choice((3, 20, 90))) for _ in range(900)]
+    assert similarity.lcs_many(a, b).tolist() == [similarity.lcs(x, y) for x, y in zip(a, b)]
+    assert similarity.lcs_many([], []).tolist() == []
+    assert similarity.lcs_many(["x" * 64, "x" * 65], ["x" * 64, "x" * 70]).tolist() == [64, 65]
