@@ -39,13 +39,16 @@ from .columns import every, fresh, small_batches
 from .graph import shared_folder
 
 #: Distinct words that a worker remembers, and the longest of them in bytes.
-REMEMBERED, LONGEST = 500_000, 256
+REMEMBERED, LONGEST = 400_000, 256
 #: Distinct pairs of ids whose counts go to all tasks; beyond, pairs are joined with their counts.
 BROADCAST_PAIRS = 1 << 20
-#: Words encoded in one call.
-TOGETHER = 500
+#: Words encoded in one call, and words learnt at once.
+TOGETHER, LEARNT = 500, 32_000
 
 SPACE, MARK = b" ", "▁"
+# How a byte-level tokenizer cuts text before merging, and the characters below U+0250 that are plain letters or printable ASCII.
+_PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_PLAIN = re.compile(rb"(?:[ -~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])*")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -83,17 +86,40 @@ class Pair:
         words = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size())]
         self.a_bytes = [w.encode() if i in special else level_bytes(w) for i, w in enumerate(words)]
         self.b_bytes = [piece_bytes(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
+        self.plain = self._plain(byte_level, special)
         self.a_sizes = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_sizes = np.array([len(x) for x in self.b_bytes], np.int64)
 
+    def _plain(self, path: str, special: set[int]):
+        """The same merges in a faster library, for texts of characters that need no character database."""
+        import json
+
+        import tiktoken
+
+        with open(path) as f:
+            model = json.load(f)["model"]
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        order = [bytes([b]) for b in range(256)] + [level_bytes(x + y) for x, y in pairs]
+        ids = {level_bytes(w): i for w, i in model["vocab"].items() if i not in special}
+        ranks = {w: n for n, w in enumerate(dict.fromkeys(order))}
+        to_id = [ids[w] for w in ranks]
+        own = tiktoken.Encoding("byte level", pat_str=_PIECES, mergeable_ranks=ranks, special_tokens={})
+
+        class Plain:
+            @staticmethod
+            def encode_ordinary(text: str) -> list[int]:
+                return [to_id[n] for n in own.encode_ordinary(text)]
+
+        return Plain
+
     def _flat(self, words: list[bytes], encode, spelt: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words one after another, how many each has; -1 where they do not spell it).
 
         Words that end visibly are encoded together and told apart by their bytes.
         """
         counts, ids = np.full(len(words), -1, np.int64), [np.zeros(0, np.int64)] * len(words)
-        alone = [n for n, w in enumerate(words) if not _visible_end(w)]
-        joined = [n for n, w in enumerate(words) if _visible_end(w)]
+        visible = [_visible_end(w) for w in words]
+        alone, joined = ([n for n, v in enumerate(visible) if v == which] for which in (False, True))
         groups = [joined[k : k + TOGETHER] for k in range(0, len(joined), TOGETHER)]
         texts = [b"".join([words[n] for n in g]) for g in groups]
         for group, text, got in zip(groups, texts, encode([t.decode() for t in texts])):
@@ -111,10 +137,10 @@ class Pair:
         return ids, counts
 
     def encode(self, words: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(the words, those that end visibly first; A ids and their number, B ids and their number)."""
-        words = sorted(words, key=_visible_end, reverse=True)
+        """(the words in an order of their own; A ids and their number, B ids and their number)."""
+        words = sorted(words, key=lambda w: (_visible_end(w), _PLAIN.fullmatch(w) is not None), reverse=True)
         space = self.b.piece_to_id(MARK)
-        by_a = lambda texts: [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        by_a = lambda texts: [self.plain.encode_ordinary(t) if _PLAIN.fullmatch(t.encode()) else self.a.encode(t, add_special_tokens=False).ids for t in texts]
         by_b = lambda texts: [[space] if t == " " else x for t, x in zip(texts, self.b.encode([t[1:] for t in texts], num_threads=1))]  # noqa: E731  its own space comes first
         (a, n_a), (b, n_b) = self._flat(words, by_a, self.a_bytes, self.a_sizes), self._flat(words, by_b, self.b_bytes, self.b_sizes)
         return words, np.concatenate(a), n_a, np.concatenate(b), n_b
@@ -183,8 +209,8 @@ class Words:
     def look_up(self, words: list[bytes]) -> np.ndarray:
         """Each word's place; new ones are encoded and aligned."""
         new = [w for w in words if w not in self.known]
-        if new:
-            self._learn(new)
+        for k in range(0, len(new), LEARNT):
+            self._learn(new[k : k + LEARNT])
         place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         self.used[place] += 1
         return place
