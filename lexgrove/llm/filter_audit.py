@@ -51,17 +51,20 @@ def refined(first: Column, hashes: Column) -> Column:
 
 
 def surviving_classes(marks: DataFrame) -> DataFrame:
-    """(class): the final classes of several documents; marks has n and hashes."""
-    alive, done, k = durable(marks.select(F.col("n").cast("long").alias("class"), "hashes")), None, 0
+    """(class): the final classes of several documents; marks has n and hashes.
+
+    Documents alike in length and all hashes go through the rounds as one row.
+    """
+    alive, done, k = durable(marks.groupBy(F.col("n").cast("long").alias("class"), "hashes").agg(F.count("*").alias("docs"))), None, 0
     while True:
-        several = alive.groupBy("class").count().where("count > 1").select("class")
+        several = alive.groupBy("class").agg(F.sum("docs").alias("all")).where("all > 1").select("class")
         alive = durable(alive.join(several, "class", "left_semi"))
         ended = alive.where(F.size("hashes") <= k).select("class").distinct()
         done = ended if done is None else done.union(ended)
         alive = alive.where(F.size("hashes") > k)
         if alive.isEmpty():
             return durable(done)
-        alive, k = alive.select(F.xxhash64("class", F.get("hashes", F.lit(k))).alias("class"), "hashes"), k + 1
+        alive, k = alive.select(F.xxhash64("class", F.get("hashes", F.lit(k))).alias("class"), "hashes", "docs"), k + 1
 
 
 def least_copies(docs: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
