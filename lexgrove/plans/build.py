@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chapters as C
 from ..operators import fuzzy, index, lookup, pages
-from ..operators.engine import Engine
+from ..operators.engine import Engine, both_directions, letters, part_of
 from ..operators.hooks import Hooks
 from ..sources import readers
 
@@ -80,12 +80,44 @@ def relations(rows: DataFrame, registry: DataFrame, threshold: float = 80, with_
     return out
 
 
-def store(relations: dict[str, DataFrame], folder: str) -> None:
-    """Each relation as Parquet below the folder."""
+#: Parts of a stored relation.
+PARTS = 64
+
+
+def store(relations: dict[str, DataFrame], folder: str, parts: int = PARTS) -> None:
+    """Each relation as Parquet below the folder, in the layout of what lookups ask for.
+
+    terms lie by their letters, terms_by_id and occurrences by id, candidates from both ends
+    by the id they start at: each in `parts` folders (column part), a file each and sorted
+    within, so that a lookup reads the folders of its keys and, in them, the row groups of
+    its keys.  Other relations are written as they are.
+    """
+    spark = next(iter(relations.values())).sparkSession
+    terms = relations["terms"].withColumn("n_books", F.col("n_books").cast("int"))
+    laid = {
+        "terms": (terms, letters("term"), ["term"]),
+        "terms_by_id": (terms, F.col("id"), ["id"]),
+        "occurrences": (relations["occurrences"], F.col("term_id"), ["term_id", "book_key"]),
+        "edges": (both_directions(relations["candidates"]), F.col("src"), ["src", "dst"]),
+    }
+    for name, (df, key, order) in laid.items():
+        dealt = df.withColumn("part", part_of(key, parts)).repartition(parts, "part").sortWithinPartitions("part", *order)
+        dealt.write.mode("overwrite").partitionBy("part").parquet(f"{folder}/{name}")
     for name, df in relations.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        if name not in laid and name != "candidates":
+            df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    spark.range(1).select(F.lit(parts).alias("parts")).write.mode("overwrite").parquet(f"{folder}/layout")
 
 
 def stored(spark: SparkSession, folder: str) -> Engine:
     """The engine over what `store` wrote."""
-    return Engine(*[spark.read.parquet(f"{folder}/{t}") for t in ("books", "terms", "occurrences", "candidates")])
+    read = lambda name: spark.read.parquet(f"{folder}/{name}")
+    laid = {
+        "terms": "id long, term string, n_books int, part int",
+        "terms_by_id": "id long, term string, n_books int, part int",
+        "occurrences": "term_id long, book_key string, pages array<string>, part int",
+        "edges": "src long, dst long, match_type string, score double, forward boolean, part int",
+    }
+    terms, by_id, occurrences, edges = (spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in laid.items())
+    candidates = edges.where("forward").select(F.col("src").alias("term1_id"), F.col("dst").alias("term2_id"), "match_type", "score")
+    return Engine(read("books"), terms, occurrences, candidates, by_id, edges, read("layout").first().parts)

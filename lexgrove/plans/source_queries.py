@@ -223,7 +223,7 @@ def sink_roundtrip(spark, sf_dir):
     writers.by_book(tables.index(spark, sf_dir), f"{folder}/index")
     writers.lookup_json(maps, f"{folder}/lookup")
     writers.markdown_files(markdown, f"{folder}/markdown")
-    writers.whole(term_queries._candidates(spark, sf_dir), f"{folder}/candidates")
+    writers.whole(term_queries._engine(spark, sf_dir).candidates, f"{folder}/candidates")
     index = spark.read.parquet(f"{folder}/index").groupBy("book_key").agg(F.count("*").alias("n"), F.sum(F.size("pages")).alias("total"))
     lines = spark.read.text(f"{folder}/lookup").select(F.from_json("value", "term STRING, n_books INT, pages MAP<STRING, ARRAY<STRING>>").alias("e"))
     terms = lines.agg(F.lit("").alias("book_key"), F.count("*").alias("n"), F.sum(F.size("e.pages")).alias("total"))

@@ -7,10 +7,13 @@ in SQL here is the same text that the reference SQL of the queries uses.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ranking import numbered
+from ..functions.storage import remove, shared_folder
 
 INITIALS = "upper(substr(p_name, 1, 1)) || upper(substr(split_part(p_name, ' ', 2), 1, 1))"
 TERM = f"""CASE p_partkey % 5
@@ -58,10 +61,27 @@ def kept(name: str, make):
     return cached
 
 
+def written(name: str, write):
+    """A folder of the shared store that write(spark, sf_dir, folder) fills once for its session and input folder."""
+
+    def folder(spark: SparkSession, sf_dir: str) -> str:
+        key = name, spark.sparkContext.applicationId, sf_dir
+        if key not in _kept:
+            place = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+            write(spark, sf_dir, place)
+            _kept[key] = spark, place
+        return _kept[key][1]
+
+    return folder
+
+
 def forget() -> None:
     """Drops all relations that are kept, so that the next query builds its own."""
-    for df in _kept.values():
-        df.unpersist()
+    for held in _kept.values():
+        if isinstance(held, DataFrame):
+            held.unpersist()
+        else:
+            remove(*held)
     _kept.clear()
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import claims, fuzzy, lookup
 from ..operators.engine import Engine
-from . import tables
+from . import build, tables
 
 ASKED, QUERY = "small ring", "ring small economy"
 
@@ -22,18 +22,18 @@ def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lookup(spark, sf_dir).select("ord", "term", "n_books").distinct()
 
 
-_occurrences = tables.kept("occurrences", lambda spark, sf_dir: _relations(spark, sf_dir)["occurrences"])
-_known = tables.kept("terms", lambda spark, sf_dir: _relations(spark, sf_dir)["terms"])
-_candidates = tables.kept("candidates", lambda spark, sf_dir: _relations(spark, sf_dir)["candidates"])
-
-
 def _relations(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return lookup.relations(_lookup(spark, sf_dir), _pairs(spark, sf_dir), _books(spark, sf_dir))
 
 
+#: Parts of the relations that queries store.
+PARTS = 16
+_stored = tables.written("relations", lambda spark, sf_dir, folder: build.store(_relations(spark, sf_dir), folder, PARTS))
+
+
 def _engine(spark: SparkSession, sf_dir: str) -> Engine:
     """The engine over stored relations."""
-    return Engine(_books(spark, sf_dir), _known(spark, sf_dir), _occurrences(spark, sf_dir), _candidates(spark, sf_dir))
+    return build.stored(spark, _stored(spark, sf_dir))
 
 
 def _flat(hits: DataFrame, *more: str) -> DataFrame:

@@ -281,3 +281,53 @@ def test_lcs_of_many():
     assert similarity.lcs_many(a, b).tolist() == [similarity.lcs(x, y) for x, y in zip(a, b)]
     assert similarity.lcs_many([], []).tolist() == []
     assert similarity.lcs_many(["x" * 64, "x" * 65], ["x" * 64, "x" * 70]).tolist() == [64, 65]
+
+
+def test_stored_lookups_read_their_parts_alone(spark, tmp_path):
+    """Files of all other parts are made unreadable: lookups of one term never open them."""
+    import pathlib
+
+    from lexgrove.operators.engine import letters, part_of
+    from lexgrove.plans import build
+
+    plain = engine(spark)
+    more = spark.createDataFrame([(n, f"term {n}", 1) for n in range(5, 300)], "id long, term string, n_books int")
+    terms_ = plain.terms.union(more)
+    occurrences = plain.occurrences.union(more.select("id", F.lit("c"), F.array(F.lit("1"))))
+    candidates = plain.candidates.union(more.select("id", (F.col("id") % 7 + 100).cast("long"), F.lit("case"), F.lit(1.0)))
+    folder, parts = str(tmp_path / "db"), 16
+    build.store({"books": plain.book_rows, "terms": terms_, "occurrences": occurrences, "candidates": candidates}, folder, parts)
+    e = build.stored(spark, folder)
+    calls = [lambda e: e.lookup("Memory"), lambda e: e.lookup("nothing"), lambda e: e.lookup_icase("MEMORY"), lambda e: e.expand("Memory", 0.4), lambda e: e.full_lookup("Memory", min_score=0.4), lambda e: e.full_lookup("MEMORY", min_score=0.4), lambda e: e.full_lookup("nothing")]
+    want = [sorted(map(str, call(plain).collect())) for call in calls]
+    assert [sorted(map(str, call(e).collect())) for call in calls] == want
+    assert e.candidates.count() == candidates.count() and e.terms.count() == 299 and e.edges().count() == 2 * candidates.count()
+
+    of_ids = {r.p for r in terms_.where("id <= 3").select(part_of(F.col("id"), parts).alias("p")).collect()}
+    of_terms = {r.p for r in spark.createDataFrame([("Memory",), ("nothing",)], "t string").select(part_of(letters("t"), parts).alias("p")).collect()}
+    spoilt = 0
+    for name, kept in (("terms", of_terms), ("terms_by_id", of_ids), ("occurrences", of_ids), ("edges", of_ids)):
+        for part in pathlib.Path(folder, name).glob("part=*"):
+            if int(part.name[5:]) not in kept:
+                for file in part.glob("*.parquet"):
+                    file.write_bytes(b"no parquet")
+                    (part / f".{file.name}.crc").unlink(missing_ok=True)
+                    spoilt += 1
+    assert spoilt > 40
+    e = build.stored(spark, folder)
+    assert [sorted(map(str, call(e).collect())) for call in calls] == want
+    with pytest.raises(Exception, match="(?i)parquet"):
+        e.coverage().collect()
+    plan = e.full_lookup("Memory")._jdf.queryExecution().toString()
+    assert plan.count("Exchange") < 20 and len(plan) < 60_000
+
+
+def test_lookups_of_more_ids_than_a_filter_takes(spark, monkeypatch):
+    from lexgrove.operators import engine as E
+
+    e = engine(spark)
+    want = [sorted(map(str, e.expand("Memory", 0.4).collect())), sorted(map(str, e.lookup("Memory").collect()))]
+    monkeypatch.setattr(E, "MANY", 0)
+    assert sorted(map(str, e.lookup("Memory").collect())) == want[1]
+    monkeypatch.setattr(E, "MANY", 1)
+    assert sorted(map(str, e.expand("Memory", 0.4).collect())) == want[0]
