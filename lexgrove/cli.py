@@ -112,7 +112,7 @@ def _prepare(args: argparse.Namespace, spark) -> int | None:
     if args.command == "list":
         rows = readers.registry(spark, args.registry).select("book_key")
         for name, files in (("text", args.texts), ("md", args.markdown)):
-            held = [readers.sizes(spark, f).select("book_key", F.ceil(F.col("n_bytes") / 1024).alias(name)) for f in files]
+            held = [readers.sizes(spark, f).select("book_key", F.floor(F.col("n_bytes") / 1024).alias(name)) for f in files]
             sizes = held[0] if held else rows.limit(0).select("book_key", F.lit(None).cast("long").alias(name))
             for more in held[1:]:
                 sizes = sizes.union(more)

@@ -17,7 +17,7 @@ from ..operators import chapters as C
 from ..operators import claims, lookup, toc
 from ..operators.engine import Engine
 from ..sources import readers, writers
-from . import tables, term_queries, text_queries
+from . import build, tables, term_queries, text_queries
 from .text_queries import DUCK, SPARK
 
 PART = "SELECT p_brand AS book_key, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS rn, p_name, p_partkey, p_size FROM part"
@@ -111,6 +111,71 @@ def epub_text(spark, sf_dir):
 
 _DOCUMENTS = f"WITH documents_of AS ({DOCUMENTS.format(**DUCK)}), named AS (SELECT d.*, m.p_name FROM documents_of d JOIN ({PART}) m ON d.book_key = m.book_key AND d.doc_seq = m.rn)"
 
+# --- files --------------------------------------------------------------------------------
+#: By a book's last figure: 1 is damaged or malformed, 2 is missing, 3 has no package file.
+_LAST = "right(book_key, 1)"
+
+
+def _archive(book):
+    """A book's documents as an archive: its manifest goes backwards, its spine forwards without the third document."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    key, names = book.book_key.iloc[0], book.sort_values("doc_seq").name.tolist()
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, html in zip(book.name, book.html):
+            z.writestr(f"OEBPS/{name}", html)
+        if not key.endswith("3"):
+            items = "".join(f'<item id="i{n}" href="{name}"/>' for n, name in reversed(list(enumerate(names))))
+            spine = "".join(f'<itemref idref="i{n}"/>' for n in range(len(names)) if n != 2)
+            z.writestr("OEBPS/book.opf", f'<package xmlns="http://www.idpf.org/2007/opf"><manifest>{items}</manifest><spine>{spine}</spine></package>')
+    content = out.getvalue()
+    return pd.DataFrame([(key, content[: len(content) // 2] if key.endswith("1") else content)], columns=["book_key", "content"])
+
+
+def epub_files(spark, sf_dir):
+    """Archives written to the shared folder and read through the EPUB source: documents in reading order, damaged ones told."""
+    folder = f"{shared_folder(spark)}/epub-{uuid.uuid4().hex}"
+    docs = _documents(spark, sf_dir).select("book_key", "doc_seq", "name", "html")
+    writers.binary_files(docs.groupBy("book_key").applyInPandas(_archive, "book_key string, content binary"), folder)
+    told = readers.epub_files(spark, folder)
+    listed = told.select("book_key", "doc_seq", "name", F.md5("html").alias("md5"), "problem")
+    text = readers.epub_text(readers.epub_documents(spark, folder)).select("book_key", F.lit(-1).alias("doc_seq"), F.lit("text").alias("name"), F.md5("text").alias("md5"), F.lit(None).cast("string").alias("problem"))
+    out = durable(listed.union(text))
+    remove(spark, folder)
+    return out
+
+
+def index_files(spark, sf_dir):
+    """Index files of many books through their source: entries, and the books whose file is missing or no JSON."""
+    folder = f"{shared_folder(spark)}/indices-{uuid.uuid4().hex}"
+    packed = tables.index(spark, sf_dir).groupBy("book_key").agg(F.array_sort(F.collect_list(F.struct("term_ord", "term", "pages"))).alias("e"))
+    text = F.to_json(F.map_from_entries(F.transform("e", lambda x: F.struct(x["term"], x["pages"]))))
+    last = F.expr(_LAST)
+    writers.text_files(packed.where(last != "2").select("book_key", F.when(last == "1", F.substring(text, 1, 20)).otherwise(text).alias("text")), folder, force=True)
+    rows = readers.indices(spark, folder).select(F.lit("entry").alias("kind"), "book_key", "term", "term_ord", F.array_join("pages", ",").alias("pages"))
+    wrong = readers.problems(readers.texts(spark, folder), packed).select("problem", "book_key", F.lit(None).cast("string"), F.lit(None).cast("int"), F.lit(None).cast("string"))
+    out = durable(rows.union(wrong))
+    remove(spark, folder)
+    return out
+
+
+def text_files(spark, sf_dir):
+    """Texts of many books written and read through their source: lines, and the files' sizes."""
+    folder = f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}"
+    rows = _parts(spark, sf_dir).select("book_key", "rn", F.when(F.col("rn") % 7 == 0, "").otherwise(F.concat("p_name", F.lit(" – "), F.col("p_size").cast("string"))).alias("line"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "line"))), lambda x: x["line"]), "\n")
+    writers.text_files(rows.groupBy("book_key").agg(text.alias("text")), folder, force=True)
+    lines = readers.lines(readers.texts(spark, folder)).select("book_key", "line_no", F.col("raw").alias("line"), F.lit(None).cast("long").alias("n_bytes"))
+    sizes = readers.sizes(spark, folder).select("book_key", F.lit(-1), F.lit(None).cast("string"), "n_bytes")
+    out = durable(lines.union(sizes))
+    remove(spark, folder)
+    return out
+
+
 # --- argument maps ------------------------------------------------------------------------
 MAPS = """SELECT CAST(conv_id AS {string}) AS file, CAST(count(*) AS INT) AS n, 'Text' || {nl} || '  c0 (R): before' || {nl} || 'CITATIONS' || {nl} || '  c1  (R): Nagel' || CAST(conv_id AS {string}) || ', Chalmers1996' || {nl} || {nl}
   || '  c2 (E): Crick' || CAST(count(*) AS {string}) || ',' || {nl} || '  c1 (R): again' || {nl} || 'END' || {nl} || '  c3 (R): after' || {nl} || '## Gap report' || {nl} || 'G0 not yet' || {nl} || '```' || {nl}
@@ -214,6 +279,26 @@ def hit_lines(spark, sf_dir):
     return writers.hit_lines(hits, engine.labels()).select("term", "text")
 
 
+# --- the whole build ----------------------------------------------------------------------
+def whole_build(spark, sf_dir):
+    """Texts, a registry and markdown to relations with linked chapters: rows of each relation, and a sum over them."""
+    raw = text_queries._index_lines(spark, sf_dir)
+    text = lambda df, line: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", line))), lambda x: x[line]), "\n")
+    texts = raw.groupBy("book_key").agg(text(raw, "raw").alias("text"))
+    year = F.lit(1990) + F.regexp_extract("book_key", r"(\d+)$", 1).cast("int")
+    registry = texts.select("book_key", F.lit("T").alias("title"), F.lit("A").alias("author"), year.alias("year"), F.lit("").alias("pdf"), F.concat("book_key", F.lit(".epub")).alias("epub_path"), F.lit(None).cast("string").alias("text"), F.lit(1).alias("index_start_line"), F.lit(None).cast("string").alias("subentry_strategy"))
+    lines = text_queries._markdown(spark, sf_dir)
+    markdown = lines.groupBy("book_key").agg(text(lines, "line").alias("markdown"))
+    rows = build.with_book_order(build.extract_index(texts, registry), registry)
+    made = build.relations(rows, registry, linked=build.extract_references(markdown, registry))
+    sums = {"books": F.sum(F.length("pdf_path")), "terms": F.sum(F.col("id") * F.col("n_books")), "occurrences": F.sum(F.col("term_id") * F.size("pages")), "chapters": F.sum("ref_line"), "references": F.sum(F.length("raw")), "term_chapters": F.sum("term_id")}
+    out = None
+    for name, total in sums.items():
+        row = made[name].agg(F.lit(name).alias("relation"), F.count("*").alias("n"), total.cast("long").alias("total"))
+        out = row if out is None else out.union(row)
+    return out
+
+
 # --- sinks and tables ---------------------------------------------------------------------
 def sink_roundtrip(spark, sf_dir):
     """What the sinks write, read back: the index by book, the lookup as JSON, markdown by book."""
@@ -261,6 +346,9 @@ QUERIES = {
     "epub_chapters": epub_chapters,
     "epub_index": epub_index,
     "epub_text": epub_text,
+    "epub_files": epub_files,
+    "index_files": index_files,
+    "text_files": text_files,
     "amap_citations": amap_citations,
     "amap_gaps": amap_gaps,
     "chapters_of_term": _documented(CHAPTERS_OF),
@@ -272,6 +360,7 @@ QUERIES = {
     "numbered_references": numbered_references,
     "first_tokens": first_tokens,
     "hit_lines": hit_lines,
+    "whole_build": whole_build,
     "sink_roundtrip": sink_roundtrip,
     "catalog_roundtrip": catalog_roundtrip,
 }
@@ -297,6 +386,15 @@ SELECT book_key, length(markdown) AS n_chars, md5(markdown) AS md5 FROM whole"""
     "epub_index": f"""{_DOCUMENTS} SELECT book_key, 'Term ' || p_name || x AS term, o AS term_ord, pages FROM named, (VALUES ('', 1, '3,4–6,9'), (' > sub', 2, '7'), (' > sub > deep', 3, '8'), (' > second', 4, ''), (' > third', 5, '10')) AS f(x, o, pages) WHERE doc_seq = 2""",
     "epub_text": f"""{_DOCUMENTS}, whole AS (SELECT book_key, string_agg('Dropped' || chr(10) || '1' || chr(10) || 'Big ' || chr(10) || p_name || chr(10) || 'Author' || chr(10) || 'Mid & low' || chr(10) || 'Text ' || p_name || chr(10) || 'Low' || chr(10) || 'Least', chr(12) ORDER BY doc_seq) AS text FROM named WHERE doc_seq <> 2 GROUP BY book_key)
 SELECT book_key, length(text) AS n_chars, md5(text) AS md5 FROM whole""",
+    "epub_files": f"""{_DOCUMENTS}, fine AS (SELECT *, {_LAST} AS l, row_number() OVER (PARTITION BY book_key ORDER BY CASE WHEN {_LAST} = '3' THEN 0 ELSE CAST(doc_seq = 3 AS INT) END, doc_seq) - 1 AS pos FROM named WHERE {_LAST} <> '1'),
+texts AS (SELECT *, 'Dropped' || chr(10) || '1' || chr(10) || 'Big ' || chr(10) || p_name || chr(10) || 'Author' || chr(10) || 'Mid & low' || chr(10) || 'Text ' || p_name || chr(10) || 'Low' || chr(10) || 'Least' AS t FROM fine WHERE doc_seq <> 2)
+SELECT book_key, CAST(pos AS INT) AS doc_seq, 'OEBPS/' || name AS name, md5(html) AS md5, NULL AS problem FROM fine
+UNION ALL SELECT DISTINCT book_key, CAST(NULL AS INT), NULL, NULL, 'BadZipFile' FROM named WHERE {_LAST} = '1'
+UNION ALL SELECT book_key, -1, 'text', md5(string_agg(t, chr(12) ORDER BY pos)), NULL FROM texts GROUP BY book_key""",
+    "index_files": f"""{tables.OCC_SQL} SELECT 'entry' AS kind, book_key, term, CAST(row_number() OVER (PARTITION BY book_key ORDER BY first_key) - 1 AS INT) AS term_ord, array_to_string(pages, ',') AS pages FROM occ WHERE {_LAST} NOT IN ('1', '2')
+UNION ALL SELECT DISTINCT CASE {_LAST} WHEN '1' THEN 'malformed' ELSE 'missing' END, book_key, NULL, NULL, NULL FROM occ WHERE {_LAST} IN ('1', '2')""",
+    "text_files": f"""WITH m AS ({PART}), l AS (SELECT book_key, rn, CASE WHEN rn % 7 = 0 THEN '' ELSE p_name || ' – ' || p_size END AS line FROM m)
+SELECT book_key, rn - 1 AS line_no, line, NULL AS n_bytes FROM l UNION ALL SELECT book_key, -1, NULL, CAST(sum(strlen(line) + 1) AS BIGINT) FROM l GROUP BY book_key""",
     "amap_citations": "SELECT CAST(conv_id AS VARCHAR) AS file, 'c1' AS label, 'again' AS refs FROM conversations GROUP BY conv_id UNION ALL SELECT CAST(conv_id AS VARCHAR), 'c2', 'Crick' || count(*) FROM conversations GROUP BY conv_id",
     "amap_gaps": """WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) SELECT CAST(conv_id AS VARCHAR) AS file, 'structural' AS section, NULL AS label, 'G1 gap ' || conv_id AS note FROM c
 UNION ALL SELECT CAST(conv_id AS VARCHAR), 'naked_assertions', 'lab' || conv_id, 'note ' || n FROM c UNION ALL SELECT CAST(conv_id AS VARCHAR), 'stubs', 'stub1', 'later' FROM c""",
@@ -314,6 +412,17 @@ SELECT 'linked terms' AS kind, book_key, count(*) AS n FROM inside GROUP BY book
     "hit_lines": f"""{tables.OCC_SQL} SELECT t.term, '  [case] ' || t.term || '  (' || t.n_books || CASE WHEN t.n_books = 1 THEN ' book)' ELSE ' books)' END || chr(10)
   || string_agg('      ' || rpad('Author ' || right(o.book_key, 1) || ' ' || (1990 + CAST(regexp_extract(o.book_key, '(\\d+)$', 1) AS INT)), 30, ' ') || '  pp. ' || array_to_string(o.pages, ', '), chr(10) ORDER BY o.book_key) AS text
 FROM terms t JOIN occ o ON o.term = t.term WHERE {term_queries.ASCII.format('t.term')} = 'small ring' GROUP BY t.term, t.n_books""",
+    "whole_build": f"""WITH parsed AS ({text_queries._PARSED}), main AS (SELECT * FROM parsed WHERE NOT contains(term, '>')),
+books AS (SELECT book_key, row_number() OVER (ORDER BY CAST(regexp_extract(book_key, '(\\d+)$', 1) AS INT), book_key) AS place FROM (SELECT DISTINCT p_brand AS book_key FROM part)),
+terms AS (SELECT term, count(*) AS n_books, row_number() OVER (ORDER BY count(*) DESC, lower(term), min(place * 1000000000 + term_ord), term) AS id FROM main JOIN books USING (book_key) GROUP BY term),
+ch AS ({text_queries._CHAPTERS} SELECT * FROM chapters), rf AS ({text_queries._REFS} SELECT * FROM refs),
+placed AS (SELECT term, book_key, TRY_CAST(regexp_extract(unnest(string_split(pages, '|')), '^\\d+') AS INT) AS page FROM main),
+links AS (SELECT DISTINCT p.term, p.book_key, c.title FROM placed p JOIN ch c ON p.book_key = c.book_key AND p.page BETWEEN c.start_page AND c.end_page)
+SELECT 'books' AS relation, count(*) AS n, CAST(sum(length(book_key) + 5) AS BIGINT) AS total FROM books
+UNION ALL SELECT 'terms', count(*), CAST(sum(id * n_books) AS BIGINT) FROM terms
+UNION ALL SELECT 'occurrences', count(*), CAST(sum(id * len(list_filter(string_split(pages, '|'), lambda p: p <> ''))) AS BIGINT) FROM main JOIN terms USING (term)
+UNION ALL SELECT 'chapters', count(*), CAST(sum(ref_start_line) AS BIGINT) FROM ch UNION ALL SELECT 'references', count(*), CAST(sum(length(raw)) AS BIGINT) FROM rf
+UNION ALL SELECT 'term_chapters', count(*), CAST(sum(id) AS BIGINT) FROM links JOIN terms USING (term)""",
     "sink_roundtrip": f"""{text_queries._MD}, {_CANDIDATES_OF}
 SELECT 'index' AS sink, book_key, count(*) AS n, CAST(sum(len(pages)) AS BIGINT) AS total FROM occ GROUP BY book_key
 UNION ALL SELECT 'lookup', '', (SELECT count(*) FROM terms), (SELECT count(*) FROM occ)

@@ -50,15 +50,9 @@ _kept: dict = {}
 
 
 def kept(name: str, make):
-    """make as a table that is cached for its session and folder, as an engine's relations are stored once."""
-
-    def cached(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = name, spark.sparkContext.applicationId, sf_dir
-        if key not in _kept:
-            _kept[key] = make(spark, sf_dir).persist()
-        return _kept[key]
-
-    return cached
+    """make as a table that is written once for its session and input folder, as an engine's relations are."""
+    place = written(name, lambda spark, sf_dir, folder: make(spark, sf_dir).write.parquet(folder))
+    return lambda spark, sf_dir: spark.read.parquet(place(spark, sf_dir))
 
 
 def written(name: str, write):
@@ -77,11 +71,8 @@ def written(name: str, write):
 
 def forget() -> None:
     """Drops all relations that are kept, so that the next query builds its own."""
-    for held in _kept.values():
-        if isinstance(held, DataFrame):
-            held.unpersist()
-        else:
-            remove(*held)
+    for spark, folder in _kept.values():
+        remove(spark, folder)
     _kept.clear()
 
 

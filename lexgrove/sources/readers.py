@@ -1,7 +1,10 @@
 """Sources: texts, registries, indices, tables of contents, argument maps, EPUB and PDF.
 
 Every reader gives a DataFrame; files are read whole, one row each, and taken apart by
-expressions, so line order never depends on how a file was split.
+expressions, so line order never depends on how a file was split.  A file's book is its
+name without ending, or the folder book_key=... that it lies in, as sinks write them.
+What cannot be read is skipped and reported as a row: `problems` of index files that are
+missing or no JSON, `epub_problems` of archives that are damaged.
 """
 
 from __future__ import annotations
@@ -9,6 +12,7 @@ from __future__ import annotations
 import io
 import subprocess
 import zipfile
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -29,10 +33,15 @@ def _stem(path: Column | str) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), r"\.[^.]*$", "")
 
 
+def _key(files: DataFrame, path: Column | str) -> Column:
+    """The book of a file: that of its folder, else its name without ending."""
+    return (F.col("book_key").cast("string") if "book_key" in files.columns else _stem(path)).alias("book_key")
+
+
 def texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """book_key (file stem), text of each file."""
-    rows = spark.read.text(paths, wholetext=True).withColumn("path", F.input_file_name())
-    return rows.select(_stem("path").alias("book_key"), F.col("value").alias("text"))
+    """book_key, text of each file; a line end at the very end, which text sinks write, is none of the text."""
+    rows = spark.read.text(paths, wholetext=True)
+    return rows.select(_key(rows, F.input_file_name()), F.regexp_replace("value", r"\n\z", "").alias("text"))
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -63,6 +72,13 @@ def indices(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return index_rows(texts(spark, paths))
 
 
+def problems(files: DataFrame, asked: DataFrame) -> DataFrame:
+    """(book_key, problem) of the books asked for (book_key) whose index text (book_key, text) is missing or malformed."""
+    held = files.select("book_key", F.from_json("text", "MAP<STRING, ARRAY<STRING>>").isNotNull().alias("fine"))
+    told = asked.select("book_key").distinct().join(held, "book_key", "left").where("fine IS NULL OR NOT fine")
+    return told.select("book_key", F.when(F.col("fine").isNull(), "missing").otherwise("malformed").alias("problem"))
+
+
 def index_rows(files: DataFrame) -> DataFrame:
     """The entries of index texts (book_key, text)."""
     entries = F.map_entries(F.from_json("text", "MAP<STRING, ARRAY<STRING>>"))
@@ -101,7 +117,8 @@ def amaps(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def sizes(spark: SparkSession, path: str) -> DataFrame:
     """book_key, path, n_bytes of files, without reading them."""
-    return spark.read.format("binaryFile").load(path).select(_stem("path").alias("book_key"), "path", F.col("length").alias("n_bytes"))
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(_key(files, "path"), "path", F.col("length").alias("n_bytes"))
 
 
 class _Elements(HTMLParser):
@@ -158,19 +175,37 @@ def html_elements(documents: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return documents.select(*keys, "html").mapInPandas(run, f"{schema}, el_no int, tag string, class string, text string")
 
 
-def epub_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """book_key, doc_seq, name, html: the documents of EPUB files, in reading order."""
-    files = spark.read.format("binaryFile").load(paths).select(_stem("path").alias("book_key"), "content")
+def epub_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """book_key, doc_seq, name, html, problem: the documents of EPUB files in reading order, or one row that tells what is wrong."""
+    files = spark.read.format("binaryFile").load(paths)
+    rows = files.select(_key(files, "path"), "content")
+
+    def documents(r) -> list[tuple]:
+        import xml.etree.ElementTree as X
+
+        try:
+            with zipfile.ZipFile(io.BytesIO(r.content)) as z:
+                return [(r.book_key, n, name, z.read(name).decode("utf-8", "replace"), None) for n, name in enumerate(_reading_order(z))]
+        except (zipfile.BadZipFile, zlib.error, EOFError, KeyError, NotImplementedError, RuntimeError, X.ParseError) as error:
+            return [(r.book_key, None, None, None, type(error).__name__)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
             for r in frame.itertuples(index=False):
-                with zipfile.ZipFile(io.BytesIO(r.content)) as z:
-                    rows += [(r.book_key, n, name, z.read(name).decode("utf-8", "replace")) for n, name in enumerate(_reading_order(z))]
-            yield pd.DataFrame(rows, columns=["book_key", "doc_seq", "name", "html"])
+                found = pd.DataFrame(documents(r), columns=["book_key", "doc_seq", "name", "html", "problem"])
+                yield found.astype({"doc_seq": "Int32"})
+
+    return rows.mapInPandas(run, "book_key string, doc_seq int, name string, html string, problem string")
+
+
+def epub_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """book_key, doc_seq, name, html: the documents of the EPUB files that can be read, in reading order."""
+    return epub_files(spark, paths).where("problem IS NULL").drop("problem")
+
 
-    return files.mapInPandas(run, "book_key string, doc_seq int, name string, html string")
+def epub_problems(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """book_key, problem of the EPUB files that cannot be read."""
+    return epub_files(spark, paths).where("problem IS NOT NULL").select("book_key", "problem")
 
 
 def _reading_order(z: zipfile.ZipFile) -> list[str]:

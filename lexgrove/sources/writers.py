@@ -42,6 +42,11 @@ def text_files(texts: DataFrame, path: str, force: bool = False) -> None:
     rows.write.mode("append" if not force else "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book_key").text(path)
 
 
+def binary_files(contents: DataFrame, path: str) -> None:
+    """book_key, content (bytes) as a file in a folder for each book; a line end follows the bytes."""
+    contents.where("content IS NOT NULL").select("book_key", F.col("content").cast("string").alias("value")).write.mode("overwrite").partitionBy("book_key").text(path)
+
+
 def json_rows(df: DataFrame) -> DataFrame:
     """Each row as a JSON string."""
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))

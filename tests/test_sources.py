@@ -131,7 +131,7 @@ def test_single_steps_of_the_command_line(spark, shelf, capsys):
         (shelf / f"{key}.md").write_text(whole)
     capsys.readouterr()
     assert cli.main(["list", registry, "--texts", *texts, "--markdown", str(shelf / "one.md")]) == 0
-    assert [x.split() for x in capsys.readouterr().out.splitlines()] == [["one", "1", "1"], ["two", "1"]]
+    assert [x.split() for x in capsys.readouterr().out.splitlines()] == [["one", "0", "0"], ["two", "0"]]
     assert cli.main(["--db", db, "refs", str(shelf / "one.md"), str(shelf / "two.md"), "--registry", registry, "--out", str(shelf / "refs")]) == 0
     out = capsys.readouterr().out.splitlines()
     assert sorted(out[:2]) == ["one  1  1", "two  1  1"] and out[2].split()[0] != "0"
@@ -175,6 +175,38 @@ def test_readers_and_writers(spark, tmp_path):
     assert json.loads(spark.read.text(str(tmp_path / "lookup")).first().value)["pages"] == {"a": ["1"]}
 
 
+def test_what_cannot_be_read_is_told(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"Term": ["1"]}))
+    (tmp_path / "b.json").write_text('{"Term": ["1"')
+    (tmp_path / "e.json").write_text("")
+    asked = spark.createDataFrame([("a",), ("b",), ("c",), ("e",), ("c",)], "book_key string")
+    files = readers.texts(spark, str(tmp_path / "*.json"))
+    assert {(r.book_key, r.problem) for r in readers.problems(files, asked).collect()} == {("b", "malformed"), ("c", "missing"), ("e", "malformed")}
+    assert [r.book_key for r in readers.index_rows(files).collect()] == ["a"]
+    good = tmp_path / "good.epub"
+    with zipfile.ZipFile(good, "w") as z:
+        z.writestr("a.xhtml", "<p>a</p>")
+    data = good.read_bytes()
+    (tmp_path / "cut.epub").write_bytes(data[:40])
+    (tmp_path / "empty.epub").write_bytes(b"")
+    with zipfile.ZipFile(tmp_path / "package.epub", "w") as z:
+        z.writestr("c.opf", "<package")
+        z.writestr("a.xhtml", "<p>a</p>")
+    (tmp_path / "flipped.epub").write_bytes(data.replace(b"<p>a</p>", b"<p>b</p>"))
+    folder = str(tmp_path / "*.epub")
+    assert [(r.book_key, r.name) for r in readers.epub_documents(spark, folder).collect()] == [("good", "a.xhtml")]
+    assert {r.book_key: r.problem for r in readers.epub_problems(spark, folder).collect()} == {"cut": "BadZipFile", "empty": "BadZipFile", "package": "ParseError", "flipped": "BadZipFile"}
+
+
+def test_sinks_can_be_read_again(spark, tmp_path):
+    texts = [("a b", "one\ntwo"), ("c#", ""), ("d", "x\n"), ("e", "\n\n")]
+    writers.text_files(spark.createDataFrame(texts, "book_key string, text string"), str(tmp_path / "t"), force=True)
+    assert sorted(map(tuple, readers.texts(spark, str(tmp_path / "t")).collect())) == texts
+    writers.binary_files(spark.createDataFrame([("x", bytes(range(256)))], "book_key string, content binary"), str(tmp_path / "b"))
+    assert readers.sizes(spark, str(tmp_path / "b")).first().n_bytes == 257
+    assert spark.read.format("binaryFile").load(str(tmp_path / "b")).first().content == bytes(range(256)) + b"\n"
+
+
 def test_epub(spark, tmp_path):
     path = tmp_path / "book.epub"
     with zipfile.ZipFile(path, "w") as z:
