@@ -4,7 +4,7 @@ Every reader gives a DataFrame; files are read whole, one row each, and taken ap
 expressions, so line order never depends on how a file was split.  A file's book is its
 name without ending, or the folder book_key=... that it lies in, as sinks write them.
 What cannot be read is skipped and reported as a row: `problems` of index files that are
-missing or no JSON, `epub_problems` of archives that are damaged.
+missing or no JSON, `epub_problems` of archives that are damaged.  Empty files give no rows.
 """
 
 from __future__ import annotations
@@ -73,7 +73,7 @@ def indices(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def problems(files: DataFrame, asked: DataFrame) -> DataFrame:
-    """(book_key, problem) of the books asked for (book_key) whose index text (book_key, text) is missing or malformed."""
+    """(book_key, problem) of the books asked for (book_key) whose index text (book_key, text) is missing or malformed; an empty file gives no text."""
     held = files.select("book_key", F.from_json("text", "MAP<STRING, ARRAY<STRING>>").isNotNull().alias("fine"))
     told = asked.select("book_key").distinct().join(held, "book_key", "left").where("fine IS NULL OR NOT fine")
     return told.select("book_key", F.when(F.col("fine").isNull(), "missing").otherwise("malformed").alias("problem"))
