@@ -301,7 +301,7 @@ def whole_build(spark, sf_dir):
 
 # --- sinks and tables ---------------------------------------------------------------------
 def sink_roundtrip(spark, sf_dir):
-    """What the sinks write, read back: the index by book, the lookup as JSON, markdown by book."""
+    """What the sinks write, read back: index, markdown, page marks, chapters and references by book, the lookup as JSON."""
     folder = f"{shared_folder(spark)}/sinks-{uuid.uuid4().hex}"
     maps = lookup.lookup_maps(term_queries._lookup(spark, sf_dir))
     markdown = text_queries._markdown(spark, sf_dir).groupBy("book_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("markdown"))
@@ -309,13 +309,17 @@ def sink_roundtrip(spark, sf_dir):
     writers.lookup_json(maps, f"{folder}/lookup")
     writers.markdown_files(markdown, f"{folder}/markdown")
     writers.whole(term_queries._engine(spark, sf_dir).candidates, f"{folder}/candidates")
+    lines = text_queries._markdown(spark, sf_dir)
+    for name, df in (("markers", C.page_markers(lines)), ("chapters", text_queries._chapters(spark, sf_dir)), ("references", text_queries._references(spark, sf_dir))):
+        writers.by_book(df, f"{folder}/{name}")
     index = spark.read.parquet(f"{folder}/index").groupBy("book_key").agg(F.count("*").alias("n"), F.sum(F.size("pages")).alias("total"))
     lines = spark.read.text(f"{folder}/lookup").select(F.from_json("value", "term STRING, n_books INT, pages MAP<STRING, ARRAY<STRING>>").alias("e"))
     terms = lines.agg(F.lit("").alias("book_key"), F.count("*").alias("n"), F.sum(F.size("e.pages")).alias("total"))
     texts = spark.read.text(f"{folder}/markdown").groupBy("book_key").agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("total"))
     pairs = spark.read.parquet(f"{folder}/candidates").agg(F.lit("").alias("book_key"), F.count("*").alias("n"), F.sum("term1_id").alias("total"))
     named = lambda sink, df: df.select(F.lit(sink).alias("sink"), F.col("book_key").cast("string").alias("book_key"), "n", F.col("total").cast("long").alias("total"))
-    out = durable(named("index", index).union(named("lookup", terms)).union(named("markdown", texts)).union(named("candidates", pairs)))
+    held = lambda sink, total: named(sink, spark.read.parquet(f"{folder}/{sink}").groupBy("book_key").agg(F.count("*").alias("n"), F.sum(total).alias("total")))
+    out = durable(named("index", index).union(named("lookup", terms)).union(named("markdown", texts)).union(named("candidates", pairs)).union(held("markers", "line_idx")).union(held("chapters", "ref_start_line")).union(held("references", F.length("raw"))))
     remove(spark, folder)
     return out
 
@@ -423,10 +427,12 @@ UNION ALL SELECT 'terms', count(*), CAST(sum(id * n_books) AS BIGINT) FROM terms
 UNION ALL SELECT 'occurrences', count(*), CAST(sum(id * len(list_filter(string_split(pages, '|'), lambda p: p <> ''))) AS BIGINT) FROM main JOIN terms USING (term)
 UNION ALL SELECT 'chapters', count(*), CAST(sum(ref_start_line) AS BIGINT) FROM ch UNION ALL SELECT 'references', count(*), CAST(sum(length(raw)) AS BIGINT) FROM rf
 UNION ALL SELECT 'term_chapters', count(*), CAST(sum(id) AS BIGINT) FROM links JOIN terms USING (term)""",
-    "sink_roundtrip": f"""{text_queries._MD}, {_CANDIDATES_OF}
+    "sink_roundtrip": f"""{text_queries._REFS}, {_CANDIDATES_OF}
 SELECT 'index' AS sink, book_key, count(*) AS n, CAST(sum(len(pages)) AS BIGINT) AS total FROM occ GROUP BY book_key
 UNION ALL SELECT 'lookup', '', (SELECT count(*) FROM terms), (SELECT count(*) FROM occ)
 UNION ALL SELECT 'markdown', book_key, count(*), CAST(sum(length(line)) AS BIGINT) FROM md GROUP BY book_key
-UNION ALL SELECT 'candidates', '', count(*), CAST(sum(least(ord1, ord2)) AS BIGINT) FROM best""",
+UNION ALL SELECT 'candidates', '', count(*), CAST(sum(least(ord1, ord2)) AS BIGINT) FROM best
+UNION ALL SELECT 'markers', book_key, count(*), CAST(sum(line_idx) AS BIGINT) FROM (SELECT book_key, line, min(line_no) AS line_idx FROM md WHERE part IN (0, 3) GROUP BY ALL) GROUP BY book_key
+UNION ALL SELECT 'chapters', book_key, count(*), CAST(sum(ref_start_line) AS BIGINT) FROM chapters GROUP BY book_key UNION ALL SELECT 'references', book_key, count(*), CAST(sum(length(raw)) AS BIGINT) FROM refs GROUP BY book_key""",
     "catalog_roundtrip": f"{term_queries.ORACLES['db_stats'].replace(' AS cross_book_terms', ' AS cross_book_terms, 0 AS broken')}",
 }

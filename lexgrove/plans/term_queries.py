@@ -180,6 +180,7 @@ QUERIES = {
     "case_pairs": _pair_query(fuzzy.case_pairs),
     "containment_pairs": _pair_query(fuzzy.containment_pairs),
     "token_set_pairs": _pair_query(fuzzy.token_set_pairs),
+    "token_set_pairs_60": _pair_query(lambda terms: fuzzy.token_set_pairs(terms, 60)),
     "all_pairs": all_pairs,
     "candidates_top30": candidates_top30,
     "fuzzy_search": fuzzy_search,
@@ -218,6 +219,7 @@ SELECT l.section, l.term, l.n_books, h.books, h.pages, l.match_type, l.match_sco
     "case_pairs": f"{PAIRS_SQL} SELECT * FROM case_pairs",
     "containment_pairs": f"{PAIRS_SQL} SELECT * FROM containment",
     "token_set_pairs": f"{_TOKEN_SET} SELECT * FROM token_set",
+    "token_set_pairs_60": f"{_TOKEN_SET} SELECT * FROM token_set".replace("ratio >= 80", "ratio >= 60"),
     "all_pairs": f"{_ALL} SELECT ord1, ord2, term1, term2, match_type, score, n_union FROM everything",
     "candidates_top30": f"{_ALL} SELECT ord1, ord2, term1, term2, match_type, score, n_union FROM everything ORDER BY n_union DESC, score DESC, p, ord1, ord2 LIMIT 30",
     "fuzzy_search": f"""{tables.OCC_SQL}, asked AS (SELECT ord AS o1, 0 AS o2, term AS t1, '{QUERY}' AS t2, n_books FROM terms), {_ratio_sql('asked')}
