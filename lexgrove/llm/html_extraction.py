@@ -51,7 +51,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body button canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html iframe label legend li main menu nav object ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul video audio".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style noscript template svg math iframe object textarea select option head title canvas button video audio datalist".split())
+SKIPPED = frozenset("script style noscript template svg annotation annotation-xml iframe object textarea select option head title canvas button video audio datalist".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset("article main".split())
@@ -60,6 +60,9 @@ GOOD_WORDS = frozenset("article articlebody body content entry main post prose s
 BAD_WORDS = frozenset(
     "ad ads adv advert advertisement advertising adsense alert banner bio breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright cta dialog discussion disqus dropdown footer footnav form gdpr login masthead menu meta modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popup promo promotion recommended recommendations related replies reply respond responses search share sharing sidebar sidenav signup social sponsor sponsored subscribe subscription tags teaser toolbar tooltip topbar warning widget widgets".split()
 )
+# Words that also name parts of an article: inside the main element they are evidence that length and sentences outweigh.
+WEAK_WORDS = frozenset("alert banner bio byline copyright dialog discussion dropdown footer form meta notice overlay pager search tags teaser tooltip warning".split())
+WEAK = -0.35
 BAD_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 
 # The classifier before it has seen pages: what each feature adds to a block's score (above 0: content).
@@ -106,16 +109,18 @@ class Element:
 
 
 def _element(parent: Element, name: str, attributes: str) -> Element:
-    bad, good, hidden = 0.0, False, False
+    bad, good, hidden, weak = 0.0, False, False, False
     if name in APART:
-        bad = -1.0
+        bad = WEAK if name == "footer" and parent.main else -1.0
     if attributes and ("=" in attributes or "hidden" in attributes):
         for m in _NAMED.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
                 words = {w.lower() for w in _WORD.findall(_CAMEL.sub(" ", value))}
                 if words & BAD_WORDS:
-                    bad = min(bad, -1.0)
+                    weak = True
+                    if not parent.main or not words & BAD_WORDS <= WEAK_WORDS:
+                        bad = min(bad, -1.0)
                 good = good or bool(words & GOOD_WORDS)
             elif key == "role":
                 bad = min(bad, -1.0) if value.lower() in BAD_ROLES else bad
@@ -124,6 +129,8 @@ def _element(parent: Element, name: str, attributes: str) -> Element:
                 hidden = hidden or "display:none" in value.replace(" ", "").lower()
             else:
                 hidden = hidden or key == "hidden" or value.lower() == "true"
+    if weak and not good:
+        bad = min(bad, WEAK)
     if name in ("html", "body", *MAIN) and not hidden:
         bad = bad if name in MAIN and bad else 0.0
     main = parent.main or (name in MAIN and not bad)
@@ -431,7 +438,12 @@ def fit(pages: DataFrame, ids: tuple[str, ...] = ("page_id", "url"), sample_page
 
 
 def weak_labels(pages: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
-    """1 content, 0 boilerplate, -1 unknown for all blocks of the pages, by what blocks in the same place are like."""
+    """1 content, 0 boilerplate, -1 unknown for all blocks of the pages, by what blocks in the same place are like.
+
+    Places that elements or classes set apart stay unknown: comments are as long and as
+    seldom repeated as an article, so nothing but these names tells them, and labels made of
+    the names would only fit the names' own weights to themselves.
+    """
     seen, places = np.concatenate([p[0] for p in pages]), np.concatenate([p[1] for p in pages])
     page = np.repeat(np.arange(len(pages)), [len(p[0]) for p in pages])
     place, which = np.unique(places[:, 0], return_inverse=True)
@@ -439,10 +451,10 @@ def weak_labels(pages: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.nd
     mean = lambda column: np.bincount(which, seen[:, column]) / n
     texts = np.bincount(np.unique(np.stack([which, places[:, 1]], axis=1), axis=0)[:, 0], minlength=len(place)) / n
     on = np.bincount(np.unique(np.stack([which, page], axis=1), axis=0)[:, 0], minlength=len(place))
-    length, links, apart, header = mean(1), mean(3), mean(12), mean(11)
-    content = (texts >= 0.9) & (length >= 0.8) & (links <= 0.2) & (apart == 0) & (header == 0)
-    other = (texts <= 0.5) | (length < 0.4) & (links >= 0.5) | (apart > 0)
-    label = np.where(on < 3, -1, np.where(content, 1, np.where(other, 0, -1)))
+    length, links, told = mean(1), mean(3), mean(12) + mean(11)
+    content = (texts >= 0.9) & (length >= 0.8) & (links <= 0.2)
+    other = (texts <= 0.5) | (length < 0.4) & (links >= 0.5)
+    label = np.where((on < 3) | (told > 0), -1, np.where(content, 1, np.where(other, 0, -1)))
     return label[which]
 
 

@@ -297,6 +297,34 @@ def test_main_text_edges():
         H.main_text(text)
 
 
+LONG = ("The first of them goes on for more than a dozen words, as a paragraph of an article does.", "The second is about as long and says nothing of any use to anyone who reads it at all.")
+
+
+@pytest.mark.parametrize(
+    "inner, kept",
+    [
+        ('<section id="search"><p>{0}</p><p>{1}</p></section>', True),
+        ('<p class="warning">{0}</p><div class="bio">{1}</div>', True),
+        ('<div class="content" id="meta"><p>{0}</p><p>{1}</p></div>', True),
+        ("<p>{0}</p><footer>{1}</footer>", True),
+        ('<p>{0}</p><div class="footer-note"><p>{1}</p></div>', True),
+        ('<nav><p>{0}</p></nav><div class="comments"><p>{1}</p></div>', False),
+        ('<aside>{0}</aside><div class="advert">{1}</div>', False),
+        ('<div hidden>{0}</div><form>{1}</form>', False),
+        ('<div class="byline">By Someone</div><p class="meta">Filed under x</p>', False),
+    ],
+)
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_words_do_not_decide_inside_the_main_element(inner, kept, tag):
+    text = H.main_text(f"<html><body><{tag}><h1>Title of the page</h1>{inner.format(*LONG)}</{tag}></body></html>")
+    assert text == "Title of the page" + (" " + " ".join(LONG) if kept else "")
+
+
+def test_formulas_stay():
+    page = "<article><p>We know that <math><mi>a</mi><mo>=</mo><mn>1</mn><annotation encoding='x'>a = 1</annotation></math> holds for all of the numbers here.</p></article>"
+    assert H.main_text(page) == "We know that a=1 holds for all of the numbers here."
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "u", PAGE % ("article", "article"), "t"), (2, None, None, "t"), (None, "u", "", "t"), (1, "u", PAGE % ("main", "main"), "t")], "page_id long, url string, html string, text string")
     rows = H.extract(df).collect()
