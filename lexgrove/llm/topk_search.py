@@ -26,6 +26,7 @@ that a long cannot hold are an error.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -45,8 +46,6 @@ SEEN = 64
 #: Queries go to tasks whole where they need no more bytes than this.
 BROADCAST_BYTES = 8 << 20
 
-GROUP = "list int, shard int, cell int"
-
 
 def quantised(df: DataFrame, ident: Column, vector: Column, scale: int) -> DataFrame:
     """(id, v): each usable vector's components as floor(scale * x)."""
@@ -98,14 +97,24 @@ def _best(key: tuple, table: pa.Table, width: int, kind: str, most: int) -> pa.T
 
 
 def _above(key: tuple, table: pa.Table, width: int, kind: str) -> pa.Table:
-    """Every entry of this cell and list that reaches its query's cutoff."""
+    """Every entry of this cell and list that reaches its query's cutoff, with what it adds to what is missing.
+
+    over is the score above the most that a missing entry has, lift that above the least.
+    """
     q_rows, bounds, steps = _partial_scores(table, width, kind)
-    found = [(np.zeros(0, np.int64),) * 3]
+    lows = table.filter(table.column("ask")).column("low").to_numpy()
+    found = [(np.zeros(0, np.int64),) * 5]
     for v_rows, got in steps:
         q, v = np.nonzero(got >= bounds[:, None].astype(kind))
-        found.append((q_rows[q], v_rows[v], got[q, v].astype(np.int64)))
-    query, row, score = (np.concatenate(x) for x in zip(*found))
-    return pa.table({"query": query, "row": row, "list": pa.array(np.full(len(row), key[0].as_py()), pa.int32()), "score": score})
+        score = got[q, v].astype(np.int64)
+        found.append((q_rows[q], v_rows[v], score, score - bounds[q] + 1, score - lows[q]))
+    return pa.table(dict(zip(("query", "row", "score", "over", "lift"), (np.concatenate(x) for x in zip(*found)))))
+
+
+def _products(batches: Iterator[pa.RecordBatch], width: int, kind: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        q, v = (batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width).astype(kind) for name in ("q", "v"))
+        yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("row"), pa.array(np.einsum("ij,ij->i", q, v).astype(np.int64))], ["query", "row", "score"])
 
 
 class _Grid:
@@ -120,26 +129,26 @@ class _Grid:
         lists = F.array(*[F.struct(F.lit(j).alias("list"), run(j).alias("v"), *[c.getItem(j).alias(f"more{n}") for n, c in enumerate(more)]) for j in range(self.lists)])
         return df.select("row", F.explode(lists).alias("l")).select("row", "l.*")
 
-    def rows(self, queries: DataFrame, bounds: Column) -> DataFrame:
-        """queries (row, v) with an array of a bound for each list, beside the vectors that they meet."""
+    def rows(self, queries: DataFrame, bounds: Column, lows: Column) -> DataFrame:
+        """queries (row, v) with arrays of a bound and a lowest score for each list, beside the vectors that they meet."""
         place = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
         everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        asks = self._runs(queries, bounds).select("list", place(self.shards).alias("shard"), everywhere(self.cells).alias("cell"), F.lit(True).alias("ask"), "row", "v", F.col("more0").cast("long").alias("bound"))
-        held = self._runs(self.vectors).select("list", everywhere(self.shards).alias("shard"), place(self.cells).alias("cell"), F.lit(False).alias("ask"), "row", "v", F.lit(0).cast("long").alias("bound"))
+        number = lambda c, name: c.cast("long").alias(name)
+        asks = self._runs(queries, bounds, lows).select("list", place(self.shards).alias("shard"), everywhere(self.cells).alias("cell"), F.lit(True).alias("ask"), "row", "v", number(F.col("more0"), "bound"), number(F.col("more1"), "low"))
+        held = self._runs(self.vectors).select("list", everywhere(self.shards).alias("shard"), place(self.cells).alias("cell"), F.lit(False).alias("ask"), "row", "v", number(F.lit(0), "bound"), number(F.lit(0), "low"))
         return asks.union(held)
 
     def run(self, rows: DataFrame, work, schema: str) -> DataFrame:
-        # applyInArrow names its argument's type by the function's signature, which a partial keeps
+        # applyInArrow counts the arguments of what it is given
         call = partial(work, width=self.width, kind=self.kind)
         return rows.groupBy("list", "shard", "cell").applyInArrow(lambda key, table: call(key, table), schema)
 
 
-def _whole_scores(pairs: DataFrame, queries: DataFrame, vectors: DataFrame, small: bool) -> DataFrame:
-    """pairs (query, row, ...) with their exact score."""
+def _whole_scores(pairs: DataFrame, queries: DataFrame, vectors: DataFrame, width: int, kind: str, small: bool) -> DataFrame:
+    """(query, row, score): the exact scores of pairs (query, row)."""
     asks = queries.select(F.col("row").alias("query"), F.col("v").alias("q"))
     joined = pairs.join(vectors.select("row", "v"), "row").join(F.broadcast(asks) if small else asks, "query")
-    product = F.zip_with("q", "v", lambda a, b: a.cast("long") * b.cast("long"))
-    return joined.withColumn("score", F.aggregate(product, F.lit(0).cast("long"), lambda s, x: s + x)).drop("q", "v")
+    return joined.select("query", "row", "q", "v").mapInArrow(partial(_products, width=width, kind=kind), "query long, row long, score long")
 
 
 def _first(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
@@ -174,29 +183,28 @@ def search(df: DataFrame, asks: Column, k: int = 5, ident: str = "vec_id", vecto
 
     # phase 1: local lists, and the cutoffs they allow
     none = F.array(*[F.lit(0)] * lists)
-    local = durable(grid.run(grid.rows(queries, none), partial(_best, most=max(SEEN, deep)), "query long, list int, low long, rows array<long>, scores array<long>"))
+    local = durable(grid.run(grid.rows(queries, none, none), partial(_best, most=max(SEEN, deep)), "query long, list int, low long, rows array<long>, scores array<long>"))
     entries = local.select("query", "list", F.explode(F.arrays_zip("rows", "scores")).alias("e")).select("query", "list", F.col("e.rows").alias("row"), F.col("e.scores").alias("part"))
     known = _first(entries, ["query", "list"], [F.desc("part"), F.col("row")], max(SEEN, deep)).select("query", "row").distinct()
-    sure = _first(_whole_scores(known, queries, vectors, small), ["query"], [F.desc("score"), F.col("row")], deep).groupBy("query").agg(F.when(F.count("*") == deep, F.min("score")).alias("sure"))
+    sure = _first(_whole_scores(known, queries, vectors, width, kind, small), ["query"], [F.desc("score"), F.col("row")], deep).groupBy("query").agg(F.when(F.count("*") == deep, F.min("score")).alias("sure"))
     lows = local.groupBy("query", "list").agg(F.min("low").alias("low")).groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("list", "low"))), lambda e: e["low"]).alias("lows"))
     total = F.aggregate("lows", F.lit(0).cast("long"), lambda s, x: s + x)
     share = F.when(F.col("sure").isNull(), F.lit(0)).otherwise(F.expr(f"(sure - total + {lists - 1}) div {lists}"))
-    limits = durable(lows.join(sure, "query", "left").withColumn("total", total).withColumn("share", share).select("query", "sure", "lows", F.transform("lows", lambda x: x + F.col("share")).alias("cutoffs")))
+    limits = durable(lows.join(sure, "query", "left").withColumn("total", total).withColumn("share", share).select("query", "sure", "total", "lows", F.transform("lows", lambda x: x + F.col("share")).alias("cutoffs")))
 
     # phase 2: all entries at or above the cutoffs
-    asked = queries.join(limits.select(F.col("query").alias("row"), "cutoffs"), "row")
-    sent = grid.run(grid.rows(asked, F.col("cutoffs")), _above, "query long, row long, list int, score long")
-    gathered = sent.groupBy("query", "row").agg(F.sum("score").alias("part"), F.collect_set("list").alias("there"))
-    missing = lambda name, less: F.aggregate(F.filter(F.arrays_zip(F.sequence(F.lit(0), F.lit(lists - 1)).alias("j"), F.col(name).alias("x")), lambda e: ~F.array_contains("there", e["j"])), F.lit(0).cast("long"), lambda s, e: s + e["x"] - less)
-    bounded = durable(
-        gathered.join(F.broadcast(limits) if small else limits, "query").select("query", "row", "part", "sure", (F.size("there") == lists).alias("whole"), (F.col("part") + missing("cutoffs", 1)).alias("upper"), (F.col("part") + missing("lows", 0)).alias("lower"))
-    )
+    asked = queries.join(limits.select(F.col("query").alias("row"), "cutoffs", "lows"), "row")
+    sent = grid.run(grid.rows(asked, F.col("cutoffs"), F.col("lows")), _above, "query long, row long, score long, over long, lift long")
+    gathered = sent.groupBy("query", "row").agg(F.sum("score").alias("part"), F.sum("over").alias("over"), F.sum("lift").alias("lift"), (F.count("*") == lists).alias("whole"))
+    most = F.aggregate("cutoffs", F.lit(0).cast("long"), lambda s, x: s + x - 1)
+    totals = limits.select("query", "sure", F.col("total").alias("least"), most.alias("most"))
+    bounded = durable(gathered.join(F.broadcast(totals) if small else totals, "query").select("query", "row", "part", "sure", "whole", (F.col("over") + F.col("most")).alias("upper"), (F.col("lift") + F.col("least")).alias("lower")))
 
     # phase 3: what can still reach the answer is resolved
     second = _first(bounded, ["query"], [F.desc("lower"), F.col("row")], deep).groupBy("query").agg(F.when(F.count("*") == deep, F.min("lower")).alias("second"))
     left = bounded.join(F.broadcast(second) if small else second, "query").where("upper >= coalesce(greatest(sure, second), upper)")
     full = left.where("whole").select("query", "row", F.col("part").alias("score"))
-    rest = _whole_scores(left.where("NOT whole").select("query", "row"), queries, vectors, small).select("query", "row", "score")
+    rest = _whole_scores(left.where("NOT whole").select("query", "row"), queries, vectors, width, kind, small)
     # a row is its vector's smallest id, so k + 1 rows by score and then row hold the k + 1 first ids
     best = _first(full.union(rest), ["query"], [F.desc("score"), F.col("row")], deep)
     named = best.join(vectors.select("row", "ids"), "row").select("query", "score", F.explode("ids").alias("vec_id"))
