@@ -393,11 +393,11 @@ def align(docs: DataFrame, byte_level: str, pieces: str, keep: Iterable[str] = (
     spark, keep = docs.sparkSession, list(keep)
     base = SentencePieceProcessor(model_file=pieces).get_piece_size()
     folder = f"{shared_folder(spark)}/aligned-{uuid.uuid4().hex}"
-    aligned(docs, byte_level, pieces, keep).withColumn("row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(folder)
-    held = spark.read.parquet(folder)
+    aligned(docs, byte_level, pieces, keep).withColumn("row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(f"{folder}/documents")
+    held = spark.read.parquet(f"{folder}/documents")
     counts = held.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("count"))
-    counts.write.parquet(f"{folder}/../{folder.rsplit('/', 1)[1]}-counts")
-    counts = spark.read.parquet(f"{folder}-counts")
+    counts.write.parquet(f"{folder}/counts")
+    counts = spark.read.parquet(f"{folder}/counts")
     most = counts.groupBy(F.floor(F.col("pair") / base).alias("a")).agg(F.max("count").alias("most"))
     rated = counts.withColumn("a", F.floor(F.col("pair") / base)).join(most, "a").select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
     few = counts.count() <= BROADCAST_PAIRS
