@@ -108,6 +108,8 @@ def _prepare(args: argparse.Namespace, spark) -> int | None:
         pdf, epub = ([f for f in args.files if f.lower().endswith(e)] for e in (".pdf", ".epub"))
         for texts in ([readers.pdf_texts(spark, pdf)] if pdf else []) + ([readers.epub_text(readers.epub_documents(spark, epub))] if epub else []):
             writers.text_files(texts, args.out, args.force)
+        for r in readers.epub_problems(spark, epub).collect() if epub else []:
+            print(f"  [{r.book_key}] skipped: {r.problem}", file=sys.stderr)
         return 0
     if args.command == "list":
         rows = readers.registry(spark, args.registry).select("book_key")

@@ -175,7 +175,7 @@ def test_readers_and_writers(spark, tmp_path):
     assert json.loads(spark.read.text(str(tmp_path / "lookup")).first().value)["pages"] == {"a": ["1"]}
 
 
-def test_what_cannot_be_read_is_told(spark, tmp_path):
+def test_what_cannot_be_read_is_told(spark, tmp_path, capsys):
     (tmp_path / "a.json").write_text(json.dumps({"Term": ["1"]}))
     (tmp_path / "b.json").write_text('{"Term": ["1"')
     (tmp_path / "e.json").write_text("")
@@ -196,6 +196,9 @@ def test_what_cannot_be_read_is_told(spark, tmp_path):
     folder = str(tmp_path / "*.epub")
     assert [(r.book_key, r.name) for r in readers.epub_documents(spark, folder).collect()] == [("good", "a.xhtml")]
     assert {r.book_key: r.problem for r in readers.epub_problems(spark, folder).collect()} == {"cut": "BadZipFile", "package": "ParseError", "flipped": "BadZipFile"}
+    assert cli.main(["convert", str(good), str(tmp_path / "cut.epub"), "--out", str(tmp_path / "texts")]) == 0
+    assert "[cut] skipped: BadZipFile" in capsys.readouterr().err
+    assert [r.book_key for r in readers.texts(spark, str(tmp_path / "texts")).collect()] == ["good"]
 
 
 def test_sinks_can_be_read_again(spark, tmp_path):
