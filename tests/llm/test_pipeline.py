@@ -1,11 +1,19 @@
 """The pipeline's stages against plain versions of their decisions, and the registered queries."""
 
+import math
 import re
+import struct
+import zlib
+from collections import Counter
 
 import __spark_entry__ as e
 import corpus_pipeline as P
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from lexgrove.llm import toxicity
+from lexgrove.llm.queries import fold, tokenizer_path
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -29,12 +37,48 @@ def test_stages(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "0")).where("doc_id = 1000000").count() == 0
     kept, given = ([(r.doc_id, r.text) for r in spark.read.parquet(str(tmp_path / str(k))).collect()] for k in (2, 1))
     assert sorted(map(str, kept)) == sorted(map(str, one_of_each(given)))
+    # language: only texts without any letter are of no language; toxicity: every row by its own score
+    first, second = ([(r.doc_id, r.text) for r in spark.read.parquet(str(tmp_path / str(k))).collect()] for k in (0, 1))
+    given = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    assert set(first) >= {x for x in given if any(c.isalpha() for c in x[1] or "")} and not any(not any(c.isalpha() for c in t or "") for _, t in first)
+    model = toxicity.fit(spark.read.parquet(str(tmp_path / "0")), spark.read.parquet(f"{SF}/labels.parquet").where(~fold(3, 1)))
+    assert sorted(map(str, second)) == sorted(str(x) for x in first if plain_score(model, x[1]) < toxicity.THRESHOLD)
+    packed_as(spark.read.parquet(str(tmp_path / "3")).select("doc_id", "text").collect(), spark.read.parquet(str(tmp_path / "4")).collect())
     # the next stage against tiling every document with every item
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     clean = [(r.doc_id, r.text) for r in spark.read.parquet(str(tmp_path / "3")).collect()]
     assert sorted(map(str, clean)) == sorted(map(str, [(i, t) for i, t in kept if not any(leaks_into(x, t) for x in items)]))
 
 
+def plain_score(model, text):
+    """The logistic score of one text, from a sum over the model's features that it has."""
+    here = set(toxicity.Counts(pa.array([text])).feature.tolist())
+    logit = model.bias + sum(w for f, w in zip(model.features.tolist(), model.weights.tolist()) if f in here)
+    return 1 / (1 + math.exp(-max(-30, min(30, logit))))
+
+
+def packed_as(docs, pieces):
+    """Every document's ids are cut into its pieces, and sequences are filled without gaps."""
+    from tokenizers import Tokenizer
+
+    encode = Tokenizer.from_file(tokenizer_path()).encode
+    want, got, held = Counter(), Counter(), {}
+    for r in docs:
+        ids = [*encode(r.text or "", add_special_tokens=False).ids, 0]
+        for k in range(0, len(ids), 2048):
+            part = ids[k : k + 2048]
+            want[r.doc_id, k // 2048, k, len(part), zlib.crc32(struct.pack(f"<{len(part)}I", *part))] += 1
+    for r in pieces:
+        got[r.doc_id, r.piece, r.start, r.length, r.ids_crc32] += 1
+        held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert got == want
+    for places in held.values():
+        ends = [a + n for a, n in sorted(places)]
+        assert [a for a, _ in sorted(places)] == [0, *ends[:-1]] and ends[-1] <= 2048
+    least = -(-sum(n for places in held.values() for _, n in places) // 2048)
+    assert least <= len(held) <= least + 2
+
+
 def five_words(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return frozenset(zip(*[w[i:] for i in range(5)])) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
@@ -122,11 +166,11 @@ def test_near_duplicates_by_five_words(spark):
 def test_run_and_registration(spark):
     assert P.run(spark, SF).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     names = set(e.queries())
-    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14))
 
 
 def test_empty_tables(spark, tmp_path):
-    for t in ("documents", "labels", "pages", "benchmark"):
+    for t in ("documents", "labels", "pages", "benchmark", "embeddings"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     for name, q in e.queries().items():
         if name.startswith("op") or name == "pipeline":
