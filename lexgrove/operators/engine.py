@@ -39,7 +39,7 @@ class Engine:
     stored relations, which have a column `part`.
     """
 
-    def __init__(self, books: DataFrame, terms: DataFrame, occurrences: DataFrame, candidates: DataFrame, terms_by_id: DataFrame | None = None, edges: DataFrame | None = None, parts: int | None = None):
+    def __init__(self, books: DataFrame | None, terms: DataFrame | None, occurrences: DataFrame | None, candidates: DataFrame | None, terms_by_id: DataFrame | None = None, edges: DataFrame | None = None, parts: int | None = None):
         self.book_rows, self.terms, self.occurrences, self.candidates = books, terms, occurrences, candidates
         self.terms_by_id, self._edges, self.parts = terms if terms_by_id is None else terms_by_id, edges, parts
 

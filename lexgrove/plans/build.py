@@ -84,40 +84,58 @@ def relations(rows: DataFrame, registry: DataFrame, threshold: float = 80, with_
 PARTS = 64
 
 
-def store(relations: dict[str, DataFrame], folder: str, parts: int = PARTS) -> None:
-    """Each relation as Parquet below the folder, in the layout of what lookups ask for.
+#: The relations that lie in parts, by what lookups ask for.
+LAID = ("terms", "terms_by_id", "occurrences", "edges")
+
+
+def store_laid(name: str, relations: dict[str, DataFrame], folder: str, parts: int = PARTS) -> None:
+    """One of LAID in its folder: a folder of each part (column part), a file each and sorted within.
 
     terms lie by their letters, terms_by_id and occurrences by id, candidates from both ends
-    by the id they start at: each in `parts` folders (column part), a file each and sorted
-    within, so that a lookup reads the folders of its keys and, in them, the row groups of
-    its keys.  Other relations are written as they are.
+    by the id they start at, so that a lookup reads the folders of its keys and, in them, the
+    row groups of its keys.
     """
+    if name in ("terms", "terms_by_id"):
+        df = relations["terms"].withColumn("n_books", F.col("n_books").cast("int"))
+        key, order = (letters("term"), ["term"]) if name == "terms" else (F.col("id"), ["id"])
+    elif name == "occurrences":
+        df, key, order = relations[name], F.col("term_id"), ["term_id", "book_key"]
+    else:
+        df, key, order = both_directions(relations["candidates"]), F.col("src"), ["src", "dst"]
+    dealt = df.withColumn("part", part_of(key, parts)).repartition(parts, "part").sortWithinPartitions("part", *order)
+    dealt.write.mode("overwrite").partitionBy("part").parquet(f"{folder}/{name}")
+
+
+def store(relations: dict[str, DataFrame], folder: str, parts: int = PARTS) -> None:
+    """Each relation as Parquet below the folder, those that lookups read in parts."""
     spark = next(iter(relations.values())).sparkSession
-    terms = relations["terms"].withColumn("n_books", F.col("n_books").cast("int"))
-    laid = {
-        "terms": (terms, letters("term"), ["term"]),
-        "terms_by_id": (terms, F.col("id"), ["id"]),
-        "occurrences": (relations["occurrences"], F.col("term_id"), ["term_id", "book_key"]),
-        "edges": (both_directions(relations["candidates"]), F.col("src"), ["src", "dst"]),
-    }
-    for name, (df, key, order) in laid.items():
-        dealt = df.withColumn("part", part_of(key, parts)).repartition(parts, "part").sortWithinPartitions("part", *order)
-        dealt.write.mode("overwrite").partitionBy("part").parquet(f"{folder}/{name}")
+    for name in LAID:
+        store_laid(name, relations, folder, parts)
     for name, df in relations.items():
-        if name not in laid and name != "candidates":
+        if name not in LAID and name != "candidates":
             df.write.mode("overwrite").parquet(f"{folder}/{name}")
     spark.range(1).select(F.lit(parts).alias("parts")).write.mode("overwrite").parquet(f"{folder}/layout")
 
 
-def stored(spark: SparkSession, folder: str) -> Engine:
-    """The engine over what `store` wrote."""
-    read = lambda name: spark.read.parquet(f"{folder}/{name}")
-    laid = {
+def laid(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One of LAID as it was stored."""
+    schema = {
         "terms": "id long, term string, n_books int, part int",
         "terms_by_id": "id long, term string, n_books int, part int",
         "occurrences": "term_id long, book_key string, pages array<string>, part int",
         "edges": "src long, dst long, match_type string, score double, forward boolean, part int",
-    }
-    terms, by_id, occurrences, edges = (spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in laid.items())
-    candidates = edges.where("forward").select(F.col("src").alias("term1_id"), F.col("dst").alias("term2_id"), "match_type", "score")
-    return Engine(read("books"), terms, occurrences, candidates, by_id, edges, read("layout").first().parts)
+    }[name]
+    return spark.read.schema(schema).parquet(f"{folder}/{name}")
+
+
+def over(books: DataFrame | None, held: dict[str, DataFrame], parts: int) -> Engine:
+    """The engine over stored relations; one that was left out serves no query that needs it."""
+    edges = held.get("edges")
+    candidates = None if edges is None else edges.where("forward").select(F.col("src").alias("term1_id"), F.col("dst").alias("term2_id"), "match_type", "score")
+    return Engine(books, held.get("terms"), held.get("occurrences"), candidates, held.get("terms_by_id"), edges, parts)
+
+
+def stored(spark: SparkSession, folder: str) -> Engine:
+    """The engine over what `store` wrote."""
+    held = {name: laid(spark, folder, name) for name in LAID}
+    return over(spark.read.parquet(f"{folder}/books"), held, spark.read.parquet(f"{folder}/layout").first().parts)

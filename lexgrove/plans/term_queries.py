@@ -22,18 +22,26 @@ def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lookup(spark, sf_dir).select("ord", "term", "n_books").distinct()
 
 
-def _relations(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return lookup.relations(_lookup(spark, sf_dir), _pairs(spark, sf_dir), _books(spark, sf_dir))
-
-
 #: Parts of the relations that queries store.
 PARTS = 16
-_stored = tables.written("relations", lambda spark, sf_dir, folder: build.store(_relations(spark, sf_dir), folder, PARTS))
 
 
-def _engine(spark: SparkSession, sf_dir: str) -> Engine:
-    """The engine over stored relations."""
-    return build.stored(spark, _stored(spark, sf_dir))
+def _write(name: str):
+    def write(spark: SparkSession, sf_dir: str, folder: str) -> None:
+        none = spark.createDataFrame([], "term1 string, term2 string, match_type string, score double")
+        pairs = _pairs(spark, sf_dir) if name == "edges" else none
+        build.store_laid(name, lookup.relations(_lookup(spark, sf_dir), pairs, none), folder, PARTS)
+
+    return tables.written(f"relation-{name}", write)
+
+
+_folders = {name: _write(name) for name in build.LAID}
+
+
+def _engine(spark: SparkSession, sf_dir: str, *needed: str) -> Engine:
+    """The engine over stored relations; only the needed ones, if any are named, are stored."""
+    held = {name: build.laid(spark, _folders[name](spark, sf_dir), name) for name in needed or build.LAID}
+    return build.over(_books(spark, sf_dir), held, PARTS)
 
 
 def _flat(hits: DataFrame, *more: str) -> DataFrame:
@@ -81,16 +89,16 @@ ASCII = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz
 
 
 def term_lookup(spark, sf_dir):
-    engine = _engine(spark, sf_dir)
+    engine = _engine(spark, sf_dir, "terms", "occurrences")
     return _flat(engine.lookup(ASKED).union(engine.lookup("no such term")))
 
 
 def lookup_icase(spark, sf_dir):
-    return _flat(_engine(spark, sf_dir).lookup_icase("SMALL RING"))
+    return _flat(_engine(spark, sf_dir, "terms", "occurrences").lookup_icase("SMALL RING"))
 
 
 def term_coverage(spark, sf_dir):
-    return _engine(spark, sf_dir).coverage()
+    return _engine(spark, sf_dir, "terms", "occurrences").coverage()
 
 
 def expand_variants(spark, sf_dir):
@@ -103,11 +111,11 @@ def full_lookup(spark, sf_dir):
 
 
 def books_summary(spark, sf_dir):
-    return _engine(spark, sf_dir).books()
+    return _engine(spark, sf_dir, "occurrences").books()
 
 
 def db_stats(spark, sf_dir):
-    return _engine(spark, sf_dir).stats()
+    return _engine(spark, sf_dir, "terms", "occurrences", "edges").stats()
 
 
 def cross_book_histogram(spark, sf_dir):
@@ -156,7 +164,7 @@ def claim_match_topn(spark, sf_dir):
 
 
 def candidate_ingest(spark, sf_dir):
-    return _engine(spark, sf_dir).candidates
+    return _engine(spark, sf_dir, "edges").candidates
 
 
 def case_sensitive_filters(spark, sf_dir):
