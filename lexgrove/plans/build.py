@@ -80,8 +80,8 @@ def relations(rows: DataFrame, registry: DataFrame, threshold: float = 80, with_
     return out
 
 
-#: Parts of a stored relation.
-PARTS = 64
+#: Parts of a stored relation, unless asked for otherwise; large ones take thousands.
+PARTS = 16
 
 
 #: The relations that lie in parts, by what lookups ask for.

@@ -22,15 +22,11 @@ def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lookup(spark, sf_dir).select("ord", "term", "n_books").distinct()
 
 
-#: Parts of the relations that queries store.
-PARTS = 16
-
-
 def _write(name: str):
     def write(spark: SparkSession, sf_dir: str, folder: str) -> None:
         none = spark.createDataFrame([], "term1 string, term2 string, match_type string, score double")
         pairs = _pairs(spark, sf_dir) if name == "edges" else none
-        build.store_laid(name, lookup.relations(_lookup(spark, sf_dir), pairs, none), folder, PARTS)
+        build.store_laid(name, lookup.relations(_lookup(spark, sf_dir), pairs, none), folder)
 
     return tables.written(f"relation-{name}", write)
 
@@ -41,7 +37,7 @@ _folders = {name: _write(name) for name in build.LAID}
 def _engine(spark: SparkSession, sf_dir: str, *needed: str) -> Engine:
     """The engine over stored relations; only the needed ones, if any are named, are stored."""
     held = {name: build.laid(spark, _folders[name](spark, sf_dir), name) for name in needed or build.LAID}
-    return build.over(_books(spark, sf_dir), held, PARTS)
+    return build.over(_books(spark, sf_dir), held, build.PARTS)
 
 
 def _flat(hits: DataFrame, *more: str) -> DataFrame:
