@@ -19,7 +19,7 @@ CYCLE = r"(?iU)^cycle\s+\d+\s*$"
 ALL_CAPS = r"^[A-Z][A-Z0-9 \-:,']+$"
 FUNCTION_WORDS = ("a", "an", "the", "of", "in", "on", "at", "to", "for", "and", "or", "but", "with", "by", "from", "as", "is", "no", "not", "that", "than", "this", "its", "it", "are", "was", "be", "been", "have", "has")
 LONGEST_HEADING, SHORTEST_H2 = 79, 10
-GLOBAL_SHARE, WINDOW, WINDOW_SHARE, LEAST_WINDOW = 0.35, 30, 0.30, 5
+GLOBAL_SHARE, WINDOW, WINDOW_SHARE, LEAST_WINDOW, LEAST_PAGES = 0.35, 30, 0.30, 5, 2
 
 
 def segment(texts: DataFrame) -> DataFrame:
@@ -79,7 +79,8 @@ def _frequent(zones: DataFrame) -> DataFrame:
 def frequent_in_windows(segments: DataFrame, size: int = WINDOW, share: float = WINDOW_SHARE) -> DataFrame:
     """book_key, window, line, n: outer lines of at least that share of a window of pages.
 
-    Windows of `size` pages begin every half size; those of fewer than five pages don't count.
+    Windows of `size` pages begin every half size; those of fewer than five pages don't count,
+    nor does a line of a single page, which is a fifth of the five pages that a book may end with.
     """
     return _frequent_in_windows(_tuned(zone_lines(segments), None).withColumns({"window_size": F.lit(size), "window_thresh": F.lit(share)}))
 
@@ -91,7 +92,7 @@ def _frequent_in_windows(zones: DataFrame) -> DataFrame:
     placed = zones.withColumn("window", F.explode(F.sequence(low.cast("int"), F.floor(F.col("page_no") / step).cast("int"))))
     held = F.least(size, F.col("n_pages") - F.col("window") * step)
     counted = placed.withColumn("held", held).where(F.col("held") >= LEAST_WINDOW).groupBy("book_key", "window", "line", "held", "window_thresh").agg(F.count("*").alias("n"))
-    return counted.where((F.col("n") / F.col("held") >= F.col("window_thresh")) & ~F.col("line").rlike(BARE_NUMBER)).select("book_key", "window", "line", "n")
+    return counted.where((F.col("n") >= LEAST_PAGES) & (F.col("n") / F.col("held") >= F.col("window_thresh")) & ~F.col("line").rlike(BARE_NUMBER)).select("book_key", "window", "line", "n")
 
 
 def bad_lines(segments: DataFrame, global_share: float = GLOBAL_SHARE, size: int = WINDOW, window_share: float = WINDOW_SHARE) -> DataFrame:

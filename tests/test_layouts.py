@@ -53,6 +53,13 @@ def test_running_heads(spark, layout, text, want):
     assert run(spark, layout, "post_strip", [(1, text), *others])[0].text == want
 
 
+@pytest.mark.parametrize("layout", ["author initials", "author lists", "bars", "inline numbers", "wide spaces"])
+def test_last_five_pages_keep_their_lines(spark, layout):
+    # the last window holds five pages, of which one is a fifth
+    got = run(spark, layout, "post_strip", [(n, f"head\nfirst{n}\nlast{n}" if layout == "inline numbers" else f"first{n}\nlast{n}") for n in range(20)])
+    assert [r.text for r in got] == [f"first{n}\nlast{n}" for n in range(20)]
+
+
 @pytest.mark.parametrize(
     "layout, text",
     [("spaced openers", "City, France"), ("spaced openers", "O U T"), ("spaced openers", "Smith (Eds.)"), ("bars", "FIGURE 3 Something"), ("bars", "Ends with the"), ("author lists", "A. Smith, B. Jones, and C. Lee"), ("inline numbers", "Page 3 of 12")],
