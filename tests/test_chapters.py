@@ -236,3 +236,39 @@ def test_toc_by_lines(spark):
     assert {r.line_no: r.ref_line for r in toc.following_headings(starts, lines, C.REFERENCES).collect()} == {1: 8, 9: 10}
     targets = spark.createDataFrame([("b", 4), ("b", 99)], "book_key string, page int")
     assert {r.page: r.line_idx for r in toc.nearest_markers(targets, C.page_markers(lines)).collect()} == {4: 5, 99: None}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_points_in_ranges(spark):
+    from lexgrove.functions.ranking import in_ranges
+
+    rng = random.Random(5)
+    points = [(k, rng.choice([None, *range(-40, 700)])) for k in "abc" for _ in range(150)]
+    ranges = [(k, n, None if rng.random() < 0.1 else a, None if rng.random() < 0.1 else a + rng.choice([-3, 0, 1, 15, 16, 17, 300, 2**31, 2**60])) for k in "abd" for n in range(40) for a in [rng.randrange(-50, 600)]]
+    found = in_ranges(spark.createDataFrame(points, "k string, p int"), spark.createDataFrame(ranges, "k string, n int, a long, b long"), ["k"], "p", "a", "b")
+    want = sorted((k, p, n) for k, p in points for j, n, a, b in ranges if j == k and None not in (p, a, b) and a <= p <= b)
+    assert sorted((r.k, r.p, r.n) for r in found.collect()) == want
+
+
+def test_scans_grow_with_the_lines(spark):
+    lines = spark.createDataFrame([("b", i, "## References" if i % 5 == 4 else f"## Chapter title {i}") for i in range(40)], "book_key string, line_no int, line string")
+    found = C.detect(lines)
+    # a window to the end of the book is computed anew for each of its lines
+    assert "unboundedfollowing" not in plan_of(found).lower()
+    assert [r.title for r in found.orderBy("ch_ord").collect()] == [f"Chapter title {i}" for i in range(0, 40, 5)]
+    # a line meets the sections near it, and not all of its book
+    for made in (C.references(lines, found), C.numbered_sections(lines, found), C.link_chapters(spark.createDataFrame([("t", "b", ["3"])], "term string, book_key string, pages array<string>"), found)):
+        assert "_block" in plan_of(made)
+
+
+def test_variants_need_no_chapters(spark, tmp_path):
+    from lexgrove.plans import source_queries, tables
+
+    parts = [(k, f"{a} {b}", f"Brand#{k % 3 + 1}", "SMALL", k % 50 + 1, 1.0) for k, (a, b) in enumerate([(a, b) for a in ("small", "large", "hot") for b in ("ring", "bolt")] * 4)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    source_queries.QUERIES["variants_top20"](spark, str(tmp_path)).collect()
+    kept = {name for name, _, folder in tables._kept if folder == str(tmp_path)}
+    assert "pairs" in kept and not kept & {"markdown", "chapters", "references", "relation-occurrences"}
