@@ -75,9 +75,19 @@ def positional_titles(chapters: DataFrame, toc: DataFrame) -> DataFrame:
     place = lambda order: F.row_number().over(Window.partitionBy("book_key").orderBy(order))
     many = lambda: F.count("*").over(Window.partitionBy("book_key"))
     left = chapters.withColumn("at", place("ch_ord")).withColumn("n", many())
-    right = toc.select("book_key", "toc_ord", F.col("title").alias("toc_title")).withColumn("there", place("toc_ord")).withColumn("m", many())
-    same = left.join(right, "book_key").where(F.expr("(n = m AND at = there) OR (n <> m AND title <> '' AND contains(toc_title, substr(title, 1, 25)))"))
-    best = same.groupBy("book_key", "ch_ord").agg(F.min_by("toc_title", "toc_ord").alias("toc_title"))
+    right = toc.select("book_key", "toc_ord", F.col("title").alias("toc_title")).withColumn("there", place("toc_ord"))
+    counts = right.groupBy("book_key").agg(F.count("*").alias("m"))
+    placed = left.join(counts, "book_key")
+    one = placed.where("n = m").join(right.select("book_key", F.col("there").alias("at"), "toc_title", "toc_ord"), ["book_key", "at"]).select("book_key", "ch_ord", "toc_title", "toc_ord")
+    # what a title holds is one of its pieces of that length, so the first entry of a piece is looked up by equality
+    asked = placed.where("n <> m AND title <> ''").select("book_key", "ch_ord", F.substring("title", 1, 25).alias("piece"))
+    sizes = asked.groupBy("book_key").agg(F.collect_set(F.length("piece")).alias("sizes"))
+    texts = right.groupBy("book_key", "toc_title").agg(F.min("toc_ord").alias("toc_ord")).join(sizes, "book_key")
+    places = F.sequence(F.lit(1), F.length("toc_title"))
+    pieces = F.array_distinct(F.flatten(F.transform("sizes", lambda k: F.transform(F.filter(places, lambda i: i <= F.length("toc_title") - k + 1), lambda i: F.substr("toc_title", i, k)))))
+    firsts = texts.select("book_key", "toc_title", "toc_ord", F.explode(pieces).alias("piece")).groupBy("book_key", "piece").agg(F.min(F.struct("toc_ord", "toc_title")).alias("e"))
+    held = asked.join(firsts, ["book_key", "piece"]).select("book_key", "ch_ord", "e.toc_title", "e.toc_ord")
+    best = one.union(held).groupBy("book_key", "ch_ord").agg(F.min_by("toc_title", "toc_ord").alias("toc_title"))
     return chapters.join(best, ["book_key", "ch_ord"], "left").withColumn("title", F.coalesce("toc_title", "title")).select(*chapters.columns)
 
 

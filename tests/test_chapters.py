@@ -272,3 +272,17 @@ def test_variants_need_no_chapters(spark, tmp_path):
     source_queries.QUERIES["variants_top20"](spark, str(tmp_path)).collect()
     kept = {name for name, _, folder in tables._kept if folder == str(tmp_path)}
     assert "pairs" in kept and not kept & {"markdown", "chapters", "references", "relation-occurrences"}
+
+
+def test_titles_by_place_or_piece(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("ab c") for _ in range(n))
+    chapters = [(k, n, rng.choice(["", word(2), word(3), word(30)])) for k in "xyz" for n in range(12)]
+    entries = [(k, n, word(rng.choice([0, 1, 9, 40]))) for k in "xy" for n in range(12 if k == "x" else 30)]
+    entries += [("y", 30 + i, "On " + t) for i, (k, _, t) in enumerate(chapters) if k == "y" and len(t) == 30]
+    out = toc.positional_titles(spark.createDataFrame(chapters, "book_key string, ch_ord int, title string"), spark.createDataFrame(entries, "book_key string, toc_ord int, title string"))
+    of = lambda k: [t for b, _, t in entries if b == k]
+    want = {(k, n): of(k)[n] if k == "x" else next((t for t in of(k) if title and title[:25] in t), title) for k, n, title in chapters}
+    assert {(r.book_key, r.ch_ord): r.title for r in out.collect()} == want
+    # no entry meets all chapters of its book
+    assert "contains(" not in plan_of(out).lower()
