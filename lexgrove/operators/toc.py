@@ -45,18 +45,49 @@ def _with_contents(chapters: DataFrame, toc: DataFrame) -> DataFrame:
     return chapters.join(toc.select("book_key").distinct().withColumn("_known", F.lit(True)), "book_key", "left")
 
 
+#: Blocks of pages have a size of 2 to a multiple of this; their levels reach as far as pages do.
+BITS, LEVELS = 3, 11
+
+
+def _down(page: Column, level: int) -> Column:
+    return F.shiftright(page.cast("long"), BITS * level)
+
+
+def _blocks(start: Column, end: Column) -> Column:
+    """The few whole blocks (level, block) that make up the pages from start to end."""
+
+    def numbers(level: int, low: Column, high: Column) -> Column:
+        told = F.when(low < high, F.sequence(low, high - 1)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(told, lambda b: F.struct(F.lit(level).alias("level"), b.alias("block")))
+
+    span = lambda n: (-_down(-start.cast("long"), n), _down(end.cast("long") + 1, n))
+    out = []
+    for n in range(LEVELS):
+        low, high = span(n)
+        if n + 1 < LEVELS:
+            over, under = (F.shiftleft(x, BITS) for x in span(n + 1))
+            some = over < under
+            out += [numbers(n, low, F.when(some, over).otherwise(high)), numbers(n, F.when(some, under).otherwise(high), high)]
+        else:
+            out.append(numbers(n, low, high))
+    return F.concat(*out)
+
+
 def asof_titles(chapters: DataFrame, toc: DataFrame, keep_unmatched: bool = False) -> DataFrame:
     """Chapters titled by the last entry that begins in their pages, else the last one that begins before.
 
     Chapters that no entry precedes go, or keep their title with keep_unmatched.  A chapter
     without a start page keeps its title; one without an end page is open.  Books without
-    contents are left alone.
+    contents are left alone.  The last entry of each block of pages is known, and a chapter
+    asks the few blocks that make up its pages.
     """
-    entries = toc.select("book_key", "toc_ord", F.col("title").alias("toc_title"), F.col("start_page").alias("toc_page"))
-    joined = chapters.select("book_key", "ch_ord", "start_page", "end_page").join(entries, "book_key").where(F.col("toc_page") <= F.greatest("start_page", F.coalesce("end_page", F.lit(OPEN))))
-    inside = (F.col("toc_page") >= F.col("start_page")) & (F.col("toc_page") <= F.coalesce("end_page", F.lit(OPEN)))
-    told = joined.where(inside | (F.col("toc_page") <= F.col("start_page")))
-    best = told.groupBy("book_key", "ch_ord").agg(F.max_by("toc_title", F.struct(inside, "toc_ord")).alias("toc_title"), F.lit(True).alias("_told"))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("level"), _down(F.col("start_page"), n).alias("block")) for n in range(LEVELS)])).alias("at")
+    entries = toc.where("start_page IS NOT NULL").select("book_key", "toc_ord", F.col("title").alias("toc_title"), each)
+    firsts = entries.groupBy("book_key", "at.level", "at.block").agg(F.max_by("toc_title", "toc_ord").alias("toc_title"), F.max("toc_ord").alias("toc_ord"))
+    inside = F.transform(_blocks(F.col("start_page"), F.coalesce("end_page", F.lit(OPEN))), lambda x: F.struct(F.lit(True).alias("inside"), x["level"].alias("level"), x["block"].alias("block")))
+    before = F.transform(_blocks(F.lit(-(1 << 31)), F.col("start_page")), lambda x: F.struct(F.lit(False).alias("inside"), x["level"].alias("level"), x["block"].alias("block")))
+    spans = chapters.where("start_page IS NOT NULL").select("book_key", "ch_ord", F.explode(F.concat(inside, before)).alias("at")).select("book_key", "ch_ord", "at.*")
+    best = spans.join(firsts, ["book_key", "level", "block"]).groupBy("book_key", "ch_ord").agg(F.max_by("toc_title", F.struct("inside", "toc_ord")).alias("toc_title"), F.lit(True).alias("_told"))
     out = _with_contents(chapters, toc).join(best, ["book_key", "ch_ord"], "left")
     if not keep_unmatched:
         out = out.where("_told OR _known IS NULL OR start_page IS NULL")

@@ -286,3 +286,21 @@ def test_titles_by_place_or_piece(spark):
     assert {(r.book_key, r.ch_ord): r.title for r in out.collect()} == want
     # no entry meets all chapters of its book
     assert "contains(" not in plan_of(out).lower()
+
+
+def test_titles_of_pages_by_blocks(spark):
+    rng = random.Random(3)
+    page = lambda: rng.choice([None, 0, 1, 7, 8, 63, 64, 511, 5000, 999999, 1000000, *range(20)])
+    chapters = [(k, n, f"c{n}", page(), page()) for k in "xyz" for n in range(60)]
+    entries = [(k, n, f"{k}{n}", page()) for k, many in (("x", 40), ("y", 4)) for n in range(many)]
+    made = toc.asof_titles(spark.createDataFrame(chapters, "book_key string, ch_ord int, title string, start_page int, end_page int"), spark.createDataFrame(entries, "book_key string, toc_ord int, title string, start_page int"), True)
+
+    def want(k, title, start, end):
+        own = [(n, t, p) for b, n, t, p in entries if b == k and p is not None]
+        inside = [t for _, t, p in own if start is not None and start <= p <= (999999 if end is None else end)]
+        before = [t for _, t, p in own if start is not None and p <= start]
+        return (inside or before or [title])[-1]
+
+    assert {(r.book_key, r.ch_ord): r.title for r in made.collect()} == {(k, n): want(k, t, a, b) for k, n, t, a, b in chapters}
+    # no chapter meets all entries of its book
+    assert "start_page#" not in " ".join(x for x in plan_of(made).splitlines() if "Join Inner" in x)
