@@ -273,3 +273,21 @@ def test_numbers_of_a_table_that_is_sampled(spark):
         assert out.withColumn("before", F.lag("k").over(Window.orderBy("ord"))).where("before >= k").isEmpty()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_epub_rows_come_in_pieces():
+    import time
+
+    frames = list(readers._pieces(((n,) for n in range(2 * readers.TOGETHER + 1)), ["n"]))
+    assert [len(f) for f in frames] == [readers.TOGETHER, readers.TOGETHER, 1]
+    # the reading order of many documents is found without going through all of them for each
+    names = [f"{n}.xhtml" for n in range(20000)]
+    items, spine = "".join(f'<item id="i{n}" href="{x}"/>' for n, x in enumerate(names)), "".join(f'<itemref idref="i{n}"/>' for n in reversed(range(1, 20000)))
+
+    class Archive:
+        namelist = lambda self: [*names, "b.opf"]
+        read = lambda self, _: f"<package><manifest>{items}</manifest><spine>{spine}</spine></package>"
+
+    began = time.process_time()
+    assert readers._reading_order(Archive()) == [*reversed(names[1:]), names[0]]
+    assert time.process_time() - began < 3
