@@ -28,12 +28,20 @@ def segment(texts: DataFrame) -> DataFrame:
     The page number is the first of the outermost lines that is a number; pages whose
     first is a roman one are front matter and left out, as are blank pages.
     """
-    pages = texts.select("book_key", F.posexplode(F.split("text", "\f")).alias("pdf_page", "text")).where(~T.is_blank("text"))
-    full = F.filter(F.transform(F.split("text", "\n"), T.strip), lambda s: s != "")
-    outer = F.when(F.size("full") >= 6, F.concat(F.slice("full", 1, 3), F.slice("full", -3, 3))).otherwise(F.col("full"))
-    number = F.try_element_at(F.filter("outer", lambda s: s.rlike(ARABIC) | s.rlike(ROMAN)), F.lit(1))
-    found = pages.withColumn("full", full).withColumn("outer", outer).withColumn("number", number)
-    return found.where(F.col("number").isNull() | F.col("number").rlike(ARABIC)).select("book_key", "pdf_page", F.col("number").try_cast("int").alias("book_page"), "text")
+    # found where pages are cut, so that a filter does not find it again
+    each = F.transform(F.split("text", "\f"), lambda page: F.struct(page.alias("text"), _printed_number(page).alias("number")))
+    pages = texts.select("book_key", F.posexplode(each).alias("pdf_page", "page")).select("book_key", "pdf_page", "page.*")
+    return pages.where(~T.is_blank("text") & F.coalesce("number", F.lit("0")).rlike(ARABIC)).select("book_key", "pdf_page", F.col("number").try_cast("int").alias("book_page"), "text")
+
+
+def _solid(lines: Column) -> Column:
+    return F.filter(lines, lambda s: ~T.is_blank(s))
+
+
+def _printed_number(page: Column) -> Column:
+    """The first number among the outermost lines of a page; with fewer than six, among all."""
+    outer = T.let(_solid(F.split(page, "\n")), lambda full: F.when(F.size(full) >= 6, F.concat(F.slice(full, 1, 3), F.slice(full, -3, 3))).otherwise(full))
+    return F.try_element_at(F.filter(F.transform(outer, T.strip), lambda s: s.rlike(ARABIC) | s.rlike(ROMAN)), F.lit(1))
 
 
 def page_map(segments: DataFrame) -> DataFrame:
@@ -41,20 +49,24 @@ def page_map(segments: DataFrame) -> DataFrame:
     return segments.where("book_page IS NOT NULL").groupBy("book_key", "book_page").agg(F.max("pdf_page").alias("pdf_page"))
 
 
+def _outer(found: Column) -> Column:
+    """The first and last three of an array; of a short one some come twice."""
+    return T.let(found, lambda x: F.concat(F.slice(x, 1, 3), F.when(F.size(x) >= 3, F.slice(x, -3, 3)).otherwise(x)))
+
+
 def zone_places(lines: Column) -> Column:
     """Places (from 0) of the first and last three lines that are not blank."""
-    places = F.filter(F.transform(lines, lambda s, i: F.when(~T.is_blank(s), i)), lambda i: i.isNotNull())
-    last = F.when(F.size(places) >= 3, F.slice(places, -3, 3)).otherwise(places)
-    return F.array_union(F.slice(places, 1, 3), last)
+    return F.array_distinct(_outer(F.filter(F.transform(lines, lambda s, i: F.when(~T.is_blank(s), i)), lambda i: i.isNotNull())))
 
 
 def zone_lines(segments: DataFrame) -> DataFrame:
     """The distinct outer lines of each page: book_key, page_no (from 0), n_pages, line."""
     order = Window.partitionBy("book_key").orderBy("pdf_page")
-    rows = segments.select("book_key", "pdf_page", F.split("text", "\n").alias("lines"))
+    # before the pages are ordered, so that whole texts don't move
+    outer = F.array_distinct(F.transform(_outer(_solid(F.split("text", "\n"))), T.strip))
+    rows = segments.select("book_key", "pdf_page", outer.alias("outer"))
     rows = rows.withColumn("page_no", F.row_number().over(order) - 1).withColumn("n_pages", F.count("*").over(Window.partitionBy("book_key")))
-    lines = F.array_distinct(F.transform(zone_places(F.col("lines")), lambda i: T.strip(F.get("lines", i))))
-    return rows.select("book_key", "page_no", "n_pages", F.explode(lines).alias("line"))
+    return rows.select("book_key", "page_no", "n_pages", F.explode("outer").alias("line"))
 
 
 def _tuned(zones: DataFrame, shares: DataFrame | None) -> DataFrame:

@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lexgrove.functions import text as T
 from lexgrove.operators import pages
+from lexgrove.plans import tables, text_queries
 
 SEGMENT = "book_key string, pdf_page int, book_page int, text string"
 
@@ -92,3 +94,22 @@ def test_page_tools(spark):
     assert [r.text for r in pages.cut_from(outline, "C H A P T E R", "O U T L I N E").orderBy("pdf_page").collect()] == ["C H A P T E R\nkeep", "O U T L I N E\nstays"]
     noted = pages.without_headings(pages.annotate(segments(spark, [(1, "\nFigure One Here\n\nA Real Heading\n")])), r"^Figure")
     assert [h.text for h in noted.first().headings] == ["A Real Heading"]
+
+
+def exchanges(spark, name):
+    """How often a query's rows move, and how many tables it stores."""
+    tables.forget()
+    plan = text_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning"), len(tables._kept)
+
+
+@pytest.mark.parametrize("name", ["header_freq_window", "header_freq_global"])
+def test_outer_lines_are_counted_where_pages_are_cut(spark, name):
+    assert exchanges(spark, name) == (1, 0)
+
+
+def test_white_space(spark):
+    rows = spark.createDataFrame([(chr(i),) for i in range(1, 0x3100)], "c string")
+    old = F.regexp_replace(F.concat("c", F.lit("\n"), "c", F.lit("a"), "c", F.lit("b"), "c"), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    assert rows.where(T.strip(F.concat("c", F.lit("\n"), "c", F.lit("a"), "c", F.lit("b"), "c")) != old).count() == 0
+    assert rows.where(T.is_blank("c") != F.col("c").rlike(r"(?U)^[\s\x1c-\x1f]$")).count() == 0
