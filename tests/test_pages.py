@@ -108,6 +108,11 @@ def test_outer_lines_are_counted_where_pages_are_cut(spark, name):
     assert exchanges(spark, name) == (1, 0)
 
 
+@pytest.mark.parametrize("name", ["page_interpolation", "page_map", "page_segment"])
+def test_numbers_need_no_stored_texts(spark, name):
+    assert exchanges(spark, name) == (1, 0)
+
+
 def test_white_space(spark):
     rows = spark.createDataFrame([(chr(i),) for i in range(1, 0x3100)], "c string")
     old = F.regexp_replace(F.concat("c", F.lit("\n"), "c", F.lit("a"), "c", F.lit("b"), "c"), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
