@@ -98,9 +98,7 @@ def author_list_page(chapters: int = 26, most: int = 560) -> Column:
 
 def without_zone_lines(segments: DataFrame, unwanted: Callable[[Column], Column]) -> DataFrame:
     """Segments without the outer lines for which `unwanted` holds."""
-    lines = F.split("text", "\n")
-    marked = F.aggregate(pages.zone_places(lines), lines, lambda kept, z: F.transform(kept, lambda s, i: F.when((i == z) & unwanted(T.strip(s)), None).otherwise(s)))
-    return segments.withColumn("text", F.array_join(marked, "\n"))
+    return segments.withColumn("text", pages.without_outer("text", unwanted))
 
 
 def without_first_line(segments: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ array inside its row, so that line logic needs no shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,12 +82,8 @@ def _tuned(zones: DataFrame, shares: DataFrame | None) -> DataFrame:
 
 def frequent_lines(segments: DataFrame, share: float = GLOBAL_SHARE) -> DataFrame:
     """book_key, line, n: outer lines of at least that share of a book's pages."""
-    return _frequent(_tuned(zone_lines(segments), None).withColumn("global_thresh", F.lit(share)))
-
-
-def _frequent(zones: DataFrame) -> DataFrame:
-    counted = zones.groupBy("book_key", "line", "n_pages", "global_thresh").agg(F.count("*").alias("n"))
-    return counted.where((F.col("n") / F.col("n_pages") >= F.col("global_thresh")) & ~F.col("line").rlike(BARE_NUMBER)).select("book_key", "line", "n")
+    zones = _tuned(zone_lines(segments), None).withColumn("global_thresh", F.lit(share))
+    return _frequent(zones, _whole_book()).select("book_key", "line", "n")
 
 
 def frequent_in_windows(segments: DataFrame, size: int = WINDOW, share: float = WINDOW_SHARE) -> DataFrame:
@@ -94,28 +92,57 @@ def frequent_in_windows(segments: DataFrame, size: int = WINDOW, share: float =
     Windows of `size` pages begin every half size; those of fewer than five pages don't count,
     nor does a line of a single page, which is a fifth of the five pages that a book may end with.
     """
-    return _frequent_in_windows(_tuned(zone_lines(segments), None).withColumns({"window_size": F.lit(size), "window_thresh": F.lit(share)}))
+    zones = _tuned(zone_lines(segments), None).withColumns({"window_size": F.lit(size), "window_thresh": F.lit(share)})
+    return _frequent(zones, _windows())
+
+
+def _step() -> Column:
+    return F.greatest(F.lit(1), F.floor(F.col("window_size") / 2))
+
+
+def _windows() -> Column:
+    """The windows that a page is in."""
+    low = F.greatest(F.lit(0), F.ceil((F.col("page_no") - F.col("window_size") + 1) / _step()))
+    return F.sequence(low.cast("int"), F.floor(F.col("page_no") / _step()).cast("int"))
+
+
+def _whole_book() -> Column:
+    """A book as a window without a number."""
+    return F.array(F.lit(None).cast("int"))
+
 
+def _frequent(zones: DataFrame, windows: Column) -> DataFrame:
+    """book_key, window, line, n: lines of at least their share of the pages of a window or of the whole book."""
+    whole = F.col("window").isNull()
+    held = F.when(whole, F.col("n_pages")).otherwise(F.least("window_size", F.col("n_pages") - F.col("window") * _step()))
+    placed = zones.withColumn("window", F.explode(windows)).withColumn("held", held).withColumn("share", F.when(whole, F.col("global_thresh")).otherwise(F.col("window_thresh")))
+    counted = placed.where(whole | (F.col("held") >= LEAST_WINDOW)).groupBy("book_key", "window", "line", "held", "share").agg(F.count("*").alias("n"))
+    enough = (whole | (F.col("n") >= LEAST_PAGES)) & (F.col("n") / F.col("held") >= F.col("share"))
+    return counted.where(enough & ~F.col("line").rlike(BARE_NUMBER)).select("book_key", "window", "line", "n")
 
-def _frequent_in_windows(zones: DataFrame) -> DataFrame:
-    size = F.col("window_size")
-    step = F.greatest(F.lit(1), F.floor(size / 2))
-    low = F.greatest(F.lit(0), F.ceil((F.col("page_no") - size + 1) / step))
-    placed = zones.withColumn("window", F.explode(F.sequence(low.cast("int"), F.floor(F.col("page_no") / step).cast("int"))))
-    held = F.least(size, F.col("n_pages") - F.col("window") * step)
-    counted = placed.withColumn("held", held).where(F.col("held") >= LEAST_WINDOW).groupBy("book_key", "window", "line", "held", "window_thresh").agg(F.count("*").alias("n"))
-    return counted.where((F.col("n") >= LEAST_PAGES) & (F.col("n") / F.col("held") >= F.col("window_thresh")) & ~F.col("line").rlike(BARE_NUMBER)).select("book_key", "window", "line", "n")
+
+def _bad(zones: DataFrame) -> DataFrame:
+    return _frequent(zones, F.concat(_whole_book(), _windows())).select("book_key", "line").distinct()
 
 
 def bad_lines(segments: DataFrame, global_share: float = GLOBAL_SHARE, size: int = WINDOW, window_share: float = WINDOW_SHARE) -> DataFrame:
     """book_key, line: running headers and footers."""
-    return frequent_lines(segments, global_share).select("book_key", "line").union(frequent_in_windows(segments, size, window_share).select("book_key", "line")).distinct()
+    return _bad(_tuned(zone_lines(segments), None).withColumns({"global_thresh": F.lit(global_share), "window_size": F.lit(size), "window_thresh": F.lit(window_share)}))
 
 
 def bad_lines_by_book(segments: DataFrame, shares: DataFrame) -> DataFrame:
     """book_key, line, by each book's own shares (book_key, global_thresh, window_size, window_thresh; null or 0: the default)."""
-    zones = _tuned(zone_lines(segments), shares)
-    return _frequent(zones).select("book_key", "line").union(_frequent_in_windows(zones).select("book_key", "line")).distinct()
+    return _bad(_tuned(zone_lines(segments), shares))
+
+
+def without_outer(text: str, unwanted: Callable[[Column], Column]) -> Column:
+    """A page's text without the outer lines for which `unwanted` holds."""
+
+    def kept(lines: Column) -> Column:
+        # the outer places are found once for a page and not for every line
+        return T.let(zone_places(lines), lambda zone: F.transform(lines, lambda s, i: F.when(F.array_contains(zone, i) & unwanted(T.strip(s)), None).otherwise(s)))
+
+    return F.array_join(T.let(F.split(text, "\n"), kept), "\n")
 
 
 def strip_headers(segments: DataFrame, bad: DataFrame | None = None, **shares) -> DataFrame:
@@ -123,10 +150,7 @@ def strip_headers(segments: DataFrame, bad: DataFrame | None = None, **shares) -
     bad = bad_lines(segments, **shares) if bad is None else bad
     listed = bad.groupBy("book_key").agg(F.collect_set("line").alias("bad"))
     joined = segments.join(listed, "book_key", "left").withColumn("bad", F.coalesce("bad", F.array().cast("array<string>")))
-    lines = F.split("text", "\n")
-    # folding over the few outer places, so that they are found once for a page and not for every line
-    marked = F.aggregate(zone_places(lines), lines, lambda kept, z: F.transform(kept, lambda s, i: F.when((i == z) & F.array_contains("bad", T.strip(s)), None).otherwise(s)))
-    return joined.withColumn("text", F.array_join(marked, "\n")).select(*segments.columns)
+    return joined.withColumn("text", without_outer("text", lambda s: F.array_contains("bad", s))).select(*segments.columns)
 
 
 def _words(s: Column) -> Column:
@@ -139,34 +163,37 @@ def _capital(w: Column) -> Column:
 
 def is_title_case(s: Column) -> Column:
     """Whether at least 60 per cent of the words that carry meaning begin with a capital, the first word among them."""
-    words = _words(s)
     functional = F.array(*[F.lit(w) for w in FUNCTION_WORDS])
-    content = F.filter(words, lambda w: ~F.array_contains(functional, F.lower(F.rtrim(w, F.lit(".,;:!?")))))
-    capital = F.size(F.filter(content, _capital))
-    first = F.coalesce(_capital(F.try_element_at(words, F.lit(1))), F.lit(False))
-    return first & F.when(F.size(content) < 2, (F.size(content) == 1) & (capital == 1)).otherwise(capital / F.size(content) >= 0.6)
+
+    def weighed(content: Column) -> Column:
+        capital = F.size(F.filter(content, _capital))
+        return F.when(F.size(content) < 2, (F.size(content) == 1) & (capital == 1)).otherwise(capital / F.size(content) >= 0.6)
+
+    def told(words: Column) -> Column:
+        first = F.coalesce(_capital(F.try_element_at(words, F.lit(1))), F.lit(False))
+        return first & T.let(F.filter(words, lambda w: ~F.array_contains(functional, F.lower(F.rtrim(w, F.lit(".,;:!?"))))), weighed)
+
+    return T.let(_words(s), told)
 
 
 def heading_level(s: Column) -> Column:
-    return F.when(s.rlike(CYCLE), 1).when((s.rlike(ALL_CAPS) | is_title_case(s)) & (F.length(s) >= SHORTEST_H2), 2).otherwise(3)
+    return F.when(s.rlike(CYCLE), 1).when((F.length(s) >= SHORTEST_H2) & (s.rlike(ALL_CAPS) | is_title_case(s)), 2).otherwise(3)
 
 
 def is_heading(s: Column, blank_before: Column, blank_after: Column) -> Column:
     """s: a stripped line."""
-    return (s != "") & (F.length(s) <= LONGEST_HEADING) & ~s.rlike(r"[.,;:?!]$") & ~s.rlike(r"(?U)^\d+$") & (blank_before | blank_after)
+    return (s != "") & (blank_before | blank_after) & (F.length(s) <= LONGEST_HEADING) & ~s.rlike(r"[.,;:?!]$") & ~s.rlike(r"(?U)^\d+$")
 
 
 def detect_headings(lines: Column) -> Column:
     """The headings of a page's lines: (line_idx, level, text)."""
-    bare = F.transform(lines, T.strip)
-    edge = F.array(F.lit(""))
-    rows = F.arrays_zip(bare.alias("s"), F.concat(edge, bare).alias("before"), F.concat(F.slice(bare, F.lit(2), F.size(bare)), edge).alias("after"))
 
-    def one(row, i):
-        s = row["s"]
-        return F.when(s.isNotNull() & is_heading(s, row["before"] == "", row["after"] == ""), F.struct(i.alias("line_idx"), heading_level(s).alias("level"), s.alias("text")))
+    def found(bare: Column) -> Column:
+        blank = lambda i: F.coalesce(F.get(bare, i), F.lit("")) == ""
+        one = lambda s, i: F.when(is_heading(s, blank(i - 1), blank(i + 1)), F.struct(i.alias("line_idx"), heading_level(s).alias("level"), s.alias("text")))
+        return F.filter(F.transform(bare, one), lambda h: h.isNotNull())
 
-    return F.filter(F.transform(rows, one), lambda h: h.isNotNull())
+    return T.let(F.transform(lines, T.strip), found)
 
 
 def annotate(segments: DataFrame) -> DataFrame:

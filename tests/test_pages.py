@@ -49,6 +49,12 @@ def test_headers(spark):
     assert not out[0].startswith("Header") and "Header in body" in out[0] and "Header" in out[3].split("\n")
 
 
+def test_bad_lines_are_those_of_books_and_windows(spark):
+    df = segments(spark, [(i, body(i, ("Header", f"Chapter {i // 20}", f"once {i}")[i % 3])) for i in range(73)])
+    both = pages.frequent_lines(df).select("line").union(pages.frequent_in_windows(df).select("line")).distinct()
+    assert bad(df) == {r.line for r in both.collect()} and bad(df, global_share=0.01, window_share=2.0) > bad(df)
+
+
 def test_windows_find_chapter_titles(spark):
     df = segments(spark, [(i, body(i, f"Chapter {i // 20}")) for i in range(100)])
     assert not {r.line for r in pages.frequent_lines(df).collect()} & {"Chapter 0", "Chapter 4"}
@@ -108,6 +114,17 @@ def test_outer_lines_are_counted_where_pages_are_cut(spark, name):
     assert exchanges(spark, name) == (1, 0)
 
 
+@pytest.mark.parametrize("name", ["strip_headers", "heading_detect"])
+def test_stripping_moves_texts_for_books_alone(spark, name):
+    # once for the pages, once for the lines that are counted
+    assert exchanges(spark, name) == (2, 0)
+
+
+def test_headings_are_found_once(spark):
+    plan = text_queries.QUERIES["heading_detect"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("cycle") == 1
+
+
 @pytest.mark.parametrize("name", ["page_interpolation", "page_map", "page_segment"])
 def test_numbers_need_no_stored_texts(spark, name):
     assert exchanges(spark, name) == (1, 0)
