@@ -203,12 +203,22 @@ def annotate(segments: DataFrame) -> DataFrame:
 
 def render(segments: DataFrame) -> DataFrame:
     """Annotated segments with a column markdown: page mark, headings, other lines with a leading # escaped."""
-    plain = F.transform(F.split("text", "\n"), lambda s: F.regexp_replace(s, r"^(#+)", r"\\$1"))
+    plain = F.transform(F.split("text", "\n"), lambda s: F.when(s.startswith("#"), F.regexp_replace(s, r"^(#+)", r"\\$1")).otherwise(s))
 
     def marked(h):
         return F.concat(F.lit("\n"), F.repeat(F.lit("#"), h["level"]), F.lit(" "), h["text"], F.lit("\n"))
 
-    lines = F.aggregate("headings", plain, lambda kept, h: F.transform(kept, lambda s, i: F.when(i == h["line_idx"], marked(h)).otherwise(s)))
+    def placed(lines, held):
+        # between two headings lie the lines after the one and before the other
+        at = lambda k: F.coalesce(F.get(held, k)["line_idx"], F.when(k < 0, -1).otherwise(F.size(lines)))
+        between = lambda k: F.slice(lines, at(k - 1) + 2, at(k) - at(k - 1) - 1)
+        each = F.transform(held, lambda h, k: F.concat(between(k), F.array(marked(h))))
+        return F.concat(F.flatten(each), between(F.size(held)))
+
+    def inside(lines):
+        return T.let(F.filter("headings", lambda h: h["line_idx"] < F.size(lines)), lambda held: placed(lines, held))
+
+    lines = T.let(plain, inside)
     body = F.concat_ws("\n", F.concat(F.lit("<!-- p. "), F.col("book_page").cast("string"), F.lit(" -->")), F.array_join(lines, "\n"))
     return segments.withColumn("markdown", T.strip(F.regexp_replace(body, r"\n{3,}", "\n\n")))
 
@@ -224,7 +234,8 @@ def front_matter(registry: DataFrame) -> DataFrame:
 
 def markdown(segments: DataFrame, registry: DataFrame) -> DataFrame:
     """book_key, markdown: one document for each book of its numbered pages in order."""
-    pages = render(segments.where("book_page IS NOT NULL")).where("markdown <> ''")
+    # a numbered page has its mark at least, so none is empty
+    pages = render(segments.where("book_page IS NOT NULL"))
     joined = pages.groupBy("book_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pdf_page", "markdown"))), lambda x: x["markdown"]), "\n\n").alias("body"))
     whole = F.concat(F.concat_ws("\n\n", F.col("head"), F.col("body")), F.lit("\n"))
     return front_matter(registry).join(joined, "book_key", "left").select("book_key", F.regexp_replace(whole, r"\n{3,}", "\n\n").alias("markdown"))

@@ -1,5 +1,9 @@
 """Page segments, headers, headings, markdown."""
 
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +95,26 @@ def test_markdown(spark):
     assert text == "---\ntitle: T\nauthor: A\nyear: 2020\nsource_pdf: x.epub\n---\n\n<!-- p. 1 -->\n\n# Cycle 1\n\nbody of the page.\n\\#hash.\n\n<!-- p. 2 -->\n  # indented.\nmore body here.\n"
 
 
+def test_lines_between_headings(spark):
+    rnd = random.Random(3)
+    texts = ["\n".join(rnd.choice(["", "#x", "A Good Heading", "plain text.", "7"]) for _ in range(rnd.randint(1, 40))) for _ in range(60)]
+    df = pages.annotate(segments(spark, [(1, t) for t in texts]))
+    # one more beyond the last line, as a hook may leave it
+    df = df.withColumn("headings", F.concat("headings", F.array(F.struct(F.lit(99).alias("line_idx"), F.lit(2).alias("level"), F.lit("gone").alias("text")))))
+    for r in pages.render(df).collect():
+        lines = [x.replace("#", "\\#") for x in r.text.split("\n")]
+        for h in r.headings[:-1]:
+            lines[h.line_idx] = f"\n{'#' * h.level} {h.text}\n"
+        assert r.markdown == re.sub(r"\n{3,}", "\n\n", "\n".join(["<!-- p. 1 -->", *lines])).strip()
+
+
+def test_rendering_does_not_grow_with_headings_times_lines(spark):
+    # a page of twenty thousand lines, of which every second is a heading
+    df = pages.annotate(segments(spark, [(1, "Good\n\n" * 20000)]))
+    began = time.time()
+    assert pages.render(df).select(F.length("markdown")).first()[0] == len("<!-- p. 1 -->" + "\n\n### Good" * 20000) and time.time() - began < 20
+
+
 def test_page_tools(spark):
     df = segments(spark, [(None, "front"), (None, "C H A P T E R"), (5, "five"), (None, "gap"), (None, "gap")])
     assert [r.pdf_page for r in pages.without_front(df, F.contains("text", F.lit("C H A P"))).orderBy("pdf_page").collect()] == [1, 2, 3, 4]
@@ -114,10 +138,10 @@ def test_outer_lines_are_counted_where_pages_are_cut(spark, name):
     assert exchanges(spark, name) == (1, 0)
 
 
-@pytest.mark.parametrize("name", ["strip_headers", "heading_detect"])
-def test_stripping_moves_texts_for_books_alone(spark, name):
-    # once for the pages, once for the lines that are counted
-    assert exchanges(spark, name) == (2, 0)
+@pytest.mark.parametrize("name, uses", [("strip_headers", 2), ("heading_detect", 2), ("markdown_render", 3)])
+def test_stripping_moves_texts_for_books_alone(spark, name, uses):
+    # for the pages, for the lines that are counted, and for the books' names
+    assert exchanges(spark, name) == (uses, 0)
 
 
 def test_headings_are_found_once(spark):
