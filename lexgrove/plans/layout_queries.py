@@ -176,8 +176,9 @@ def _tables(spark, sf_dir):
     """(made pages, lines, contents, chapters) of all books."""
     part = tables.table(spark, sf_dir, "part")
     made = spark.sql(MADE.format(**SPARK).replace("FROM part", "FROM {part}"), part=part)
-    each = F.posexplode(F.array(*[F.expr(LINE.format(j=j, **SPARK)) for j in range(EACH)])).alias("j", "line")
-    lines = made.select("book_key", "rn", each).select("book_key", (F.col("rn") * EACH - EACH + F.col("j")).alias("line_no"), "line")
+    # the rule stands in the plan once and not for each line of a part, so that its code stays small enough to be compiled
+    each = made.select("book_key", "rn", "k", "name", F.explode(F.array(*[F.lit(j) for j in range(EACH)])).alias("j"))
+    lines = each.select("book_key", (F.col("rn") * EACH - EACH + F.col("j")).alias("line_no"), F.expr(LINE.format(j="j", **SPARK)).alias("line"))
     of = lambda sql: spark.sql(sql.format(**SPARK).replace("FROM made", "FROM {made}"), made=made)
     return made, lines, of(CONTENTS), of(CHAPTERS)
 

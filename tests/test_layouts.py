@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lexgrove.operators import chapters as C
 from lexgrove.operators import layouts, pages, toc
 from lexgrove.operators.hooks import STAGES, Hooks
+from lexgrove.plans import layout_queries
 
 SEGMENT = "book_key string, pdf_page int, book_page int, text string"
 
@@ -178,6 +179,11 @@ def test_contents_titles(spark):
     assert [r.term for r in hooks.apply("post_index_parse", noise).collect()] == ["B et al"]
 
 
+def test_made_lines_have_their_rule_once(spark):
+    lines = layout_queries._tables(spark, "/root/testdata/sf0.001")[1]
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("## Suggested Reading") == 1
+
+
 def test_many_books_share_a_pass(spark):
     """A thousand hooked books are read as often as two."""
 
