@@ -40,10 +40,28 @@ def _solid(lines: Column) -> Column:
     return F.filter(lines, lambda s: ~T.is_blank(s))
 
 
+def _outermost(page: Column) -> Column:
+    """The first and last three lines that are not blank; with fewer than six, all."""
+    return T.let(_solid(F.split(page, "\n")), lambda full: F.when(F.size(full) >= 6, F.concat(F.slice(full, 1, 3), F.slice(full, -3, 3))).otherwise(full))
+
+
+def _is_number(s: Column) -> Column:
+    return s.rlike(ARABIC) | s.rlike(ROMAN)
+
+
 def _printed_number(page: Column) -> Column:
     """The first number among the outermost lines of a page; with fewer than six, among all."""
-    outer = T.let(_solid(F.split(page, "\n")), lambda full: F.when(F.size(full) >= 6, F.concat(F.slice(full, 1, 3), F.slice(full, -3, 3))).otherwise(full))
-    return F.try_element_at(F.filter(F.transform(outer, T.strip), lambda s: s.rlike(ARABIC) | s.rlike(ROMAN)), F.lit(1))
+    return F.try_element_at(F.filter(F.transform(_outermost(page), T.strip), _is_number), F.lit(1))
+
+
+def outline(text: Column) -> Column:
+    """A text with as many pages as it has, of each the outermost lines: numbers as they are, a dash for any other.
+
+    Where a text stands on lines of its own, among other lines or alone, its outline in its
+    place leaves segments with the same numbers; a null text is an empty one.
+    """
+    line = lambda s: T.let(T.strip(s), lambda bare: F.when(_is_number(bare), bare).otherwise("-"))
+    return F.array_join(F.transform(F.split(F.coalesce(text, F.lit("")), "\f"), lambda page: F.array_join(F.transform(_outermost(page), line), "\n")), "\f")
 
 
 def page_map(segments: DataFrame) -> DataFrame:

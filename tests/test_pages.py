@@ -4,6 +4,7 @@ import random
 import re
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,6 +155,45 @@ def test_numbers_need_no_stored_texts(spark, name):
     assert exchanges(spark, name) == (1, 0)
 
 
+def test_outlines_have_the_numbers_of_their_texts(spark):
+    rnd = random.Random(19)
+    some = ["", " ", " ", "12", " 7\t", "iv", "XII ", "x", "-", "12345", "plain text", "9\r", "a\x0b3", "\f", "\f", "3\f4"]
+    made = lambda: "\n".join(rnd.choice(some) for _ in range(rnd.randint(0, 14)))
+    rows = [(f"b{i}", made(), made(), made()) for i in range(600)] + [("alone", "", "", "")]
+    parts = spark.createDataFrame(rows, "book_key string, head string, text string, tail string")
+    for place in (lambda text: text, lambda text: F.concat_ws("\n", "head", text, "tail")):
+        whole, short = ([tuple(r) for r in pages.segment(parts.select("book_key", place(c).alias("text"))).select("book_key", "pdf_page", "book_page").orderBy("book_key", "pdf_page").collect()] for c in (F.col("text"), pages.outline(F.col("text"))))
+        assert whole == short and len({p for _, _, p in whole}) > 3
+    assert spark.range(1).select(pages.outline(F.lit(None).cast("string"))).first()[0] == ""
+
+
+def moved(spark, df):
+    """The bytes that a query's rows have when they move."""
+
+    def below(node):
+        name = node.getClass().getSimpleName()
+        inner = node.executedPlan() if name == "AdaptiveSparkPlanExec" else node.plan() if name.endswith("QueryStageExec") else None
+        children = [inner] if inner is not None else [node.children().apply(i) for i in range(node.children().size())]
+        own = node.metrics().apply("dataSize").value() if name == "ShuffleExchangeExec" else 0
+        return own + sum(map(below, children))
+
+    df.collect()
+    return below(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("name", ["page_interpolation", "page_map"])
+def test_numbers_are_found_without_moving_texts(spark, tmp_path, name):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.when(F.col("id") != 7, F.repeat(F.lit("a line of text\n"), 2000)).alias("text"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    df = text_queries.QUERIES[name](spark, str(tmp_path))
+    assert moved(spark, df) < 300 * 1000
+    # a page without text keeps its place
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = duck.execute(f"SELECT {', '.join(df.columns)} FROM ({text_queries.ORACLES[name]})").fetchall()
+    assert {tuple(r) for r in df.collect()} == set(want) and len(want) == 297
+
+
 def test_white_space(spark):
     rows = spark.createDataFrame([(chr(i),) for i in range(1, 0x3100)], "c string")
     old = F.regexp_replace(F.concat("c", F.lit("\n"), "c", F.lit("a"), "c", F.lit("b"), "c"), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
